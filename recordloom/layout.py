@@ -293,7 +293,7 @@ def _values(text: str) -> list:
 def _entries(text: str) -> list[str]:
     lines = []
     for line in text.splitlines():
-        if len(line) > 6 and re.fullmatch(r"[\d ]{6}", line[:6]):
+        if len(line) > 6 and re.fullmatch(r"\d{6}| {6}", line[:6]):
             line = line[6:72]
         if line.lstrip().startswith("*"):
             continue

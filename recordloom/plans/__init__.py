@@ -1,0 +1,15 @@
+"""Registered queries."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("programs", "arithmetic")
+
+
+def load():
+    from recordloom.plans import registry
+
+    for m in MODULES:
+        importlib.import_module(f"recordloom.plans.{m}")
+    return registry.QUERIES, registry.ORACLE
