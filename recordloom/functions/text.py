@@ -41,12 +41,11 @@ def string_into(parts: list[tuple[Column | str, Column | str | None]], width: in
     pieces = []
     for value, delimiter in parts:
         v = _c(value)
-        if delimiter is not None and delimiter != "":
-            if isinstance(delimiter, Column):
-                at = F.instr(v, delimiter)
-                v = F.when(at > 0, v.substr(F.lit(1), at - 1)).otherwise(v)
-            else:
-                v = F.substring_index(v, delimiter, 1)
+        if isinstance(delimiter, Column):
+            at = F.instr(v, delimiter)
+            v = F.when(at > 0, v.substr(F.lit(1), at - 1)).otherwise(v)
+        elif delimiter:
+            v = F.substring_index(v, delimiter, 1)
         pieces.append(v)
     joined = F.concat(*pieces)
     return joined if width is None else fit(joined, width)

@@ -14,7 +14,15 @@ from recordloom.session import cut
 _NAME = r"[A-Za-z0-9][A-Za-z0-9-]*"
 # a paragraph header: a name alone on a line, in column 8
 _HEADER = rf"(?m)^ {{7}}(?=[A-Za-z0-9-]+(?:\s+SECTION)?\.\s*$)"
-# flags and classes of the edges: fixed values
+# words that begin a statement, so end the one before: fixed values
+VERBS = (
+    "ACCEPT", "ADD", "CALL", "CLOSE", "COMPUTE", "CONTINUE", "DELETE", "DISPLAY", "DIVIDE", "ELSE", "END-COMPUTE",
+    "END-IF", "EVALUATE", "EXEC", "EXIT", "GENERATE", "GO", "GOBACK", "IF", "INITIALIZE", "INSPECT", "MERGE", "MOVE",
+    "MULTIPLY", "ON", "OPEN", "PERFORM", "READ", "RELEASE", "RETURN", "REWRITE", "SEARCH", "SET", "SORT", "START",
+    "STOP", "STRING", "SUBTRACT", "UNSTRING", "WHEN", "WRITE",
+)
+_VERB = r"(?:" + "|".join(VERBS) + r")(?![A-Z0-9-])"
+# kinds of edges: fixed values
 PERFORM, GOTO, CALL, FALLTHROUGH, EXIT = "PERFORM", "GOTO", "CALL", "FALLTHROUGH", "EXIT"
 ASSIGNS, DERIVES_FROM, CONDITIONAL_ON = "ASSIGNS", "DERIVES_FROM", "CONDITIONAL_ON"
 
@@ -24,7 +32,7 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _code(text: Column) -> Column:
-    """The text without comment lines, in capitals outside nothing else."""
+    """The text without comment lines."""
     return F.regexp_replace(text, r"(?m)^.{6}\*.*$", "")
 
 
@@ -62,7 +70,7 @@ def copybook_uses(programs: DataFrame, program: str = "program", text: str = "te
 def paragraphs(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, n, paragraph, body), in source order from zero."""
     division = F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
-    parts = F.filter(F.split(division, _HEADER), lambda x: F.trim(x) != "")
+    parts = F.filter(F.split(division, _HEADER), lambda x: ~x.rlike(r"^\s*$"))
     # text ahead of the first header belongs to the division itself
     named = F.transform(parts, lambda x: F.struct(
         F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"), F.upper(F.regexp_extract(x, rf"^({_NAME})", 1)))
@@ -78,7 +86,7 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
     FALLTHROUGH goes to the next paragraph unless the body ends in a jump out.
     """
     parts = F.filter(F.split(F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1), _HEADER),
-                     lambda x: F.trim(x) != "")
+                     lambda x: ~x.rlike(r"^\s*$"))
     heads = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"),
                                                 F.upper(F.regexp_extract(x, rf"^({_NAME})", 1))).otherwise(F.lit("PROCEDURE")))
     bodies = F.transform(parts, lambda x: F.upper(F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", "")))
@@ -122,10 +130,10 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
         return F.flatten(F.transform(targets, lambda t: F.transform(sources, lambda s: F.struct(
             s.alias("source"), t.alias("target"), F.lit(kind).alias("kind")))))
 
-    move_re = rf"\bMOVE\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!(?:MOVE|COMPUTE|IF|ELSE|END-IF|PERFORM|ADD|SUBTRACT|MULTIPLY|DIVIDE|DISPLAY|WRITE|READ|GO|GOBACK|STOP)\b){item})*)"
+    move_re = rf"\bMOVE\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!{_VERB}){item})*)"
     moves = F.transform(_all(code, move_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"MOVE\s+(\S+)\s+TO", 1)), words(F.regexp_extract(m, r"(?s)\sTO\s+(.*)$", 1)), ASSIGNS))
-    compute_re = rf"\bCOMPUTE\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|\b(?:MOVE|COMPUTE|IF|ELSE|END-IF|END-COMPUTE|PERFORM|DISPLAY|WRITE|ADD|SUBTRACT|ON|GOBACK|STOP)\b|$)"
+    compute_re = rf"\bCOMPUTE\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|\b{_VERB}|$)"
     computes = F.transform(_all(code, compute_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"(?s)=(.*)$", 1)), words(F.regexp_extract(m, rf"COMPUTE\s+({item})", 1)), DERIVES_FROM))
     giving_re = rf"\b(?:ADD|SUBTRACT|MULTIPLY|DIVIDE)\s+[A-Z0-9.\s-]*?\bGIVING\s+{item}"
@@ -134,7 +142,7 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
         words(F.regexp_extract(m, rf"GIVING\s+({item})", 1)), DERIVES_FROM))
     if_re = r"(?s)\bIF\b.*?(?=END-IF|\.\s|$)"
     conds = F.transform(_all(code, if_re, 0), lambda m: cross(
-        words(F.regexp_replace(F.regexp_extract(m, r"(?s)^IF\s+(.*?)(?=\b(?:MOVE|COMPUTE|PERFORM|DISPLAY|ADD|GO|CONTINUE)\b|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
+        words(F.regexp_replace(F.regexp_extract(m, rf"(?s)^IF\s+(.*?)(?=\b{_VERB}|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
         F.array_union(_all(m, rf"\bTO\s+({item})"), _all(m, rf"\bCOMPUTE\s+({item})")), CONDITIONAL_ON))
     edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, conds)))
     return programs.select(F.col(program).alias("program"), F.explode(edges).alias("_e")).select(

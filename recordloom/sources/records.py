@@ -7,6 +7,7 @@ import os
 import uuid
 from dataclasses import dataclass, field as dc_field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -149,8 +150,13 @@ class _FixedWriter(DataSourceArrowWriter):
         with store.open_output_stream(temp) as out:
             for batch in batches:
                 column = batch.column(0)
-                for value in column:
-                    out.write(value.as_buffer())
+                # records lie end to end in the batch's data buffer
+                _, offsets, data = column.buffers()
+                width = "int64" if str(column.type).startswith("large") else "int32"
+                at = np.frombuffer(offsets, dtype=width)
+                first, last = int(at[column.offset]), int(at[column.offset + len(column)])
+                if last > first:
+                    out.write(data.slice(first, last - first))
         return _Written(temp, f"{root}/part-{part:06d}-{self.job}.bin")
 
     def commit(self, messages):
