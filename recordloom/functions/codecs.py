@@ -71,9 +71,12 @@ def decode_packed(raw: Column, pic: str | Picture) -> Column:
     p = _pic(pic)
     n = 2 * packed_bytes(p.digits) - 1
     text = F.hex(raw)
-    whole = text.substr(1, n).try_cast(f"decimal({n},0)")
-    value = _scaled(whole, n, p)
-    return F.when(text.substr(n + 1, 1).isin("B", "D"), -value).otherwise(value)
+    sign = F.when(text.substr(n + 1, 1).isin("B", "D"), "-").otherwise("")
+    if not p.scale:
+        number = F.concat(sign, text.substr(1, n))
+    else:
+        number = F.concat(sign, text.substr(1, n - p.scale), F.lit("."), text.substr(n - p.scale + 1, p.scale))
+    return number.try_cast(f"decimal({p.digits},{p.scale})")
 
 
 def encode_packed(value: Column, pic: str | Picture) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F
 from recordloom.picture import NUMERIC, Picture, picture
 
 MAX_DIGITS = 38
+LONG_DIGITS = 18
 QUOTIENT_SCALE = 20   # fraction digits kept by a division inside an expression
 
 TRUNCATION = "TRUNCATION"
@@ -161,18 +162,26 @@ def as_num(value) -> Num:
 def _whole_quotient(a: Num, b: Num, scale: int):
     """|a|*10**scale div |b| with its remainder, all in whole numbers.
 
-    The dividend less its remainder is a multiple of the divisor, so the one
+    Up to 18 digits that is long arithmetic. Beyond, the dividend less its remainder is a multiple of the divisor, so the one
     decimal division that is left has a whole result and cannot be rounded.
     """
     common = max(a.scale, b.scale)
     top_digits = a.ints + common + scale
     low_digits = b.ints + common
     quot_digits = a.ints + b.scale + scale
+
+    def whole(n: Num, shift: int) -> Column:
+        return n.col * pow10(shift) if shift else n.col
+
+    if max(top_digits, low_digits, quot_digits) <= LONG_DIGITS:
+        top = F.abs(whole(a, common + scale).cast("bigint"))
+        low = F.nullif(F.abs(whole(b, common).cast("bigint")), F.lit(0).cast("bigint"))
+        return F.call_function("div", top, low), top % low, low, quot_digits
     _fits(top_digits + 7, "dividend")
     _fits(low_digits + 7, "divisor")
     _fits(quot_digits + 6, "quotient")
-    top = dec(F.abs(a.col) * pow10(common + scale), top_digits, 0)
-    low = dec(F.nullif(F.abs(b.col) * pow10(common), F.lit(0)), low_digits, 0)
+    top = dec(F.abs(whole(a, common + scale)), top_digits, 0)
+    low = dec(F.nullif(F.abs(whole(b, common)), F.lit(0)), low_digits, 0)
     rest = dec(top % low, low_digits, 0)
     quot = dec(dec(top - rest, top_digits, 0) / low, quot_digits, 0)
     return quot, rest, low, quot_digits
@@ -195,9 +204,9 @@ def divide(a, b, scale: int, rounding: str = TRUNCATION) -> Num:
         }[rounding]
         digits += 1
         _fits(digits, "quotient")
-        quot = dec(F.when(up, quot + F.lit(1)).otherwise(quot), digits, 0)
+        quot = F.when(up, quot + F.lit(1)).otherwise(quot)
     size = max(digits, scale + 1)
-    value = point_left(quot, digits, scale, size)
+    value = point_left(dec(quot, digits, 0), digits, scale, size)
     return Num(F.when(negative, -value).otherwise(value), size, scale)
 
 

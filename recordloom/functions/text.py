@@ -69,7 +69,8 @@ def unstring(text: Column, delimiter: str, receivers: int, pointer: Column | Non
     size = F.length(text)
     bad = (start < 1) | (start > size)
     rest = text if pointer is None else text.substr(start, size)
-    parts = F.split(rest, re.escape(delimiter), -1)
+    # one part more than there are receivers: the rest stays in one piece
+    parts = F.split(rest, re.escape(delimiter), receivers + 1)
     filled = F.least(F.size(parts), F.lit(receivers))
     fields = [F.when(bad, F.lit("")).otherwise(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) for i in range(receivers)]
     used = F.aggregate(F.slice(parts, 1, receivers), F.lit(0), lambda a, x: a + F.length(x) + len(delimiter))

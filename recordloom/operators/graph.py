@@ -36,14 +36,20 @@ def _code(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^.{6}\*.*$", "")
 
 
+def _edges(staged: DataFrame, keep: str, edges: Column, fields: list[str]) -> DataFrame:
+    """One row per edge. The outer explode saves building the array twice."""
+    flat = staged.select(keep, edges.alias("_all")).select(keep, F.explode_outer("_all").alias("_e"))
+    return flat.where(F.col("_e").isNotNull()).select(keep, *[f"_e.{f}" for f in fields])
+
+
 # -- calls -------------------------------------------------------------------
 def call_edges(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(caller, callee, kind): literal targets are static, names dynamic."""
-    code = _code(F.col(text))
+    code = F.col("_code")
     static = F.transform(_all(code, r"""(?i)\bCALL\s+["']([A-Z0-9-]+)["']"""), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("static").alias("kind")))
     dynamic = F.transform(_all(code, r"(?i)\bCALL\s+([A-Z][A-Z0-9-]*)"), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("dynamic").alias("kind")))
-    return (programs.select(F.col(program).alias("caller"), F.explode(F.array_distinct(F.concat(static, dynamic))).alias("_e"))
-            .select("caller", "_e.callee", "_e.kind"))
+    staged = programs.select(F.col(program).alias("caller"), _code(F.col(text)).alias("_code"))
+    return _edges(staged, "caller", F.array_distinct(F.concat(static, dynamic)), ["callee", "kind"])
 
 
 def roots(programs: DataFrame, edges: DataFrame, program: str = "program") -> DataFrame:
@@ -63,7 +69,8 @@ def uncovered(required: DataFrame, present: DataFrame, name: str) -> DataFrame:
 
 def copybook_uses(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     names = _all(_code(F.col(text)), r"""(?i)\bCOPY\s+["']?([A-Z0-9-]+)""")
-    return programs.select(F.col(program).alias("program"), F.explode(F.array_distinct(F.transform(names, lambda x: F.upper(x)))).alias("copybook"))
+    found = programs.select(F.col(program).alias("program"), F.array_distinct(F.transform(names, lambda x: F.upper(x))).alias("_all"))
+    return found.select("program", F.explode_outer("_all").alias("copybook")).where(F.col("copybook").isNotNull())
 
 
 # -- paragraphs --------------------------------------------------------------
@@ -110,7 +117,7 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
     staged = programs.select(F.col(program).alias("program"), heads.alias("_heads"), bodies.alias("_bodies"))
     flat = F.flatten(F.transform(F.col("_bodies"), lambda b, i: F.transform(
         F.array_distinct(edges(b, i)), lambda e: F.struct(F.get(F.col("_heads"), i).alias("source"), e["target"].alias("target"), e["kind"].alias("kind")))))
-    return staged.select("program", F.explode(flat).alias("_e")).select("program", "_e.source", "_e.target", "_e.kind")
+    return _edges(staged, "program", flat, ["source", "target", "kind"])
 
 
 def data_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
@@ -120,7 +127,7 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
     DERIVES_FROM; items tested by IF give CONDITIONAL_ON for the items moved or
     computed up to the end of that sentence.
     """
-    code = F.upper(_code(F.regexp_extract(F.col(text), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)))
+    code = F.col("_code")
     item = r"[A-Z][A-Z0-9-]*"
     words = lambda c: F.array_except(F.array_distinct(_all(c, rf"\b({item})\b(?!\()")), F.array(*[F.lit(w) for w in (
         "TO", "ROUNDED", "GIVING", "BY", "FROM", "INTO", "AND", "OR", "NOT", "EQUAL", "GREATER", "LESS", "THAN", "IS",
@@ -145,8 +152,9 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
         words(F.regexp_replace(F.regexp_extract(m, rf"(?s)^IF\s+(.*?)(?=\b{_VERB}|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
         F.array_union(_all(m, rf"\bTO\s+({item})"), _all(m, rf"\bCOMPUTE\s+({item})")), CONDITIONAL_ON))
     edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, conds)))
-    return programs.select(F.col(program).alias("program"), F.explode(edges).alias("_e")).select(
-        "program", "_e.source", "_e.target", "_e.kind")
+    division = F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
+    staged = programs.select(F.col(program).alias("program"), F.upper(division).alias("_code"))
+    return _edges(staged, "program", edges, ["source", "target", "kind"])
 
 
 # -- reachability ------------------------------------------------------------

@@ -41,7 +41,8 @@ def compare(expected: DataFrame, actual: DataFrame, keys: list[str], fields: lis
              .when(~e_in, F.array(entry("EXTRA", "", none, none)))
              .otherwise(F.filter(changed, lambda x: x.isNotNull())))
     key_cols = [F.coalesce(F.col(f"e_{k}"), F.col(f"a_{k}")).alias(k) for k in keys]
-    return both.select(*key_cols, F.explode(found).alias("_d")).select(*keys, "_d.*")
+    listed = both.select(*key_cols, found.alias("_all"))
+    return listed.select(*keys, F.explode_outer("_all").alias("_d")).where(F.col("_d").isNotNull()).select(*keys, "_d.*")
 
 
 def verdict(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

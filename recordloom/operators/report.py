@@ -110,7 +110,7 @@ def generate(details: DataFrame, report: Report, order: list[Column]) -> DataFra
     head = report.heading.plus if report.heading else 0
     foot = report.footing.plus if report.footing else 0
     k = F.col("_k") - 1
-    page = (F.floor(k / F.lit(n)) + 1).cast("bigint")
+    page = F.call_function("div", k, F.lit(n).cast("bigint")) + 1
     spot = k % F.lit(n)
     base = (page - 1) * F.lit(head + n * report.detail.plus + foot)
     parts = []
@@ -124,7 +124,10 @@ def generate(details: DataFrame, report: Report, order: list[Column]) -> DataFra
         closes = F.array(*_lines(report.footing, _line(report.footing, report, page), page, end))
         parts.append(F.when((spot == n - 1) | (F.col("_k") == F.col("_total")), closes))
     merged = F.concat(*[F.coalesce(p, F.array().cast("array<struct<page:bigint,line:bigint,text:string>>")) for p in parts])
-    return rows.select(F.explode(merged).alias("_l")).select("_l.page", "_l.line", "_l.text")
+    # Built in a projection, repeated pieces are computed once; and the outer
+    # form of explode keeps Spark from testing the whole array for emptiness
+    # first, which would build it twice. It is never empty.
+    return rows.select(merged.alias("_all")).select(F.explode_outer("_all").alias("_l")).select("_l.page", "_l.line", "_l.text")
 
 
 def total(details: DataFrame, sums: dict[str, str]) -> DataFrame:

@@ -88,6 +88,7 @@ class _FixedReader(DataSourceReader):
         self.path = options["path"]
         self.length = int(options["recordlength"])
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
+        self.positions = options.get("positions", "false").lower() == "true"
 
     def partitions(self):
         from pyarrow import fs
@@ -119,9 +120,12 @@ class _FixedReader(DataSourceReader):
                 n = min(per, left)
                 data = pa.py_buffer(f.read(n * self.length))
                 values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.length), n, [None, data]).cast(pa.binary())
-                offsets = pa.array(range(at, at + n * self.length, self.length), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [values, pa.array([part.path] * n, pa.string()), offsets], names=["value", "file", "offset"])
+                columns, names = [values], ["value"]
+                if self.positions:
+                    columns += [pa.array([part.path] * n, pa.string()),
+                                pa.array(np.arange(at, at + n * self.length, self.length), pa.int64())]
+                    names += ["file", "offset"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 left -= n
                 at += n * self.length
 
@@ -187,7 +191,8 @@ class FixedRecords(DataSource):
     """``format("fixed_records")``: options ``recordLength`` and the path.
 
     Files are read in record-aligned ranges, so one big file is read by many
-    tasks; bytes go to the JVM as Arrow batches.
+    tasks; bytes go to the JVM as Arrow batches. With ``positions`` each record
+    comes with its file and byte offset.
     """
 
     @classmethod
@@ -195,7 +200,9 @@ class FixedRecords(DataSource):
         return "fixed_records"
 
     def schema(self):
-        return "value binary, file string, offset bigint"
+        if self._options().get("positions", "false").lower() == "true":
+            return "value binary, file string, offset bigint"
+        return "value binary"
 
     def _options(self):
         return {k.lower(): v for k, v in dict(self.options).items()}
@@ -211,13 +218,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FixedRecords)
 
 
-def raw_fixed(spark: SparkSession, path: str, length: int) -> DataFrame:
+def raw_fixed(spark: SparkSession, path: str, length: int, positions: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("fixed_records").option("recordLength", str(length)).load(path)
+    reader = spark.read.format("fixed_records").option("recordLength", str(length))
+    return reader.option("positions", str(positions).lower()).load(path)
 
 
 def read_fixed(spark: SparkSession, path: str, layout: Layout, keep: tuple[str, ...] = ()) -> DataFrame:
-    return layout.decode(raw_fixed(spark, path, layout.length), keep=keep)
+    return layout.decode(raw_fixed(spark, path, layout.length, positions=bool(keep)), keep=keep)
 
 
 def write_fixed(df: DataFrame, layout: Layout, path: str, mode: str = "OUTPUT") -> None:
