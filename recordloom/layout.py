@@ -59,6 +59,8 @@ class Field:
         """Bytes of one occurrence."""
         if self.children:
             return sum(c.length for c in self.children if not c.redefines)
+        if self.pic is None and self.usage not in ("COMP-1", "COMP-2"):
+            raise LayoutError(f"{self.name} has no PICTURE")
         if self.usage == "COMP-1":
             return 4
         if self.usage == "COMP-2":
@@ -355,7 +357,4 @@ def copybook(text: str, binary_storage: bool = False, default_name: str = "RECOR
             stack.pop()
         (stack[-1].children if stack else root).append(f)
         stack.append(f)
-    for f in Layout(name, root).leaves():
-        if f.pic is None and f.usage not in ("COMP-1", "COMP-2"):
-            raise LayoutError(f"{f.name} has no PICTURE")
     return Layout(name, root, constants)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recordloom.session import cut
 
 _NAME = r"[A-Za-z0-9][A-Za-z0-9-]*"
+_B = r"(?<![A-Za-z0-9-])"      # a word starts here; END-IF holds no IF
 # a paragraph header: a name alone on a line, in column 8
 _HEADER = rf"(?m)^ {{7}}(?=[A-Za-z0-9-]+(?:\s+SECTION)?\.\s*$)"
 # words that begin a statement, so end the one before: fixed values
@@ -46,8 +47,8 @@ def _edges(staged: DataFrame, keep: str, edges: Column, fields: list[str]) -> Da
 def call_edges(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(caller, callee, kind): literal targets are static, names dynamic."""
     code = F.col("_code")
-    static = F.transform(_all(code, r"""(?i)\bCALL\s+["']([A-Z0-9-]+)["']"""), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("static").alias("kind")))
-    dynamic = F.transform(_all(code, r"(?i)\bCALL\s+([A-Z][A-Z0-9-]*)"), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("dynamic").alias("kind")))
+    static = F.transform(_all(code, rf"""(?i){_B}CALL\s+["']([A-Z0-9-]+)["']"""), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("static").alias("kind")))
+    dynamic = F.transform(_all(code, rf"(?i){_B}CALL\s+([A-Z][A-Z0-9-]*)"), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("dynamic").alias("kind")))
     staged = programs.select(F.col(program).alias("caller"), _code(F.col(text)).alias("_code"))
     return _edges(staged, "caller", F.array_distinct(F.concat(static, dynamic)), ["callee", "kind"])
 
@@ -68,7 +69,7 @@ def uncovered(required: DataFrame, present: DataFrame, name: str) -> DataFrame:
 
 
 def copybook_uses(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
-    names = _all(_code(F.col(text)), r"""(?i)\bCOPY\s+["']?([A-Z0-9-]+)""")
+    names = _all(_code(F.col(text)), rf"""(?i){_B}COPY\s+["']?([A-Z0-9-]+)""")
     found = programs.select(F.col(program).alias("program"), F.array_distinct(F.transform(names, lambda x: F.upper(x))).alias("_all"))
     return found.select("program", F.explode_outer("_all").alias("copybook")).where(F.col("copybook").isNotNull())
 
@@ -105,9 +106,9 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
 
     def edges(body: Column, i: Column) -> Column:
         return F.concat(
-            F.transform(_all(body, rf"\bPERFORM\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
-            F.transform(_all(body, r"\bGO\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
-            F.transform(_all(body, r"""\bCALL\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
+            F.transform(_all(body, rf"{_B}PERFORM\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
+            F.transform(_all(body, rf"{_B}GO\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
+            F.transform(_all(body, rf"""{_B}CALL\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
             F.when(body.rlike(r"\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM)\b"), F.array(edge(F.lit("EXIT"), EXIT)))
             .otherwise(F.array().cast("array<struct<target:string,kind:string>>")),
             F.when(~body.rlike(ends), F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
@@ -137,19 +138,19 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
         return F.flatten(F.transform(targets, lambda t: F.transform(sources, lambda s: F.struct(
             s.alias("source"), t.alias("target"), F.lit(kind).alias("kind")))))
 
-    move_re = rf"\bMOVE\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!{_VERB}){item})*)"
+    move_re = rf"{_B}MOVE\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!{_VERB}){item})*)"
     moves = F.transform(_all(code, move_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"MOVE\s+(\S+)\s+TO", 1)), words(F.regexp_extract(m, r"(?s)\sTO\s+(.*)$", 1)), ASSIGNS))
-    compute_re = rf"\bCOMPUTE\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|\b{_VERB}|$)"
+    compute_re = rf"{_B}COMPUTE\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|{_B}{_VERB}|$)"
     computes = F.transform(_all(code, compute_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"(?s)=(.*)$", 1)), words(F.regexp_extract(m, rf"COMPUTE\s+({item})", 1)), DERIVES_FROM))
-    giving_re = rf"\b(?:ADD|SUBTRACT|MULTIPLY|DIVIDE)\s+[A-Z0-9.\s-]*?\bGIVING\s+{item}"
+    giving_re = rf"{_B}(?:ADD|SUBTRACT|MULTIPLY|DIVIDE)\s+[A-Z0-9.\s-]*?\bGIVING\s+{item}"
     givings = F.transform(_all(code, giving_re, 0), lambda m: cross(
         words(F.regexp_replace(F.regexp_extract(m, r"(?s)^\s*[A-Z]+\s+(.*?)\bGIVING", 1), r"\b[0-9.]+\b", " ")),
         words(F.regexp_extract(m, rf"GIVING\s+({item})", 1)), DERIVES_FROM))
-    if_re = r"(?s)\bIF\b.*?(?=END-IF|\.\s|$)"
+    if_re = rf"(?s){_B}IF\b.*?(?=END-IF|\.\s|$)"
     conds = F.transform(_all(code, if_re, 0), lambda m: cross(
-        words(F.regexp_replace(F.regexp_extract(m, rf"(?s)^IF\s+(.*?)(?=\b{_VERB}|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
+        words(F.regexp_replace(F.regexp_extract(m, rf"(?s)^IF\s+(.*?)(?={_B}{_VERB}|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
         F.array_union(_all(m, rf"\bTO\s+({item})"), _all(m, rf"\bCOMPUTE\s+({item})")), CONDITIONAL_ON))
     edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, conds)))
     division = F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
@@ -165,7 +166,7 @@ def reach(edges: DataFrame, seeds: DataFrame, source: str = "source", target: st
     nodes already seen are dropped, so cycles end and no edge is followed
     twice. Each step's nodes are kept on the shared folder.
     """
-    links = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
+    links = cut(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
     frontier = cut(seeds.select(F.col(node)).distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     depth = 0

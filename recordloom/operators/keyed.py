@@ -122,9 +122,14 @@ def _first_per(df: DataFrame, column: str, seq: str) -> DataFrame:
     return df.groupBy(column).agg(F.min(seq).alias(seq))
 
 
-def _not_taken(df: DataFrame, master: DataFrame, column: str) -> DataFrame:
-    """Rows whose value the master does not hold; values meet the master once each."""
-    return df.join(master.select(column).distinct(), column, "left_anti")
+def _not_taken(df: DataFrame, master: DataFrame, column: str, repeated: bool = False) -> DataFrame:
+    """Rows whose value the master does not hold.
+
+    Where the master may repeat the value, its copies are folded before the
+    shuffle, so a value most records share stays one row.
+    """
+    values = master.select(column)
+    return df.join(values.distinct() if repeated else values, column, "left_anti")
 
 
 def _accepted_primary(master: DataFrame, requests: DataFrame, key: str, seq: str) -> DataFrame:
@@ -168,7 +173,7 @@ def write_batch(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str)
     if spec.repeated:
         taken = requests.join(got, seq, "left_semi")
         for i, alt in enumerate(spec.repeated):
-            fresh = _not_taken(_first_per(taken, alt, seq), master, alt).select(seq, F.lit(True).alias(f"_new{i}"))
+            fresh = _not_taken(_first_per(taken, alt, seq), master, alt, repeated=True).select(seq, F.lit(True).alias(f"_new{i}"))
             marked = marked.join(fresh, seq, "left")
             repeated = repeated | F.col(f"_new{i}").isNull()
     status = F.when(F.col("_in").isNull(), DUPLICATE).when(repeated, OK_DUPLICATE).otherwise(OK)
@@ -215,10 +220,9 @@ def apply_batch(master: DataFrame, requests: DataFrame, key: str, seq: str, op:
     body = [c for c in master.columns if c != key]
     o = F.col(op)
     turn = F.when(o == WRITE, True).when(o == DELETE, False)
-    seen = scan_by_key(requests, [key], seq, last={"_was": turn}, block_rows=block_rows)
-    known = master.select(F.col(key).alias("_k"), F.lit(True).alias("_hit"))
-    seen = seen.join(known, F.col(key) == F.col("_k"), "left")
-    present = F.coalesce(F.col("_was"), F.col("_hit"), F.lit(False))
+    known = master.select(key, F.lit(True).alias("_was"))
+    seen = scan_by_key(requests, [key], seq, last={"_was": turn}, initial=known, block_rows=block_rows)
+    present = F.coalesce(F.col("_was"), F.lit(False))
     status = (F.when((o == WRITE) & present, DUPLICATE)
               .when((o != WRITE) & ~present, MISSING)
               .otherwise(OK))

@@ -16,11 +16,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recordloom.session import cut
 
 BLOCK_ROWS = 1 << 20
+PARTITION_BYTES = 256 << 20
+MOST_PARTITIONS = 50_000     # estimates of joins can be far too high
 SMALL_PARTITIONS = 100_000   # rows of the offsets table that may be broadcast
 
 
 def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The session's partitions, or more where the input is estimated to need it."""
+    set_to = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(set_to, min(size // PARTITION_BYTES + 1, MOST_PARTITIONS))
 
 
 def number_rows(
@@ -73,19 +78,21 @@ def scan_by_key(
     seq: str,
     last: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
+    initial: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Per key and in ``seq`` order: values carried over strictly earlier rows.
 
     ``last`` gives the latest non-null value, ``sums`` the sum, each over the
-    rows before the current one (null where there are none). ``seq`` is a whole
-    number, unique within its key, so one (key, block) never exceeds
+    rows before the current one (null where there are none). ``initial`` (one
+    row a key, columns named as in ``last``) gives what held before the first
+    row; it meets the block summaries, never the rows. ``seq`` is a whole number, unique within its key, so one (key, block) never exceeds
     ``block_rows`` rows.
     """
     last, sums = last or {}, sums or {}
     marked = df.select(
         "*",
-        F.floor(F.col(seq) / F.lit(block_rows)).cast("bigint").alias("_block"),
+        F.call_function("div", F.col(seq).cast("bigint"), F.lit(block_rows).cast("bigint")).alias("_block"),
         *[c.alias(f"_l_{k}") for k, c in last.items()],
         *[c.alias(f"_s_{k}") for k, c in sums.items()],
     )
@@ -100,6 +107,11 @@ def scan_by_key(
         *[F.last(f"_l_{k}", ignorenulls=True).over(along).alias(f"_cl_{k}") for k in last],
         *[F.sum(f"_s_{k}").over(along).alias(f"_cs_{k}") for k in sums],
     )
+    if initial is not None:
+        given = initial.select(*[F.col(k).alias(f"_i{i}") for i, k in enumerate(keys)], *[F.col(k).alias(f"_il_{k}") for k in last])
+        on = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(f"_i{i}")) for i in range(len(keys))])
+        carried = carried.join(given, on, "left").withColumns(
+            {f"_cl_{k}": F.coalesce(F.col(f"_cl_{k}"), F.col(f"_il_{k}")) for k in last})
     same = reduce(lambda a, b: a & b,
                   [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_block") == F.col("_kb")])
     within = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)

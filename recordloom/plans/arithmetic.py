@@ -25,7 +25,11 @@ ID = "l_orderkey, l_linenumber, l_partkey"
 _L = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DECIMAL(5,0)) AS qty,
  CAST(l_extendedprice AS DECIMAL(9,2)) AS price, CAST(l_discount AS DECIMAL(3,2)) AS disc, CAST(l_tax AS DECIMAL(3,2)) AS tax FROM lineitem"""
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
-QTY, PRICE, DISC, TAX = num("qty", "9(5)"), num("price", "9(7)V99"), num("disc", "9V99"), num("tax", "9V99")
+
+
+def amounts() -> tuple[Num, Num, Num, Num]:
+    """Quantity, price, discount, tax of a line."""
+    return num("qty", "9(5)"), num("price", "9(7)V99"), num("disc", "9V99"), num("tax", "9V99")
 
 
 @query("compute_expression", f"""
@@ -33,8 +37,9 @@ WITH l AS ({_L}), v AS (SELECT *, CAST(qty * 3 + 7 AS DECIMAL(8,0)) AS a, CAST(C
 SELECT {ID}, CAST(trunc(CAST(price AS DECIMAL(20,2)) * f, 2) AS DECIMAL(11,2)) AS charge,
        CAST(a * a - qty AS DECIMAL(10,0)) AS squared FROM v""")
 def compute_expression(spark, sf_dir):
-    charge = store(PRICE * (1 + TAX) * (1 - DISC), "9(9)V99")
-    squared = store((QTY * 3 + 7) ** 2 - QTY, "9(10)")
+    qty, price, disc, tax = amounts()
+    charge = store(price * (1 + tax) * (1 - disc), "9(9)V99")
+    squared = store((qty * 3 + 7) ** 2 - qty, "9(10)")
     return lines(spark, sf_dir).select(*KEYS, charge.value.alias("charge"), squared.value.alias("squared"))
 
 
@@ -42,7 +47,8 @@ def compute_expression(spark, sf_dir):
 SELECT {ID}, CAST(trunc(price * disc, 2) AS DECIMAL(9,2)) AS truncated, CAST(round(price * disc, 2) AS DECIMAL(9,2)) AS rounded
 FROM ({_L})""")
 def rounded_vs_truncated(spark, sf_dir):
-    off = PRICE * DISC
+    _, price, disc, _ = amounts()
+    off = price * disc
     return lines(spark, sf_dir).select(
         *KEYS, store(off, "9(7)V99").value.alias("truncated"),
         store(off, "9(7)V99", rounding=n.NEAREST_AWAY).value.alias("rounded"))
@@ -65,7 +71,8 @@ SELECT {ID},
   CAST((t + s * CASE WHEN r > 0 THEN 1 ELSE 0 END) * 0.01 AS DECIMAL(9,2)) AS away
 FROM q""")
 def rounding_modes(spark, sf_dir):
-    signed = PRICE * (DISC - "0.05")
+    _, price, disc, _ = amounts()
+    signed = price * (disc - "0.05")
     return lines(spark, sf_dir).select(*KEYS, *[store(signed, "S9(7)V99", rounding=m).value.alias(k) for k, m in _MODES.items()])
 
 
@@ -86,9 +93,10 @@ SELECT {ID}, CAST(CASE WHEN total >= 1000000 THEN -1 ELSE total END AS DECIMAL(8
        (disc = 0) AS zero_divisor
 FROM v""")
 def size_error_branch(spark, sf_dir):
+    qty, price, disc, _ = amounts()
     old = F.lit(-1).cast("decimal(8,2)")
-    s = store(QTY * PRICE, "S9(6)V99", old=old, on_size_error=True)
-    r = divide_into(PRICE, DISC, "S9(8)", old=F.lit(-1), on_size_error=True)
+    s = store(qty * price, "S9(6)V99", old=old, on_size_error=True)
+    r = divide_into(price, disc, "S9(8)", old=F.lit(-1), on_size_error=True)
     return lines(spark, sf_dir).select(
         *KEYS, s.value.alias("total"), F.when(s.size_error, "OVERFLOW").otherwise("STORED").alias("branch"),
         r.value.alias("ratio"), r.size_error.alias("zero_divisor"))
@@ -99,7 +107,8 @@ SELECT {ID}, CAST(CAST(price * 100 AS BIGINT) // (CAST(qty AS BIGINT) * 100) AS
        CAST((CAST(price * 100 AS BIGINT) % (CAST(qty AS BIGINT) * 100)) * 0.01 AS DECIMAL(9,2)) AS remainder
 FROM ({_L})""")
 def divide_remainder_query(spark, sf_dir):
-    q, r = divide_remainder(PRICE, QTY, "9(9)", "9(7)V99")
+    qty, price, _, _ = amounts()
+    q, r = divide_remainder(price, qty, "9(9)", "9(7)V99")
     return lines(spark, sf_dir).select(*KEYS, q.value.alias("quotient"), r.value.alias("remainder"))
 
 
@@ -110,10 +119,11 @@ SELECT {ID}, CAST((a // b) * 0.01 AS DECIMAL(9,2)) AS truncated,
        CAST(a * 1000000 // b AS DECIMAL(18,0)) AS fine
 FROM i""")
 def divide_exact(spark, sf_dir):
-    fine = divide(PRICE, QTY, 8)
+    qty, price, _, _ = amounts()
+    fine = divide(price, qty, 8)
     return lines(spark, sf_dir).select(
-        *KEYS, divide_into(PRICE, QTY, "9(7)V99").value.alias("truncated"),
-        divide_into(PRICE, QTY, "9(7)V99", rounding=n.NEAREST_AWAY).value.alias("rounded"),
+        *KEYS, divide_into(price, qty, "9(7)V99").value.alias("truncated"),
+        divide_into(price, qty, "9(7)V99", rounding=n.NEAREST_AWAY).value.alias("rounded"),
         (fine.col * n.pow10(8)).cast("decimal(18,0)").alias("fine"))
 
 
@@ -122,17 +132,19 @@ WITH i AS (SELECT {ID}, CAST(qty AS BIGINT) AS q FROM ({_L}))
 SELECT {ID}, CAST(q * q * q AS DECIMAL(15,0)) AS cubed, CAST(-q + 1 AS DECIMAL(5,0)) AS negated,
        CAST((10000000000 // (q * q)) * 0.0000000001 AS DECIMAL(11,10)) AS inverse_square FROM i""")
 def power_and_unary(spark, sf_dir):
+    qty, _, _, _ = amounts()
     return lines(spark, sf_dir).select(
-        *KEYS, store(QTY ** 3, "9(15)").value.alias("cubed"), store(-QTY + 1, "S9(5)").value.alias("negated"),
-        store(QTY ** -2, "9V9(10)").value.alias("inverse_square"))
+        *KEYS, store(qty ** 3, "9(15)").value.alias("cubed"), store(-qty + 1, "S9(5)").value.alias("negated"),
+        store(qty ** -2, "9V9(10)").value.alias("inverse_square"))
 
 
 @query("add_several_receivers", f"""
 WITH v AS (SELECT {ID}, price, qty, CAST(price + disc AS DECIMAL(10,2)) AS a, CAST(qty + disc AS DECIMAL(10,2)) AS b FROM ({_L}))
 SELECT {ID}, CAST(trunc(a % 100000, 1) AS DECIMAL(6,1)) AS short, CAST(a AS DECIMAL(9,2)) AS long, CAST(trunc(b, 0) AS DECIMAL(5,0)) AS whole FROM v""")
 def add_several_receivers(spark, sf_dir):
-    sums = n.add_to({"long": (PRICE, "9(7)V99"), "whole": (QTY, "9(5)")}, DISC)
-    short = store(PRICE + DISC, "9(5)V9").value
+    qty, price, disc, _ = amounts()
+    sums = n.add_to({"long": (price, "9(7)V99"), "whole": (qty, "9(5)")}, disc)
+    short = store(price + disc, "9(5)V9").value
     return lines(spark, sf_dir).select(*KEYS, short.alias("short"), *[c.alias(k) for k, c in sums.items()])
 
 
@@ -235,8 +247,9 @@ SELECT count(*) AS records, count(*) FILTER (disc > 0) AS discounted, CAST(sum(C
 FROM ({_L})""")
 def running_counters(spark, sf_dir):
     """Counters of a read loop; the quantity counter is too short and wraps."""
-    qty, wrapped = accumulate(QTY, "9(5)", "qty_total")
-    price, _ = accumulate(PRICE, "9(13)V99", "price_total")
+    qty, price, _, _ = amounts()
+    qty, wrapped = accumulate(qty, "9(5)", "qty_total")
+    price, _ = accumulate(price, "9(13)V99", "price_total")
     return lines(spark, sf_dir).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("disc") > 0).alias("discounted"),
                                     qty, price, wrapped.alias("qty_wrapped"))
 

@@ -11,25 +11,26 @@ from recordloom.session import table
 
 
 def order_programs(spark, sf_dir):
-    """A program text per order: it calls a program per line item's part, and
-    one named at run time where the order has a return."""
-    li = table(spark, sf_dir, "lineitem")
-    call = F.concat(F.lit("           CALL 'P"), F.col("l_partkey").cast("string"), F.lit("' USING WS-AREA\n"))
-    body = li.groupBy("l_orderkey").agg(
-        F.array_join(F.array_sort(F.collect_list(call)), "").alias("calls"), F.max("l_returnflag").alias("flag"),
-        F.min("l_suppkey").alias("supp"))
-    return body.select(
-        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("program"),
-        F.concat(F.lit("       IDENTIFICATION DIVISION.\n       PROGRAM-ID. X.\n      * CALL 'NOT-THIS'.\n       PROCEDURE DIVISION.\n"
-                       "       MAIN-PARA.\n           PERFORM CALL-PARA\n           COPY BOOK"), F.col("supp").cast("string"), F.lit(".\n           IF WS-A > WS-B\n"
-                 "               MOVE WS-B TO WS-C\n           END-IF\n           COMPUTE WS-D = WS-A * WS-B + 1\n           GO TO END-PARA.\n       CALL-PARA.\n"), F.col("calls"),
-                 F.when(F.col("flag") == "R", "           CALL WS-TARGET USING WS-AREA\n").otherwise(""),
-                 F.lit("           CONTINUE.\n       LAST-PARA.\n           ADD WS-A WS-D GIVING WS-E.\n       END-PARA.\n           GOBACK.\n")).alias("text"))
+    """A program text per order. It calls a program for its customer and one for
+    its priority, and one named at run time where the order is finished."""
+    o = table(spark, sf_dir, "orders")
+    text = lambda c: F.col(c).cast("string")
+    return o.select(
+        F.concat(F.lit("O"), text("o_orderkey")).alias("program"),
+        F.concat(
+            F.lit("       IDENTIFICATION DIVISION.\n       PROGRAM-ID. X.\n      * CALL 'NOT-THIS'.\n       PROCEDURE DIVISION.\n"
+                  "       MAIN-PARA.\n           PERFORM CALL-PARA\n           COPY BOOK"), (F.col("o_custkey") % 100).cast("string"),
+            F.lit(".\n           IF WS-A > WS-B\n               MOVE WS-B TO WS-C\n           END-IF\n"
+                  "           COMPUTE WS-D = WS-A * WS-B + 1\n           GO TO END-PARA.\n       CALL-PARA.\n           CALL 'C"), text("o_custkey"),
+            F.lit("' USING WS-AREA\n           CALL \"P"), F.substring("o_orderpriority", 1, 1), F.lit("\" USING WS-AREA\n"),
+            F.when(F.col("o_orderstatus") == "F", "           CALL WS-TARGET USING WS-AREA\n").otherwise(""),
+            F.lit("           CONTINUE.\n       LAST-PARA.\n           ADD WS-A WS-D GIVING WS-E.\n       END-PARA.\n           GOBACK.\n")).alias("text"))
 
 
 @query("call_graph_edges", """
-SELECT DISTINCT 'O' || l_orderkey AS caller, 'P' || l_partkey AS callee, 'static' AS kind FROM lineitem
-UNION ALL SELECT 'O' || l_orderkey, 'WS-TARGET', 'dynamic' FROM lineitem GROUP BY l_orderkey HAVING max(l_returnflag) = 'R'""")
+SELECT 'O' || o_orderkey AS caller, 'C' || o_custkey AS callee, 'static' AS kind FROM orders
+UNION ALL SELECT 'O' || o_orderkey, 'P' || substr(o_orderpriority, 1, 1), 'static' FROM orders
+UNION ALL SELECT 'O' || o_orderkey, 'WS-TARGET', 'dynamic' FROM orders WHERE o_orderstatus = 'F'""")
 def call_graph_edges(spark, sf_dir):
     return g.call_edges(order_programs(spark, sf_dir))
 
@@ -43,13 +44,13 @@ def call_graph_roots(spark, sf_dir):
     return g.roots(programs, edges)
 
 
-@query("dynamic_callers", "SELECT 'O' || l_orderkey AS caller FROM lineitem GROUP BY l_orderkey HAVING max(l_returnflag) = 'R'")
+@query("dynamic_callers", "SELECT 'O' || o_orderkey AS caller FROM orders WHERE o_orderstatus = 'F'")
 def dynamic_callers(spark, sf_dir):
     return g.dynamic_callers(g.call_edges(order_programs(spark, sf_dir)))
 
 
 @query("copybook_coverage", """
-WITH u AS (SELECT 'BOOK' || min(l_suppkey) AS copybook FROM lineitem GROUP BY l_orderkey)
+WITH u AS (SELECT 'BOOK' || (o_custkey % 100) AS copybook FROM orders)
 SELECT copybook, count(*) AS uses FROM u WHERE copybook NOT IN (SELECT 'BOOK' || s_suppkey FROM supplier WHERE s_nationkey < 20) GROUP BY copybook""")
 def copybook_coverage(spark, sf_dir):
     """Copybooks that programs use and nobody has."""
@@ -58,19 +59,20 @@ def copybook_coverage(spark, sf_dir):
 
 
 @query("control_flow_edges", """
-WITH o AS (SELECT DISTINCT 'O' || l_orderkey AS program FROM lineitem)
+WITH o AS (SELECT 'O' || o_orderkey AS program FROM orders)
 SELECT program, 'MAIN-PARA' AS source, 'CALL-PARA' AS target, 'PERFORM' AS kind FROM o
 UNION ALL SELECT program, 'MAIN-PARA', 'END-PARA', 'GOTO' FROM o
 UNION ALL SELECT program, 'CALL-PARA', 'LAST-PARA', 'FALLTHROUGH' FROM o
 UNION ALL SELECT program, 'LAST-PARA', 'END-PARA', 'FALLTHROUGH' FROM o
 UNION ALL SELECT program, 'END-PARA', 'EXIT', 'EXIT' FROM o
-UNION ALL SELECT DISTINCT 'O' || l_orderkey, 'CALL-PARA', 'P' || l_partkey, 'CALL' FROM lineitem""")
+UNION ALL SELECT 'O' || o_orderkey, 'CALL-PARA', 'C' || o_custkey, 'CALL' FROM orders
+UNION ALL SELECT 'O' || o_orderkey, 'CALL-PARA', 'P' || substr(o_orderpriority, 1, 1), 'CALL' FROM orders""")
 def control_flow_edges(spark, sf_dir):
     return g.control_flow(order_programs(spark, sf_dir))
 
 
 @query("data_flow_edges", """
-WITH o AS (SELECT DISTINCT 'O' || l_orderkey AS program FROM lineitem)
+WITH o AS (SELECT 'O' || o_orderkey AS program FROM orders)
 SELECT program, t.* FROM o, (VALUES ('WS-B', 'WS-C', 'ASSIGNS'), ('WS-A', 'WS-D', 'DERIVES_FROM'), ('WS-B', 'WS-D', 'DERIVES_FROM'), ('WS-A', 'WS-E', 'DERIVES_FROM'),
   ('WS-D', 'WS-E', 'DERIVES_FROM'), ('WS-A', 'WS-C', 'CONDITIONAL_ON'), ('WS-B', 'WS-C', 'CONDITIONAL_ON')) AS t(source, target, kind)""")
 def data_flow_edges(spark, sf_dir):
@@ -110,19 +112,19 @@ def lineage_reach_recursive(spark, sf_dir):
 
 # -- jobs --------------------------------------------------------------------
 def decks(spark, sf_dir):
-    """A job per customer, a step per order of theirs up to the tenth."""
+    """A job for every eight order numbers, a step per order."""
     o = table(spark, sf_dir, "orders")
-    per = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("s"))
-    return per.select(F.col("o_custkey").alias("job"), F.posexplode("s").alias("n", "o")).select(
-        "job", (F.col("n") + 1).alias("step_no"), F.concat(F.lit("S"), (F.col("n") + 1).cast("string")).alias("step"),
-        F.when(F.col("o.o_orderpriority") == "1-URGENT", "EVEN").when(F.col("o.o_orderpriority") == "2-HIGH", "(4,LT)")
-         .when(F.col("o.o_orderpriority") == "3-MEDIUM", "((4,EQ,S1),(0,GT))").when(F.col("o.o_orderpriority") == "5-LOW", "ONLY").alias("cond"),
-        F.when(F.col("o.o_orderstatus") == "P", 4).when((F.col("o.o_orderstatus") == "O") & (F.col("o.o_orderkey") % 5 == 0), 8).otherwise(0).alias("would_rc"))
+    no = (F.col("o_orderkey") % 8 + 1).cast("int")
+    return o.select(
+        F.call_function("div", F.col("o_orderkey"), F.lit(8).cast("bigint")).alias("job"), no.alias("step_no"), F.concat(F.lit("S"), no.cast("string")).alias("step"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "EVEN").when(F.col("o_orderpriority") == "2-HIGH", "(4,LT)")
+         .when(F.col("o_orderpriority") == "3-MEDIUM", "((4,EQ,S1),(0,GT))").when(F.col("o_orderpriority") == "5-LOW", "ONLY").alias("cond"),
+        F.when(F.col("o_orderstatus") == "P", 4).when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0), 8).otherwise(0).alias("would_rc"))
 
 
 _JOBS = """
 WITH RECURSIVE s AS (
-  SELECT o_custkey AS job, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS step_no, o_orderpriority AS pri,
+  SELECT o_orderkey // 8 AS job, CAST(o_orderkey % 8 + 1 AS INTEGER) AS step_no, o_orderpriority AS pri,
          CASE WHEN o_orderstatus = 'P' THEN 4 WHEN o_orderstatus = 'O' AND o_orderkey % 5 = 0 THEN 8 ELSE 0 END AS would_rc FROM orders),
 w(job, step_no, ran, rc, abended, maxrc, rc1, anyrun) AS (
   SELECT job, 0, FALSE, CAST(NULL AS INTEGER), FALSE, 0, 0, FALSE FROM (SELECT DISTINCT job FROM s)

@@ -67,12 +67,12 @@ def start_outcomes(spark, sf_dir):
 
 
 @query("sequential_outcomes", """
-WITH n AS (SELECT count(*) AS n FROM region), r AS (SELECT r_regionkey, (r_regionkey + 1) * 2 AS reads FROM region)
-SELECT r_regionkey, CASE WHEN reads <= n THEN '00' WHEN reads = n + 1 THEN '10' ELSE '46' END AS status FROM r, n""")
+WITH n AS (SELECT count(*) AS n FROM part), r AS (SELECT p_partkey, (p_partkey + 1) * 2 AS reads FROM part)
+SELECT p_partkey, CASE WHEN reads <= n THEN '00' WHEN reads = n + 1 THEN '10' ELSE '46' END AS status FROM r, n""")
 def sequential_outcomes(spark, sf_dir):
-    r = table(spark, sf_dir, "region").select("r_regionkey", ((F.col("r_regionkey") + 1) * 2).alias("reads"))
-    n = table(spark, sf_dir, "region").agg(F.count(F.lit(1)).alias("n"))    # one row
-    return r.join(F.broadcast(n)).select("r_regionkey", k.sequential_status(F.col("reads"), F.col("n")).alias("status"))
+    r = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") + 1) * 2).alias("reads"))
+    n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))    # one row
+    return r.join(F.broadcast(n)).select("p_partkey", k.sequential_status(F.col("reads"), F.col("n")).alias("status"))
 
 
 def _events(spark, sf_dir):

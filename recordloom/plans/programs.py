@@ -137,7 +137,7 @@ def tier_evaluate(spark, sf_dir):
 @query("account_balance", """
 WITH a AS (
   SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(12,2)) AS balance, o_orderkey,
-         CAST(o_totalprice / 1000 AS DECIMAL(12,2)) AS amount, CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'W' END AS tx
+         CAST(trunc(CAST(o_totalprice AS DECIMAL(12,2)) * 0.001, 2) AS DECIMAL(12,2)) AS amount, CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'W' END AS tx
   FROM orders JOIN customer ON o_custkey = c_custkey),
 b AS (SELECT *, CAST(CASE WHEN tx = 'D' THEN balance + amount ELSE balance - amount END AS DECIMAL(12,2)) AS new_balance FROM a)
 SELECT o_orderkey, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS account_id, new_balance,
@@ -145,7 +145,7 @@ SELECT o_orderkey, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS account_id, new_
 def account_balance(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.abs(F.col("c_acctbal")).cast("decimal(12,2)").alias("balance"))
     o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).cast("decimal(12,2)").alias("amount"),
+        "o_orderkey", "o_custkey", store(num(F.col("o_totalprice"), "9(10)V99") * "0.001", "9(10)V99").value.alias("amount"),
         F.when(F.col("o_orderstatus") == "F", "D").otherwise("W").alias("tx"))
     a = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     balance, amount = num("balance", "9(10)V99"), num("amount", "9(10)V99")

@@ -129,22 +129,24 @@ def sql_update_delete(spark, sf_dir):
 
 
 @query("sql_commit_rollback", """
-SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'FIRST' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 7""")
+SELECT c_custkey, CASE WHEN c_nationkey = 1 THEN 'FIRST' ELSE c_name END AS c_name FROM customer WHERE c_nationkey <> 7""")
 def sql_commit_rollback(spark, sf_dir):
     """Committed changes stay, rolled-back ones do not."""
-    w = e.WorkingTables({"nation": table(spark, sf_dir, "nation")})
-    w.update("nation", F.col("n_regionkey") == 1, {"n_name": F.lit("FIRST")})
-    w.delete("nation", F.col("n_nationkey") == 7)
+    w = e.WorkingTables({"customer": table(spark, sf_dir, "customer")})
+    w.update("customer", F.col("c_nationkey") == 1, {"c_name": F.lit("FIRST")})
+    w.delete("customer", F.col("c_nationkey") == 7)
     w.commit()
-    w.update("nation", F.lit(True), {"n_name": F.lit("LOST")})
+    w.update("customer", F.lit(True), {"c_name": F.lit("LOST")})
     w.rollback()
-    return w["nation"]
+    return w["customer"].select("c_custkey", "c_name")
 
 
-@query("sql_dialect_forms", "SELECT count(*) AS n, TRUE AS has_time FROM nation")
+@query("sql_dialect_forms", """
+SELECT o_orderkey, o_custkey, TRUE AS has_time FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 def sql_dialect_forms(spark, sf_dir):
     """SYSDUMMY1, CURRENT TIMESTAMP and FETCH FIRST as they are written."""
-    _views(spark, sf_dir, "nation")
+    _views(spark, sf_dir, "orders")
     one = e.query(spark, "SELECT CURRENT TIMESTAMP AS now_at FROM SYSIBM.SYSDUMMY1")
-    top = e.query(spark, "SELECT n_nationkey FROM nation ORDER BY n_nationkey FETCH FIRST 1000000 ROWS ONLY")
-    return top.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(one)).select("n", F.col("now_at").isNotNull().alias("has_time"))
+    top = e.query(spark, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 100 ROWS ONLY")
+    # one row, from a statement without a table
+    return top.join(F.broadcast(one)).select("o_orderkey", "o_custkey", F.col("now_at").isNotNull().alias("has_time"))

@@ -156,35 +156,35 @@ _TO = copybook("""
 
 
 def _groups(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.struct(F.col("n_name").alias("name"), F.struct(F.col("n_nationkey").cast("decimal(4,0)").alias("nationkey"),
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.struct(F.col("c_name").alias("name"), F.struct(F.col("n_nationkey").cast("decimal(4,0)").alias("nationkey"),
                  F.col("n_regionkey").cast("decimal(4,0)").alias("regionkey")).alias("keys"), F.lit("abc").alias("only_here")).alias("src"),
-        F.struct(F.col("r_name").alias("name"), F.struct(F.lit(1).cast("decimal(1,0)").alias("regionkey"), F.lit(100).cast("decimal(6,0)").alias("nationkey"),
+        F.struct(F.col("n_name").alias("name"), F.struct(F.lit(1).cast("decimal(1,0)").alias("regionkey"), F.lit(100).cast("decimal(6,0)").alias("nationkey"),
                  F.lit(7).cast("decimal(3,0)").alias("extra")).alias("keys"), F.lit(9).cast("decimal(5,0)").alias("tally")).alias("dst"))
 
 
 @query("corresponding_move", """
-SELECT rpad(n_name, 8, ' ') AS name, CAST(n_regionkey AS DECIMAL(1,0)) AS regionkey, CAST(n_nationkey AS DECIMAL(6,0)) AS nationkey,
+SELECT c_custkey, rpad(c_name, 8, ' ') AS name, CAST(n_regionkey AS DECIMAL(1,0)) AS regionkey, CAST(n_nationkey AS DECIMAL(6,0)) AS nationkey,
        CAST(7 AS DECIMAL(3,0)) AS extra, CAST(9 AS DECIMAL(5,0)) AS tally, CAST((1 + n_regionkey) % 10 AS DECIMAL(1,0)) AS added_region,
        CAST(100 + n_nationkey AS DECIMAL(6,0)) AS added_nation, CAST(100 - n_nationkey AS DECIMAL(6,0)) AS less_nation
-FROM nation JOIN region ON n_regionkey = r_regionkey""")
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def corresponding_move(spark, sf_dir):
     g = _groups(spark, sf_dir)
     moved = F.struct(*move_corresponding(_FROM, _TO, "src", "dst"))
     added = F.struct(*arithmetic_corresponding("ADD", _FROM, _TO, "src", "dst"))
     less = F.struct(*arithmetic_corresponding("SUBTRACT", _FROM, _TO, "src", "dst"))
-    done = g.select(moved.alias("m"), added.alias("a"), less.alias("s"))
-    return done.select("m.name", "m.keys.regionkey", "m.keys.nationkey", "m.keys.extra", "m.tally",
+    done = g.select("c_custkey", moved.alias("m"), added.alias("a"), less.alias("s"))
+    return done.select("c_custkey", "m.name", "m.keys.regionkey", "m.keys.nationkey", "m.keys.extra", "m.tally",
                        F.col("a.keys.regionkey").alias("added_region"), F.col("a.keys.nationkey").alias("added_nation"),
                        F.col("s.keys.nationkey").alias("less_nation"))
 
 
 @query("initialize_group", """
-SELECT r_regionkey, '        ' AS name, CAST(0 AS DECIMAL(6,0)) AS nationkey, CAST(0 AS DECIMAL(5,0)) AS tally FROM region""")
+SELECT s_suppkey, '        ' AS name, CAST(0 AS DECIMAL(6,0)) AS nationkey, CAST(0 AS DECIMAL(5,0)) AS tally FROM supplier""")
 def initialize_group(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", *initialize(_TO)).select(
-        "r_regionkey", "name", F.col("keys.nationkey").alias("nationkey"), "tally")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *initialize(_TO)).select(
+        "s_suppkey", "name", F.col("keys.nationkey").alias("nationkey"), "tally")
 
 
 @query("occurs_table", """

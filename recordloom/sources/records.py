@@ -76,6 +76,11 @@ def _filesystem(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def _hidden(path: str, root: str) -> bool:
+    """Unfinished writes and markers lie under names that start with _ or a dot."""
+    return any(part.startswith(("_", ".")) for part in path[len(root):].strip("/").split("/"))
+
+
 @dataclass
 class _Range(InputPartition):
     path: str
@@ -97,7 +102,7 @@ class _FixedReader(DataSourceReader):
         info = store.get_file_info(root)
         files = [info] if info.type == fs.FileType.File else [
             f for f in store.get_file_info(fs.FileSelector(root, recursive=True))
-            if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+            if f.type == fs.FileType.File and not _hidden(f.path, root)]
         step = max(1, self.split // self.length)
         out = []
         for f in files:
