@@ -229,9 +229,12 @@ def apply_batch(master: DataFrame, requests: DataFrame, key: str, seq: str, op:
     outcomes = seen.select(*requests.columns, status.alias("status"))
     effective = outcomes.where((F.col("status") == OK) & (F.col(op) != READ))
     final = effective.groupBy(key).agg(F.max_by(F.struct(op, *body), F.col(seq)).alias("_new"))
-    kept = master.join(final.select(key), key, "left_anti")
-    new = final.where(F.col(f"_new.{op}") != DELETE).select(key, *[F.col(f"_new.{c}").alias(c) for c in body])
-    return BatchResult(kept.unionByName(new.select(*master.columns)), outcomes)
+    # both sides hold a key once
+    merged = master.join(final.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "full")
+    touched = F.col("_new").isNotNull()
+    kept = merged.where(~touched | (F.col(f"_new.{op}") != DELETE)).select(
+        F.coalesce("_k", key).alias(key), *[F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in body])
+    return BatchResult(kept.select(*master.columns), outcomes)
 
 
 def apply_batch_unique(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str, op: str = "op") -> BatchResult:

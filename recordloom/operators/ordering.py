@@ -9,8 +9,6 @@ tasks and only one summary row per block crosses them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.session import cut
@@ -90,37 +88,36 @@ def scan_by_key(
     ``block_rows`` rows.
     """
     last, sums = last or {}, sums or {}
+    # One key value for grouping, window and join, so that the rows move once;
+    # inside a struct, nulls are equal to each other.
     marked = df.select(
         "*",
+        F.struct(*keys).alias("_key"),
         F.call_function("div", F.col(seq).cast("bigint"), F.lit(block_rows).cast("bigint")).alias("_block"),
         *[c.alias(f"_l_{k}") for k, c in last.items()],
         *[c.alias(f"_s_{k}") for k, c in sums.items()],
     )
-    summary = marked.groupBy(*keys, "_block").agg(
+    summary = marked.groupBy("_key", "_block").agg(
         *[F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.col(seq))).alias(f"_l_{k}") for k in last],
         *[F.sum(f"_s_{k}").alias(f"_s_{k}") for k in sums],
     )
-    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_block").alias("_kb"),
+        "_key", "_block",
         *[F.last(f"_l_{k}", ignorenulls=True).over(along).alias(f"_cl_{k}") for k in last],
         *[F.sum(f"_s_{k}").over(along).alias(f"_cs_{k}") for k in sums],
     )
     if initial is not None:
-        given = initial.select(*[F.col(k).alias(f"_i{i}") for i, k in enumerate(keys)], *[F.col(k).alias(f"_il_{k}") for k in last])
-        on = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(f"_i{i}")) for i in range(len(keys))])
-        carried = carried.join(given, on, "left").withColumns(
+        given = initial.select(F.struct(*keys).alias("_key"), *[F.col(k).alias(f"_il_{k}") for k in last])
+        carried = carried.join(given, "_key", "left").withColumns(
             {f"_cl_{k}": F.coalesce(F.col(f"_cl_{k}"), F.col(f"_il_{k}")) for k in last})
-    same = reduce(lambda a, b: a & b,
-                  [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_block") == F.col("_kb")])
-    within = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_key", "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     inside = marked.select(
         "*",
         *[F.last(f"_l_{k}", ignorenulls=True).over(within).alias(f"_wl_{k}") for k in last],
         *[F.sum(f"_s_{k}").over(within).alias(f"_ws_{k}") for k in sums],
     )
-    joined = inside.join(carried, same)
+    joined = inside.join(carried, ["_key", "_block"])
     plus = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
     return joined.select(
         *df.columns,
