@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordloom.operators.ordering import scan_by_key
+
 MAX_STEPS = 255            # steps a job may have: fixed value
 ABEND_FROM = 8             # a return code from here on marks the job as ended badly
 FAILED = 16                # return code of a step whose program failed or is unknown
@@ -27,6 +29,26 @@ def statements(lines: DataFrame, line: str = "value") -> DataFrame:
             }))
 
 
+def step_data_sets(lines: DataFrame, deck: str, seq: str, line: str = "value") -> DataFrame:
+    """DD statements with the step they belong to: deck, step, dd, dsn, disp."""
+    st = statements(lines, line)
+    owner = F.when(F.col("op") == "EXEC", F.col("name"))
+    placed = scan_by_key(st, [deck], seq, last={"step": owner})
+    ops = F.col("operands")
+    return placed.where(F.col("op") == "DD").select(
+        deck, "step", F.col("name").alias("dd"), parameter(ops, "DSN").alias("dsn"), parameter(ops, "DISP").alias("disp"))
+
+
+def inline_data(lines: DataFrame, deck: str, seq: str, line: str = "value") -> DataFrame:
+    """The lines that follow ``DD *`` up to the next control line: deck, seq, dd, value."""
+    v = F.col(line)
+    control = v.startswith("//") | v.startswith("/*")
+    opens = F.when(v.rlike(r"^//\S*\s+DD\s+\*"), F.upper(F.regexp_extract(v, r"^//(\S*)", 1))).otherwise("")
+    placed = scan_by_key(lines, [deck], seq, last={"_open": F.when(control, opens)})
+    return placed.where(~control & (F.coalesce("_open", F.lit("")) != "")).select(
+        deck, seq, F.col("_open").alias("dd"), F.col(line).alias("value"))
+
+
 def parameter(operands: Column, name: str) -> Column:
     """One keyword operand: PGM=, DSN=, COND=(...); null where absent."""
     got = F.regexp_extract(operands, rf"(?i)(?:^|,)\s*{name}=(\((?:[^()]|\([^()]*\))*\)|'[^']*'|[^,\s]*)", 1)
@@ -96,16 +118,68 @@ def has_only(cond: Column) -> Column:
     return F.coalesce(F.upper(cond).rlike(r"\bONLY\b"), F.lit(False))
 
 
+_IF = (r"^\(*\s*([A-Z0-9_$#@.-]+?)\.RC\s*(EQ|NE|GT|LT|GE|LE|==|!=|<>|>=|<=|>|<|=)\s*(-?\d+)\s*\)*$",
+       r"^\(*\s*RC\s*(EQ|NE|GT|LT|GE|LE|==|!=|<>|>=|<=|>|<|=)\s*(-?\d+)\s*\)*$",
+       r"^\(*\s*([A-Z0-9_$#@.-]+?)\.RUN\s*\)*$")
+# spellings of the operators: fixed values
+_SPELLING = {"=": "EQ", "==": "EQ", "!=": "NE", "<>": "NE", ">": "GT", "<": "LT", ">=": "GE", "<=": "LE"}
+
+
+def _operator(text: Column) -> Column:
+    out = text
+    for sign, word in _SPELLING.items():
+        out = F.when(text == sign, word).otherwise(out)
+    return out
+
+
+def _guard(g: Column) -> Column:
+    """An IF condition taken apart once, before the steps are gone through."""
+    t = F.upper(F.trim(g["text"]))
+
+    def form(kind: str, name, operator, code) -> Column:
+        nothing = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), (nothing if name is None else name).alias("name"),
+                        (nothing if operator is None else operator).alias("operator"),
+                        (F.lit(None).cast("int") if code is None else code).alias("code"),
+                        g["at"].alias("at"), g["negate"].alias("negate"))
+
+    part = lambda i, n: F.regexp_extract(t, _IF[i], n)
+    refuse = F.raise_error(F.concat(F.lit("unsupported IF condition "), g["text"])).cast("string")
+    return (F.when(t.rlike(_IF[1]), form("LAST", None, _operator(part(1, 1)), part(1, 2).try_cast("int")))
+            .when(t.rlike(_IF[0]), form("STEP", part(0, 1), _operator(part(0, 2)), part(0, 3).try_cast("int")))
+            .when(t.rlike(_IF[2]), form("RUN", part(2, 1), None, None))
+            .otherwise(form("", refuse, None, None)))
+
+
+def _holds(g: Column, past: Column) -> Column:
+    """A guard over the log of the steps that ran before its IF."""
+    named = F.filter(past, lambda r: (g["kind"] == "LAST") | (r["step"] == g["name"]))
+    rc = F.coalesce(F.try_element_at(named, F.lit(-1))["rc"], F.lit(0))
+    return F.when(g["kind"] == "RUN", F.size(named) > 0).otherwise(compare_code(rc, g["operator"], g["code"]))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value``, computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def step_outcomes(steps: DataFrame) -> DataFrame:
     """Which steps run, and the job's state after each.
 
+    An optional ``guards`` column, array of (text, at, negate), holds the IF
+    conditions around a step: ``at`` is the number of the first step behind the
+    IF, ``negate`` marks the ELSE side.
+
     ``steps``: job, step_no, step, cond (text or null), would_rc (what the
     program returns if it runs; null for an unknown program). A job has at most
     255 steps, so a job's steps fit in one value; more is an error in the deck.
     Gives job, step_no, step, ran, rc (null when bypassed), abended.
     """
     rc_of = F.coalesce("would_rc", F.lit(FAILED)).cast("int")
-    one = F.struct("step_no", "step", rc_of.alias("would_rc"), conditions(F.coalesce("cond", F.lit(""))).alias("tests"),
+    guarded = "guards" in steps.columns
+    none = F.array().cast("array<struct<text:string,at:int,negate:boolean>>")
+    guards = [F.transform(F.coalesce("guards", none), _guard).alias("guards")] if guarded else []
+    one = F.struct(F.col("step_no").cast("int").alias("step_no"), F.upper("step").alias("step"), *guards, rc_of.alias("would_rc"), conditions(F.coalesce("cond", F.lit(""))).alias("tests"),
                    has_even(F.col("cond")).alias("even"), has_only(F.col("cond")).alias("only"))
     counted = steps.groupBy("job").agg(F.count(F.lit(1)).alias("_n"))
     checked = steps.join(counted, "job").where(
@@ -115,20 +189,29 @@ def step_outcomes(steps: DataFrame) -> DataFrame:
         F.lit(False).alias("abended"),
         F.array().cast("array<struct<step_no:int,step:string,ran:boolean,rc:int,abended:boolean>>").alias("log"))
 
-    def turn(acc, s):
-        past = F.filter(acc["log"], lambda r: r["ran"])
-        blocked = F.exists(s["tests"], lambda t: F.exists(
-            past, lambda r: (t["step"].isNull() | (t["step"] == F.upper(r["step"]))) & compare_code(t["code"], t["operator"], r["rc"])))
-        # a named step that did not run counts with code 0
-        absent = F.exists(s["tests"], lambda t: t["step"].isNotNull() & ~F.exists(past, lambda r: F.upper(r["step"]) == t["step"])
-                          & compare_code(t["code"], t["operator"], F.lit(0)))
+    def decide(acc, s, past) -> Column:
+        def met(t):
+            named = F.filter(past, lambda r: t["step"].isNull() | (r["step"] == t["step"]))
+            # a named step that did not run counts with code 0
+            absent = t["step"].isNotNull() & (F.size(named) == 0) & compare_code(t["code"], t["operator"], F.lit(0))
+            return absent | F.exists(named, lambda r: compare_code(t["code"], t["operator"], r["rc"]))
+
         by_state = F.when(s["only"], ~acc["abended"]).when(~s["even"], acc["abended"]).otherwise(F.lit(False))
-        ran = ~(by_state | blocked | absent)
-        rc = F.when(ran, s["would_rc"])
+        ran = ~(by_state | F.exists(s["tests"], met))
+        if guarded:
+            ran = ran & F.forall(s["guards"], lambda g: _holds(g, F.filter(past, lambda r: r["step_no"] < g["at"])) != g["negate"])
+        return ran
+
+    def note(acc, s, ran) -> Column:
         abended = acc["abended"] | (ran & (s["would_rc"] >= ABEND_FROM))
-        row = F.struct(s["step_no"].cast("int").alias("step_no"), s["step"].alias("step"), ran.alias("ran"), rc.alias("rc"), abended.alias("abended"))
+        row = F.struct(s["step_no"].alias("step_no"), s["step"].alias("step"), ran.alias("ran"),
+                       F.when(ran, s["would_rc"]).alias("rc"), abended.alias("abended"))
         return F.struct(abended.alias("abended"), F.concat(acc["log"], F.array(row)).alias("log"))
 
+    def turn(acc, s):
+        ran = _let(F.filter(acc["log"], lambda r: r["ran"]), lambda past: decide(acc, s, past))
+        return _let(ran, lambda done: note(acc, s, done))
+
     done = jobs.select("job", F.explode(F.aggregate("_steps", start, turn)["log"]).alias("_s"))
     return done.select("job", "_s.*")
 
@@ -151,13 +234,13 @@ def if_condition(log: DataFrame, text: str) -> DataFrame:
     step_run = re.fullmatch(r"([\w$#.\-]+)\.RUN", body, re.I)
     op = lambda o: F.lit(words.get(o, o.upper()))
     if step_rc:
-        rc = F.coalesce(F.max(F.when(ran & (F.upper("step") == step_rc[1].upper()), F.col("rc"))), F.lit(0))
+        rc = F.coalesce(F.max(F.when(ran & (F.col("step") == step_rc[1].upper()), F.col("rc"))), F.lit(0))
         holds = compare_code(rc, op(step_rc[2]), F.lit(int(step_rc[3])))
     elif last_rc:
         rc = F.coalesce(F.max_by("rc", F.when(ran, F.col("step_no"))), F.lit(0))
         holds = compare_code(rc, op(last_rc[1]), F.lit(int(last_rc[2])))
     elif step_run:
-        holds = F.coalesce(F.bool_or(ran & (F.upper("step") == step_run[1].upper())), F.lit(False))
+        holds = F.coalesce(F.bool_or(ran & (F.col("step") == step_run[1].upper())), F.lit(False))
     else:
         raise ValueError(f"unsupported IF condition {text!r}")
     return log.groupBy("job").agg(holds.alias("holds"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordloom.operators.ordering import BLOCK_ROWS, scan_by_key
+from recordloom.operators.ordering import BLOCK_ROWS, next_key, scan_by_key
 from recordloom.session import cut
 
 OK, OK_DUPLICATE, END, DUPLICATE, MISSING, PAST_END = "00", "02", "10", "22", "23", "46"
@@ -89,6 +89,21 @@ def read_alternate(requests: DataFrame, master: DataFrame, by: str, alternate: s
     return read_key(requests, first_by_alternate(master, alternate, key), by, alternate)
 
 
+def read_sequential(master: DataFrame, key: str, tie: str | None = None) -> DataFrame:
+    """READ NEXT from the start: every record in key order."""
+    return master.orderBy(key, *([tie] if tie else []))
+
+
+def start_each(requests: DataFrame, master: DataFrame, by: str, key: str, seq: str, relation: str = ">=") -> DataFrame:
+    """A START per request: the key it positions on, and 00 or 23."""
+    if relation == "=":
+        return read_key(requests, master.select(key), by, key)
+    if relation not in (">", ">=", "NOT <"):
+        raise ValueError(f"START does not take {relation!r}")
+    found = next_key(requests, master.select(key), by, key, seq, after=relation == ">")
+    return found.withColumn("status", F.when(F.col(key).isNull(), MISSING).otherwise(OK))
+
+
 def start(master: DataFrame, key: str, relation: str, value, tie: str | None = None) -> DataFrame:
     """START then READ NEXT to the end: the records in key order from there.
 

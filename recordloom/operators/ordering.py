@@ -124,3 +124,33 @@ def scan_by_key(
         *[F.coalesce(F.col(f"_wl_{k}"), F.col(f"_cl_{k}")).alias(k) for k in last],
         *[plus(F.col(f"_ws_{k}"), F.col(f"_cs_{k}")).alias(k) for k in sums],
     )
+
+
+def next_key(requests: DataFrame, keys: DataFrame, by: str, key: str, seq: str, after: bool = False,
+             partitions: int | None = None) -> DataFrame:
+    """The requests with ``key``: the lowest key not below ``by`` (above it, with
+    ``after``), or null.
+
+    Requests and keys are sorted together once. Each partition looks ahead
+    within itself, and the first key of every partition tells the one before
+    where to go on. ``seq`` is unique, so many equal requests still spread.
+    """
+    n = partitions or _partitions(requests)
+    first = 1 if after else 0      # do equal keys come before the request or behind it
+    asked = requests.select(F.col(by).alias("_at"), F.lit(first).alias("_side"), F.col(seq).cast("bigint").alias("_seq"),
+                            F.lit(None).cast(keys.schema[key].dataType).alias("_key"), F.struct(*requests.columns).alias("_req"))
+    held = keys.select(F.col(key).alias("_at"), F.lit(1 - first).alias("_side"), F.lit(0).cast("bigint").alias("_seq"),
+                       F.col(key).alias("_key"), F.lit(None).cast(asked.schema["_req"].dataType).alias("_req"))
+    order = ["_at", "_side", "_seq"]
+    placed = (asked.unionByName(held).repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_id", F.monotonically_increasing_id()))
+    placed = cut(placed).withColumn("_block", F.shiftright("_id", 33))
+    heads = placed.groupBy("_block").agg(F.min("_key").alias("_head"))
+    ahead = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    carried = heads.select("_block", F.first("_head", ignorenulls=True).over(ahead).alias("_next"))
+    if n <= SMALL_PARTITIONS:      # at most one row per partition
+        carried = F.broadcast(carried)
+    within = Window.partitionBy("_block").orderBy(F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = placed.withColumn("_here", F.last("_key", ignorenulls=True).over(within))
+    found = seen.where(F.col("_req").isNotNull()).join(carried, "_block")
+    return found.select("_req.*", F.coalesce("_here", "_next").alias(key))

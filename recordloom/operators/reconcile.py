@@ -111,6 +111,13 @@ def regex_check(text: Column, pattern: str, expected: str, group: int = 1) -> Co
     return hit & same
 
 
+def compare_lines(expected: DataFrame, actual: DataFrame, rules: list[tuple[str, str]] | None = None,
+                  at: str = "line", value: str = "value") -> DataFrame:
+    """Lines that differ, by line number: byte for byte, or after the rules."""
+    clean = lambda d: d.select(at, normalize(F.col(value), rules or []).alias(value))
+    return compare(clean(expected), clean(actual), [at], [value])
+
+
 def digest(content: Column) -> Column:
     """SHA-256 of the bytes, to show a source did not change."""
     return F.sha2(content, 256)

@@ -280,3 +280,25 @@ def perform_until(spark, sf_dir):
     turn = lambda a, _: F.when(a["balance"] < 100, F.struct((a["balance"] * 2 + 1).alias("balance"), (a["turns"] + 1).alias("turns"))).otherwise(a)
     done = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, turn)
     return table(spark, sf_dir, "part").select("p_partkey", done["turns"].alias("turns"), done["balance"].alias("balance"))
+
+
+@query("perform_varying_after", """
+SELECT p_partkey, CAST(sum(p_size * i + j) AS BIGINT) AS total FROM part, range(1, 4) a(i), range(1, 3) b(j) GROUP BY p_partkey""")
+def perform_varying_after(spark, sf_dir):
+    """Nested counted loops over one record."""
+    from recordloom.functions.tables import varying
+
+    size, zero = F.col("p_size").cast("bigint"), F.lit(0).cast("bigint")
+    total = varying(3, zero, lambda a, i: varying(2, a, lambda b, j: b + size * i + j))
+    return table(spark, sf_dir, "part").select("p_partkey", total.alias("total"))
+
+
+@query("time_forms", """
+SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y%m%d') AS date_text, strftime(ts, '%H%M%S') AS time_text, CAST(ts AS DATE) AS date_value FROM events""")
+def time_forms(spark, sf_dir):
+    from recordloom.functions.times import format_date, format_time, record_date
+
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select("event_id", ms.alias("millis"))
+    return e.select("event_id", "millis", format_date(F.col("millis")).alias("date_text"), format_time(F.col("millis")).alias("time_text"),
+                    record_date(format_date(F.col("millis"))).alias("date_value"))

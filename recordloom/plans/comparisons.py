@@ -89,3 +89,16 @@ def configured_checks(spark, sf_dir):
 @query("content_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def content_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rc.digest(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("line_comparison", """
+SELECT o_orderkey AS line, CASE WHEN o_orderkey % 50 = 0 THEN 'MISSING' ELSE 'FIELD' END AS kind, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'value' END AS field,
+       CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority || ' <n>' END AS expected, CASE WHEN o_orderkey % 50 <> 0 THEN 'changed <n>' END AS actual
+FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 9 = 0""")
+def line_comparison(spark, sf_dir):
+    """Lines with other line ends and other numbers are the same; others are told."""
+    o, n = table(spark, sf_dir, "orders"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")
+    e = o.select(F.col("o_orderkey").alias("line"), F.concat("o_orderpriority", F.lit(" "), n, F.lit("\r\n")).alias("value"))
+    a = o.where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("line"), F.concat(
+        F.when(F.col("o_orderkey") % 9 == 0, "changed").otherwise(F.col("o_orderpriority")), F.lit(" 12345678\n")).alias("value"))
+    return rc.compare_lines(e, a, [("[0-9]{8}", "<n>"), ("\r?\n$", "")])

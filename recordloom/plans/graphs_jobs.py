@@ -186,3 +186,45 @@ def job_procedures(spark, sf_dir):
     over = over.join(n.where("n_nationkey % 2 = 0"), F.col("r") == F.col("n_regionkey")).select(
         "job", "step", F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("proc_step"), "dd", "dsn")
     return b.expand_procedures(steps, procs, over)
+
+
+def deck_lines(spark, sf_dir):
+    """Lines of the decks: one deck per nation of customers, numbered in order."""
+    s = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    lines = F.array(F.concat(F.lit("//S"), k, F.lit(" EXEC PGM=SORT,COND=(4,LT)")), F.concat(F.lit("//SORTIN DD DSN=IN.D"), k, F.lit(",DISP=SHR")),
+                    F.lit("//* A COMMENT"), F.lit("//SYSIN DD *"), F.concat(F.lit(" SORT FIELDS=(1,"), k, F.lit(",CH,A)")), F.lit("/*"),
+                    F.concat(F.lit("//OUT DD DSN=OUT.D"), k, F.lit(",DISP=(NEW,CATLG)")))
+    return s.select(F.col("c_nationkey").alias("deck"), "c_custkey", F.posexplode(lines).alias("n", "value")).select(
+        "deck", (F.col("c_custkey") * 10 + F.col("n")).alias("seq"), "value")
+
+
+@query("job_data_sets", """
+SELECT c_nationkey AS deck, 'S' || c_custkey AS step, d.dd, CASE d.dd WHEN 'SORTIN' THEN 'IN.D' || c_custkey WHEN 'OUT' THEN 'OUT.D' || c_custkey END AS dsn, d.disp
+FROM customer, (VALUES ('SORTIN', 'SHR'), ('SYSIN', NULL), ('OUT', '(NEW,CATLG)')) d(dd, disp)""")
+def job_data_sets(spark, sf_dir):
+    return b.step_data_sets(deck_lines(spark, sf_dir), "deck", "seq")
+
+
+@query("job_inline_data", """
+SELECT c_nationkey AS deck, c_custkey * 10 + 4 AS seq, 'SYSIN' AS dd, ' SORT FIELDS=(1,' || c_custkey || ',CH,A)' AS value FROM customer""")
+def job_inline_data(spark, sf_dir):
+    return b.inline_data(deck_lines(spark, sf_dir), "deck", "seq")
+
+
+@query("job_if_blocks", """
+WITH s AS (SELECT o_orderkey // 8 AS job, CAST(o_orderkey % 8 + 1 AS INTEGER) AS step_no, CASE WHEN o_orderstatus = 'P' THEN 4 ELSE 0 END AS would_rc FROM orders),
+f AS (SELECT job, max(would_rc) FILTER (step_no = 1) AS rc1, max(would_rc) FILTER (step_no = 2) AS rc2 FROM s GROUP BY job)
+SELECT s.job, s.step_no, 'S' || s.step_no AS step, t.ran, CASE WHEN t.ran THEN s.would_rc END AS rc, FALSE AS abended
+FROM s JOIN f ON s.job = f.job, LATERAL (SELECT CASE WHEN s.step_no IN (3, 4) THEN coalesce(rc1, 0) = 4 WHEN s.step_no = 5 THEN NOT coalesce(rc1, 0) = 4
+  WHEN s.step_no IN (6, 7) THEN NOT coalesce(rc1, 0) = 4 AND coalesce(rc2, 0) <= 0 ELSE TRUE END AS ran) t""")
+def job_if_blocks(spark, sf_dir):
+    """IF on the first step's code around steps 3 and 4, ELSE around 5 to 7,
+    with an IF on the second step's code inside it."""
+    d = decks(spark, sf_dir).withColumns({
+        "cond": F.lit(None).cast("string"), "would_rc": F.when(F.col("would_rc") == 4, 4).otherwise(0)})
+    g = lambda text, at, negate: F.struct(F.lit(text).alias("text"), F.lit(at).alias("at"), F.lit(negate).alias("negate"))
+    n = F.col("step_no")
+    guards = (F.when(n.isin(3, 4), F.array(g("(S1.RC EQ 4)", 3, False))).when(n == 5, F.array(g("(S1.RC EQ 4)", 3, True)))
+              .when(n.isin(6, 7), F.array(g("S1.RC = 4", 3, True), g("S2.RC <= 0", 6, False))))
+    return b.step_outcomes(d.withColumn("guards", guards))

@@ -198,3 +198,27 @@ def invalid_key_branches(spark, sf_dir):
     done = k.read_key(o, _masters(spark, sf_dir).select("c_custkey"), "o_custkey", "c_custkey")
     branch = F.when(F.col("status") == k.MISSING, "INVALID KEY").otherwise("NOT INVALID KEY")
     return done.groupBy(branch.alias("branch")).agg(F.count(F.lit(1)).alias("records"), F.sum("amount").alias("amount"))
+
+
+@query("sequential_read", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0")
+def sequential_read(spark, sf_dir):
+    return k.read_sequential(_masters(spark, sf_dir).select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("start_positions", """
+SELECT o_orderkey, o_custkey, m.c_custkey, CASE WHEN m.c_custkey IS NULL THEN '23' ELSE '00' END AS status
+FROM orders ASOF LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) m ON o_custkey <= m.c_custkey""")
+def start_positions(spark, sf_dir):
+    """A START >= per order: the key each one positions on."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    m = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select("c_custkey")
+    return k.start_each(o, m, "o_custkey", "c_custkey", "o_orderkey")
+
+
+@query("start_positions_after", """
+SELECT o_orderkey, o_custkey, m.c_custkey, CASE WHEN m.c_custkey IS NULL THEN '23' ELSE '00' END AS status
+FROM orders ASOF LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) m ON o_custkey < m.c_custkey""")
+def start_positions_after(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    m = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select("c_custkey")
+    return k.start_each(o, m, "o_custkey", "c_custkey", "o_orderkey", ">")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as t
 from recordloom.functions.conditions import ANY, condition_name, evaluate, set_true, text_eq
+from recordloom.functions.tables import subscript
 from recordloom.layout import copybook
 from recordloom.operators.moves import arithmetic_corresponding, initialize, move, move_corresponding
 from recordloom.plans.registry import query
@@ -209,7 +210,7 @@ def occurs_table(spark, sf_dir):
     back = layout.decode(layout.encode(filled))
     total = F.aggregate("entry", F.lit(0).cast("bigint"), lambda a, x: a + x["amt"].cast("bigint"))
     return back.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("n").cast("int").alias("entries"),
-                       total.alias("total"), F.try_element_at("entry", F.lit(2))["amt"].alias("second"))
+                       total.alias("total"), subscript(F.col("entry"), 2)["amt"].alias("second"))
 
 
 @query("redefines_views", """
