@@ -88,7 +88,7 @@ def edit(value, pic: str, rounded: bool = True) -> Column:
         def prefixes(symbol: str) -> Column:
             return F.array(*[F.lit((fill * e)[:-1] + symbol if floating and e else fill * e) for e in ends])
 
-        zeros = F.length(digits.substr(1, ints)) - F.length(F.ltrim(digits.substr(1, ints), F.lit("0")))
+        zeros = F.lit(ints) - F.length(F.ltrim(digits.substr(1, ints), F.lit("0"))) if ints else F.lit(0)
         at = F.least(zeros, F.lit(most)) + 1
         if floating == "$":
             table = prefixes("$")
@@ -96,8 +96,7 @@ def edit(value, pic: str, rounded: bool = True) -> Column:
             table = F.when(negative, prefixes("-")).otherwise(prefixes("+" if floating == "+" else " "))
         else:
             table = prefixes("")
-        head = F.element_at(table, at)
-        text = F.concat(head, full.substr(F.length(head) + 1, F.lit(len(cells))))
+        text = F.overlay(full, F.element_at(table, at), 1)
     out = [x for x in (fixed, text, suffix) if x is not None]
     result = F.concat(*out) if len(out) > 1 else out[0]
     if quiet and all(quiet):

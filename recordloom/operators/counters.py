@@ -20,8 +20,8 @@ def accumulate(amount: Num, pic: str | Picture, name: str) -> list[Column]:
 
     Every ADD drops digits beyond the receiver. For amounts of one sign that is
     the same as dropping them once, from the sum. With both signs it is the
-    same as long as no step can overflow, which holds when the absolute
-    amounts add up to less than the receiver's limit. Otherwise the value
+    same as long as no fraction is dropped and no step can overflow, which
+    holds when the absolute amounts add up to less than the receiver's limit. Otherwise the value
     depends on the order of the records, and the row is refused.
     """
     p = picture(pic) if isinstance(pic, str) else pic
@@ -36,6 +36,9 @@ def accumulate(amount: Num, pic: str | Picture, name: str) -> list[Column]:
         # an unsigned receiver turns negative steps round, so only additions qualify
         one_sign = F.coalesce(F.min(c) >= 0, F.lit(True))
         safe = one_sign
+    elif amount.scale > p.scale:
+        # dropping fractions of either sign at every step depends on the order
+        safe = one_sign
     else:
         safe = one_sign | (reach < limit)
     value = F.when(safe, kept).otherwise(F.raise_error(NOT_EXACT.format(name)).cast(f"decimal({p.digits},{p.scale})"))

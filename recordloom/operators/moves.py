@@ -6,12 +6,11 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from recordloom.functions.numeric import Num, num, store
+from recordloom.functions.edited import edit
+from recordloom.functions.numeric import Num, digits_text, num, store
 from recordloom.functions.text import fit
 from recordloom.layout import Field, Layout
-from recordloom.picture import ALNUM, EDITED, NUMERIC, Picture, picture
-from recordloom.functions.edited import edit
-from recordloom.functions.numeric import digits_text
+from recordloom.picture import EDITED, NUMERIC, Picture, picture
 
 
 def move(source: Column, source_pic: str | Picture, target_pic: str | Picture) -> Column:

@@ -16,6 +16,7 @@ from recordloom.session import cut
 BLOCK_ROWS = 1 << 20
 PARTITION_BYTES = 256 << 20
 MOST_PARTITIONS = 50_000     # estimates of joins can be far too high
+MOST_HOT = 100_000           # hot keys named in one list
 SMALL_PARTITIONS = 100_000   # rows of the offsets table that may be broadcast
 
 
@@ -70,6 +71,22 @@ def number_rows(
     return out.drop("_id", "_block", "_base", *summed, *[f"_b{k}" for k in summed])
 
 
+def hot_keys(keyed: DataFrame, key: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """Keys with more than ``rows`` rows, and how many there are.
+
+    At most ``MOST_HOT`` are named: where there are more, the mark is raised
+    until the list is that short. Counting is done before the shuffle.
+    """
+    counted = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    hot = cut(counted)
+    n, mark = hot.count(), rows
+    while n > MOST_HOT:
+        mark *= 2
+        hot = hot.where(F.col("_n") > mark)
+        n = hot.count()
+    return hot.select(key), n
+
+
 def scan_by_key(
     df: DataFrame,
     keys: list[str],
@@ -84,40 +101,44 @@ def scan_by_key(
     ``last`` gives the latest non-null value, ``sums`` the sum, each over the
     rows before the current one (null where there are none). ``initial`` (one
     row a key, columns named as in ``last``) gives what held before the first
-    row; it meets the block summaries, never the rows. ``seq`` is a whole number, unique within its key, so one (key, block) never exceeds
-    ``block_rows`` rows.
+    row.
+
+    Keys with more than ``block_rows`` rows are cut into blocks of ``seq``, a
+    whole number unique within its key, so no task gets more of one key than
+    that; one summary row per block crosses them. Other keys are one block.
     """
     last, sums = last or {}, sums or {}
     # One key value for grouping, window and join, so that the rows move once;
     # inside a struct, nulls are equal to each other.
-    marked = df.select(
-        "*",
-        F.struct(*keys).alias("_key"),
-        F.call_function("div", F.col(seq).cast("bigint"), F.lit(block_rows).cast("bigint")).alias("_block"),
-        *[c.alias(f"_l_{k}") for k, c in last.items()],
-        *[c.alias(f"_s_{k}") for k, c in sums.items()],
-    )
-    summary = marked.groupBy("_key", "_block").agg(
-        *[F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.col(seq))).alias(f"_l_{k}") for k in last],
-        *[F.sum(f"_s_{k}").alias(f"_s_{k}") for k in sums],
-    )
-    along = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        "_key", "_block",
-        *[F.last(f"_l_{k}", ignorenulls=True).over(along).alias(f"_cl_{k}") for k in last],
-        *[F.sum(f"_s_{k}").over(along).alias(f"_cs_{k}") for k in sums],
-    )
-    if initial is not None:
-        given = initial.select(F.struct(*keys).alias("_key"), *[F.col(k).alias(f"_il_{k}") for k in last])
-        carried = carried.join(given, "_key", "left").withColumns(
-            {f"_cl_{k}": F.coalesce(F.col(f"_cl_{k}"), F.col(f"_il_{k}")) for k in last})
+    key = F.struct(*keys).alias("_key")
+    hot, n_hot = hot_keys(df.select(key), "_key", block_rows)
+    block = F.lit(0).cast("bigint")
+    marked = df.select("*", key)
+    if n_hot:
+        marked = marked.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left")   # MOST_HOT rows at most
+        block = F.when(F.col("_hot"), F.call_function("div", F.col(seq).cast("bigint"), F.lit(block_rows).cast("bigint"))).otherwise(block)
+    marked = marked.withColumns({
+        "_block": block, **{f"_l_{k}": c for k, c in last.items()}, **{f"_s_{k}": c for k, c in sums.items()}})
+
     within = Window.partitionBy("_key", "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     inside = marked.select(
         "*",
         *[F.last(f"_l_{k}", ignorenulls=True).over(within).alias(f"_wl_{k}") for k in last],
         *[F.sum(f"_s_{k}").over(within).alias(f"_ws_{k}") for k in sums],
     )
-    joined = inside.join(carried, ["_key", "_block"])
+
+    given = None
+    if initial is not None:
+        given = initial.select(key, *[F.col(k).alias(f"_cl_{k}") for k in last])
+    carried = _block_carries(marked, last, sums, given, seq) if n_hot else None
+    if given is not None:
+        cold = given.join(F.broadcast(hot), "_key", "left_anti") if n_hot else given
+        null_sums = [F.lit(None).cast(inside.schema[f"_ws_{k}"].dataType).alias(f"_cs_{k}") for k in sums]
+        cold = cold.select("_key", F.lit(0).cast("bigint").alias("_block"), *[f"_cl_{k}" for k in last], *null_sums)
+        carried = cold if carried is None else cold.unionByName(carried)
+    if carried is None:
+        return inside.select(*df.columns, *[F.col(f"_wl_{k}").alias(k) for k in last], *[F.col(f"_ws_{k}").alias(k) for k in sums])
+    joined = inside.join(carried, ["_key", "_block"], "left")
     plus = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
     return joined.select(
         *df.columns,
@@ -126,6 +147,25 @@ def scan_by_key(
     )
 
 
+def _block_carries(marked: DataFrame, last: dict, sums: dict, given: DataFrame | None, seq: str) -> DataFrame:
+    """What each block of a hot key starts with, from the blocks before it."""
+    summary = marked.where(F.col("_hot")).groupBy("_key", "_block").agg(
+        *[F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.col(seq))).alias(f"_l_{k}") for k in last],
+        *[F.sum(f"_s_{k}").alias(f"_s_{k}") for k in sums],
+    )
+    along = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(
+        "_key", "_block",
+        *[F.last(f"_l_{k}", ignorenulls=True).over(along).alias(f"_cl_{k}") for k in last],
+        *[F.sum(f"_s_{k}").over(along).alias(f"_cs_{k}") for k in sums],
+    )
+    if given is not None:
+        first = given.select("_key", *[F.col(f"_cl_{k}").alias(f"_il_{k}") for k in last])
+        carried = carried.join(first, "_key", "left").withColumns(
+            {f"_cl_{k}": F.coalesce(F.col(f"_cl_{k}"), F.col(f"_il_{k}")) for k in last}).drop(*[f"_il_{k}" for k in last])
+    return carried
+
+
 def next_key(requests: DataFrame, keys: DataFrame, by: str, key: str, seq: str, after: bool = False,
              partitions: int | None = None) -> DataFrame:
     """The requests with ``key``: the lowest key not below ``by`` (above it, with

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import numeric as n
 from recordloom.functions.codecs import decode_binary, decode_packed, decode_zoned, encode_binary, encode_packed, encode_zoned
 from recordloom.functions.edited import edit
-from recordloom.functions.numeric import Num, as_num, divide, divide_into, divide_remainder, num, round_to, store
+from recordloom.functions.numeric import Num, divide, divide_into, divide_remainder, num, round_to, store
 from recordloom.operators.counters import accumulate
 from recordloom.plans.registry import query
 from recordloom.session import table

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordloom.functions.conditions import evaluate, text_eq
-from recordloom.functions.numeric import Num, as_num, num, store
-from recordloom.functions.text import fit, string_into
+from recordloom.functions.numeric import num, store
+from recordloom.functions.text import string_into
 from recordloom.layout import copybook
-from recordloom.operators.keyed import MISSING, OK, read_key
+from recordloom.operators.keyed import OK, read_key
 from recordloom.operators.moves import call
 from recordloom.plans.registry import query
 from recordloom.session import table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as t
-from recordloom.functions.conditions import ANY, condition_name, evaluate, set_true, text_eq
+from recordloom.functions.conditions import ANY, evaluate, set_true, text_eq
 from recordloom.functions.tables import subscript
 from recordloom.layout import copybook
 from recordloom.operators.moves import arithmetic_corresponding, initialize, move, move_corresponding

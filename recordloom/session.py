@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordloom-ckpt-"))
     return sc.getCheckpointDir()
 

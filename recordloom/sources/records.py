@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
+import re
 import uuid
-from dataclasses import dataclass, field as dc_field
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from recordloom.layout import Layout
@@ -36,8 +36,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"))
     splits = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     base = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return raw.join(base, ["file", "_start"]).select(
@@ -51,8 +49,6 @@ def write_lines(df: DataFrame, layout: Layout, path: str, mode: str = "OUTPUT")
 
 def read_delimited(lines: DataFrame, names: list[str], separator: str = "|", value: str = "value") -> DataFrame:
     """``a|b|c`` lines of a fixed number of fields; any other number is an error."""
-    import re
-
     parts = F.split(F.col(value), re.escape(separator), -1)
     n = len(names)
     wrong = F.concat(F.lit(f"expected {n} fields: "), F.col(value))
@@ -249,8 +245,6 @@ class FileSpec:
     record_key: str | None = None
     alternates: tuple[Alternate, ...] = ()
     relative_key: str = "rrn"
-    status: str = "file_status"
-    names: dict = dc_field(default_factory=dict)
 
     @property
     def keys(self) -> KeySpec:
