@@ -11,7 +11,7 @@ from recordloom.session import table
 
 def _sides(spark, sf_dir):
     e = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(15,2)").alias("price"), "o_orderpriority")
-    a = e.where(F.col("o_orderkey") % 101 != 0).select(
+    a = e.select(
         F.when(F.col("o_orderkey") % 97 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("o_orderkey"), "o_orderstatus",
         F.when(F.col("o_orderkey") % 13 == 0, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(15,2)").alias("price"),
         F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
@@ -22,7 +22,7 @@ _SIDES = """
 WITH e AS (SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(15,2)) AS price, o_orderpriority FROM orders),
 a AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, o_orderstatus,
         CAST(CASE WHEN o_orderkey % 13 = 0 THEN price + 1 ELSE price END AS DECIMAL(15,2)) AS price, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS o_orderpriority
-      FROM e WHERE o_orderkey % 101 <> 0)"""
+      FROM e)"""
 FIELDS = ["o_orderstatus", "price", "o_orderpriority"]
 
 
@@ -48,19 +48,18 @@ def reconcile_verdict(spark, sf_dir):
 
 @query("bag_difference", """
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
-a AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, count(*) AS n FROM events WHERE event_id % 50 <> 0 GROUP BY ALL)
+a AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_id % 50 = 0 THEN 'view' ELSE event_type END AS event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT coalesce(e.user_id, a.user_id) AS user_id, coalesce(e.event_type, a.event_type) AS event_type, coalesce(e.n, 0) AS expected_copies, coalesce(a.n, 0) AS actual_copies
 FROM e FULL JOIN a ON e.user_id = a.user_id AND e.event_type = a.event_type WHERE coalesce(e.n, 0) <> coalesce(a.n, 0)""")
 def bag_difference(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return rc.bag_difference(ev.select("user_id", "event_type"), ev.where("event_id % 50 <> 0").select("user_id", "event_type")).select(
-        "user_id", "event_type", F.col("expected_copies"), F.col("actual_copies"))
+    other = F.when(F.col("event_id") % 50 == 0, "view").otherwise(F.col("event_type")).alias("event_type")
+    return rc.bag_difference(ev.select("user_id", "event_type"), ev.select("user_id", other))
 
 
 @query("equivalence_contract", """
 SELECT * FROM (VALUES ('output_presence', 'PASS'), ('file_set', 'FAIL'), ('file_contents', 'FAIL'), ('stdout', 'UNVERIFIED'), ('stderr', 'NOT_APPLICABLE'),
-  ('exit_code', 'PASS'), ('database_state', 'NOT_APPLICABLE')) AS t("check", status)
-UNION ALL SELECT 'record_counts', CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders WHERE o_orderkey % 101 <> 0) THEN 'PASS' ELSE 'FAIL' END""")
+  ('exit_code', 'PASS'), ('database_state', 'NOT_APPLICABLE'), ('record_counts', 'PASS')) AS t("check", status)""")
 def equivalence_contract(spark, sf_dir):
     e, a = _sides(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -92,13 +91,15 @@ def content_digest(spark, sf_dir):
 
 
 @query("line_comparison", """
-SELECT o_orderkey AS line, CASE WHEN o_orderkey % 50 = 0 THEN 'MISSING' ELSE 'FIELD' END AS kind, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'value' END AS field,
+SELECT -1 - o_orderkey AS line, 'EXTRA' AS kind, '' AS field, NULL AS expected, NULL AS actual FROM orders WHERE o_orderkey % 50 = 0
+UNION ALL SELECT o_orderkey AS line, CASE WHEN o_orderkey % 50 = 0 THEN 'MISSING' ELSE 'FIELD' END AS kind, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'value' END AS field,
        CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority || ' <n>' END AS expected, CASE WHEN o_orderkey % 50 <> 0 THEN 'changed <n>' END AS actual
 FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 9 = 0""")
 def line_comparison(spark, sf_dir):
     """Lines with other line ends and other numbers are the same; others are told."""
     o, n = table(spark, sf_dir, "orders"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")
     e = o.select(F.col("o_orderkey").alias("line"), F.concat("o_orderpriority", F.lit(" "), n, F.lit("\r\n")).alias("value"))
-    a = o.where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("line"), F.concat(
+    line = F.when(F.col("o_orderkey") % 50 == 0, -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    a = o.select(line.alias("line"), F.concat(
         F.when(F.col("o_orderkey") % 9 == 0, "changed").otherwise(F.col("o_orderpriority")), F.lit(" 12345678\n")).alias("value"))
     return rc.compare_lines(e, a, [("[0-9]{8}", "<n>"), ("\r?\n$", "")])

@@ -9,24 +9,28 @@ from recordloom.plans.registry import query
 from recordloom.session import table
 
 
-def _masters(spark, sf_dir, gap: int = 7):
-    """Customers as a keyed master with every ``gap``-th record missing."""
-    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % gap != 0).select(
-        "c_custkey", "c_name", "c_nationkey", F.col("c_mktsegment").alias("segment"))
+def _masters(spark, sf_dir):
+    """Customers as a keyed master; every seventh is filed under another key."""
+    return table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 7 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"),
+        "c_name", "c_nationkey", F.col("c_mktsegment").alias("segment"))
 
 
-@query("keyed_lookup_status", """
+_C = "(SELECT CASE WHEN c_custkey % 7 = 0 THEN -1 - c_custkey ELSE c_custkey END AS c_custkey, c_name, c_nationkey, c_mktsegment FROM customer)"
+
+
+@query("keyed_lookup_status", f"""
 SELECT o_orderkey, o_custkey, c_name, c_nationkey, CASE WHEN c_custkey IS NULL THEN '23' ELSE '00' END AS status
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey""")
+FROM orders LEFT JOIN {_C} ON o_custkey = c_custkey""")
 def keyed_lookup_status(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return k.read_key(o, _masters(spark, sf_dir), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", "c_name", "c_nationkey", "status")
 
 
-@query("keyed_lookup_bare_key", """
+@query("keyed_lookup_bare_key", f"""
 WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') ELSE CAST(o_custkey AS VARCHAR) END AS asked, o_custkey FROM orders)
 SELECT o_orderkey, asked, c_name, CASE WHEN c_custkey IS NULL THEN '23' ELSE '00' END AS status
-FROM o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey""")
+FROM o LEFT JOIN {_C} ON o_custkey = c_custkey""")
 def keyed_lookup_bare_key(spark, sf_dir):
     """Keys asked for with leading zeros are found without them."""
     text = F.col("o_custkey").cast("string")
@@ -35,8 +39,8 @@ def keyed_lookup_bare_key(spark, sf_dir):
     return k.read_key(o, m, "asked", "id", strip_zeros=True).select("o_orderkey", "asked", "c_name", "status")
 
 
-@query("alt_key_first", """
-WITH f AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 7 <> 0 GROUP BY ALL),
+@query("alt_key_first", f"""
+WITH f AS (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey FROM {_C} GROUP BY ALL),
 a AS (SELECT c_nationkey || '/' || c_mktsegment AS alt, c_custkey FROM f)
 SELECT o_orderkey, o_custkey % 30 || '/' || CASE WHEN o_orderstatus = 'F' THEN 'BUILDING' ELSE 'MACHINERY' END AS asked, a.c_custkey, CASE WHEN a.alt IS NULL THEN '23' ELSE '00' END AS status
 FROM orders LEFT JOIN a ON a.alt = o_custkey % 30 || '/' || CASE WHEN o_orderstatus = 'F' THEN 'BUILDING' ELSE 'MACHINERY' END""")
@@ -71,8 +75,8 @@ WITH n AS (SELECT count(*) AS n FROM part), r AS (SELECT p_partkey, (p_partkey +
 SELECT p_partkey, CASE WHEN reads <= n THEN '00' WHEN reads = n + 1 THEN '10' ELSE '46' END AS status FROM r, n""")
 def sequential_outcomes(spark, sf_dir):
     r = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") + 1) * 2).alias("reads"))
-    n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))    # one row
-    return r.join(F.broadcast(n)).select("p_partkey", k.sequential_status(F.col("reads"), F.col("n")).alias("status"))
+    n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
+    return r.select("p_partkey", k.sequential_status(F.col("reads"), n.scalar()).alias("status"))
 
 
 def _events(spark, sf_dir):
@@ -85,11 +89,11 @@ _EV = "SELECT event_id AS seq, user_id AS id, event_type, CAST(value AS DECIMAL(
 
 
 def _user_master(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0).select(
-        F.col("c_custkey").alias("id"), F.lit("master").alias("event_type"), F.lit(0).cast("decimal(9,2)").alias("amount"))
+    return table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(-1 - F.col("c_custkey")).alias("id"), F.lit("master").alias("event_type"), F.lit(0).cast("decimal(9,2)").alias("amount"))
 
 
-_MASTER = "SELECT c_custkey AS id, 'master' AS event_type, CAST(0 AS DECIMAL(9,2)) AS amount FROM customer WHERE c_custkey % 3 = 0"
+_MASTER = "SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE -1 - c_custkey END AS id, 'master' AS event_type, CAST(0 AS DECIMAL(9,2)) AS amount FROM customer"
 
 
 @query("keyed_write_dup", f"""
@@ -123,8 +127,8 @@ def keyed_write_unique_alternate(spark, sf_dir):
     """Two keys that must each stay unique; what is let in depends on order."""
     ev = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.col("value").cast("decimal(9,2)").alias("alt"))
-    master = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 5 == 0).select(
-        F.col("c_custkey").alias("id"), F.abs(F.col("c_acctbal")).cast("decimal(9,2)").alias("alt"))
+    master = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey")).otherwise(-1 - F.col("c_custkey")).alias("id"), F.abs(F.col("c_acctbal")).cast("decimal(9,2)").alias("alt"))
     master = k.load(master.withColumn("at", F.col("id")), "alt", "at").select("id", "alt")
     return k.write_batch(master, ev, k.KeySpec("id", (k.Alternate("alt"),)), "seq").outcomes
 
@@ -190,9 +194,9 @@ def keyed_mixed_master(spark, sf_dir):
     return _mixed(spark, sf_dir).master
 
 
-@query("invalid_key_branches", """
+@query("invalid_key_branches", f"""
 SELECT CASE WHEN c_custkey IS NULL THEN 'INVALID KEY' ELSE 'NOT INVALID KEY' END AS branch, count(*) AS records, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS amount
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey GROUP BY 1""")
+FROM orders LEFT JOIN {_C} ON o_custkey = c_custkey GROUP BY 1""")
 def invalid_key_branches(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").cast("decimal(15,2)").alias("amount"))
     done = k.read_key(o, _masters(spark, sf_dir).select("c_custkey"), "o_custkey", "c_custkey")
@@ -200,25 +204,25 @@ def invalid_key_branches(spark, sf_dir):
     return done.groupBy(branch.alias("branch")).agg(F.count(F.lit(1)).alias("records"), F.sum("amount").alias("amount"))
 
 
-@query("sequential_read", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0")
+@query("sequential_read", f"SELECT c_custkey, c_name FROM {_C}")
 def sequential_read(spark, sf_dir):
     return k.read_sequential(_masters(spark, sf_dir).select("c_custkey", "c_name"), "c_custkey")
 
 
 @query("start_positions", """
 SELECT o_orderkey, o_custkey, m.c_custkey, CASE WHEN m.c_custkey IS NULL THEN '23' ELSE '00' END AS status
-FROM orders ASOF LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) m ON o_custkey <= m.c_custkey""")
+FROM (SELECT o_orderkey, o_custkey * 7 AS o_custkey FROM orders) ASOF LEFT JOIN (SELECT c_custkey * 6 + 3 AS c_custkey FROM customer) m ON o_custkey <= m.c_custkey""")
 def start_positions(spark, sf_dir):
     """A START >= per order: the key each one positions on."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    m = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select("c_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 7).alias("o_custkey"))
+    m = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 6 + 3).alias("c_custkey"))
     return k.start_each(o, m, "o_custkey", "c_custkey", "o_orderkey")
 
 
 @query("start_positions_after", """
 SELECT o_orderkey, o_custkey, m.c_custkey, CASE WHEN m.c_custkey IS NULL THEN '23' ELSE '00' END AS status
-FROM orders ASOF LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) m ON o_custkey < m.c_custkey""")
+FROM (SELECT o_orderkey, o_custkey * 7 AS o_custkey FROM orders) ASOF LEFT JOIN (SELECT c_custkey * 6 + 3 AS c_custkey FROM customer) m ON o_custkey < m.c_custkey""")
 def start_positions_after(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    m = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select("c_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 7).alias("o_custkey"))
+    m = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 6 + 3).alias("c_custkey"))
     return k.start_each(o, m, "o_custkey", "c_custkey", "o_orderkey", ">")

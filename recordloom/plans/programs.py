@@ -180,10 +180,10 @@ def settle(claims: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def claim_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Orders as claims against customers as policies; every seventh policy is gone."""
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 != 0)
-    policies = c.select(
-        F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("pol_policy_id"),
+    """Orders as claims against customers as policies; every seventh policy has another number."""
+    number = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
+    policies = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 7 == 0, F.overlay(number, F.lit("X"), 1)).otherwise(number).alias("pol_policy_id"),
         F.substring("c_mktsegment", 1, 2).alias("pol_type"),
         F.when(F.col("c_nationkey") % 5 == 0, "L").otherwise("A").alias("pol_status"),
         (F.abs(F.col("c_acctbal")).cast("decimal(13,2)") * 40).cast("decimal(13,2)").alias("pol_cover_limit"),
@@ -200,10 +200,10 @@ def claim_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 _CLAIMS_SQL = """
 WITH p AS (
-  SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS pid, substr(c_mktsegment, 1, 2) AS ptype,
+  SELECT CASE WHEN c_custkey % 7 = 0 THEN 'X' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS pid, substr(c_mktsegment, 1, 2) AS ptype,
          CASE WHEN c_nationkey % 5 = 0 THEN 'L' ELSE 'A' END AS pstatus,
          CAST(CAST(abs(c_acctbal) AS DECIMAL(13,2)) * 40 AS DECIMAL(13,2)) AS lim, CAST(abs(c_acctbal) AS DECIMAL(13,2)) AS ded
-  FROM customer WHERE c_custkey % 7 <> 0),
+  FROM customer),
 c AS (
   SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS clm_id, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS clm_policy_id,
          CASE o_orderstatus WHEN 'P' THEN 'AU' WHEN 'F' THEN 'BU' ELSE 'MA' END AS ctype,

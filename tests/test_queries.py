@@ -37,7 +37,7 @@ def test_write_with_unique_alternate_against_a_loop(spark):
 
     out = sorted(QUERIES["keyed_write_unique_alternate"](spark, SF).collect(), key=lambda r: r["seq"])
     con = connect(SF)
-    master = con.sql("""SELECT min(c_custkey) AS id, alt FROM (SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(9,2)) AS alt FROM customer WHERE c_custkey % 5 = 0) GROUP BY alt""").fetchall()
+    master = con.sql("""SELECT min(id) AS id, alt FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE -1 - c_custkey END AS id, CAST(abs(c_acctbal) AS DECIMAL(9,2)) AS alt FROM customer) GROUP BY alt""").fetchall()
     ids, alts = {m[0] for m in master}, {m[1] for m in master}
     for r in out:
         free = r["id"] not in ids and r["alt"] not in alts
