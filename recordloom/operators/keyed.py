@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordloom.operators.ordering import BLOCK_ROWS, next_key, scan_by_key
+from recordloom.operators.ordering import BLOCK_ROWS, next_key, number_rows, scan_by_key
 from recordloom.session import cut
 
 OK, OK_DUPLICATE, END, DUPLICATE, MISSING, PAST_END = "00", "02", "10", "22", "23", "46"
@@ -202,6 +202,15 @@ def write_relative(master: DataFrame, requests: DataFrame, rrn: str, seq: str) -
     return write_batch(master, requests, KeySpec(rrn), seq)
 
 
+def append_relative(master: DataFrame, requests: DataFrame, rrn: str, seq: str) -> DataFrame:
+    """Relative WRITE without a record number: each goes behind the last record."""
+    last = master.agg(F.coalesce(F.max(rrn), F.lit(0)).cast("bigint"))
+    body = [c for c in master.columns if c != rrn]
+    placed = number_rows(requests, [F.col(seq).asc()], "_rn")
+    added = placed.select((F.col("_rn") + last.scalar()).alias(rrn), *body)
+    return master.unionByName(added.select(*master.columns))
+
+
 def rewrite_batch(master: DataFrame, requests: DataFrame, key: str, seq: str) -> BatchResult:
     """REWRITE by key: the last request per key is what stays."""
     body = [c for c in master.columns if c != key]

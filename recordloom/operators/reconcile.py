@@ -132,13 +132,16 @@ def contract(
     exit_codes: tuple[int, int] | None = None,
     exit_parities: dict[int, set[int]] | None = None,
     abnormal: bool = False,
+    streams: dict[str, tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """Each check's outcome for two runs' named outputs.
 
     ``modes`` are the checks asked for; a check not asked for is
     NOT_APPLICABLE, one asked for without evidence is UNVERIFIED. File contents
-    and counts come from one joined pass per shared output.
+    and counts come from one joined pass per shared output. ``streams`` gives
+    the lines (line, value) of stdout and stderr, expected and actual.
     """
+    streams = streams or {}
     spark = next(iter((expected or actual).values())).sparkSession
     fixed: dict[str, str] = {c: NOT_APPLICABLE for c in CHECKS}
     if abnormal:
@@ -159,8 +162,25 @@ def contract(
     for c in measured:
         fixed[c] = UNVERIFIED
     out = spark.createDataFrame(sorted(fixed.items()), "check string, status string")
-    if abnormal or not shared or not measured & {"file_contents", "record_counts", "database_state"}:
+    told = [] if abnormal else [
+        compare_lines(*streams[c]).agg(F.lit(c).alias("check"), F.when(F.count(F.lit(1)) == 0, PASS).otherwise(FAIL).alias("_status"))
+        for c in ("stdout", "stderr") if c in measured and c in streams]
+    if not abnormal and shared and measured & {"file_contents", "record_counts", "database_state"}:
+        told.append(_file_checks(expected, actual, shared, modes, keys))
+    if not told:
         return out
+    results = reduce(lambda a, b: a.unionByName(b), told)
+    return out.join(F.broadcast(results), "check", "left").select(      # a row per check
+        "check", F.coalesce("_status", "status").alias("status"))
+
+
+def overall(checks: DataFrame) -> DataFrame:
+    """One status for a contract: any FAIL fails it, else any UNVERIFIED leaves it open."""
+    s = F.col("status")
+    return checks.agg(F.when(F.count_if(s == FAIL) > 0, FAIL).when(F.count_if(s == UNVERIFIED) > 0, UNVERIFIED).otherwise(PASS).alias("status"))
+
+
+def _file_checks(expected: dict, actual: dict, shared: list[str], modes: set[str], keys: dict[str, list[str]]) -> DataFrame:
     parts = []
     for name in shared:
         k = keys[name]
@@ -172,7 +192,5 @@ def contract(
     state = lambda c: F.when(c, PASS).otherwise(FAIL)
     rows = {"file_contents": state(F.col("same")), "record_counts": state(F.col("counts")),
             "database_state": state(F.col("same"))}
-    results = joined.select(F.explode(F.array(*[
+    return joined.select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("check"), v.alias("_status")) for k, v in rows.items() if k in modes])).alias("_r")).select("_r.*")
-    return out.join(F.broadcast(results), "check", "left").select(
-        "check", F.coalesce("_status", "status").alias("status"))

@@ -58,14 +58,18 @@ def bag_difference(spark, sf_dir):
 
 
 @query("equivalence_contract", """
-SELECT * FROM (VALUES ('output_presence', 'PASS'), ('file_set', 'FAIL'), ('file_contents', 'FAIL'), ('stdout', 'UNVERIFIED'), ('stderr', 'NOT_APPLICABLE'),
-  ('exit_code', 'PASS'), ('database_state', 'NOT_APPLICABLE'), ('record_counts', 'PASS')) AS t("check", status)""")
+SELECT * FROM (VALUES ('output_presence', 'PASS'), ('file_set', 'FAIL'), ('file_contents', 'FAIL'), ('stdout', 'PASS'), ('stderr', 'UNVERIFIED'),
+  ('exit_code', 'PASS'), ('database_state', 'NOT_APPLICABLE'), ('record_counts', 'PASS')) AS t("check", status)
+UNION ALL SELECT 'overall', 'FAIL'""")
 def equivalence_contract(spark, sf_dir):
     e, a = _sides(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return rc.contract({"orders": e, "customer": c, "lost": c}, {"orders": a, "customer": c},
-                       {"output_presence", "file_set", "file_contents", "record_counts", "stdout", "exit_code"},
-                       {"orders": ["o_orderkey"], "customer": ["c_custkey"]}, exit_codes=(0, 4), exit_parities={0: {4}})
+    printed = c.select(F.col("c_custkey").alias("line"), F.col("c_name").alias("value"))
+    checks = rc.contract({"orders": e, "customer": c, "lost": c}, {"orders": a, "customer": c},
+                         {"output_presence", "file_set", "file_contents", "record_counts", "stdout", "stderr", "exit_code"},
+                         {"orders": ["o_orderkey"], "customer": ["c_custkey"]}, exit_codes=(0, 4), exit_parities={0: {4}},
+                         streams={"stdout": (printed, printed)})
+    return checks.unionByName(rc.overall(checks).select(F.lit("overall").alias("check"), "status"))
 
 
 RULES = [(r"[0-9]{4,}", "<n>"), (r"[ \t]+", " ")]

@@ -226,3 +226,12 @@ def start_positions_after(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 7).alias("o_custkey"))
     m = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 6 + 3).alias("c_custkey"))
     return k.start_each(o, m, "o_custkey", "c_custkey", "o_orderkey", ">")
+
+
+@query("relative_append", """
+SELECT c_custkey + 1 AS rrn, c_name AS body FROM customer
+UNION ALL SELECT (SELECT max(c_custkey) + 1 FROM customer) + row_number() OVER (ORDER BY o_orderkey), o_orderpriority FROM orders""")
+def relative_append(spark, sf_dir):
+    m = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("rrn"), F.col("c_name").alias("body"))
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"))
+    return k.append_relative(m, r, "rrn", "seq")

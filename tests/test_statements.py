@@ -103,6 +103,15 @@ def test_contract_without_evidence(spark, base):
     assert dict(rc.contract({"t": base}, {"t": base}, {"exit_code"}, {"t": ["id"]}, exit_codes=(0, 4)).collect())["exit_code"] == "FAIL"
 
 
+def test_streams_and_overall(spark, base):
+    out = spark.createDataFrame([(1, "A"), (2, "B")], "line int, value string")
+    got = rc.contract({"t": base}, {"t": base}, {"stdout", "stderr", "file_contents"}, {"t": ["id"]}, streams={"stdout": (out, out), "stderr": (out, out.limit(1))})
+    assert {k: v for k, v in got.collect() if k in ("stdout", "stderr", "file_contents")} == {"stdout": "PASS", "stderr": "FAIL", "file_contents": "PASS"}
+    assert rc.overall(got).first()[0] == "FAIL"
+    assert rc.overall(rc.contract({"t": base}, {"t": base}, {"stdout"}, {"t": ["id"]})).first()[0] == "UNVERIFIED"
+    assert rc.overall(rc.contract({"t": base}, {"t": base}, {"file_contents"}, {"t": ["id"]})).first()[0] == "PASS"
+
+
 def test_text_checks(spark):
     df = spark.createDataFrame([("TOTAL: 0042\r\n",), ("none",)], "t string")
     assert [r[0] for r in df.select(rc.regex_check(F.col("t"), r"TOTAL:\s*(\d+)", "42")).collect()] == [True, False]
