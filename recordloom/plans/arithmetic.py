@@ -294,11 +294,11 @@ def perform_varying_after(spark, sf_dir):
 
 
 @query("time_forms", """
-SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y%m%d') AS date_text, strftime(ts, '%H%M%S') AS time_text, CAST(ts AS DATE) AS date_value FROM events""")
+SELECT event_id, strftime(ts, '%Y%m%d') AS date_text, strftime(ts, '%H%M%S') AS time_text, CAST(ts AS DATE) AS date_value FROM events""")
 def time_forms(spark, sf_dir):
     from recordloom.functions.times import format_date, format_time, record_date
 
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     e = table(spark, sf_dir, "events").select("event_id", ms.alias("millis"))
-    return e.select("event_id", "millis", format_date(F.col("millis")).alias("date_text"), format_time(F.col("millis")).alias("time_text"),
+    return e.select("event_id", format_date(F.col("millis")).alias("date_text"), format_time(F.col("millis")).alias("time_text"),
                     record_date(format_date(F.col("millis"))).alias("date_value"))
