@@ -33,8 +33,24 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _code(text: Column) -> Column:
-    """The text without comment lines."""
-    return F.regexp_replace(text, r"(?m)^.{6}\*.*$", "")
+    """The text in capitals, without comment lines."""
+    upper = F.upper(text)
+    return F.when(upper.contains("*"), F.regexp_replace(upper, r"(?m)^.{6}\*.*$", "")).otherwise(upper)
+
+
+def _division(text: Column) -> Column:
+    """What follows the procedure division's header."""
+    return F.regexp_extract(_code(text), r"(?s)PROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
+
+
+def _word(*words: str) -> str:
+    """One of these words, not inside a longer one such as END-IF.
+
+    The literal comes first: the engine skips on at the first wrong letter,
+    and looks back only once the word is there.
+    """
+    either = words[0] if len(words) == 1 else "(?:" + "|".join(words) + ")"
+    return rf"{either}(?<![A-Z0-9-]{either})"
 
 
 def _edges(staged: DataFrame, keep: str, edges: Column, fields: list[str]) -> DataFrame:
@@ -47,8 +63,8 @@ def _edges(staged: DataFrame, keep: str, edges: Column, fields: list[str]) -> Da
 def call_edges(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(caller, callee, kind): literal targets are static, names dynamic."""
     code = F.col("_code")
-    static = F.transform(_all(code, rf"""(?i){_B}CALL\s+["']([A-Z0-9-]+)["']"""), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("static").alias("kind")))
-    dynamic = F.transform(_all(code, rf"(?i){_B}CALL\s+([A-Z][A-Z0-9-]*)"), lambda x: F.struct(F.upper(x).alias("callee"), F.lit("dynamic").alias("kind")))
+    static = F.transform(_all(code, rf"""{_word("CALL")}\s+["']([A-Z0-9-]+)["']"""), lambda x: F.struct(x.alias("callee"), F.lit("static").alias("kind")))
+    dynamic = F.transform(_all(code, rf"{_word('CALL')}\s+([A-Z][A-Z0-9-]*)"), lambda x: F.struct(x.alias("callee"), F.lit("dynamic").alias("kind")))
     staged = programs.select(F.col(program).alias("caller"), _code(F.col(text)).alias("_code"))
     return _edges(staged, "caller", F.array_distinct(F.concat(static, dynamic)), ["callee", "kind"])
 
@@ -69,21 +85,21 @@ def uncovered(required: DataFrame, present: DataFrame, name: str) -> DataFrame:
 
 
 def copybook_uses(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
-    names = _all(_code(F.col(text)), rf"""(?i){_B}COPY\s+["']?([A-Z0-9-]+)""")
-    found = programs.select(F.col(program).alias("program"), F.array_distinct(F.transform(names, lambda x: F.upper(x))).alias("_all"))
+    names = _all(_code(F.col(text)), rf"""{_word("COPY")}\s+["']?([A-Z0-9-]+)""")
+    found = programs.select(F.col(program).alias("program"), F.array_distinct(names).alias("_all"))
     return found.select("program", F.explode_outer("_all").alias("copybook")).where(F.col("copybook").isNotNull())
 
 
 # -- paragraphs --------------------------------------------------------------
 def paragraphs(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, n, paragraph, body), in source order from zero."""
-    division = F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
+    division = _division(F.col(text))
     parts = F.filter(F.split(division, _HEADER), lambda x: ~x.rlike(r"^\s*$"))
     # text ahead of the first header belongs to the division itself
     named = F.transform(parts, lambda x: F.struct(
-        F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"), F.upper(F.regexp_extract(x, rf"^({_NAME})", 1)))
+        F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"), F.regexp_extract(x, rf"^({_NAME})", 1))
         .otherwise(F.lit("PROCEDURE")).alias("paragraph"),
-        F.upper(F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", "")).alias("body")))
+        F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", "").alias("body")))
     return programs.select(F.col(program).alias("program"), F.posexplode(named).alias("n", "_p")).select(
         "program", "n", "_p.paragraph", "_p.body")
 
@@ -93,11 +109,11 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
 
     FALLTHROUGH goes to the next paragraph unless the body ends in a jump out.
     """
-    parts = F.filter(F.split(F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1), _HEADER),
+    parts = F.filter(F.split(_division(F.col(text)), _HEADER),
                      lambda x: ~x.rlike(r"^\s*$"))
     heads = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"),
-                                                F.upper(F.regexp_extract(x, rf"^({_NAME})", 1))).otherwise(F.lit("PROCEDURE")))
-    bodies = F.transform(parts, lambda x: F.upper(F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", "")))
+                                                F.regexp_extract(x, rf"^({_NAME})", 1)).otherwise(F.lit("PROCEDURE")))
+    bodies = F.transform(parts, lambda x: F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", ""))
     ends = r"(?s)\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM|GO\s+TO\s+[A-Z0-9-]+)\s*\.?\s*$"
     loop_words = r"(?:UNTIL|VARYING|WITH|TEST)\b"
 
@@ -106,9 +122,9 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
 
     def edges(body: Column, i: Column) -> Column:
         return F.concat(
-            F.transform(_all(body, rf"{_B}PERFORM\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
-            F.transform(_all(body, rf"{_B}GO\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
-            F.transform(_all(body, rf"""{_B}CALL\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
+            F.transform(_all(body, rf"{_word('PERFORM')}\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
+            F.transform(_all(body, rf"{_word('GO')}\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
+            F.transform(_all(body, rf"""{_word("CALL")}\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
             F.when(body.rlike(r"\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM)\b"), F.array(edge(F.lit("EXIT"), EXIT)))
             .otherwise(F.array().cast("array<struct<target:string,kind:string>>")),
             F.when(~body.rlike(ends), F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
@@ -138,23 +154,22 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
         return F.flatten(F.transform(targets, lambda t: F.transform(sources, lambda s: F.struct(
             s.alias("source"), t.alias("target"), F.lit(kind).alias("kind")))))
 
-    move_re = rf"{_B}MOVE\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!{_VERB}){item})*)"
+    move_re = rf"{_word('MOVE')}\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!{_VERB}){item})*)"
     moves = F.transform(_all(code, move_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"MOVE\s+(\S+)\s+TO", 1)), words(F.regexp_extract(m, r"(?s)\sTO\s+(.*)$", 1)), ASSIGNS))
-    compute_re = rf"{_B}COMPUTE\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|{_B}{_VERB}|$)"
+    compute_re = rf"{_word('COMPUTE')}\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|{_B}{_VERB}|$)"
     computes = F.transform(_all(code, compute_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"(?s)=(.*)$", 1)), words(F.regexp_extract(m, rf"COMPUTE\s+({item})", 1)), DERIVES_FROM))
-    giving_re = rf"{_B}(?:ADD|SUBTRACT|MULTIPLY|DIVIDE)\s+[A-Z0-9.\s-]*?\bGIVING\s+{item}"
+    giving_re = rf"{_word('ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE')}\s+[A-Z0-9.\s-]*?\bGIVING\s+{item}"
     givings = F.transform(_all(code, giving_re, 0), lambda m: cross(
         words(F.regexp_replace(F.regexp_extract(m, r"(?s)^\s*[A-Z]+\s+(.*?)\bGIVING", 1), r"\b[0-9.]+\b", " ")),
         words(F.regexp_extract(m, rf"GIVING\s+({item})", 1)), DERIVES_FROM))
-    if_re = rf"(?s){_B}IF\b.*?(?=END-IF|\.\s|$)"
+    if_re = rf"(?s){_word('IF')}\b.*?(?=END-IF|\.\s|$)"
     conds = F.transform(_all(code, if_re, 0), lambda m: cross(
         words(F.regexp_replace(F.regexp_extract(m, rf"(?s)^IF\s+(.*?)(?={_B}{_VERB}|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
         F.array_union(_all(m, rf"\bTO\s+({item})"), _all(m, rf"\bCOMPUTE\s+({item})")), CONDITIONAL_ON))
     edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, conds)))
-    division = F.regexp_extract(_code(F.col(text)), r"(?is)\bPROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
-    staged = programs.select(F.col(program).alias("program"), F.upper(division).alias("_code"))
+    staged = programs.select(F.col(program).alias("program"), _division(F.col(text)).alias("_code"))
     return _edges(staged, "program", edges, ["source", "target", "kind"])
 
 
