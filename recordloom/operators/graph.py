@@ -121,13 +121,16 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
         return F.struct(target.alias("target"), F.lit(kind).alias("kind"))
 
     def edges(body: Column, i: Column) -> Column:
+        # most paragraphs hold none of the words that leave; a plain search is cheaper
+        may_leave = body.contains("GOBACK") | body.contains("STOP") | body.contains("EXIT")
+        may_jump = may_leave | body.contains("GO")
         return F.concat(
             F.transform(_all(body, rf"{_word('PERFORM')}\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
             F.transform(_all(body, rf"{_word('GO')}\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
             F.transform(_all(body, rf"""{_word("CALL")}\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
-            F.when(body.rlike(r"\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM)\b"), F.array(edge(F.lit("EXIT"), EXIT)))
+            F.when(may_leave & body.rlike(r"\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM)\b"), F.array(edge(F.lit("EXIT"), EXIT)))
             .otherwise(F.array().cast("array<struct<target:string,kind:string>>")),
-            F.when(~body.rlike(ends), F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
+            F.when(~(may_jump & body.rlike(ends)), F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
             .otherwise(F.array().cast("array<struct<target:string,kind:string>>")),
         )
 
