@@ -4,7 +4,7 @@ Each rule says good, bad, or nothing. No labels are used: a model with one
 hidden class, good or bad, is fitted to how often each pattern of votes occurs
 over all texts, which gives every rule its rates in either class, and a text's
 probability of being good follows from its votes. A text is kept if that is at
-least one half. One rule alone need not reject a text, as it would if all rules
+least 0.85. One rule alone need not reject a text, as it would if all rules
 had to pass.
 
 The counts of vote patterns are one aggregate; there are at most 3 to the
@@ -27,7 +27,7 @@ REPEAT_WINDOW = 8
 GOOD, BAD = 1, -1
 ROUNDS, SETTLED = 200, 1e-7
 PRIOR_GOOD = 0.85          # where the model starts; most texts are not junk
-LEAST_POSTERIOR = 0.5
+LEAST_POSTERIOR = 0.85
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,26 +75,38 @@ def votes(m: Column) -> dict[str, Column]:
     return {
         "length": vote(m["n_words"] >= 50, m["n_words"] < 20),
         "word_size": vote((mean >= 3.0) & (mean <= 10.0), (mean < 2.0) | (mean > 14.0)),
-        "symbols": vote(m["n_symbols"] <= 0.02 * n, m["n_symbols"] > 0.10 * n),
-        "lines": vote(m["n_dup_lines"] == 0, m["n_dup_lines"] > 0.30 * F.greatest(m["n_lines"], F.lit(1))),
-        "repeats": vote(m["n_repeat_words"] == 0, m["n_repeat_words"] > 0.20 * n),
+        "symbols": vote(m["n_symbols"] <= 0.02 * n, m["n_symbols"] > 0.25 * n),
+        "lines": vote(m["n_dup_lines"] == 0, m["n_dup_lines"] > 0.50 * F.greatest(m["n_lines"], F.lit(1))),
+        "repeats": vote(m["n_repeat_words"] == 0, m["n_repeat_words"] > 0.30 * n),
         # Long texts use words again in any case, so few different words tell only in short ones.
         "variety": F.when(m["n_words"] < 20, 0).when(m["n_words"] > 2_000, 0).otherwise(
-            vote(m["n_distinct"] >= 0.30 * n, m["n_distinct"] < 0.20 * n)),
+            vote(m["n_distinct"] >= 0.30 * n, m["n_distinct"] < 0.15 * n)),
     }
 
 
 class LabelModel:
-    """Rates of each rule's votes in good and bad texts, fitted without labels."""
+    """Rates of each rule's votes in good and bad texts, fitted without labels.
+
+    Texts are bad in ways that have little to do with one another, so most rules
+    call a bad text good: START says that such a vote means little and one for
+    bad much. It counts as ANCHOR times the texts that are there, which lets the
+    counts move the rates and keeps one frequent kind of junk from becoming all
+    that bad means. A rule that abstains says nothing about the class.
+    """
+
+    START = {GOOD: {GOOD: 0.995, BAD: 0.005}, BAD: {GOOD: 0.75, BAD: 0.25}}
+    ANCHOR = 1.0
 
     def __init__(self, rules: list[str], patterns: list[tuple[tuple[int, ...], int]]):
         self.rules = rules
-        start = {GOOD: {GOOD: 0.8, 0: 0.15, BAD: 0.05}, BAD: {GOOD: 0.3, 0: 0.2, BAD: 0.5}}
+        start = self.START
+        everything = sum(n for _, n in patterns)
         self.rates = [{c: dict(start[c]) for c in (GOOD, BAD)} for _ in rules]
         self.good = PRIOR_GOOD
         last = -math.inf
         for _ in range(ROUNDS if patterns else 0):
-            sums = [{c: {v: 0.5 * start[c][v] for v in (GOOD, 0, BAD)} for c in (GOOD, BAD)} for _ in rules]
+            own = {GOOD: self.ANCHOR * everything * PRIOR_GOOD, BAD: self.ANCHOR * everything * (1 - PRIOR_GOOD)}
+            sums = [{c: {v: own[c] * start[c][v] for v in (GOOD, BAD)} for c in (GOOD, BAD)} for _ in rules]
             total = good = like = 0.0
             for vs, n in patterns:
                 p, log = self.posterior(vs)
@@ -102,9 +114,10 @@ class LabelModel:
                 total += n
                 good += n * p
                 for r, v in enumerate(vs):
-                    sums[r][GOOD][v] += n * p
-                    sums[r][BAD][v] += n * (1 - p)
-            self.good = min(max((good + PRIOR_GOOD) / (total + 1), 1e-6), 1 - 1e-6)
+                    if v:
+                        sums[r][GOOD][v] += n * p
+                        sums[r][BAD][v] += n * (1 - p)
+            self.good = min(max((good + own[GOOD]) / (total + own[GOOD] + own[BAD]), 1e-6), 1 - 1e-6)
             self.rates = [{c: {v: x / sum(s[c].values()) for v, x in s[c].items()} for c in s} for s in sums]
             if abs(like - last) <= SETTLED * max(1.0, abs(like)):
                 break
@@ -114,8 +127,9 @@ class LabelModel:
         """Probability of good, and the log likelihood of the votes."""
         g, b = math.log(self.good), math.log(1 - self.good)
         for r, v in zip(self.rates, vs, strict=True):
-            g += math.log(r[GOOD][v])
-            b += math.log(r[BAD][v])
+            if v:
+                g += math.log(r[GOOD][v])
+                b += math.log(r[BAD][v])
         top = max(g, b)
         log = top + math.log(math.exp(g - top) + math.exp(b - top))
         return math.exp(g - log), log
@@ -124,8 +138,8 @@ class LabelModel:
         """The probability of good as an expression over the votes."""
         odds = F.lit(math.log(self.good / (1 - self.good)))
         for name, r in zip(self.rules, self.rates, strict=True):
-            w = {v: math.log(r[GOOD][v] / r[BAD][v]) for v in (GOOD, 0, BAD)}
-            odds = odds + F.when(cast[name] == GOOD, w[GOOD]).when(cast[name] == BAD, w[BAD]).otherwise(w[0])
+            w = {v: math.log(r[GOOD][v] / r[BAD][v]) for v in (GOOD, BAD)}
+            odds = odds + F.when(cast[name] == GOOD, w[GOOD]).when(cast[name] == BAD, w[BAD]).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -136,7 +150,8 @@ def judged(counted: DataFrame) -> DataFrame:
     stored table where counting costs more than reading.
     """
     rules = votes(F.col("_m"))
-    patterns = counted.groupBy(*[v.alias(k) for k, v in rules.items()]).agg(F.count(F.lit(1)).alias("_n")).collect()     # 3 ** rules rows at most
+    # Texts that the base rule rejects have their verdict; the model is for the others.
+    patterns = counted.where(~base_failed(F.col("_m"))).groupBy(*[v.alias(k) for k, v in rules.items()]).agg(F.count(F.lit(1)).alias("_n")).collect()     # 3 ** rules rows at most
     model = LabelModel(list(rules), sorted((tuple(r[k] for k in rules), r["_n"]) for r in patterns))
     return counted.select("*", base_failed(F.col("_m")).alias("base_failed"), model.column(rules).alias("p_good")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_good") >= LEAST_POSTERIOR))
