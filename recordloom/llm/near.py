@@ -1,13 +1,13 @@
 """Pairs of sets with a Jaccard similarity of at least a threshold.
 
-Sets that share a band key are candidates. No bucket is expanded into all its
+Sets that share a band key are candidates. No bucket is expanded into its
 pairs. First every member is compared with the smallest id of its bucket, the
-pivot, on full sets. Members as near as asked are linked to it and leave. What
-is left of a bucket, ids not near their pivot, is compared in blocks of bounded
-size by signature, and only pairs whose signatures say that they may be near
-are compared on full sets. Jaccard distance is a metric, so a linked member
-need only meet an unlinked one if both lie at such distances from the pivot
-that the triangle inequality allows a link; the rest is excluded exactly.
+pivot, on full sets. Members as near as asked are linked to it. What is left,
+ids not near a pivot, meets the other members of that pivot in blocks of
+bounded size, where pairs that sizes, the triangle inequality (Jaccard distance
+is a metric) and signatures do not exclude are compared on full sets. A block
+answers with no more links than it takes to join its members, so a group of
+thousands of copies costs tasks, not rows.
 """
 
 from __future__ import annotations
@@ -18,32 +18,50 @@ from pyspark.sql import DataFrame, functions as F
 
 from recordloom.llm.common import stored
 
-BLOCK = 512          # members of a bucket that meet at a time
-SLACK = 0.2          # a signature may say this much less than the sets: over five standard deviations
+BLOCK = 256          # members of a pivot that meet at a time, twice as many in a task's group
+DEVIATIONS = 5.0     # a signature may say so many standard deviations less than the sets
 
 
-def _may_be_near(least: float):
-    """Pairs (a, b) in two blocks of a bucket, one of them unlinked, by the share
-    of signature places that agree."""
+def _joined(least: float, percent: int):
+    """Links (a, b) among the members of two blocks of a pivot."""
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         one = int(g["_i"].iat[0]) == int(g["_j"].iat[0])
-        left = g if one else g[g["_blk"] == g["_i"]]
-        right = g if one else g[g["_blk"] == g["_j"]]
+        g = g.sort_values("id", ignore_index=True)
+        ids, n, open_, lo, hi, blk = (g[c].to_numpy() for c in ("id", "n", "open", "lo", "hi", "_blk"))
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
+        sets = list(g["elements"])
+        floor = least - DEVIATIONS * np.sqrt(least * (1 - least) / sig.shape[1])
+        up = list(range(len(g)))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        linked = np.flatnonzero(~open_)          # all of them are linked to the pivot
+        for k in linked[1:]:
+            up[k] = int(linked[0])
         found_a, found_b = [], []
-        if len(left) and len(right):
-            sig = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-            ids, n, open_, lo, hi = (right[c].to_numpy() for c in ("id", "n", "open", "lo", "hi"))
-            for k, (i, m, o, low, high, s) in enumerate(zip(*(left[c] for c in ("id", "n", "open", "lo", "hi", "sig")), strict=True)):
-                ok = (open_ | o) & (np.maximum(lo - high, low - hi) <= 1 - least + 1e-9) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
-                if one:
-                    ok[: k + 1] = False
-                if ok.any():
-                    at = np.flatnonzero(ok)
-                    same = (sig[at] == np.frombuffer(s, np.uint8)).mean(axis=1)
-                    at = at[same >= least - SLACK]
-                    found_a += [i] * len(at)
-                    found_b += list(ids[at])
+        for k in range(len(g)):
+            rest = slice(k + 1, None)
+            ok = (open_[rest] | open_[k]) & (np.maximum(lo[rest] - hi[k], lo[k] - hi[rest]) <= 1 - least + 1e-9)
+            ok &= np.minimum(n[rest], n[k]) * 100 >= percent * np.maximum(n[rest], n[k])
+            if not one:
+                ok &= blk[rest] != blk[k]
+            at = np.flatnonzero(ok) + k + 1
+            if not len(at):
+                continue
+            same = (sig[at] == sig[k]).mean(axis=1)
+            order = np.argsort(-same, kind="stable")
+            for m in at[order][same[order] >= floor]:
+                if root(k) != root(m):
+                    inter = np.intersect1d(sets[k], sets[m], assume_unique=True).size
+                    if inter * 100 >= percent * (n[k] + n[m] - inter):
+                        up[root(m)] = root(k)
+                        found_a.append(ids[k])
+                        found_b.append(ids[m])
         return pd.DataFrame({"a": pd.Series(found_a, dtype=g["id"].dtype), "b": pd.Series(found_b, dtype=g["id"].dtype)})
 
     return compare
@@ -56,50 +74,46 @@ def links(sketches: DataFrame, sets_of, percent: int) -> DataFrame:
     keys (band keys), sig (one byte a signature place). ``sets_of(ids)`` gives
     (id, elements array<bigint>) for a table of ids. Two sets are linked if
     100 * intersection >= ``percent`` * union.
+
+    What grows with the corpus is never broadcast, however small it is here.
     """
     least = percent / 100
     members = sketches.select("id", "n", F.explode("keys").alias("key"))
     pivots = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pivots = stored(pivots.select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), "size"), "pivots")
-    inside = stored(members.join(pivots, "key"), "buckets")
+    pivots = stored(pivots.select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "pivots")
+    star = members.join(pivots.hint("merge"), "key").where(F.col("id") != F.col("p")).select("p", "pn", "id", "n").distinct()
+    star = stored(star, "star")
+    ids = star.select("id").union(star.select("p")).distinct()
+    sets = stored(sets_of(ids), "sets")
 
-    # Sizes alone tell that sets are further apart than half the threshold asks:
-    # such members keep their lower bound of the distance and need no comparing.
-    ratio = F.least("n", "pn") / F.greatest("n", "pn")
+    # Sizes alone tell that sets are further apart than the triangle inequality can use.
     reach = 2 * least - 1
-    star = inside.where((F.col("id") != F.col("p")) & (ratio >= reach)).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    star = stored(measured(star, sets_of), "star")
+    known = F.least("n", "pn") / F.greatest("n", "pn") >= reach
+    met = measured(star.where(known), sets)
+    bounded = star.where(~known).select("p", "id", "n", F.lit(False).alias("near"), F.lit(1 - reach).alias("lo"), F.lit(1.0).alias("hi"))
     near = F.col("inter") * 100 >= F.col("uni") * percent
-
-    # What is left of each bucket, with bounds on the distance from its pivot.
-    far = star.select(F.col("a").alias("_a"), F.col("b").alias("_b"), near.alias("near"), (1 - F.col("inter") / F.col("uni")).alias("_far"))
-    seen = inside.where(F.col("id") != F.col("p")).join(far, (F.col("p") == F.col("_a")) & (F.col("id") == F.col("_b")), "left").select(
-        "key", "id", "n", (~F.coalesce("near", F.lit(False))).alias("open"),
-        F.coalesce("_far", F.lit(1 - reach)).alias("lo"), F.coalesce("_far", F.lit(1.0)).alias("hi"))
-    seen = stored(seen, "seen")
-    # A linked member matters only where an unlinked one may be near it.
-    open_ = stored(seen.where("open").groupBy("key").agg(F.min("lo").alias("least_lo")), "open")
-    rest = seen.join(open_, "key").where(F.col("open") | (F.col("lo") >= F.col("least_lo") - (1 - least) - 1e-9)).drop("least_lo")
-    rest = stored(rest, "rest")
-    sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    rest = rest.join(sizes, "key").withColumn("_n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    dealt = rest.join(sketches.select("id", "sig"), "id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
-        "key", "id", "n", "open", "lo", "hi", "sig", "_blk", F.least("_blk", "_o").alias("_i"), F.greatest("_blk", "_o").alias("_j"))
+    far = 1 - F.col("inter") / F.col("uni")
+    seen = stored(met.select("p", "id", "n", near.alias("near"), far.alias("lo"), far.alias("hi")).union(bounded), "seen")
+
+    # A linked member matters only where one that is not linked may be near it.
+    open_ = stored(seen.where(~F.col("near")).groupBy("p").agg(F.min("lo").alias("least_lo")), "open")
+    rest = seen.join(open_, "p").where(~F.col("near") | (F.col("lo") >= F.col("least_lo") - (1 - least) - 1e-9))
+    rest = stored(rest.select("p", "id", "n", (~F.col("near")).alias("open"), "lo", "hi"), "rest")
+    sizes = stored(rest.groupBy("p").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    rest = rest.join(sizes, "p").withColumn("_n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    full = rest.join(sketches.select("id", "sig"), "id").join(sets.hint("merge"), "id")
+    dealt = full.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
+        "p", "id", "n", "open", "lo", "hi", "sig", "elements", "_blk", F.least("_blk", "_o").alias("_i"), F.greatest("_blk", "_o").alias("_j"))
     kind = sketches.schema["id"].dataType.simpleString()
-    pairs = dealt.groupBy("key", "_i", "_j").applyInPandas(_may_be_near(least), f"a {kind}, b {kind}")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return star.where(near).select("a", "b").union(measured(more, sets_of).where(near).select("a", "b"))
+    more = dealt.groupBy("p", "_i", "_j").applyInPandas(_joined(least, percent), f"a {kind}, b {kind}")
+    return seen.where("near").select(F.col("p").alias("a"), F.col("id").alias("b")).union(more)
 
 
-def measured(pairs: DataFrame, sets_of) -> DataFrame:
-    """Sizes of intersection and union of each pair, from the full sets."""
-    pairs = stored(pairs, "asked")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(ids), "sets")
-    one = sets.select(F.col("id").alias("a"), F.col("elements").alias("_x"))
-    two = sets.select(F.col("id").alias("b"), F.col("elements").alias("_y"))
-    both = pairs.join(one, "a").join(two, "b")
+def measured(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """``star`` (p, id, n) with the sizes of intersection and union, from the full sets."""
+    one = sets.select("id", F.col("elements").alias("_x"))
+    two = sets.select(F.col("id").alias("p"), F.col("elements").alias("_y"))
+    both = star.select("p", "id", "n").join(one.hint("merge"), "id").join(two.hint("merge"), "p")
     inter = F.size(F.array_intersect("_x", "_y"))
-    return both.select("a", "b", inter.alias("inter"), (F.size("_x") + F.size("_y")).alias("both")).select(
-        "a", "b", "inter", (F.col("both") - F.col("inter")).alias("uni"))
+    return both.select("p", "id", "n", inter.alias("inter"), (F.size("_x") + F.size("_y")).alias("_both")).select(
+        "p", "id", "n", "inter", (F.col("_both") - F.col("inter")).alias("uni"))

@@ -81,17 +81,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     known = sketches.where("id IS NOT NULL AND n > 0")
     classes = stored(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = stored(known.join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("_d")), "id")
-                  .where(F.col("digest") == F.col("_d")).drop("_d").dropDuplicates(["id", "digest"]), "reps")
+    first = classes.select(F.col("rep").alias("id"), "digest").hint("merge")
+    reps = stored(known.join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "reps")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return (rows.join(ids, "id", "left_semi").mapInArrow(shingle_lists, f"id {kind}, elements array<bigint>")
-                .dropDuplicates(["id"]))
+        wanted = rows.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+        return wanted.mapInArrow(shingle_lists, f"id {kind}, elements array<bigint>")
 
     found = components(links(reps, sets_of, percent))
     grouped = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     grouped = stored(grouped, "grouped")
-    return sketches.join(grouped, "digest", "left").select(
+    return sketches.select("id", "n", "digest").join(grouped.hint("merge"), "digest", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
         (F.coalesce("component_id", "id").eqNullSafe(F.col("id"))).alias("kept"))
 
