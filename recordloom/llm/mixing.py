@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
 from recordloom.llm.common import documents, spaced_words, stored
 
@@ -80,7 +81,7 @@ def plan(aims: DataFrame, block: int = BLOCK_WORDS, repeats: int = REPEATS) -> D
     return stored(numbered.withColumn("p", F.col("slots") / F.greatest(F.sum("slots").over(Window.partitionBy()), F.lit(1))), "sources")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())      # a type object, as there may be no session yet
 def permuted(seed: pd.Series, i: pd.Series, n: pd.Series) -> pd.Series:
     """Where ``i`` goes in a pseudorandom permutation of 0 .. ``n`` - 1.
 

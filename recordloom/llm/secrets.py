@@ -167,12 +167,14 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     found = scanned(docs.select(F.col("doc_id").alias("path"), "text")).where(F.size("spans") > 0)
     found = stored(found.select("blob", "spans").dropDuplicates(["blob"]), "masks")
     joined = docs.select(F.struct(*docs.columns).alias("d"), blob(F.col("text")).alias("_b")).join(found, F.col("_b") == F.col("blob"), "left")
-    text = F.when(F.col("spans").isNotNull(), masked(F.col("d.text"), F.col("spans"))).otherwise(F.col("d.text"))
-    out = joined.select("d.*", text.alias("_text"), F.col("spans").isNotNull().alias("_masked"))
-    return out.select(*[
-        F.col("_text").alias(c) if c == "text"
-        else F.when(F.col("_masked"), F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c) for c in docs.columns])
+    hit = F.col("spans").isNotNull()
+    own = lambda c: F.col("d").getField(c)
+    text = F.when(hit, masked(own("text"), F.col("spans"))).otherwise(own("text"))
+    joined = joined.select("d", hit.alias("hit"), text.alias("new"))
+    return joined.select(*[
+        F.col("new").alias(c) if c == "text"
+        else F.when(F.col("hit"), F.length("new").cast(docs.schema[c].dataType)).otherwise(own(c)).alias(c) if c == "n_chars"
+        else own(c).alias(c) for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:
