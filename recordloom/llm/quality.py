@@ -150,8 +150,11 @@ def judged(counted: DataFrame) -> DataFrame:
     stored table where counting costs more than reading.
     """
     rules = votes(F.col("_m"))
-    # Texts that the base rule rejects have their verdict; the model is for the others.
-    patterns = counted.where(~base_failed(F.col("_m"))).groupBy(*[v.alias(k) for k, v in rules.items()]).agg(F.count(F.lit(1)).alias("_n")).collect()     # 3 ** rules rows at most
+    # Texts that the base rule rejects have their verdict; the model is for the
+    # others. They are told apart in the groups: a filter would be pushed below
+    # the counts, and they would be worked out once more for it.
+    groups = counted.groupBy(*[v.alias(k) for k, v in rules.items()], base_failed(F.col("_m")).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    patterns = [r for r in groups.collect() if not r["_b"]]     # 2 * 3 ** rules rows at most
     model = LabelModel(list(rules), sorted((tuple(r[k] for k in rules), r["_n"]) for r in patterns))
     return counted.select("*", base_failed(F.col("_m")).alias("base_failed"), model.column(rules).alias("p_good")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_good") >= LEAST_POSTERIOR))
