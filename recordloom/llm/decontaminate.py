@@ -1,12 +1,11 @@
 """Benchmark passages in training text, by a positional inverted index.
 
-The index holds postings of training tokens: term, text, position, and the
-words around it. Only terms that some benchmark window is searched by are
-posted, the rarest of each window by their counts over the whole corpus, so
-the index stays small beside the text. A search shifts each posting by the
-term's offset in the window and intersects the shifted lists of a window's
-search terms; what is left is compared word by word. All of it is DataFrame
-operations.
+The index holds postings of training tokens: text, place, and the words around
+it. A window is searched from its two rarest terms, by their counts over the
+whole corpus: their lists, one shifted by the gap between them, are intersected
+while they are made, so the index stays small beside the text. A search shifts
+each posting to where the window would start and compares word by word. All of
+it is DataFrame operations.
 
 Null and empty texts have no words: they hit nothing. Items without words have
 no windows. Rows that repeat a doc_id with the same text give the same result;
@@ -22,7 +21,6 @@ from recordloom.llm.common import documents, stored
 from recordloom.session import table
 
 WINDOW = 10            # words
-SEARCH_TERMS = 2       # lists that are intersected for a window
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,48 +52,48 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return ws.select("doc_id", "th", "words", F.posexplode("words").alias("pos", "term")).withColumn("h", F.xxhash64("term"))
 
 
-def search_terms(docs: DataFrame, windows: DataFrame, per_window: int = SEARCH_TERMS) -> DataFrame:
-    """The rarest terms of each window: (win, h, offset, terms), rarest over all of ``docs``."""
+def search_terms(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The two rarest terms of each window, by their counts over all of ``docs``:
+    (win, h, offset, h2, gap), ``gap`` from the first to the second. A window of
+    one term has it twice, with gap 0; a window with a term that no text has is
+    ruled out."""
     terms = stored(windows.select("win", F.posexplode("words").alias("offset", "term")).withColumn("h", F.xxhash64("term"))
                    .groupBy("win", "h").agg(F.min("offset").alias("offset")), "terms")
     vocabulary = stored(terms.select("h").distinct(), "vocabulary")
     counts = stored(_tokens(docs).select("h").join(vocabulary, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")), "counts")
-    # A window is at most WINDOW rows, so each group of this ranking is that small.
-    rank = Window.partitionBy("win").orderBy("n", "offset")
-    ranked = terms.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= per_window)
-    chosen = ranked.where("n > 0").select("win", "h", "offset").withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("win")))
-    # A term that no text has rules its window out.
-    return stored(chosen.join(ranked.where("n = 0").select("win"), "win", "left_anti"), "search")
-
-
-def index(docs: DataFrame, terms: DataFrame, around: int = WINDOW) -> DataFrame:
-    """Postings (h, doc_id, th, pos, context, begins) of the given term hashes.
-
-    ``context`` are the words up to ``around`` - 1 before and behind, ``begins``
-    the position of the first of them.
+    # A window's terms are at most WINDOW.
+    ranked = terms.join(counts, "h", "left").groupBy("win").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "h"))).alias("t"))
+    first, second = F.col("t")[0], F.col("t")[F.least(F.size("t"), F.lit(2)) - 1]
+    return stored(ranked.where(first["n"] > 0).select(
+        "win", first["h"].alias("h"), first["offset"].alias("offset"), second["h"].alias("h2"), (second["offset"] - first["offset"]).alias("gap")), "search")
+
+
+def index(docs: DataFrame, pairs: DataFrame, around: int = WINDOW) -> DataFrame:
+    """Postings (h, h2, gap, doc_id, th, pos, begins, context) of pairs of terms.
+
+    A posting is a place ``pos`` of term ``h`` with ``h2`` standing ``gap`` words
+    on: the two terms' lists, one shifted by the gap, intersected as they are
+    made, so that a term which every text holds posts no more than it must. A
+    pair of a term with itself at gap 0 posts the term. ``context`` are the
+    words up to ``around`` - 1 before and behind, ``begins`` the place of the
+    first of them.
     """
-    wanted = stored(terms.select("h").distinct(), "wanted")
+    wanted = stored(pairs.select("h", "h2", "gap").distinct(), "wanted")
     begins = F.greatest(F.col("pos") - (around - 1), F.lit(0))
-    return stored(_tokens(docs).join(wanted, "h").select(
-        "h", "doc_id", "th", "pos", begins.alias("begins"),
-        F.slice("words", begins + 1, F.col("pos") - begins + around).alias("context")), "postings")
+    met = _tokens(docs).join(wanted, "h").where(F.xxhash64(F.get("words", F.col("pos") + F.col("gap"))) == F.col("h2"))
+    return stored(met.select("h", "h2", "gap", "doc_id", "th", "pos", begins.alias("begins"),
+                             F.concat_ws(" ", F.slice("words", begins + 1, F.col("pos") - begins + around)).alias("context")), "postings")
 
 
 def phrase_matches(postings: DataFrame, search: DataFrame, windows: DataFrame) -> DataFrame:
     """(win, doc_id, th, start, size): every exact occurrence of a window.
 
-    Lists are shifted by offset and intersected: a start counts if all search
-    terms of the window are posted at their offsets from it. A term that a
-    third of all texts hold is spread by the join, which can be split, and the
-    intersection groups on the start.
+    Postings of a window's two rarest terms are shifted by the offset to where
+    the window would start, and the words from there are compared.
     """
-    shifted = postings.join(search, "h").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    met = shifted.groupBy("win", "doc_id", "th", "start").agg(
-        F.count(F.lit(1)).alias("lists"), F.first("terms").alias("terms"), F.min_by(F.struct("begins", "context"), "pos").alias("p"))
-    met = met.where(F.col("lists") == F.col("terms"))
-    here = F.slice("p.context", F.col("start") - F.col("p.begins") + 1, F.size("words"))
-    return met.join(windows, "win").where((F.col("start") >= F.col("p.begins")) & (here == F.col("words"))).select(
-        "win", "doc_id", "th", "start", F.size("words").alias("size"))
+    shifted = postings.join(search.join(windows, "win"), ["h", "h2", "gap"]).withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    here = F.slice(F.split("context", " "), F.col("start") - F.col("begins") + 1, F.size("words"))
+    return shifted.where(here == F.col("words")).select("win", "doc_id", "th", "start", F.size("words").alias("size"))
 
 
 def proximity_matches(postings: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -106,8 +104,8 @@ def proximity_matches(postings: DataFrame, terms: list[str], within: int) -> Dat
     the first term's postings, so ``within`` may not exceed what was indexed.
     """
     first, *others = terms
-    found = postings.where(F.col("h") == F.xxhash64(F.lit(first)))
-    ahead = F.slice("context", F.col("pos") - F.col("begins") + 1, within)
+    found = postings.where((F.col("h") == F.xxhash64(F.lit(first))) & (F.col("h2") == F.col("h")) & (F.col("gap") == 0))
+    ahead = F.slice(F.split("context", " "), F.col("pos") - F.col("begins") + 1, within)
     places = [F.array_position(ahead, t) for t in others]
     if not places:
         return found.select("doc_id", "th", "pos", F.col("pos").alias("last"))
@@ -142,7 +140,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, as they came."""
     dirty = contamination(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    dirty = stored(dirty, "dirty")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_d"]) & (F.xxhash64(docs["text"]) == dirty["_t"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
