@@ -91,9 +91,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = components(links(reps, sets_of, percent))
     grouped = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     grouped = stored(grouped, "grouped")
-    return sketches.select("id", "n", "digest").join(grouped.hint("merge"), "digest", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-        (F.coalesce("component_id", "id").eqNullSafe(F.col("id"))).alias("kept"))
+    out = sketches.select("id", "n", "digest").join(grouped.hint("merge"), "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
