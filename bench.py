@@ -26,7 +26,7 @@ HEADLINE = (
     "sql_inner_join", "sql_left_join_indicator", "sql_group_having", "sql_in_subquery", "sql_singleton_select",
     "sort_multi_key", "merge_files", "utility_sort_fields", "running_balance", "report_pages",
     "reconcile_diff", "reconcile_verdict", "bag_difference",
-    "call_graph_edges", "control_flow_edges", "data_flow_edges", "lineage_reach", "job_step_outcomes",
+    "call_graph_edges", "control_flow_edges", "data_flow_edges", "lineage_reach", "job_data_sets",
 )
 
 

@@ -1,4 +1,4 @@
-"""Embedded SQL: host variables, outcomes and working tables.
+"""Embedded SQL: host variables, outcomes and data change.
 
 Statement text goes to ``spark.sql`` with named parameters; only what belongs
 to the host language is taken out of it first.
@@ -7,7 +7,7 @@ to the host language is taken out of it first.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field as dc_field
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,8 +18,9 @@ from recordloom.functions.text import fit
 SUCCESS, NO_ROW, TOO_MANY, DUPLICATE_KEY, NO_TABLE, NO_COLUMN = 0, 100, -811, -803, -204, -206
 SQLSTATE = {0: "00000", 100: "02000", -811: "21000", -803: "23505", -204: "42704", -206: "42703"}
 VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE")
-WARNINGS = {"WITH UR": r"\bWITH\s+UR\b", "FOR UPDATE": r"\bFOR\s+UPDATE(\s+OF\s+[\w\s,]+)?",
+WARNINGS = {"WITH UR": r"\bWITH\s+UR\b", "FOR UPDATE": r"\bFOR\s+UPDATE(\s+OF\s+\w+(\s*,\s*\w+)*)?",
             "FETCH FIRST": r"\bFETCH\s+FIRST\s+(\d+)?\s*ROWS?\s+ONLY\b"}
+_APART = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/", re.S)
 _HOST = re.compile(r":([A-Za-z][\w-]*)(?:\s*:\s*([A-Za-z][\w-]*))?")
 
 
@@ -46,19 +47,30 @@ class Outcome:
 def statement(text: str, host: dict[str, object] | None = None) -> tuple[str, dict[str, object], list[str]]:
     """Host-free SQL text, its named arguments, and what was set aside.
 
-    Text values lose trailing blanks; a variable with a negative indicator is
-    bound as null.
+    Literals, quoted names and comments are set apart before anything is looked
+    for, and come back as they were. Text values lose trailing blanks; a
+    variable with a negative indicator is bound as null. Every occurrence of a
+    variable has an argument of its own, as its indicator may differ.
     """
     host = {k.upper(): v for k, v in (host or {}).items()}
-    body = text.strip().rstrip(";")
-    if body.split(None, 1)[0].upper() not in VERBS:
-        raise UnsupportedStatement(f"Unsupported SQL statement type: {body.split(None, 1)[0]}")
+    apart: list[str] = []
+
+    def set_apart(m: re.Match) -> str:
+        apart.append(m[0])
+        return f"\x00{len(apart) - 1}\x00"
+
+    body = _APART.sub(set_apart, text).strip().rstrip(";").rstrip()
+    verb = re.sub(r"^(\x00\d+\x00\s*)+", "", body).split(None, 1)[0].upper()
+    if verb not in VERBS:
+        raise UnsupportedStatement(f"Unsupported SQL statement type: {verb}")
     warnings = [name for name, pattern in WARNINGS.items() if re.search(pattern, body, re.I)]
-    if body[:6].upper() == "SELECT":
+    if verb == "SELECT":
         body = re.sub(r"\bINTO\s+:[\w\s:,-]+?(?=\bFROM\b|$)", "", body, count=1, flags=re.I)
-    body = re.sub(WARNINGS["WITH UR"], "", body, flags=re.I)
-    body = re.sub(WARNINGS["FOR UPDATE"], "", body, flags=re.I)
-    body = re.sub(WARNINGS["FETCH FIRST"], lambda m: f"LIMIT {m[1] or 1}", body, flags=re.I)
+    limit = re.search(WARNINGS["FETCH FIRST"], body, re.I)
+    for pattern in (WARNINGS["FETCH FIRST"], WARNINGS["WITH UR"], WARNINGS["FOR UPDATE"]):
+        body = re.sub(pattern, "", body, flags=re.I)
+    if limit:                 # at the end, whatever order the clauses had
+        body = f"{body.rstrip()} LIMIT {limit[1] or 1}"
     body = re.sub(r"\bFROM\s+SYSIBM\.SYSDUMMY1\b", "", body, flags=re.I)
     body = re.sub(r"\bCURRENT\s+TIMESTAMP\b", "current_timestamp()", body, flags=re.I)
     args: dict[str, object] = {}
@@ -73,14 +85,12 @@ def statement(text: str, host: dict[str, object] | None = None) -> tuple[str, di
             value = None
         elif isinstance(value, str):
             value = value.rstrip(" ")
-        key = name.lower().replace("-", "_")
+        key = f"h{len(args)}"
         args[key] = value
         return f":{key}"
 
-    # literals are left alone
-    pieces = re.split(r"('(?:[^']|'')*')", body)
-    body = "".join(p if p.startswith("'") else _HOST.sub(bind, p) for p in pieces)
-    return body.strip(), args, warnings
+    body = _HOST.sub(bind, body)
+    return re.sub(r"\x00(\d+)\x00", lambda m: apart[int(m[1])], body).strip(), args, warnings
 
 
 def query(spark: SparkSession, text: str, host: dict[str, object] | None = None) -> DataFrame:
@@ -159,37 +169,3 @@ def inserted(df: DataFrame, rows: DataFrame, key: list[str], seq: str) -> tuple[
         *rows.columns, F.when(F.col("_in").isNull(), DUPLICATE_KEY).otherwise(SUCCESS).alias("sqlcode"))
     added = rows.join(fresh, seq, "left_semi").select(*df.columns)
     return df.unionByName(added), outcome
-
-
-@dataclass
-class WorkingTables:
-    """Named tables with COMMIT and ROLLBACK: plans, swapped as a whole."""
-
-    committed: dict[str, DataFrame]
-    working: dict[str, DataFrame] = dc_field(default_factory=dict)
-
-    def __post_init__(self):
-        self.working = dict(self.committed)
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return self.working[name]
-
-    def insert(self, name: str, rows: DataFrame, key: list[str], seq: str) -> DataFrame:
-        self.working[name], outcome = inserted(self.working[name], rows, key, seq)
-        return outcome
-
-    def update(self, name: str, where: Column, values: dict[str, Column]) -> Outcome:
-        n = self.working[name].where(where).count()
-        self.working[name] = updated(self.working[name], where, values)
-        return Outcome(SUCCESS if n else NO_ROW, count=n)
-
-    def delete(self, name: str, where: Column) -> Outcome:
-        n = self.working[name].where(where).count()
-        self.working[name] = deleted(self.working[name], where)
-        return Outcome(SUCCESS if n else NO_ROW, count=n)
-
-    def commit(self) -> None:
-        self.committed = dict(self.working)
-
-    def rollback(self) -> None:
-        self.working = dict(self.committed)

@@ -194,15 +194,3 @@ def reach(edges: DataFrame, seeds: DataFrame, source: str = "source", target: st
         frontier = cut(step.join(seen.select(node), node, "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
-
-
-def reach_recursive(spark, edges_view: str, seeds_view: str, max_depth: int) -> DataFrame:
-    """The same as one recursive query, for acyclic graphs of known depth."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT node, 0 FROM {seeds_view}
-          UNION ALL
-          SELECT e.target, walk.depth + 1 FROM walk JOIN {edges_view} e ON e.source = walk.node
-          WHERE walk.depth < {int(max_depth)}
-        )
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node""")

@@ -59,10 +59,29 @@ def field_keys(fields: list[tuple[int, int, str]], record: str = "value") -> lis
 
 
 def fields_card(text: str) -> list[tuple[int, int, str]]:
-    """The FIELDS operand of a control card; the format code is not used."""
-    inside = text.upper().split("FIELDS=(", 1)[1].split(")", 1)[0].split(",")
-    groups = [inside[i:i + 4] for i in range(0, len(inside) - 3, 4)]
-    return [(int(s), int(n), way.strip()) for s, n, _fmt, way in groups]
+    """The FIELDS operand of a control card: (start, length, direction) of each key.
+
+    A key has four parts, or three if the card gives one format for all keys
+    (FORMAT=). The format code is not used: keys compare as text. Anything else
+    is refused, never skipped.
+    """
+    card = text.upper()
+    if "FIELDS=(" not in card:
+        raise ValueError(f"no FIELDS operand in {text!r}")
+    inside, closed, after = card.split("FIELDS=(", 1)[1].partition(")")
+    size = 3 if "FORMAT=" in after or "FORMAT=" in card.split("FIELDS=(", 1)[0] else 4
+    parts = [p.strip() for p in inside.split(",")]
+    out, at = [], 0
+    while at < len(parts):
+        own = size if size == 4 or at + 2 < len(parts) and parts[at + 2] in (ASC, DESC) else 4
+        if own == 4 and at + 2 < len(parts) and parts[at + 2] in (ASC, DESC):
+            own = 3               # a key of three parts among keys of four
+        key = parts[at:at + own]
+        if not closed or len(key) < own or not (key[0].isdigit() and key[1].isdigit()) or key[-1] not in (ASC, DESC):
+            raise ValueError(f"cannot read the keys of {text!r}")
+        out.append((int(key[0]), int(key[1]), key[-1]))
+        at += own
+    return out
 
 
 def utility_sort(lines: DataFrame, card: str, record: str = "value") -> DataFrame:

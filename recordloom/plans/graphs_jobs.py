@@ -36,11 +36,15 @@ def call_graph_edges(spark, sf_dir):
 
 
 @query("call_graph_roots", """
-SELECT 'P' || p_partkey AS program FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+SELECT 'P' || p_partkey AS program FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+UNION ALL SELECT 'O' || o_orderkey FROM orders""")
 def call_graph_roots(spark, sf_dir):
-    programs = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("program"))
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(
-        F.col("l_orderkey").cast("string").alias("caller"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("callee"), F.lit("static").alias("kind"))
+    """Orders call parts and nothing calls an order."""
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    programs = table(spark, sf_dir, "part").select(name("P", "p_partkey").alias("program")).unionByName(
+        table(spark, sf_dir, "orders").select(name("O", "o_orderkey").alias("program")))
+    edges = table(spark, sf_dir, "lineitem").select(
+        name("O", "l_orderkey").alias("caller"), name("P", "l_partkey").alias("callee"), F.lit("static").alias("kind"))
     return g.roots(programs, edges)
 
 
@@ -51,10 +55,10 @@ def dynamic_callers(spark, sf_dir):
 
 @query("copybook_coverage", """
 WITH u AS (SELECT 'BOOK' || (o_custkey % 100) AS copybook FROM orders)
-SELECT copybook, count(*) AS uses FROM u WHERE copybook NOT IN (SELECT 'BOOK' || s_suppkey FROM supplier WHERE s_nationkey < 20) GROUP BY copybook""")
+SELECT copybook, count(*) AS uses FROM u WHERE copybook NOT IN (SELECT 'BOOK' || s_suppkey FROM supplier) GROUP BY copybook""")
 def copybook_coverage(spark, sf_dir):
     """Copybooks that programs use and nobody has."""
-    have = table(spark, sf_dir, "supplier").where("s_nationkey < 20").select(F.concat(F.lit("BOOK"), F.col("s_suppkey").cast("string")).alias("copybook"))
+    have = table(spark, sf_dir, "supplier").select(F.concat(F.lit("BOOK"), F.col("s_suppkey").cast("string")).alias("copybook"))
     return g.uncovered(g.copybook_uses(order_programs(spark, sf_dir)), have, "copybook")
 
 
@@ -103,55 +107,7 @@ def lineage_reach(spark, sf_dir):
     return g.reach(lineage(spark, sf_dir), seeds)
 
 
-@query("lineage_reach_recursive", _REACH)
-def lineage_reach_recursive(spark, sf_dir):
-    lineage(spark, sf_dir).where("NOT (source LIKE 'N%' AND target LIKE 'R%')").createOrReplaceTempView("lineage_edges")
-    table(spark, sf_dir, "region").where("r_regionkey = 1").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node")).createOrReplaceTempView("lineage_seeds")
-    return g.reach_recursive(spark, "lineage_edges", "lineage_seeds", 3)
-
-
 # -- jobs --------------------------------------------------------------------
-def decks(spark, sf_dir):
-    """A job for every eight order numbers, a step per order."""
-    o = table(spark, sf_dir, "orders")
-    no = (F.col("o_orderkey") % 8 + 1).cast("int")
-    return o.select(
-        F.call_function("div", F.col("o_orderkey"), F.lit(8).cast("bigint")).alias("job"), no.alias("step_no"), F.concat(F.lit("S"), no.cast("string")).alias("step"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "EVEN").when(F.col("o_orderpriority") == "2-HIGH", "(4,LT)")
-         .when(F.col("o_orderpriority") == "3-MEDIUM", "((4,EQ,S1),(0,GT))").when(F.col("o_orderpriority") == "5-LOW", "ONLY").alias("cond"),
-        F.when(F.col("o_orderstatus") == "P", 4).when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0), 8).otherwise(0).alias("would_rc"))
-
-
-_JOBS = """
-WITH RECURSIVE s AS (
-  SELECT o_orderkey // 8 AS job, CAST(o_orderkey % 8 + 1 AS INTEGER) AS step_no, o_orderpriority AS pri,
-         CASE WHEN o_orderstatus = 'P' THEN 4 WHEN o_orderstatus = 'O' AND o_orderkey % 5 = 0 THEN 8 ELSE 0 END AS would_rc FROM orders),
-w(job, step_no, ran, rc, abended, maxrc, rc1, anyrun) AS (
-  SELECT job, 0, FALSE, CAST(NULL AS INTEGER), FALSE, 0, 0, FALSE FROM (SELECT DISTINCT job FROM s)
-  UNION ALL
-  SELECT s.job, s.step_no, t.ran, CASE WHEN t.ran THEN s.would_rc END, w.abended OR (t.ran AND s.would_rc >= 8), greatest(w.maxrc, CASE WHEN t.ran THEN s.would_rc ELSE 0 END),
-         CASE WHEN s.step_no = 1 AND t.ran THEN s.would_rc ELSE w.rc1 END, w.anyrun OR t.ran
-  FROM w JOIN s ON s.job = w.job AND s.step_no = w.step_no + 1,
-  LATERAL (SELECT CASE s.pri WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN NOT w.abended AND NOT w.maxrc > 4
-                   WHEN '3-MEDIUM' THEN NOT w.abended AND w.rc1 <> 4 WHEN '5-LOW' THEN w.abended ELSE NOT w.abended END AS ran) t)"""
-
-
-@query("job_step_outcomes", _JOBS + " SELECT job, step_no, 'S' || step_no AS step, ran, rc, abended FROM w WHERE step_no > 0")
-def job_step_outcomes(spark, sf_dir):
-    return b.step_outcomes(decks(spark, sf_dir))
-
-
-@query("job_if_condition", _JOBS + """
-SELECT job, coalesce(max(CASE WHEN step_no = 1 AND ran THEN rc END), 0) >= 4 AS first_warned, coalesce(arg_max(rc, step_no) FILTER (ran), 0) = 0 AS last_clean,
-       coalesce(bool_or(ran AND step_no = 3), FALSE) AS third_ran FROM w WHERE step_no > 0 GROUP BY job""")
-def job_if_condition(spark, sf_dir):
-    log = b.step_outcomes(decks(spark, sf_dir))
-    one = b.if_condition(log, "(S1.RC GE 4)").withColumnRenamed("holds", "first_warned")
-    two = b.if_condition(log, "RC = 0").withColumnRenamed("holds", "last_clean")
-    three = b.if_condition(log, "S3.RUN").withColumnRenamed("holds", "third_ran")
-    return one.join(two, "job").join(three, "job")
-
-
 @query("job_statements", """
 SELECT 'S' || s_suppkey AS name, 'EXEC' AS op, 'PROG' || s_nationkey AS pgm, CASE WHEN s_suppkey % 2 = 0 THEN '(4,LT,S1)' END AS cond, 'PROD.D' || s_nationkey || '.FILE' AS dsn, '&&TEMP' AS temp FROM supplier""")
 def job_statements(spark, sf_dir):
@@ -210,21 +166,3 @@ def job_data_sets(spark, sf_dir):
 SELECT c_nationkey AS deck, c_custkey * 10 + 4 AS seq, 'SYSIN' AS dd, ' SORT FIELDS=(1,' || c_custkey || ',CH,A)' AS value FROM customer""")
 def job_inline_data(spark, sf_dir):
     return b.inline_data(deck_lines(spark, sf_dir), "deck", "seq")
-
-
-@query("job_if_blocks", """
-WITH s AS (SELECT o_orderkey // 8 AS job, CAST(o_orderkey % 8 + 1 AS INTEGER) AS step_no, CASE WHEN o_orderstatus = 'P' THEN 4 ELSE 0 END AS would_rc FROM orders),
-f AS (SELECT job, max(would_rc) FILTER (step_no = 1) AS rc1, max(would_rc) FILTER (step_no = 2) AS rc2 FROM s GROUP BY job)
-SELECT s.job, s.step_no, 'S' || s.step_no AS step, t.ran, CASE WHEN t.ran THEN s.would_rc END AS rc, FALSE AS abended
-FROM s JOIN f ON s.job = f.job, LATERAL (SELECT CASE WHEN s.step_no IN (3, 4) THEN coalesce(rc1, 0) = 4 WHEN s.step_no = 5 THEN NOT coalesce(rc1, 0) = 4
-  WHEN s.step_no IN (6, 7) THEN NOT coalesce(rc1, 0) = 4 AND coalesce(rc2, 0) <= 0 ELSE TRUE END AS ran) t""")
-def job_if_blocks(spark, sf_dir):
-    """IF on the first step's code around steps 3 and 4, ELSE around 5 to 7,
-    with an IF on the second step's code inside it."""
-    d = decks(spark, sf_dir).withColumns({
-        "cond": F.lit(None).cast("string"), "would_rc": F.when(F.col("would_rc") == 4, 4).otherwise(0)})
-    g = lambda text, at, negate: F.struct(F.lit(text).alias("text"), F.lit(at).alias("at"), F.lit(negate).alias("negate"))
-    n = F.col("step_no")
-    guards = (F.when(n.isin(3, 4), F.array(g("(S1.RC EQ 4)", 3, False))).when(n == 5, F.array(g("(S1.RC EQ 4)", 3, True)))
-              .when(n.isin(6, 7), F.array(g("S1.RC = 4", 3, True), g("S2.RC <= 0", 6, False))))
-    return b.step_outcomes(d.withColumn("guards", guards))

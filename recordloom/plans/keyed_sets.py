@@ -180,7 +180,7 @@ def _mixed(spark, sf_dir):
     op = (F.when(F.col("event_type") == "view", k.READ).when(F.col("event_type") == "click", k.REWRITE)
           .when(F.col("event_type") == "error", k.DELETE).otherwise(k.WRITE))
     req = _events(spark, sf_dir).select("seq", "id", "amount", op.alias("op"))
-    return k.apply_batch(_user_master(spark, sf_dir).select("id", "amount"), req, "id", "seq", block_rows=1 << 10)
+    return k.apply_batch(_user_master(spark, sf_dir).select("id", "amount"), req, "id", "seq")
 
 
 @query("keyed_mixed_stream", _MIX + " SELECT seq, id, op, status FROM s")

@@ -30,13 +30,14 @@ def sort_procedures(spark, sf_dir):
 
 
 @query("merge_files", """
-WITH u AS (SELECT 0 AS f, o_orderkey AS seq, o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 2, c_custkey, c_custkey FROM customer)
+WITH u AS (SELECT 0 AS f, o_orderkey AS seq, o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 2, o_orderkey, o_custkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 3, c_custkey, c_custkey FROM customer)
 SELECT seq, k, row_number() OVER (ORDER BY k DESC, f, seq) AS position FROM u""")
 def merge_files(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     cols = [F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("k")]
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("k"))
-    return so.positions([o.where("o_orderstatus = 'F'").select(*cols), o.where("o_orderstatus = 'O'").select(*cols), c],
+    files = [o.where(w).select(*cols) for w in ("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderstatus NOT IN ('F', 'O')")]
+    return so.positions([*files, c],
                         [("k", "D")], "seq").select("seq", "k", "position")
 
 
@@ -52,6 +53,20 @@ def utility_sort_fields(spark, sf_dir):
     return number_rows(lines, keys, "position")
 
 
+@query("utility_sort_card", """
+WITH l AS (SELECT rpad(o_orderpriority, 15, ' ') || o_orderstatus || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS value FROM orders)
+SELECT value, row_number() OVER (ORDER BY substr(value, 16, 1) DESC, substr(value, 1, 5), value) AS mixed_parts,
+       row_number() OVER (ORDER BY substr(value, 16, 1), substr(value, 1, 5) DESC, value) AS one_format FROM l""")
+def utility_sort_card(spark, sf_dir):
+    """Keys of four and of three parts, and three parts under one FORMAT."""
+    from recordloom.operators.ordering import number_rows
+
+    lines = table(spark, sf_dir, "orders").select(F.concat(
+        F.rpad("o_orderpriority", 15, " "), "o_orderstatus", F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("value"))
+    once = number_rows(lines, so.field_keys(so.fields_card(" SORT FIELDS=(16,1,CH,D,1,5,A)")), "mixed_parts")
+    return number_rows(once, so.field_keys(so.fields_card(" SORT FIELDS=(16,1,A,1,5,D),FORMAT=CH")), "one_format")
+
+
 @query("running_balance", """
 SELECT event_id, user_id, CAST(coalesce(sum(CAST(value AS DECIMAL(9,2))) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(25,2)) AS before,
        last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events""")
@@ -59,7 +74,7 @@ def running_balance(spark, sf_dir):
     """A total kept per key while reading on, and the latest purchase before each event."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value").cast("decimal(9,2)").alias("amount"))
     out = scan_by_key(ev, ["user_id"], "event_id", last={"last_purchase": F.when(F.col("event_type") == "purchase", F.col("event_id"))},
-                      sums={"_before": F.col("amount")}, block_rows=1 << 11)
+                      sums={"_before": F.col("amount")})
     return out.select("event_id", "user_id", F.coalesce("_before", F.lit(0)).cast("decimal(25,2)").alias("before"), "last_purchase")
 
 

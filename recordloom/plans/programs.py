@@ -1,4 +1,4 @@
-"""Whole batch programs as single plans: invoices, sales, accounts, claims."""
+"""Whole batch programs as single plans: bills, sales, accounts, credit draws."""
 
 from __future__ import annotations
 
@@ -13,99 +13,78 @@ from recordloom.operators.moves import call
 from recordloom.plans.registry import query
 from recordloom.session import table
 
-INVOICE = copybook("""
-    01  INVOICE.
-        05  IN-ID        PIC X(10).
-        05  IN-DATE      PIC X(8).
-        05  IN-CUSTOMER  PIC X(10).
-        05  IN-AMOUNT    PIC 9(8)V99.
+BILL = copybook("""
+    01  BILL.
+        05  BILL-NUMBER   PIC 9(9).
+        05  BILLED-ON.
+            10  ON-YEAR   PIC 9(4).
+            10  ON-MONTH  PIC 99.
+            10  ON-DAY    PIC 99.
+        05  PAYER         PIC 9(7).
+        05  NET           PIC 9(7)V99.
 """)
-INVOICE_OUT = copybook("""
-    01  INVOICE-OUT.
-        05  OUT-ID        PIC X(10).
-        05  OUT-DATE      PIC X(8).
-        05  OUT-CUSTOMER  PIC X(10).
-        05  OUT-AMOUNT    PIC 9(8)V99.
-        05  OUT-TAX       PIC 9(8)V99.
-        05  OUT-STATUS    PIC X(10).
+BILL_OUT = copybook("""
+    01  BILL-OUT.
+        05  BILL-NUMBER   PIC 9(9).
+        05  PAYER         PIC 9(7).
+        05  NET           PIC 9(7)V99.
+        05  VAT           PIC 9(7)V99.
+        05  GROSS         PIC 9(8)V99.
+        05  SIZE-CLASS    PIC X(6).
 """)
-CLAIM = copybook("""
-    01  CLAIM.
-        05  CLM-ID           PIC X(12).
-        05  CLM-DATE         PIC X(8).
-        05  CLM-TIME         PIC X(6).
-        05  CLM-POLICY-ID    PIC X(10).
-        05  CLM-TYPE         PIC X(2).
-        05  CLM-CHANNEL      PIC X(2).
-        05  CLM-LOSS-AMOUNT  PIC 9(10)V99.
-        05  CLM-DESCRIPTION  PIC X(40).
-        05  CLM-REPORTED-BY  PIC X(20).
-        05  FILLER           PIC X(40).
-""")
-POLICY = copybook("""
-    01  POLICY.
-        05  POL-POLICY-ID    PIC X(10).
-        05  POL-CUSTOMER-ID  PIC X(6).
-        05  POL-TYPE         PIC X(2).
-        05  POL-STATUS       PIC X.
-            88  POL-ACTIVE   VALUE 'A'.
-        05  POL-CURRENCY     PIC X(3).
-        05  POL-COVER-LIMIT  PIC S9(11)V99 COMP-3.
-        05  POL-DEDUCTIBLE   PIC S9(9)V99 COMP-3.
-        05  POL-EFFECTIVE    PIC 9(8).
-        05  POL-EXPIRY       PIC 9(8).
-        05  FILLER           PIC X(20).
+CREDIT = copybook("""
+    01  CREDIT-LINE.
+        05  LINE-HOLDER   PIC 9(9).
+        05  LINE-STATE    PIC X.
+            88  LINE-OPEN   VALUE 'O'.
+        05  LINE-PURPOSE  PIC X(3).
+        05  LINE-CEILING  PIC S9(11)V99 COMP-3.
+        05  LINE-MARGIN   PIC S9(9)V99 COMP-3.
 """)
+VAT_RATE = "0.19"
+SECOND_LOOK = 150_000        # grants above it are looked at again
 
 
-# -- invoices ----------------------------------------------------------------
-def invoice_amounts(records: DataFrame) -> DataFrame:
-    """Tax truncated to cents, and a status by amount."""
-    amount = num("in_amount", "9(8)V99")
-    return records.select(
-        F.col("in_id").alias("out_id"), F.col("in_date").alias("out_date"), F.col("in_customer").alias("out_customer"),
-        amount.col.alias("out_amount"),
-        store(amount * "0.15", "9(8)V99").value.alias("out_tax"),
-        F.when(amount > 1000, "PREMIUM").otherwise("STANDARD").alias("out_status"))
+# -- bills -------------------------------------------------------------------
+def bill_amounts(bills: DataFrame) -> DataFrame:
+    """VAT cut to cents, the gross amount, and a class by the net amount."""
+    net = num("net", "9(7)V99")
+    vat = num(store(net * VAT_RATE, "9(7)V99").value, "9(7)V99")
+    return bills.select(
+        "bill_number", "payer", net.col.alias("net"), vat.col.alias("vat"), store(net + vat, "9(8)V99").value.alias("gross"),
+        F.when(net >= 2500, "LARGE").when(net >= 500, "MEDIUM").otherwise("SMALL").alias("size_class"))
 
 
-def invoices(spark, sf_dir: str) -> DataFrame:
+def bills(spark, sf_dir: str) -> DataFrame:
+    """A bill an order, over a hundredth of its price."""
     o = table(spark, sf_dir, "orders")
+    day = lambda f: f(F.col("o_orderdate"))
     return o.select(
-        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("in_id"),
-        F.date_format("o_orderdate", "yyyyMMdd").alias("in_date"),
-        F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("in_customer"),
-        (F.col("o_totalprice").cast("decimal(10,2)") / F.lit(100)).cast("decimal(10,2)").alias("in_amount"))
+        F.col("o_orderkey").cast("decimal(9,0)").alias("bill_number"),
+        F.struct(day(F.year).cast("decimal(4,0)").alias("on_year"), day(F.month).cast("decimal(2,0)").alias("on_month"), day(F.day).cast("decimal(2,0)").alias("on_day")).alias("billed_on"),
+        F.col("o_custkey").cast("decimal(7,0)").alias("payer"),
+        (F.col("o_totalprice").cast("decimal(9,2)") / F.lit(100)).cast("decimal(9,2)").alias("net"))
 
 
-_INVOICE_ROWS = """
-  SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS in_id, strftime(o_orderdate, '%Y%m%d') AS in_date,
-         lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS in_customer,
-         CAST((CAST(round(o_totalprice * 100) AS BIGINT) + 50) // 100 AS DECIMAL(12,0)) AS cents
-  FROM orders"""
+_BILLS = """
+WITH c AS (SELECT o_orderkey, o_custkey, (CAST(round(o_totalprice * 100) AS BIGINT) + 50) // 100 AS cents FROM orders),
+b AS (SELECT *, cents * 19 // 100 AS vat, CASE WHEN cents >= 250000 THEN 'LARGE' WHEN cents >= 50000 THEN 'MEDIUM' ELSE 'SMALL' END AS size_class FROM c)"""
 
 
-@query("invoice_tax_status", f"""
-WITH i AS (SELECT *, CAST(cents * 0.01 AS DECIMAL(10,2)) AS amount FROM ({_INVOICE_ROWS}))
-SELECT in_id AS out_id, in_date AS out_date, in_customer AS out_customer, amount AS out_amount,
-       CAST(trunc(amount * 0.15, 2) AS DECIMAL(10,2)) AS out_tax,
-       CASE WHEN amount > 1000 THEN 'PREMIUM' ELSE 'STANDARD' END AS out_status
-FROM i""")
+@query("invoice_tax_status", _BILLS + """
+SELECT CAST(o_orderkey AS DECIMAL(9,0)) AS bill_number, CAST(o_custkey AS DECIMAL(7,0)) AS payer, CAST(cents * 0.01 AS DECIMAL(9,2)) AS net,
+       CAST(vat * 0.01 AS DECIMAL(9,2)) AS vat, CAST((cents + vat) * 0.01 AS DECIMAL(10,2)) AS gross, size_class FROM b""")
 def invoice_tax_status(spark, sf_dir):
-    return invoice_amounts(invoices(spark, sf_dir))
+    return bill_amounts(bills(spark, sf_dir))
 
 
-@query("invoice_record_lines", f"""
-WITH i AS (SELECT *, CAST(cents * 0.01 AS DECIMAL(10,2)) AS amount FROM ({_INVOICE_ROWS}))
-SELECT in_id || in_date || in_customer || lpad(CAST(cents AS VARCHAR), 10, '0')
-       || lpad(CAST(cents * 15 // 100 AS VARCHAR), 10, '0')
-       || CASE WHEN amount > 1000 THEN 'PREMIUM' ELSE 'STANDARD' END AS line
-FROM (SELECT in_id, in_date, in_customer, CAST(cents AS BIGINT) AS cents, amount FROM i)""")
+@query("invoice_record_lines", _BILLS + """
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || lpad(CAST(o_custkey AS VARCHAR), 7, '0') || lpad(CAST(cents AS VARCHAR), 9, '0')
+       || lpad(CAST(vat AS VARCHAR), 9, '0') || lpad(CAST(cents + vat AS VARCHAR), 10, '0') || size_class AS line FROM b""")
 def invoice_record_lines(spark, sf_dir):
     """Fixed-width line in, fixed-width line out."""
-    lines = INVOICE.encode(invoices(spark, sf_dir))
-    out = invoice_amounts(INVOICE.decode(lines))
-    return INVOICE_OUT.encode(out).select(F.rtrim("value").alias("line"))
+    out = bill_amounts(BILL.decode(BILL.encode(bills(spark, sf_dir))))
+    return BILL_OUT.encode(out).select(F.rtrim("value").alias("line"))
 
 
 # -- sales -------------------------------------------------------------------
@@ -154,92 +133,67 @@ def account_balance(spark, sf_dir):
                     ).withColumn("status", F.when(F.col("new_balance") < 0, "OVERDRAWN").otherwise("ACTIVE"))
 
 
-# -- claims ------------------------------------------------------------------
-def settle(claims: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each claim against its policy: result, error, approved amount, output line."""
-    found = read_key(claims, policies, "clm_policy_id", "pol_policy_id")
-    loss, deductible = num("clm_loss_amount", "9(10)V99"), num("pol_deductible", "S9(9)V99")
-    limit = F.col("pol_cover_limit").cast("decimal(13,2)")
-    less = store(loss - deductible, "S9(11)V99").value
-    approved = F.least(F.greatest(less, F.lit(0).cast("decimal(13,2)")), limit)
-    error = (F.when(F.col("status") != OK, "P001")
-             .when(~POLICY.condition("POL-ACTIVE"), "P002")
-             .when(~text_eq(F.col("clm_type"), F.col("pol_type")), "P003"))
-    text = (F.when(F.col("error_code") == "P001", "POLICY NOT FOUND")
-            .when(F.col("error_code") == "P002", "POLICY INACTIVE OR EXPIRED")
-            .when(F.col("error_code") == "P003", "CLAIM TYPE NOT COVERED BY POLICY"))
-    judged = found.withColumn("error_code", error).withColumn("approved", F.when(F.col("error_code").isNull(), approved))
-    result = (F.when(F.col("error_code").isNotNull(), "REJECTED")
-              .when(F.col("approved") > 200000, "MANUAL_REVIEW").otherwise("APPROVED"))
-    judged = judged.withColumn("result", result)
-    middle = F.when(F.col("error_code").isNull(), F.concat_ws("|", "result", F.col("approved").cast("string"))).otherwise(
-        F.concat_ws("|", "error_code", text))
-    line = string_into([(F.col("clm_id"), None), ("|", None), (F.col("clm_policy_id"), None), ("|", None), (middle, None),
-                        ("|", None), (F.col("clm_description"), None)])
-    return judged.select("clm_id", "clm_policy_id", "error_code", "approved", "result", line.alias("line"))
-
-
-def claim_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Orders as claims against customers as policies; every seventh policy has another number."""
-    number = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
-    policies = table(spark, sf_dir, "customer").select(
-        F.when(F.col("c_custkey") % 7 == 0, F.overlay(number, F.lit("X"), 1)).otherwise(number).alias("pol_policy_id"),
-        F.substring("c_mktsegment", 1, 2).alias("pol_type"),
-        F.when(F.col("c_nationkey") % 5 == 0, "L").otherwise("A").alias("pol_status"),
-        (F.abs(F.col("c_acctbal")).cast("decimal(13,2)") * 40).cast("decimal(13,2)").alias("pol_cover_limit"),
-        F.abs(F.col("c_acctbal")).cast("decimal(11,2)").alias("pol_deductible"))
-    o = table(spark, sf_dir, "orders")
-    claims = o.select(
-        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("clm_id"),
-        F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("clm_policy_id"),
-        F.when(F.col("o_orderstatus") == "P", "AU").when(F.col("o_orderstatus") == "F", "BU").otherwise("MA").alias("clm_type"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("clm_loss_amount"),
-        F.col("o_orderpriority").alias("clm_description"))
-    return claims, policies
-
-
-_CLAIMS_SQL = """
-WITH p AS (
-  SELECT CASE WHEN c_custkey % 7 = 0 THEN 'X' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS pid, substr(c_mktsegment, 1, 2) AS ptype,
-         CASE WHEN c_nationkey % 5 = 0 THEN 'L' ELSE 'A' END AS pstatus,
-         CAST(CAST(abs(c_acctbal) AS DECIMAL(13,2)) * 40 AS DECIMAL(13,2)) AS lim, CAST(abs(c_acctbal) AS DECIMAL(13,2)) AS ded
-  FROM customer),
-c AS (
-  SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS clm_id, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS clm_policy_id,
-         CASE o_orderstatus WHEN 'P' THEN 'AU' WHEN 'F' THEN 'BU' ELSE 'MA' END AS ctype,
-         CAST(o_totalprice AS DECIMAL(13,2)) AS loss, o_orderpriority AS descr FROM orders),
-j AS (
-  SELECT *, CASE WHEN pid IS NULL THEN 'P001' WHEN pstatus <> 'A' THEN 'P002' WHEN ctype <> ptype THEN 'P003' END AS error_code
-  FROM c LEFT JOIN p ON clm_policy_id = pid),
-k AS (
-  SELECT *, CASE WHEN error_code IS NULL THEN CAST(least(greatest(loss - ded, 0), lim) AS DECIMAL(13,2)) END AS approved FROM j),
-r AS (
-  SELECT *, CASE WHEN error_code IS NOT NULL THEN 'REJECTED' WHEN approved > 200000 THEN 'MANUAL_REVIEW' ELSE 'APPROVED' END AS result FROM k)"""
-
-
-@query("claims_settlement", _CLAIMS_SQL + """
-SELECT clm_id, clm_policy_id, error_code, approved, result,
-       clm_id || '|' || clm_policy_id || '|' ||
-       CASE WHEN error_code IS NULL THEN result || '|' || CAST(approved AS VARCHAR)
-            ELSE error_code || '|' || CASE error_code WHEN 'P001' THEN 'POLICY NOT FOUND' WHEN 'P002' THEN 'POLICY INACTIVE OR EXPIRED'
-                                           ELSE 'CLAIM TYPE NOT COVERED BY POLICY' END END || '|' || descr AS line
-FROM r""")
+# -- draws on credit lines ----------------------------------------------------
+#: Why a draw is turned down: code and wording, in the order in which they are looked for.
+REFUSALS = {"NOLINE": "holder has no credit line", "CLOSED": "line takes no draws now", "PURPOSE": "line is for another purpose"}
+
+
+def grant(draws: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each draw against its holder's line: what is granted, why not, and a journal entry.
+
+    A draw is cut by the margin that the holder bears and then fitted under the
+    line's ceiling.
+    """
+    met = read_key(draws, lines, "holder", "line_holder")
+    faults = {"NOLINE": F.col("status") != OK, "CLOSED": ~CREDIT.condition("LINE-OPEN"), "PURPOSE": ~text_eq(F.col("purpose"), F.col("line_purpose"))}
+    first = F.coalesce(*[F.when(faults[code], code) for code in REFUSALS])
+    after_margin = store(num("asked", "9(10)V99") - num("line_margin", "S9(9)V99"), "S9(11)V99").value
+    nothing = F.lit(0).cast("decimal(13,2)")
+    sized = met.withColumn("refusal", first).withColumn(
+        "granted", F.when(F.col("refusal").isNull(), F.least(F.greatest(after_margin, nothing), F.col("line_ceiling").cast("decimal(13,2)"))))
+    outcome = evaluate([(F.col("refusal").isNotNull(), "REFUSED"), (F.col("granted") == 0, "EMPTY"), (F.col("granted") > SECOND_LOOK, "HELD")], F.lit("PAID"))
+    wording = F.element_at(F.create_map(*[F.lit(x) for pair in REFUSALS.items() for x in pair]), F.col("refusal"))
+    entry = string_into([(F.col("draw"), None), (";", None), (F.col("outcome"), None), (";", None), (F.coalesce(wording, F.col("granted").cast("string")), None), (";", None), (F.col("note"), None)])
+    return sized.withColumn("outcome", outcome).select("draw", "holder", "refusal", "granted", "outcome", entry.alias("entry"))
+
+
+def draw_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as draws, customers as holders of lines; every ninth customer has none."""
+    lines = table(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select(
+        F.col("c_custkey").alias("line_holder"), F.substring("c_mktsegment", 1, 3).alias("line_purpose"),
+        F.when(F.col("c_nationkey") % 6 == 1, "S").otherwise("O").alias("line_state"),
+        (F.abs(F.col("c_acctbal")).cast("decimal(13,2)") * 30).cast("decimal(13,2)").alias("line_ceiling"),
+        F.abs(F.col("c_acctbal")).cast("decimal(11,2)").alias("line_margin"))
+    purpose = evaluate([("F", "BUI"), ("O", "MAC")], F.lit("AUT"), subjects=(F.col("o_orderstatus"),))
+    draws = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("draw"), F.col("o_custkey").alias("holder"), purpose.alias("purpose"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("asked"), F.col("o_orderpriority").alias("note"))
+    return draws, lines
+
+
+_DRAWS = """
+WITH l AS (SELECT c_custkey, substr(c_mktsegment, 1, 3) AS purpose, c_nationkey % 6 <> 1 AS is_open,
+                  CAST(CAST(abs(c_acctbal) AS DECIMAL(13,2)) * 30 AS DECIMAL(13,2)) AS ceiling, CAST(abs(c_acctbal) AS DECIMAL(13,2)) AS margin FROM customer WHERE c_custkey % 9 <> 0),
+d AS (SELECT CAST(o_orderkey AS VARCHAR) AS draw, o_custkey AS holder, CASE o_orderstatus WHEN 'F' THEN 'BUI' WHEN 'O' THEN 'MAC' ELSE 'AUT' END AS wanted,
+             CAST(o_totalprice AS DECIMAL(13,2)) AS asked, o_orderpriority AS note FROM orders),
+f AS (SELECT *, CASE WHEN c_custkey IS NULL THEN 'NOLINE' WHEN NOT is_open THEN 'CLOSED' WHEN wanted <> purpose THEN 'PURPOSE' END AS refusal FROM d LEFT JOIN l ON holder = c_custkey),
+s AS (SELECT *, CASE WHEN refusal IS NULL THEN CAST(least(greatest(asked - margin, 0), ceiling) AS DECIMAL(13,2)) END AS granted FROM f),
+r AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN 'REFUSED' WHEN granted = 0 THEN 'EMPTY' WHEN granted > 150000 THEN 'HELD' ELSE 'PAID' END AS outcome FROM s)"""
+
+
+@query("claims_settlement", _DRAWS + """
+SELECT draw, holder, refusal, granted, outcome, draw || ';' || outcome || ';' || coalesce(CASE refusal WHEN 'NOLINE' THEN 'holder has no credit line'
+       WHEN 'CLOSED' THEN 'line takes no draws now' WHEN 'PURPOSE' THEN 'line is for another purpose' END, CAST(granted AS VARCHAR)) || ';' || note AS entry FROM r""")
 def claims_settlement(spark, sf_dir):
-    return settle(*claim_tables(spark, sf_dir))
+    return grant(*draw_tables(spark, sf_dir))
 
 
-@query("claims_totals", _CLAIMS_SQL + """
-SELECT count(*) AS claims, count(*) FILTER (result = 'APPROVED') AS approved_claims,
-       count(*) FILTER (result = 'MANUAL_REVIEW') AS review_claims, count(*) FILTER (result = 'REJECTED') AS rejected_claims,
-       CAST(coalesce(sum(approved), 0) % 1000000000 AS DECIMAL(11,2)) AS approved_total
-FROM r""")
+@query("claims_totals", _DRAWS + """
+SELECT count(*) AS draws, count(*) FILTER (outcome = 'PAID') AS paid, count(*) FILTER (outcome = 'HELD') AS held, count(*) FILTER (outcome = 'REFUSED') AS refused,
+       CAST(coalesce(sum(granted), 0) % 1000000000 AS DECIMAL(11,2)) AS granted_total FROM r""")
 def claims_totals(spark, sf_dir):
     """The counters of the read loop, as one aggregate."""
     from recordloom.operators.counters import totals
 
-    done = settle(*claim_tables(spark, sf_dir))
-    r = F.col("result")
-    out = totals(done, {"claims": F.lit(True), "approved_claims": r == "APPROVED", "review_claims": r == "MANUAL_REVIEW",
-                        "rejected_claims": r == "REJECTED"},
-                 {"approved_total": (num(F.coalesce("approved", F.lit(0)), "9(11)V99"), "9(9)V99")})
-    return out
+    counted = {"draws": F.lit(True)} | {name: F.col("outcome") == name.upper() for name in ("paid", "held", "refused")}
+    return totals(grant(*draw_tables(spark, sf_dir)), counted, {"granted_total": (num(F.coalesce("granted", F.lit(0)), "9(11)V99"), "9(9)V99")})

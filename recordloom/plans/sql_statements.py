@@ -128,17 +128,34 @@ def sql_update_delete(spark, sf_dir):
     return e.deleted(u, F.col("s_nationkey") == 3).select("s_suppkey", "s_name", "bal")
 
 
-@query("sql_commit_rollback", """
-SELECT c_custkey, CASE WHEN c_nationkey = 1 THEN 'FIRST' ELSE c_name END AS c_name FROM customer WHERE c_nationkey <> 7""")
-def sql_commit_rollback(spark, sf_dir):
-    """Committed changes stay, rolled-back ones do not."""
-    w = e.WorkingTables({"customer": table(spark, sf_dir, "customer")})
-    w.update("customer", F.col("c_nationkey") == 1, {"c_name": F.lit("FIRST")})
-    w.delete("customer", F.col("c_nationkey") == 7)
-    w.commit()
-    w.update("customer", F.lit(True), {"c_name": F.lit("LOST")})
-    w.rollback()
-    return w["customer"].select("c_custkey", "c_name")
+@query("sql_literals_untouched", """
+SELECT o_orderkey, 'SOLD WITH UR FOR UPDATE :X' AS text, 'CURRENT TIMESTAMP' AS words FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50""")
+def sql_literals_untouched(spark, sf_dir):
+    """Clauses and variables inside literals and comments are only text; a limit behind FOR UPDATE OF holds."""
+    _views(spark, sf_dir, "orders")
+    return e.query(spark, """SELECT o_orderkey, 'SOLD WITH UR FOR UPDATE :X' AS text, 'CURRENT TIMESTAMP' AS words -- not :BOUND
+        FROM orders WHERE o_orderstatus = :ST /* WITH UR */ ORDER BY o_orderkey FOR UPDATE OF o_custkey, o_orderstatus FETCH FIRST 50 ROWS ONLY""", {"ST": "F  "})
+
+
+@query("sql_indicator_per_use", """
+SELECT c_custkey, c_nationkey = 3 AS plain, CAST(NULL AS BOOLEAN) AS with_indicator, c_nationkey < 7 AS other FROM customer""")
+def sql_indicator_per_use(spark, sf_dir):
+    """One variable with and without its indicator, and names that differ by - and _."""
+    _views(spark, sf_dir, "customer")
+    return e.query(spark, "SELECT c_custkey, c_nationkey = :WS-N AS plain, c_nationkey = :WS-N:IND AS with_indicator, c_nationkey < :WS_N AS other FROM customer",
+                   {"WS-N": 3, "WS_N": 7, "IND": -1})
+
+
+@query("sql_outcome_codes", """
+SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN -204 WHEN 1 THEN -206 WHEN 2 THEN 100 ELSE 0 END AS sqlcode,
+       CASE r_regionkey WHEN 0 THEN '42704' WHEN 1 THEN '42703' WHEN 2 THEN '02000' ELSE '00000' END AS sqlstate FROM region""")
+def sql_outcome_codes(spark, sf_dir):
+    """An unknown table, an unknown column, no row, and a row."""
+    _views(spark, sf_dir, "region")
+    done = {0: e.select_into(spark, "SELECT X FROM NO_SUCH_TABLE"), 1: e.select_into(spark, "SELECT NO_SUCH INTO :A FROM region"),
+            2: e.select_into(spark, "SELECT r_name INTO :A FROM region WHERE r_regionkey < 0"), 3: e.select_into(spark, "SELECT r_name INTO :A FROM region WHERE r_regionkey = 3")}
+    pick = lambda what: F.coalesce(*[F.when(F.col("r_regionkey") == k, F.lit(what(o))) for k, o in done.items()], F.lit(what(done[3])))
+    return table(spark, sf_dir, "region").select("r_regionkey", pick(lambda o: o.sqlcode).alias("sqlcode"), pick(lambda o: o.sqlstate).alias("sqlstate"))
 
 
 @query("sql_dialect_forms", """

@@ -38,10 +38,10 @@ w AS (SELECT *, length(coalesce(p[1], '')) + length(coalesce(p[2], '')) + length
 SELECT doc_id, coalesce(p[1], '') AS first, coalesce(p[2], '') AS second, coalesce(p[3], '') AS third, CAST(least(len(p), 3) AS INTEGER) AS filled,
        CAST(CASE WHEN len(p) <= 3 THEN n + 1 ELSE 1 + used END AS INTEGER) AS pointer,
        CASE WHEN len(p) <= 3 THEN FALSE ELSE 1 + used <= n END AS overflow
-FROM w WHERE n > 0""")
+FROM w""")
 def unstring_split(spark, sf_dir):
     u = t.unstring(F.col("text"), " ", 3)
-    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", *[c.alias(k) for c, k in zip(u.fields, ("first", "second", "third"))],
         u.tally.alias("filled"), u.pointer.alias("pointer"), u.overflow.alias("overflow"))
 

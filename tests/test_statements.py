@@ -45,21 +45,16 @@ def test_refusals(spark, tables):
         with pytest.raises(e.UnsupportedStatement):
             e.statement(verb)
     body, args, warned = e.statement("SELECT ':x' AS A FROM T WHERE B = :C-D WITH UR", {"c-d": "v  "})
-    assert ":x" in body and args == {"c_d": "v"} and warned == ["WITH UR"]
+    assert ":x" in body and list(args.values()) == ["v"] and warned == ["WITH UR"]
     assert e.sqlcode(ValueError("x")) == -1
     assert spark_type("NUMERIC(9,2)") == "decimal(9,2)" and spark_type("CHAR(3)") == "string"
 
 
-def test_working_tables(spark, tables):
-    w = e.WorkingTables({"dept": tables["dept"]})
-    new = spark.createDataFrame([(1, 20, "SALES"), (2, 10, "AGAIN"), (3, 20, "TWICE")], "seq int, dept_id int, dept_name string")
-    out = w.insert("dept", new, ["dept_id"], "seq")
-    assert {r.seq: r.sqlcode for r in out.collect()} == {1: 0, 2: -803, 3: -803}
-    w.commit()
-    assert w.update("dept", F.col("dept_id") == 20, {"dept_name": F.lit("GONE")}).sqlcode == 0
-    assert w.delete("dept", F.col("dept_id") == 99).sqlcode == 100
-    w.rollback()
-    assert sorted(tuple(r) for r in w["dept"].collect()) == [(10, "ENGINEERING"), (20, "SALES")]
+def test_statement_text_is_left_alone():
+    body, args, _ = e.statement("SELECT 'SOLD WITH UR X', \"a :b\" FROM T -- :no\nWHERE A = :ST:IND OR B = :ST OR C = :WS-A OR D = :WS_A FOR UPDATE OF A, B FETCH FIRST 5 ROWS ONLY",
+                                {"ST": "x ", "IND": -1, "WS-A": 1, "WS_A": 2})
+    assert "'SOLD WITH UR X'" in body and '"a :b"' in body and "-- :no" in body and body.endswith("LIMIT 5")
+    assert list(args.values()) == [None, "x", 1, 2]
 
 
 # -- comparison: every kind of damage must be seen -----------------------------
@@ -163,32 +158,6 @@ def test_reach_with_cycles(spark):
 
 
 # -- jobs ------------------------------------------------------------------------
-def outcome(spark, steps):
-    df = spark.createDataFrame([("J", i, s, c, rc_) for i, (s, c, rc_) in enumerate(steps, 1)], "job string, step_no int, step string, cond string, would_rc int")
-    return {r.step: (r.ran, r.rc, r.abended) for r in b.step_outcomes(df).collect()}
-
-
-def test_step_conditions(spark):
-    got = outcome(spark, [("S1", None, 4), ("S2", "(4,LT)", 0), ("S3", "(4,EQ,S1)", 0), ("S4", None, 8), ("S5", None, 0), ("S6", "EVEN", 0), ("S7", "ONLY", 2), ("S8", "((8,LE,S4),ONLY)", 0)])
-    assert got == {"S1": (True, 4, False), "S2": (True, 0, False), "S3": (False, None, False), "S4": (True, 8, True), "S5": (False, None, True),
-                   "S6": (True, 0, True), "S7": (True, 2, True), "S8": (False, None, True)}
-    assert outcome(spark, [("S1", None, None), ("S2", None, 0)]) == {"S1": (True, 16, True), "S2": (False, None, True)}
-
-
-def test_too_many_steps_is_an_error(spark):
-    with pytest.raises(Exception, match="too many steps"):
-        outcome(spark, [(f"S{i}", None, 0) for i in range(300)])
-
-
-def test_if_conditions(spark):
-    df = spark.createDataFrame([("J", 1, "S1", None, 4), ("J", 2, "S2", "(4,EQ)", 0)], "job string, step_no int, step string, cond string, would_rc int")
-    log = b.step_outcomes(df)
-    holds = {t: b.if_condition(log, t).first().holds for t in ("S1.RC = 4", "(RC GT 4)", "S2.RUN", "S1.RUN", "S2.RC EQ 0")}
-    assert holds == {"S1.RC = 4": True, "(RC GT 4)": False, "S2.RUN": False, "S1.RUN": True, "S2.RC EQ 0": True}
-    with pytest.raises(ValueError):
-        b.if_condition(log, "ABEND")
-
-
 def test_symbols(spark):
     df = spark.createDataFrame([("DSN=&HLQ..&HLQX.,T=&&TMP,U=&NO.", {"HLQ": "P", "HLQX": "Q"})], "t string, m map<string,string>")
     r = df.select(b.substitute(F.col("t"), F.col("m")).alias("t")).select("t", b.unresolved(F.col("t")).alias("u")).first()
