@@ -23,7 +23,10 @@ def _scaled(whole: Column, digits: int, p: Picture) -> Column:
 
 # -- zoned -------------------------------------------------------------------
 def decode_zoned(text: Column, pic: str | Picture, leading: bool = False, separate: bool = False) -> Column:
-    """DISPLAY digits with an overpunched or separate sign; blanks are zero."""
+    """DISPLAY digits with an overpunched or separate sign; blanks are zero.
+
+    Anything else than digits and, in signed items, the sign is null.
+    """
     p = _pic(pic)
     n = p.digits
     negative = F.lit(False)
@@ -32,12 +35,14 @@ def decode_zoned(text: Column, pic: str | Picture, leading: bool = False, separa
         sign = text.substr(1, 1) if leading else text.substr(n + 1, 1)
         body = text.substr(2, n) if leading else text.substr(1, n)
         negative = sign == "-"
+        body = F.when(sign.isin("+", "-", " "), body)
     elif p.signed:
         mark = text.substr(1, 1) if leading else text.substr(n, 1)
         negative = mark.between(MINUS_DIGITS[0], MINUS_DIGITS[-1])
         digit = F.translate(mark, MINUS_DIGITS, PLAIN_DIGITS)
         body = F.concat(digit, text.substr(2, n - 1)) if leading else F.concat(text.substr(1, n - 1), digit)
-    whole = F.coalesce(F.trim(body).try_cast(f"decimal({n},0)"), F.lit(0).cast(f"decimal({n},0)"))
+    plain = F.trim(body)
+    whole = F.when(plain == "", F.lit(0).cast(f"decimal({n},0)")).when(plain.rlike("^[0-9]+$"), plain.try_cast(f"decimal({n},0)"))
     value = _scaled(whole, n, p)
     return F.when(negative, -value).otherwise(value) if p.signed else value
 

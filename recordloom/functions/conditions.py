@@ -16,6 +16,30 @@ def text_eq(a: Column, b: Column | str) -> Column:
     return F.rtrim(a) == (F.rtrim(other) if isinstance(b, Column) else other)
 
 
+def padded(a: Column, b: Column | str) -> tuple[Column, Column]:
+    """Both sides blank-padded to one length, for <, <=, > and >= on text."""
+    b = b if isinstance(b, Column) else F.lit(b)
+    n = F.greatest(F.length(a), F.length(b))
+    return F.rpad(a, n, F.lit(" ")), F.rpad(b, n, F.lit(" "))
+
+
+def text_lt(a: Column, b: Column | str) -> Column:
+    x, y = padded(a, b)
+    return x < y
+
+
+def text_le(a: Column, b: Column | str) -> Column:
+    x, y = padded(a, b)
+    return x <= y
+
+
+def through(subject: Column, low, high) -> Column:
+    """low THRU high, ends included."""
+    if not isinstance(low, str):
+        return subject.between(low, high)
+    return ~text_lt(subject, low) & text_le(subject, high)
+
+
 def condition_name(subject: Column, values: Sequence) -> Column:
     """Level-88 test; values are single ones or (low, high) pairs for THRU."""
     single = [v for v in values if not isinstance(v, tuple)]
@@ -24,7 +48,7 @@ def condition_name(subject: Column, values: Sequence) -> Column:
         body = F.rtrim(subject) if all(isinstance(v, str) for v in single) else subject
         tests.append(body.isin(*[v.rstrip(" ") if isinstance(v, str) else v for v in single]))
     for low, high in (v for v in values if isinstance(v, tuple)):
-        tests.append(subject.between(low, high))
+        tests.append(through(subject, low, high))
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -49,7 +73,7 @@ def evaluate(whens: Sequence[tuple], other: Column | None = None, subjects: Sequ
             if subject is True:
                 tests.append(match)
             elif isinstance(match, tuple):
-                tests.append(subject.between(*match))
+                tests.append(through(subject, *match))
             else:
                 tests.append(subject == match)
         hit = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)

@@ -18,6 +18,7 @@ from recordloom.picture import NUMERIC, Picture, picture
 MAX_DIGITS = 38
 LONG_DIGITS = 18
 QUOTIENT_SCALE = 20   # fraction digits kept by a division inside an expression
+LEAST_QUOTIENT = 6    # fewer are not kept: the division is refused
 
 TRUNCATION = "TRUNCATION"
 NEAREST_AWAY = "NEAREST-AWAY-FROM-ZERO"
@@ -108,7 +109,9 @@ class Num:
         other = as_num(other)
         head = max(self.scale, other.scale) - self.scale
         room = min(31 - self.digits - head, 32 - self.ints - other.scale)
-        return divide(self, other, max(0, min(QUOTIENT_SCALE, room)))
+        if room >= QUOTIENT_SCALE:
+            return divide(self, other, QUOTIENT_SCALE)
+        return _long_quotient(self, other)
 
     def __rtruediv__(self, other):
         return as_num(other) / self
@@ -187,6 +190,23 @@ def _whole_quotient(a: Num, b: Num, scale: int):
     return quot, rest, low, quot_digits
 
 
+def _long_quotient(a: Num, b: Num) -> Num:
+    """A quotient of wide operands: its whole part, and then its fraction from
+    the remainder, each a division of whole numbers. What cannot keep
+    LEAST_QUOTIENT fraction digits is refused."""
+    quot, rest, low, digits = _whole_quotient(a, b, 0)
+    low_digits = b.ints + max(a.scale, b.scale)
+    scale = min(QUOTIENT_SCALE, MAX_DIGITS - 1 - digits, MAX_DIGITS - 7 - low_digits)
+    if scale < LEAST_QUOTIENT:
+        raise PrecisionError(f"quotient of {a.digits} by {b.digits} digits keeps {scale} fraction digits; store an intermediate result first")
+    rest, low = dec(rest, low_digits, 0), dec(low, low_digits, 0)
+    top = dec(rest * pow10(scale), low_digits + scale, 0)
+    more = dec(top % low, low_digits, 0)
+    fraction = point_left(dec(dec(top - more, low_digits + scale, 0) / low, scale, 0), scale, scale, scale + 1)
+    value = dec(dec(quot, digits, 0) + fraction, digits + scale, scale)
+    return Num(F.when((a.col < 0) != (b.col < 0), -value).otherwise(value), digits + scale, scale)
+
+
 def divide(a, b, scale: int, rounding: str = TRUNCATION) -> Num:
     """Quotient exact to ``scale`` digits; null where the divisor is zero."""
     a, b = as_num(a), as_num(b)
@@ -326,12 +346,20 @@ def function_rem(a, b) -> Num:
     return Num(dec(a.col % F.nullif(b.col, F.lit(0)), digits, scale), digits, scale)
 
 
-def numval(text: Column, digits: int = 18, scale: int = 2) -> Num:
-    """FUNCTION NUMVAL: free-form number text; anything unreadable is zero."""
+def numval(text: Column, digits: int = 36, scale: int = 18) -> Num:
+    """FUNCTION NUMVAL: free-form number text; anything unreadable is zero.
+
+    Fraction digits past ``scale`` are cut, not rounded. A number with more
+    whole digits than there is room for fails the row.
+    """
+    kind = f"decimal({digits},{scale})"
     clean = F.upper(F.trim(F.translate(text, "$,", "")))
     negative = clean.startswith("-") | clean.endswith("-") | clean.endswith("CR") | clean.endswith("DB")
     body = F.trim(F.regexp_replace(clean, r"^[+-]|[+-]$|CR$|DB$", ""))
-    value = F.coalesce(body.try_cast(f"decimal({digits},{scale})"), F.lit(0).cast(f"decimal({digits},{scale})"))
+    readable = body.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    number = F.regexp_replace(body, rf"(\.[0-9]{{{scale}}})[0-9]+$" if scale else r"\.[0-9]*$", "$1" if scale else "").try_cast(kind)
+    too_long = F.raise_error(F.concat(F.lit("no room for the number "), body)).cast(kind)
+    value = F.when(~F.coalesce(readable, F.lit(False)), F.lit(0).cast(kind)).when(number.isNull(), too_long).otherwise(number)
     return Num(F.when(negative, -value).otherwise(value), digits, scale)
 
 

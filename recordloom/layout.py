@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from recordloom.functions import codecs
 from recordloom.functions.conditions import condition_name
+from recordloom.functions.numeric import Num, store
 from recordloom.picture import NUMERIC, Picture, picture
 
 PACKED = ("COMP-3", "PACKED-DECIMAL")
@@ -215,17 +216,20 @@ class Layout:
 
     # -- encode --------------------------------------------------------------
     def _encode_leaf(self, f: Field, value: Column, binary: bool) -> Column:
+        if f.pic is not None and f.pic.kind == NUMERIC:
+            # a value that does not fit loses fraction digits, then high-order digits
+            scale = max(18, f.pic.scale)
+            value = store(Num(F.coalesce(value, F.lit(0)).cast(f"decimal(38,{scale})"), 38, scale), f.pic).value
         if f.usage in PACKED:
-            raw = codecs.encode_packed(F.coalesce(value, F.lit(0)).cast(f.pic.sql_type), f.pic)
+            raw = codecs.encode_packed(value, f.pic)
             return raw if binary else F.decode(raw, "ISO-8859-1")
         if f.usage in BINARY and f.binary_storage:
-            raw = codecs.encode_binary(F.coalesce(value, F.lit(0)).cast(f.pic.sql_type), f.pic)
+            raw = codecs.encode_binary(value, f.pic)
             return raw if binary else F.decode(raw, "ISO-8859-1")
         if f.usage in ("COMP-1", "COMP-2"):
             raise LayoutError(f"{f.name}: floating items are read only")
         if f.pic.kind == NUMERIC:
-            text = codecs.encode_zoned(F.coalesce(value, F.lit(0)).cast(f.pic.sql_type), f.pic,
-                                       f.sign_leading, f.sign_separate)
+            text = codecs.encode_zoned(value, f.pic, f.sign_leading, f.sign_separate)
         else:
             text = F.rpad(F.coalesce(value, F.lit("")), f.unit, " ")
         return F.encode(text, "ISO-8859-1") if binary else text

@@ -160,7 +160,7 @@ def numval_mod(spark, sf_dir):
     whole = round_to(num(bal, "S9(13)V99"), 0)
     d = num((F.col("c_nationkey") - 12).cast("decimal(5,0)"), "S9(5)")
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", n.numval(text).col.alias("value"), n.function_mod(whole, d).col.alias("mod_value"),
+        "c_custkey", n.numval(text, 18, 2).col.alias("value"), n.function_mod(whole, d).col.alias("mod_value"),
         n.function_rem(whole, d).col.alias("rem_value"))
 
 
@@ -272,14 +272,95 @@ def perform_varying(spark, sf_dir):
 WITH RECURSIVE y(p_partkey, balance, turns) AS (
   SELECT p_partkey, CAST(p_size AS BIGINT), 0 FROM part
   UNION ALL
-  SELECT p_partkey, balance * 2 + 1, turns + 1 FROM y WHERE balance < 100)
+  SELECT p_partkey, balance * 2 + 1, turns + 1 FROM y WHERE balance < 1000000000 * (p_partkey % 5))
 SELECT p_partkey, max(turns) AS turns, max(balance) AS balance FROM y GROUP BY p_partkey""")
 def perform_until(spark, sf_dir):
-    """PERFORM UNTIL a limit, as a fold over a bounded number of turns."""
+    """PERFORM UNTIL a limit of the record's own, however many turns that takes."""
+    from recordloom.operators.loops import perform_until as until
+
     start = F.struct(F.col("p_size").cast("bigint").alias("balance"), F.lit(0).alias("turns"))
-    turn = lambda a, _: F.when(a["balance"] < 100, F.struct((a["balance"] * 2 + 1).alias("balance"), (a["turns"] + 1).alias("turns"))).otherwise(a)
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, turn)
-    return table(spark, sf_dir, "part").select("p_partkey", done["turns"].alias("turns"), done["balance"].alias("balance"))
+    done = until(table(spark, sf_dir, "part").select("p_partkey", "p_size"), start, lambda a: a["balance"] >= 1000000000 * (F.col("p_partkey") % 5),
+                 lambda a: F.struct((a["balance"] * 2 + 1).alias("balance"), (a["turns"] + 1).alias("turns")))
+    return done.select("p_partkey", "state.turns", "state.balance")
+
+
+@query("perform_times", """
+WITH RECURSIVE y(p_partkey, n, m, balance) AS (
+  SELECT p_partkey, 0, p_size % 4, CAST(p_retailprice AS DECIMAL(9,2)) FROM part
+  UNION ALL
+  SELECT p_partkey, n + 1, m, CAST(balance + trunc(balance * 0.07, 2) AS DECIMAL(9,2)) FROM y WHERE n < m)
+SELECT p_partkey, balance FROM y WHERE n = m""")
+def perform_times(spark, sf_dir):
+    """PERFORM n TIMES, n from the record."""
+    from recordloom.operators.loops import perform_times as times
+
+    def turn(state):
+        b = num(state["b"], "9(7)V99")
+        return F.struct(store(b + num(store(b * "0.07", "9(7)V99").value, "9(7)V99"), "9(7)V99").value.alias("b"))
+
+    state = times(F.col("p_size") % 4, F.struct(F.col("p_retailprice").cast("decimal(9,2)").alias("b")), turn)
+    return table(spark, sf_dir, "part").select("p_partkey", state["b"].alias("balance"))
+
+
+@query("compute_wide_division", """
+WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS HUGEINT) AS cents, CAST(o_custkey + 1 AS HUGEINT) AS d FROM orders),
+q AS (SELECT o_orderkey, cents * 10000 // d AS six, (cents * 100000000) // (d * 3) AS eight FROM o)
+SELECT o_orderkey, CAST(CAST(six // 1000000 AS VARCHAR) || '.' || lpad(CAST(six % 1000000 AS VARCHAR), 6, '0') AS DECIMAL(16,6)) AS of_28_digits,
+       CAST(CAST(eight // 10000000000 AS VARCHAR) || '.' || lpad(CAST(eight % 10000000000 // 10000 AS VARCHAR), 6, '0') AS DECIMAL(16,6)) AS of_30_digits FROM q""")
+def compute_wide_division(spark, sf_dir):
+    """A division inside an expression keeps its fraction however wide the operands are."""
+    a, b = num(F.col("o_totalprice").cast("decimal(28,12)"), "9(16)V9(12)"), num((F.col("o_custkey") + 1).cast("decimal(9,0)"), "9(9)")
+    wide = num(F.col("o_totalprice").cast("decimal(30,12)"), "9(18)V9(12)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", store(a / b, "9(10)V9(6)").value.alias("of_28_digits"),
+                                                 store(wide / (b * 3), "9(10)V9(6)").value.alias("of_30_digits"))
+
+
+@query("numval_fractions", """
+WITH l AS (SELECT l_orderkey, l_linenumber, substr('129987', 1, CAST(l_linenumber % 7 AS INTEGER)) AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(CAST(l_orderkey AS VARCHAR) || '.' || rpad(substr(f, 1, 2), 2, '0') AS DECIMAL(11,2)) AS cut,
+       CAST(CAST(l_orderkey AS VARCHAR) || '.' || rpad(f, 6, '0') AS DECIMAL(15,6)) AS whole FROM l""")
+def numval_fractions(spark, sf_dir):
+    """NUMVAL keeps what the text has; the receiver cuts."""
+    text = F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit("."), F.substring(F.lit("129987"), F.lit(1), (F.col("l_linenumber") % 7).cast("int")), F.lit(" "))
+    v = n.numval(text)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", store(v, "9(9)V99").value.alias("cut"), store(v, "9(9)V9(6)").value.alias("whole"))
+
+
+@query("zoned_damaged", """
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1234 WHEN 4 THEN 0 WHEN 5 THEN 42 END::DECIMAL(4,0) AS plain, CASE o_orderkey % 6 WHEN 0 THEN 1234 WHEN 4 THEN 0 WHEN 5 THEN 42 END::DECIMAL(4,0) AS signed FROM orders""")
+def zoned_damaged(spark, sf_dir):
+    """Text that is no number is null, not some number."""
+    from recordloom.functions.codecs import decode_zoned
+
+    text = F.element_at(F.array(*[F.lit(t) for t in ("1234", "12A4", "1.5 ", "-123", "    ", "0042")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", decode_zoned(text, "9(4)").alias("plain"), decode_zoned(text, "S9(4)").alias("signed"))
+
+
+@query("encode_truncates", """
+WITH v AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) * 10 + 9 AS mills FROM part)
+SELECT p_partkey, lpad(CAST(mills // 10 % 1000 AS VARCHAR), 3, '0') || lpad(CAST(mills // 1000 % 100 AS VARCHAR), 2, '0') AS line FROM v""")
+def encode_truncates(spark, sf_dir):
+    """What does not fit a record's item loses fraction digits, then high-order digits."""
+    from recordloom.layout import copybook
+
+    layout = copybook("01 R. 05 A PIC 9V99. 05 B PIC 99.")
+    v = F.col("p_retailprice").cast("decimal(12,3)") + F.lit("0.009").cast("decimal(4,3)")
+    rows = table(spark, sf_dir, "part").select("p_partkey", v.alias("a"), v.alias("b"))
+    return rows.select("p_partkey", layout.record().alias("line"))
+
+
+@query("text_order_padded", """
+WITH t AS (SELECT o_orderkey, o_orderpriority AS a, o_orderpriority || CASE o_orderkey % 3 WHEN 0 THEN chr(9) WHEN 1 THEN '  ' ELSE 'a' END AS b FROM orders),
+p AS (SELECT o_orderkey, rpad(a, CAST(greatest(length(a), length(b)) AS INTEGER), ' ') AS a, b FROM t)
+SELECT o_orderkey, a < b AS below, a <= b AS not_above FROM p""")
+def text_order_padded(spark, sf_dir):
+    """Order of texts of two lengths, as if the shorter were filled with blanks."""
+    from recordloom.functions.conditions import text_le, text_lt
+
+    k = F.col("o_orderkey") % 3
+    a = F.col("o_orderpriority")
+    b = F.concat(a, F.when(k == 0, "\t").when(k == 1, "  ").otherwise("a"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text_lt(a, b).alias("below"), text_le(a, b).alias("not_above"))
 
 
 @query("perform_varying_after", """

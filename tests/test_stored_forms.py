@@ -42,7 +42,7 @@ def test_sign_nibbles_and_bad_bytes(spark):
 
 def test_overpunch_and_blanks(spark):
     df = spark.createDataFrame([("12s",), ("   ",), ("123",), ("1x3",)], "t string")
-    assert [r[0] for r in df.select(c.decode_zoned(F.col("t"), "S999")).collect()] == [-123, 0, 123, 0]
+    assert [r[0] for r in df.select(c.decode_zoned(F.col("t"), "S999")).collect()] == [-123, 0, 123, None]
 
 
 def test_floating(spark):
