@@ -7,27 +7,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 PASS, FAIL, UNVERIFIED, NOT_APPLICABLE = "PASS", "FAIL", "UNVERIFIED", "NOT_APPLICABLE"
+#: The names of the checks.
 CHECKS = ("output_presence", "file_set", "file_contents", "record_counts",
           "stdout", "stderr", "exit_code", "database_state")
 
 
-def _renamed(df: DataFrame, keys: list[str], fields: list[str], prefix: str) -> DataFrame:
-    return df.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys],
-                     *[F.col(c).alias(f"{prefix}{c}") for c in fields],
-                     F.lit(True).alias(f"{prefix}in"))
+def _side(df: DataFrame, keys: list[str], fields: list[str], prefix: str) -> DataFrame:
+    """A row per key: its fields, and how many records have the key."""
+    rows = df.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], F.struct(F.lit(True).alias("here"), *fields).alias("_f"))
+    one = rows.groupBy(*[f"{prefix}{k}" for k in keys]).agg(F.min("_f").alias("_f"), F.count(F.lit(1)).alias(f"{prefix}n"))
+    return one.select(*[f"{prefix}{k}" for k in keys], *[F.col(f"_f.{c}").alias(f"{prefix}{c}") for c in fields], f"{prefix}n")
 
 
 def pair(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Both sides by key, prefixed ``e_`` and ``a_``."""
-    e, a = _renamed(expected, keys, fields, "e_"), _renamed(actual, keys, fields, "a_")
-    same = reduce(lambda x, y: x & y, [F.col(f"e_{k}") == F.col(f"a_{k}") for k in keys])
+    """Both sides by key, prefixed ``e_`` and ``a_``; ``e_n`` and ``a_n`` count records.
+
+    A null key is a key like others. Records that share a key are one row: what
+    they hold is not paired, as nothing says which belongs to which.
+    """
+    e, a = _side(expected, keys, fields, "e_"), _side(actual, keys, fields, "a_")
+    same = reduce(lambda x, y: x & y, [F.col(f"e_{k}").eqNullSafe(F.col(f"a_{k}")) for k in keys])
     return e.join(a, same, "full")
 
 
 def compare(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row per difference: keys, kind (MISSING, EXTRA, FIELD), field, both values."""
+    """One row per difference: keys, kind, field, both values.
+
+    Kinds are MISSING, EXTRA, FIELD, and REPEATED for a key that several records
+    of a side have, with their numbers as the values.
+    """
     both = pair(expected, actual, keys, fields)
-    e_in, a_in = F.col("e_in").isNotNull(), F.col("a_in").isNotNull()
+    e_in, a_in = F.col("e_n").isNotNull(), F.col("a_n").isNotNull()
 
     def entry(kind: str, name: str, left: Column, right: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"),
@@ -37,26 +47,30 @@ def compare(expected: DataFrame, actual: DataFrame, keys: list[str], fields: lis
     changed = F.array(*[
         F.when(~F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}")), entry("FIELD", c, F.col(f"e_{c}"), F.col(f"a_{c}")))
         for c in fields])
-    found = (F.when(~a_in, F.array(entry("MISSING", "", none, none)))
+    repeated = (F.coalesce("e_n", F.lit(0)) > 1) | (F.coalesce("a_n", F.lit(0)) > 1)
+    found = (F.when(repeated, F.array(entry("REPEATED", "", F.coalesce("e_n", F.lit(0)), F.coalesce("a_n", F.lit(0)))))
+             .when(~a_in, F.array(entry("MISSING", "", none, none)))
              .when(~e_in, F.array(entry("EXTRA", "", none, none)))
              .otherwise(F.filter(changed, lambda x: x.isNotNull())))
-    key_cols = [F.coalesce(F.col(f"e_{k}"), F.col(f"a_{k}")).alias(k) for k in keys]
+    key_cols = [F.when(e_in, F.col(f"e_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys]
     listed = both.select(*key_cols, found.alias("_all"))
     return listed.select(*keys, F.explode_outer("_all").alias("_d")).where(F.col("_d").isNotNull()).select(*keys, "_d.*")
 
 
 def verdict(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row: counts and MATCH or MISMATCH."""
+    """One row: counts and MATCH or MISMATCH. Records of a key that repeats are
+    different, or missing or extra if the other side lacks the key."""
     both = pair(expected, actual, keys, fields)
-    e_in, a_in = F.col("e_in").isNotNull(), F.col("a_in").isNotNull()
-    equal = reduce(lambda x, y: x & y, [F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}")) for c in fields], F.lit(True))
+    e, a = F.coalesce("e_n", F.lit(0)), F.coalesce("a_n", F.lit(0))
+    equal = reduce(lambda x, y: x & y, [F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}")) for c in fields], (e == 1) & (a == 1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     counted = both.agg(
-        F.count_if(e_in).alias("expected_records"),
-        F.count_if(a_in).alias("actual_records"),
-        F.count_if(e_in & a_in & equal).alias("equal_records"),
-        F.count_if(e_in & a_in & ~equal).alias("different_records"),
-        F.count_if(e_in & ~a_in).alias("missing_records"),
-        F.count_if(a_in & ~e_in).alias("extra_records"),
+        total(e).alias("expected_records"),
+        total(a).alias("actual_records"),
+        F.count_if(equal).alias("equal_records"),
+        total(F.when((e > 0) & (a > 0) & ~equal, F.greatest(e, a))).alias("different_records"),
+        total(F.when(a == 0, e)).alias("missing_records"),
+        total(F.when(e == 0, a)).alias("extra_records"),
     )
     bad = F.col("different_records") + F.col("missing_records") + F.col("extra_records")
     return counted.withColumn("verdict", F.when(bad == 0, "MATCH").otherwise("MISMATCH"))

@@ -70,11 +70,46 @@ def indexed_file_load(spark, sf_dir):
     """A keyed file loaded from lines: the first record of a key stays."""
     layout = copybook("01 REC.  05 O-CUSTKEY PIC 9(12).  05 O-ORDERKEY PIC 9(12).")
     path = scratch_path(spark, "indexed")
-    src = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").orderBy("o_orderkey").coalesce(1)
+    src = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").orderBy("o_orderkey")
     r.write_lines(src, layout, path)
     return r.open_input(spark, r.FileSpec(path, layout, r.INDEXED, "o_custkey"))
 
 
+@query("relative_roundtrip", """
+SELECT CAST(3 * o_orderkey + 1 AS BIGINT) AS rrn, o_orderstatus AS state FROM orders""")
+def relative_roundtrip(spark, sf_dir):
+    """Record numbers with gaps, over several part files, closed and opened again."""
+    spec = r.FileSpec(scratch_path(spark, "slots"), copybook("01 REC.  05 STATE PIC X."), r.RELATIVE)
+    o = table(spark, sf_dir, "orders").select((3 * F.col("o_orderkey") + 1).alias("rrn"), F.col("o_orderstatus").alias("state"))
+    r.close_output(o.repartition(5), spec)
+    return r.open_input(spark, spec)
+
+
+@query("extend_first_wins", """
+SELECT CAST(c_custkey AS DECIMAL(12,0)) AS key, CASE WHEN c_custkey % 3 = 0 THEN 'FIRST' WHEN c_custkey % 3 = 1 THEN 'SECOND' ELSE 'THIRD' END AS written FROM customer""")
+def extend_first_wins(spark, sf_dir):
+    """Of records with one key the one written first loads, also from an EXTEND behind an EXTEND."""
+    spec = r.FileSpec(scratch_path(spark, "extended"), copybook("01 REC.  05 KEY PIC 9(12).  05 WRITTEN PIC X(6)."), r.INDEXED, "key")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    for mode, label, rows in (("OUTPUT", "FIRST", c.where("key % 3 = 0")), ("EXTEND", "SECOND", c.where("key % 3 <> 2")), ("EXTEND", "THIRD", c)):
+        r.close_output(rows.withColumn("written", F.lit(label)), spec, mode)
+    return r.open_input(spark, spec).select("key", F.rtrim("written").alias("written"))
+
+
+@query("extend_line_order", """
+SELECT CAST(r_regionkey AS BIGINT) + 1 AS place, r_name AS name FROM region UNION ALL
+SELECT CAST(n_nationkey AS BIGINT) + 1 + (SELECT count(*) FROM region), n_name FROM nation""")
+def extend_line_order(spark, sf_dir):
+    """EXTEND puts its lines behind the last record."""
+    from recordloom.operators.ordering import number_rows
+
+    path, layout = scratch_path(spark, "order"), copybook("01 REC.  05 NAME PIC X(25).")
+    r.write_lines(table(spark, sf_dir, "region").orderBy("r_regionkey").select(F.col("r_name").alias("name")), layout, path)
+    r.write_lines(table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("name")), layout, path, "EXTEND")
+    lines = r.numbered_lines(spark, path).select(r.arrival().alias("at"), F.col("value").alias("name"))
+    return number_rows(lines, [F.asc("at")], "place").select("place", "name")
+
+
 @query("keyed_file_close", """
 SELECT CAST(s_suppkey AS DECIMAL(9,0)) AS s_suppkey, rpad(s_name, 25, ' ') AS name FROM supplier""")
 def keyed_file_close(spark, sf_dir):

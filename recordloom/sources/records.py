@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recordloom.layout import Layout
 from recordloom.operators.keyed import Alternate, KeySpec, load
@@ -15,12 +15,19 @@ from recordloom.sources.fixed import filesystem
 
 LINE, FIXED, INDEXED, RELATIVE = "LINE SEQUENTIAL", "SEQUENTIAL", "INDEXED", "RELATIVE"
 MODES = {"OUTPUT": "overwrite", "EXTEND": "append"}
+EXTENDED = "extended-"     # folder of what an EXTEND added
+NUMBER_DIGITS = 10         # of the record number before a record of a relative file
 
 
 # -- lines -------------------------------------------------------------------
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of a file, those of later EXTENDs included."""
+    return spark.read.option("recursiveFileLookup", "true").text(path)
+
+
 def read_lines(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """Text lines decoded by a layout; short lines leave the tail blank."""
-    return layout.decode(spark.read.text(path))
+    return layout.decode(_text(spark, path))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +36,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     A row's place within its split is known while reading; one count per split
     gives the lines in the splits before it.
     """
-    raw = spark.read.text(path).select(
+    raw = _text(spark, path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"))
     splits = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
@@ -39,9 +46,30 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "file", (F.col("_base") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
+def arrival(file: str = "file", line: str = "line") -> Column:
+    """A line's place in its data set, to order by: the EXTEND that wrote it, then
+    the number of its part, then the line."""
+    number = lambda pattern: F.coalesce(F.regexp_extract(F.col(file), pattern, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.struct(number(rf"/{EXTENDED}(\d+)/[^/]*$").alias("extend"), number(r"/part-(\d+)[^/]*$").alias("part"), F.col(file).alias("file"), F.col(line).alias("line"))
+
+
+def _write(lines: DataFrame, path: str, mode: str) -> None:
+    """An EXTEND goes to a folder of its own, numbered on, so that its lines stand
+    behind all that were there, whatever their files are called."""
+    if mode == "EXTEND":
+        from pyarrow import fs
+
+        store, root = filesystem(path)
+        there = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        taken = [int(i.base_name.removeprefix(EXTENDED)) for i in there if i.base_name.startswith(EXTENDED)]
+        lines.write.text(f"{path.rstrip('/')}/{EXTENDED}{max(taken, default=0) + 1}")
+    else:
+        lines.write.mode(MODES[mode]).text(path)
+
+
 def write_lines(df: DataFrame, layout: Layout, path: str, mode: str = "OUTPUT") -> None:
     """Records as lines without trailing blanks; order is the DataFrame's."""
-    layout.encode(df).select(F.rtrim("value").alias("value")).write.mode(MODES[mode]).text(path)
+    _write(layout.encode(df).select(F.rtrim("value").alias("value")), path, mode)
 
 
 def read_delimited(lines: DataFrame, names: list[str], separator: str = "|", value: str = "value") -> DataFrame:
@@ -83,7 +111,12 @@ def write_fixed(df: DataFrame, layout: Layout, path: str, mode: str = "OUTPUT")
 # -- file bindings -----------------------------------------------------------
 @dataclass(frozen=True)
 class FileSpec:
-    """SELECT ... ASSIGN: where a file is, how it is organised, what keys it."""
+    """SELECT ... ASSIGN: where a file is, how it is organised, what keys it.
+
+    Records of a relative file are stored with their numbers before them;
+    without ``numbers_stored`` a record's number is that of its line, which
+    holds for one plain text file.
+    """
 
     path: str
     layout: Layout
@@ -91,6 +124,7 @@ class FileSpec:
     record_key: str | None = None
     alternates: tuple[Alternate, ...] = ()
     relative_key: str = "rrn"
+    numbers_stored: bool = True
 
     @property
     def keys(self) -> KeySpec:
@@ -102,11 +136,15 @@ def open_input(spark: SparkSession, spec: FileSpec) -> DataFrame:
         return read_lines(spark, spec.path, spec.layout)
     if spec.organization == FIXED:
         return read_fixed(spark, spec.path, spec.layout)
+    if spec.organization == RELATIVE and spec.numbers_stored:
+        v = F.col("value")
+        stored = _text(spark, spec.path).select(v.substr(1, NUMBER_DIGITS).cast("bigint").alias(spec.relative_key), F.substring(v, F.lit(NUMBER_DIGITS + 1), F.length(v)).alias("value"))
+        return spec.layout.decode(stored, keep=(spec.relative_key,))
     lines = numbered_lines(spark, spec.path)
     if spec.organization == RELATIVE:
         return spec.layout.decode(lines.withColumnRenamed("line", spec.relative_key), keep=(spec.relative_key,))
-    # first record per key, by its place in the file
-    rows = spec.layout.decode(lines.withColumn("_at", F.struct("file", "line")), keep=("_at",))
+    # first record per key, by its place in the data set
+    rows = spec.layout.decode(lines.withColumn("_at", arrival()), keep=("_at",))
     return load(rows, spec.record_key, "_at")
 
 
@@ -116,6 +154,11 @@ def close_output(df: DataFrame, spec: FileSpec, mode: str = "OUTPUT") -> None:
         write_fixed(df, spec.layout, spec.path, mode)
     elif spec.organization == LINE:
         write_lines(df, spec.layout, spec.path, mode)
+    elif spec.organization == RELATIVE:
+        number = F.lpad(F.col(spec.relative_key).cast("string"), NUMBER_DIGITS, "0")
+        records = spec.layout.record(present=set(df.columns))
+        lines = df.orderBy(spec.relative_key).select(F.rtrim(F.concat(number, records)).alias("value"))
+        _write(lines, spec.path, mode)
     else:
         write_lines(df.orderBy(spec.keys.key), spec.layout, spec.path, mode)
 

@@ -9,7 +9,7 @@ from recordloom.layout import Layout
 
 def stream_lines(spark: SparkSession, path: str, layout: Layout, max_files: int | None = None) -> DataFrame:
     """New line files under ``path``, decoded by the same layout expressions."""
-    reader = spark.readStream
+    reader = spark.readStream.option("recursiveFileLookup", "true")      # also what an EXTEND adds
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return layout.decode(reader.text(path))
