@@ -331,6 +331,9 @@ def copybook(text: str, binary_storage: bool = False, default_name: str = "RECOR
             constants[item] = _values(_CLAUSES.search(rest)["value"])[0]
             continue
         f = Field(level, item, binary_storage=binary_storage)
+        left = re.sub(r"\b(IS|ARE|TIMES|GLOBAL|EXTERNAL|USAGE|INDEXED\s+(BY\s+)?[\w-]+|(ASCENDING|DESCENDING)\s+(KEY\s+)?(IS\s+)?[\w-]+)\b", " ", _CLAUSES.sub(" ", rest), flags=re.I)
+        if level != 88 and re.search(r"\w", left):
+            raise LayoutError(f"{item}: clause {left.strip()!r} is not supported")
         for c in _CLAUSES.finditer(rest):
             if c["redefines"]:
                 f.redefines = c["redefines"].upper()
@@ -354,9 +357,14 @@ def copybook(text: str, binary_storage: bool = False, default_name: str = "RECOR
             continue
         if f.usage == "POINTER":
             raise LayoutError(f"{item}: pointers have no column form")
-        if level == 1 and f.pic is None:
+        if level == 1 and f.pic is None and not root:
             name, stack = item, []
             continue
+        if level == 1 and root and not f.redefines:
+            # records of one file share their storage: the first becomes a group, the others lie over it
+            if not (len(root) and root[0].level == 1):
+                root = [Field(1, name, binary_storage=binary_storage, children=root)]
+            f.redefines, stack = root[0].name, []
         while stack and stack[-1].level >= level:
             stack.pop()
         (stack[-1].children if stack else root).append(f)

@@ -24,14 +24,36 @@ def statements(lines: DataFrame, line: str = "value") -> DataFrame:
             }))
 
 
+def whole_statements(lines: DataFrame, deck: str, seq: str, line: str = "value") -> DataFrame:
+    """(deck, seq, value): control lines with their continuation lines put behind them.
+
+    A line that ends in a comma goes on with the next control line, if that has
+    no name; comments between them do not count. ``seq`` is that of the first.
+    """
+    v = F.col(line)
+    control = lines.where(v.startswith("//") & ~v.startswith("//*")).select(deck, seq, line)
+    after = scan_by_key(control, [deck], seq, last={"_prev": v})
+    goes_on = F.coalesce(F.rtrim("_prev").endswith(","), F.lit(False)) & v.rlike(r"^//\s")
+    marked = after.select(deck, seq, line, goes_on.alias("_on"))
+    headed = scan_by_key(marked, [deck], seq, last={"_head": F.when(~F.col("_on"), F.col(seq))})
+    piece = F.struct(F.col(seq).alias("at"), F.when(F.col("_on"), F.ltrim(F.substring(v, F.lit(3), F.length(v)))).otherwise(F.rtrim(v)).alias("text"))
+    start = F.when(F.col("_on"), F.col("_head")).otherwise(F.col(seq)).alias(seq)
+    joined = headed.groupBy(deck, start).agg(F.array_sort(F.collect_list(piece)).alias("_p"))
+    return joined.select(deck, seq, F.array_join(F.transform("_p", lambda x: F.rtrim(x["text"])), "").alias(line))
+
+
 def step_data_sets(lines: DataFrame, deck: str, seq: str, line: str = "value") -> DataFrame:
-    """DD statements with the step they belong to: deck, step, dd, dsn, disp."""
-    st = statements(lines, line)
+    """DD statements with the step they belong to: deck, step, dd, dsn, disp.
+
+    A DD without a name is concatenated to the one before it and has its name.
+    """
+    st = statements(whole_statements(lines, deck, seq, line), line)
     owner = F.when(F.col("op") == "EXEC", F.col("name"))
-    placed = scan_by_key(st, [deck], seq, last={"step": owner})
+    own = F.when((F.col("op") == "DD") & (F.col("name") != ""), F.col("name"))
+    placed = scan_by_key(st, [deck], seq, last={"step": owner, "_dd": own})
     ops = F.col("operands")
     return placed.where(F.col("op") == "DD").select(
-        deck, "step", F.col("name").alias("dd"), parameter(ops, "DSN").alias("dsn"), parameter(ops, "DISP").alias("disp"))
+        deck, "step", F.when(F.col("name") == "", F.col("_dd")).otherwise(F.col("name")).alias("dd"), parameter(ops, "DSN").alias("dsn"), parameter(ops, "DISP").alias("disp"))
 
 
 def inline_data(lines: DataFrame, deck: str, seq: str, line: str = "value") -> DataFrame:

@@ -110,6 +110,17 @@ def extend_line_order(spark, sf_dir):
     return number_rows(lines, [F.asc("at")], "place").select("place", "name")
 
 
+@query("two_record_types", """
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS kind, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS DECIMAL(9,0)) END AS number, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer""")
+def two_record_types(spark, sf_dir):
+    """Two records of one file over the same storage, told apart by their first byte."""
+    layout = copybook("01 HEAD. 05 KIND PIC X. 05 NUMBER PIC 9(9). 01 BODY. 05 KIND-B PIC X. 05 SEGMENT PIC X(15).")
+    even = F.col("c_custkey") % 2 == 0
+    lines = table(spark, sf_dir, "customer").select(F.when(even, F.concat(F.lit("A"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).otherwise(F.concat(F.lit("B"), F.col("c_mktsegment"))).alias("value"))
+    d = layout.decode(lines)
+    return d.select("head.kind", F.when(F.col("head.kind") == "A", F.col("head.number")).alias("number"), F.when(F.col("head.kind") == "B", F.rtrim("body.segment")).alias("segment"))
+
+
 @query("keyed_file_close", """
 SELECT CAST(s_suppkey AS DECIMAL(9,0)) AS s_suppkey, rpad(s_name, 25, ' ') AS name FROM supplier""")
 def keyed_file_close(spark, sf_dir):

@@ -162,6 +162,20 @@ def job_data_sets(spark, sf_dir):
     return b.step_data_sets(deck_lines(spark, sf_dir), "deck", "seq")
 
 
+@query("job_continued_lines", """
+SELECT s_nationkey AS deck, 'S' || s_suppkey AS step, d.dd, d.dsn || s_suppkey AS dsn, d.disp, '(4,LT)' AS cond
+FROM supplier, (VALUES ('IN', 'FIRST.D', 'SHR'), ('IN', 'SECOND.D', 'OLD'), ('OUT', 'OUT.D', '(NEW,CATLG)')) d(dd, dsn, disp)""")
+def job_continued_lines(spark, sf_dir):
+    """Statements over several lines, with a comment between, and a DD that is concatenated."""
+    k = F.col("s_suppkey").cast("string")
+    lines = F.array(F.concat(F.lit("//S"), k, F.lit(" EXEC PGM=SORT,")), F.lit("//* BETWEEN"), F.lit("//   COND=(4,LT)"), F.concat(F.lit("//IN DD DSN=FIRST.D"), k, F.lit(",DISP=SHR")),
+                    F.concat(F.lit("//   DD DSN=SECOND.D"), k, F.lit(",")), F.lit("//      DISP=OLD"), F.concat(F.lit("//OUT DD DSN=OUT.D"), k, F.lit(",")), F.lit("//  DISP=(NEW,"), F.lit("//  CATLG)"))
+    deck = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("deck"), "s_suppkey", F.posexplode(lines).alias("n", "value")).select(
+        "deck", (F.col("s_suppkey") * 16 + F.col("n")).alias("seq"), "value")
+    steps = b.statements(b.whole_statements(deck, "deck", "seq")).where("op = 'EXEC'").select("deck", F.col("name").alias("step"), b.parameter(F.col("operands"), "COND").alias("cond"))
+    return b.step_data_sets(deck, "deck", "seq").join(steps, ["deck", "step"])
+
+
 @query("job_inline_data", """
 SELECT c_nationkey AS deck, c_custkey * 10 + 4 AS seq, 'SYSIN' AS dd, ' SORT FIELDS=(1,' || c_custkey || ',CH,A)' AS value FROM customer""")
 def job_inline_data(spark, sf_dir):
