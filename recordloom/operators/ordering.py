@@ -15,8 +15,8 @@ from recordloom.session import cut
 
 BLOCK_ROWS = 1 << 20
 PARTITION_BYTES = 256 << 20
-MOST_PARTITIONS = 50_000     # estimates of joins can be far too high
-MOST_HOT = 100_000           # hot keys named in one list
+MOST_PARTITIONS = 400_000    # 100 TB; estimates of joins can be far higher
+MOST_HOT = 100_000           # hot keys that may be broadcast; more are joined
 SMALL_PARTITIONS = 100_000   # rows of the offsets table that may be broadcast
 
 
@@ -71,20 +71,20 @@ def number_rows(
     return out.drop("_id", "_block", "_base", *summed, *[f"_b{k}" for k in summed])
 
 
-def hot_keys(keyed: DataFrame, key: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """Keys with more than ``rows`` rows, and how many there are.
+def hot_keys(keyed: DataFrame, key: str, seq: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """Keys with more than ``rows`` rows, where their blocks of ``seq`` begin and
+    how wide they are, and how many such keys there are.
 
-    At most ``MOST_HOT`` are named: where there are more, the mark is raised
-    until the list is that short. Counting is done before the shuffle.
+    A key has as many blocks as ``rows`` goes into its rows, whatever numbers
+    ``seq`` has, so sparse ones (times, ids) make no more blocks than dense
+    ones. Counting is done before the shuffle.
     """
-    counted = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    hot = cut(counted)
-    n, mark = hot.count(), rows
-    while n > MOST_HOT:
-        mark *= 2
-        hot = hot.where(F.col("_n") > mark)
-        n = hot.count()
-    return hot.select(key), n
+    at = F.col(seq).cast("bigint")
+    counted = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")).where(F.col("_n") > rows)
+    blocks = F.ceil(F.col("_n") / rows)
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks).cast("bigint")
+    hot = cut(counted.select(key, "_lo", F.greatest(width, F.lit(1)).alias("_width")))
+    return hot, hot.count()
 
 
 def scan_by_key(
@@ -103,20 +103,22 @@ def scan_by_key(
     row a key, columns named as in ``last``) gives what held before the first
     row.
 
-    Keys with more than ``block_rows`` rows are cut into blocks of ``seq``, a
-    whole number unique within its key, so no task gets more of one key than
-    that; one summary row per block crosses them. Other keys are one block.
+    Keys with more than ``block_rows`` rows are cut into blocks of equal width
+    in ``seq``, a whole number unique within its key, about ``block_rows`` rows
+    each where the numbers are spread evenly; one summary row per block crosses
+    them. Other keys are one block.
     """
     last, sums = last or {}, sums or {}
     # One key value for grouping, window and join, so that the rows move once;
     # inside a struct, nulls are equal to each other.
     key = F.struct(*keys).alias("_key")
-    hot, n_hot = hot_keys(df.select(key), "_key", block_rows)
+    hot, n_hot = hot_keys(df.select(key, seq), "_key", seq, block_rows)
+    listed = F.broadcast(hot) if n_hot <= MOST_HOT else hot
     block = F.lit(0).cast("bigint")
     marked = df.select("*", key)
     if n_hot:
-        marked = marked.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left")   # MOST_HOT rows at most
-        block = F.when(F.col("_hot"), F.call_function("div", F.col(seq).cast("bigint"), F.lit(block_rows).cast("bigint"))).otherwise(block)
+        marked = marked.join(listed, "_key", "left").withColumn("_hot", F.col("_width").isNotNull())
+        block = F.when(F.col("_hot"), F.call_function("div", F.col(seq).cast("bigint") - F.col("_lo"), F.col("_width"))).otherwise(block)
     marked = marked.withColumns({
         "_block": block, **{f"_l_{k}": c for k, c in last.items()}, **{f"_s_{k}": c for k, c in sums.items()}})
 
@@ -132,7 +134,7 @@ def scan_by_key(
         given = initial.select(key, *[F.col(k).alias(f"_cl_{k}") for k in last])
     carried = _block_carries(marked, last, sums, given, seq) if n_hot else None
     if given is not None:
-        cold = given.join(F.broadcast(hot), "_key", "left_anti") if n_hot else given
+        cold = given.join(listed, "_key", "left_anti") if n_hot else given
         null_sums = [F.lit(None).cast(inside.schema[f"_ws_{k}"].dataType).alias(f"_cs_{k}") for k in sums]
         cold = cold.select("_key", F.lit(0).cast("bigint").alias("_block"), *[f"_cl_{k}" for k in last], *null_sums)
         carried = cold if carried is None else cold.unionByName(carried)

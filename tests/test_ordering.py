@@ -116,3 +116,19 @@ def test_counters(spark):
     assert tuple(totals(df, {"n": F.col("a") > 65}, {"t": (a, "9(5)")}).first()) == (2, 210)
     with pytest.raises(Exception, match="depends on record order"):
         df.agg(*accumulate(b, "S9", "tiny")).collect()
+
+
+def test_scan_with_sparse_numbers_and_a_hot_key(spark):
+    """Numbers far apart make no more blocks than rows ask for."""
+    from recordloom.operators.ordering import hot_keys, scan_by_key
+
+    rows = [("hot", i * 1_000_003, i % 7) for i in range(900)] + [(f"k{i}", i, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v int")
+    got = {(r.k, r.seq): (r.before, r.last) for r in scan_by_key(df, ["k"], "seq", last={"last": F.when(F.col("v") == 3, F.col("seq"))}, sums={"before": F.col("v")}, block_rows=50).collect()}
+    total, last = None, None
+    for k, seq, v in rows[:900]:
+        assert got[k, seq] == (total, last)
+        total, last = (total or 0) + v, seq if v == 3 else last
+    assert all(got[k, s] == (None, None) for k, s, _ in rows[900:])
+    hot, n = hot_keys(df, "k", "seq", 50)
+    assert n == 1 and -(-(899 * 1_000_003 + 1) // hot.first()["_width"]) == 18
