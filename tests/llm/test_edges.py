@@ -233,7 +233,7 @@ def test_passages_within_a_text(spark):
 
 def test_licences(spark, docs, none):
     notice = "Licensed under the Apache License, Version 2.0."
-    df = spark.createDataFrame([(1, f"Intro.\n  licensed UNDER the apache license version 2.0\nrest"), (2, "Released under the\nMIT License."), (3, None), (4, notice), (4, notice), (5, notice + " " + WORDS)], "doc_id bigint, text string")
+    df = spark.createDataFrame([(1, "Some words of an introduction.\n  licensed UNDER the apache license version 2.0\nand the rest"), (2, "Released under the\nMIT License."), (3, None), (4, notice), (4, notice), (5, notice + " " + WORDS)], "doc_id bigint, text string")
     got = by_id(licences.licensed(df), "licences", "n_units")
     assert got == {1: [("Apache-2.0", 1)], 2: [("MIT", 1)], 3: [("", 0)], 4: [("Apache-2.0", 1)] * 2, 5: [("", 0)]}
     assert licences.licensed(docs).count() == len(TEXTS) and licences.licensed(none).count() == 0
