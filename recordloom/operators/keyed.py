@@ -157,10 +157,12 @@ def _accepted_with_alternates(master: DataFrame, requests: DataFrame, spec: KeyS
     A rejected write holds none of its keys, so the answer depends on order.
     Each round takes every open request that is the earliest on all its keys,
     then drops the requests that share a key with one taken. No round guesses,
-    and the earliest open request always gets through, so it ends.
+    and the earliest open request always gets through, so it ends. A null
+    alternate is no value and shares nothing; a request without its primary key
+    is turned down.
     """
     keys = [spec.key, *spec.unique]
-    waiting = requests.select(seq, *keys)
+    waiting = requests.select(seq, *keys).where(F.col(spec.key).isNotNull())
     for k in keys:
         waiting = _not_taken(waiting, master, k)
     waiting = cut(waiting)
@@ -168,9 +170,11 @@ def _accepted_with_alternates(master: DataFrame, requests: DataFrame, spec: KeyS
     while not waiting.isEmpty():
         firsts = _first_per(waiting, keys[0], seq).select(seq)
         for k in keys[1:]:
-            firsts = firsts.join(_first_per(waiting, k, seq).select(seq), seq, "left_semi")
+            free = _first_per(waiting.where(F.col(k).isNotNull()), k, seq).select(seq).unionByName(waiting.where(F.col(k).isNull()).select(seq))
+            firsts = firsts.join(free, seq, "left_semi")
         taken = cut(waiting.join(firsts, seq, "left_semi"))
         accepted = taken.select(seq) if accepted is None else accepted.unionByName(taken.select(seq))
+        waiting = waiting.join(taken.select(seq), seq, "left_anti")
         for k in keys:
             waiting = waiting.join(taken.select(k), k, "left_anti")
         waiting = cut(waiting)

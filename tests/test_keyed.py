@@ -144,3 +144,11 @@ def test_reading(spark):
 def test_first_record_loads(spark):
     rows = spark.createDataFrame([(2, "K", "late"), (1, "K", "early"), (3, "L", "x")], "at int, id string, v string")
     assert sorted(tuple(r) for r in k.load(rows, "id", "at").collect()) == [("K", "early"), ("L", "x")]
+
+
+def test_writes_with_null_alternates(spark):
+    """Null alternates share nothing; a null primary key is turned down; it ends."""
+    master = spark.createDataFrame([(1, "a")], "id int, alt string")
+    requests = spark.createDataFrame([(1, 2, None), (2, 3, None), (3, 4, "a"), (4, None, None), (5, None, "b"), (6, 5, "b"), (7, 6, "b"), (8, 2, None)], "seq int, id int, alt string")
+    out = k.write_batch(master, requests, k.KeySpec("id", (k.Alternate("alt"),)), "seq").outcomes
+    assert {r.seq: r.status for r in out.collect()} == {1: "00", 2: "00", 3: "22", 4: "22", 5: "22", 6: "00", 7: "22", 8: "22"}
