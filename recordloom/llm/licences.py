@@ -4,7 +4,8 @@ A unit of text, a line or a paragraph (lines between blank ones), is
 normalised to words of a-z and 0-9. It matches a template if twice the shared
 distinct bigrams are at least 0.8 of both sets together. Sets of sizes a and b
 reach at most 2 * min / (a + b), so a unit meets only templates of a size near
-its own. Bigrams of the templates, a fixed list, are looked up as the bigrams
+its own, and a match has one of the words that most of a template's bigrams
+hold, so texts and units without any are passed over. Bigrams of the templates, a fixed list, are looked up as the bigrams
 of the units stream by; no pair of unit and template is formed that shares none.
 
 Null and empty texts, and units of one word, have no bigram and match nothing.
@@ -55,6 +56,30 @@ def _size(text: str) -> int:
     return len(set(zip(ws, ws[1:], strict=False)))
 
 
+def telling_words(text: str, least: float = DICE) -> list[str]:
+    """Words of a template of which every match has one.
+
+    A match shares at least least / (2 - least) of the template's bigrams, as it
+    has no fewer than it shares. So words are taken, long ones first, until the
+    bigrams without any of them are fewer than that.
+    """
+    ws = [w for w in re.split(NO_WORD, text.lower()) if w]
+    left, out = set(zip(ws, ws[1:], strict=False)), []
+    needed = len(left) * least / (2 - least)
+    for w in sorted(set(ws), key=lambda w: (-len(w), w)):
+        if len(left) < needed:
+            break
+        out.append(w)
+        left = {b for b in left if w not in b}
+    return out
+
+
+def may_match(text: Column, templates=TEMPLATES, least: float = DICE) -> Column:
+    """False only where no unit of the text can match a template."""
+    telling = sorted({w for _, t in templates for w in telling_words(t, least)})
+    return F.lower(text).rlike(f"(?<![a-z0-9])({'|'.join(telling)})(?![a-z0-9])")
+
+
 def template_bigrams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(licence, template, size, b), a row a bigram."""
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("licence"), F.lit(text).alias("text")) for k, (name, text) in enumerate(templates)]))
@@ -74,7 +99,9 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = DICE) -> DataFr
     units = F.concat(
         F.transform(F.split(t, "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("unit"), x.alias("text"))),
         F.filter(F.transform(parts, lambda x, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("unit"), x.alias("text"))), lambda u: u["text"].contains("\n")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(units).alias("u")).select("doc_id", "th", "u.kind", "u.unit", bigrams(words(F.col("u.text"))).alias("bs"))
+    hopeful = docs.select("doc_id", "text").where(may_match(F.col("text"), templates, least))
+    rows = hopeful.select("doc_id", F.xxhash64("text").alias("th"), F.explode(units).alias("u")).select("doc_id", "th", "u.kind", "u.unit", "u.text")
+    rows = rows.where(may_match(F.col("text"), templates, least)).select("doc_id", "th", "kind", "unit", bigrams(words(F.col("text"))).alias("bs"))
     most = max(_size(text) for _, text in templates) * (2 - least) / least      # a larger set reaches no template
     rows = rows.select("doc_id", "th", "kind", "unit", F.size("bs").alias("n"), F.when(F.size("bs") <= most, F.col("bs")).alias("bs"))
     rows = rows.select("doc_id", "th", "kind", "unit", "n", F.explode("bs").alias("b"))
