@@ -1,0 +1,156 @@
+"""Runs of 50 equal words, wherever they stand: in lines of any length, across lines, inside longer ones.
+
+All words of a text count, so every run of ``RUN`` words that stands at two
+places is found, in two texts or twice in one. The smallest hash of the
+``GRAM``-word shingles in a run chooses the run's anchor; equal runs choose
+alike. Neighbouring runs with one anchor are a cell. If all cells of an anchor's
+hash are equal, their runs have the same places and the cell stands for them;
+else the runs themselves are compared, by a 128-bit digest of their words.
+
+The first place of a run, by doc_id and word, stays whole. Words of other places
+go, if no run has its first place over them. Null, empty and short texts have no
+run and give no row, as do rows with a null doc_id. Rows that repeat a doc_id and
+text are one text; different texts under one doc_id are told apart by ``th``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from recordloom.llm.common import documents, stored
+from recordloom.llm.shingles import _ODD, _hash, _mixed, words
+
+RUN, GRAM = 50, 20
+CHUNK = 1 << 15
+
+
+def places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in code points."""
+    b = np.frombuffer(data, np.uint8)
+    space = np.concatenate(([True], (b == 32) | ((b >= 9) & (b <= 13)), [True]))
+    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+    return points[np.flatnonzero(space[:-1] & ~space[1:])], points[np.flatnonzero(~space[:-1] & space[1:])]
+
+
+def cells(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs that begin at words 0, 1, ..: first run, number of runs and anchor's hash of each cell."""
+    h = np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
+    sums = h[: len(h) - GRAM + 1] * _ODD[0]
+    for j in range(1, GRAM):
+        sums += h[j : len(h) - GRAM + 1 + j] * _ODD[j]
+    x = _mixed(sums)
+    wide = RUN - GRAM + 1
+    anchor = np.lib.stride_tricks.sliding_window_view(x, wide).argmin(axis=1) + np.arange(len(x) - wide + 1)
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    return first, np.diff(np.append(first, len(anchor))), x[anchor[first]]
+
+
+def _rows(batches, columns, names, rows_of):
+    """The rows that ``rows_of`` gives for each row of the batches, as Arrow batches."""
+    for batch in batches:
+        held = []
+        kinds = [batch.schema.field("doc_id").type, *columns]
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for row in zip(*batch.columns, strict=True):
+            held.extend(rows_of(*[x.as_py() for x in row]))
+            if len(held) >= CHUNK:
+                yield flush(held)
+                held = []
+        if held:
+            yield flush(held)
+
+
+def _cut(batches):
+    def rows_of(doc_id, th, text):
+        ws = words(text)
+        if len(ws) < RUN:
+            return
+        begin, end = places(text.encode("utf-8", "surrogatepass"))
+        first, n, hashes = cells(ws)
+        for f, k, x in zip(first.tolist(), n.tolist(), hashes.view(np.int64).tolist(), strict=True):
+            upto = f + k - 1 + RUN
+            yield doc_id, th, x, xxhash.xxh3_128_digest(b" ".join(ws[f:upto])), f, k, int(begin[f]), int(end[upto - 1])
+
+    yield from _rows(batches, [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 4], ["doc_id", "th", "anchor", "digest", "first", "n", "begin", "end"], rows_of)
+
+
+def _runs(batches):
+    def rows_of(doc_id, th, text, wanted):
+        ws, wanted = words(text), set(wanted)
+        begin, end = places(text.encode("utf-8", "surrogatepass"))
+        first, n, _ = cells(ws)
+        for f, k in zip(first.tolist(), n.tolist(), strict=True):
+            for at in range(f, f + k) if f in wanted else ():
+                yield doc_id, th, xxhash.xxh3_128_digest(b" ".join(ws[at : at + RUN])), at, 1, int(begin[at]), int(end[at + RUN - 1])
+
+    yield from _rows(batches, [pa.int64(), pa.binary(), *[pa.int32()] * 4], ["doc_id", "th", "digest", "first", "n", "begin", "end"], rows_of)
+
+
+def _merged(spans: list[tuple]) -> list[list]:
+    """Spans (first word, word past the last, begin, end) that touch as one, in order."""
+    out: list[list] = []
+    for a, b, begin, end in sorted(spans):
+        if out and a <= out[-1][1]:
+            if b > out[-1][1]:
+                out[-1][1], out[-1][3] = b, end
+        else:
+            out.append([a, b, begin, end])
+    return out
+
+
+def stretches(found: list[dict]) -> list[tuple]:
+    """(begin, end, n_words, removed) in a text, from its repeated runs (first, n, begin, end, head)."""
+    span = lambda r: (r["first"], r["first"] + r["n"] - 1 + RUN, r["begin"], r["end"])
+    heads = _merged([span(r) for r in found if r["head"]])
+    out = [(begin, end, b - a, False) for a, b, begin, end in heads]
+    k = 0
+    for a, b, begin, end in _merged([span(r) for r in found if not r["head"]]):
+        while k < len(heads) and heads[k][1] <= a:
+            k += 1
+        j = k
+        while j < len(heads) and heads[j][0] < b and a < b:
+            if heads[j][0] > a:
+                out.append((begin, heads[j][2], heads[j][0] - a, True))
+            a, begin = max(a, heads[j][1]), heads[j][3]
+            j += 1
+        if a < b:
+            out.append((begin, end, b - a, True))
+    return sorted(out)
+
+
+def _stretches(batches):
+    yield from _rows(batches, [pa.int64(), *[pa.int32()] * 3, pa.bool_()], ["doc_id", "th", "start", "end", "n_words", "removed"],
+                     lambda doc_id, th, found: ((doc_id, th, *s) for s in stretches(found)))
+
+
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Values of ``key`` at more than one place, with the first; ``same`` if their digests are one."""
+    place = F.struct("doc_id", "th", "first")
+    found = rows.groupBy(key).agg(F.min(place).alias("head"), F.max(place).alias("last"), (F.min("digest") == F.max("digest")).alias("same"))
+    return stored(found.where(F.col("head") != F.col("last")).select(key, "head", "same"), "repeated")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, th, start, end, n_words, removed: the stretches of ``docs`` (doc_id,
+    text) that repeated runs cover; white space beside a kept word goes with what is removed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    spans = "first int, n int, begin int, end int"
+    found = stored(rows.mapInArrow(_cut, f"doc_id {kind}, th bigint, anchor bigint, digest binary, {spans}"), "cells")
+    head = (F.struct("doc_id", "th", "first") == F.col("head")).alias("head")
+    # What grows with the corpus is never broadcast, however small it is here.
+    met = stored(found.drop("digest").join(_repeated(found, "anchor").hint("merge"), "anchor").select("doc_id", "th", "first", "n", "begin", "end", head, "same"), "met")
+    wanted = met.where(~F.col("same")).groupBy("doc_id", "th").agg(F.collect_set("first").alias("wanted"))
+    texts = rows.join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
+    runs = stored(texts.mapInArrow(_runs, f"doc_id {kind}, th bigint, digest binary, {spans}"), "runs")
+    single = runs.join(_repeated(runs, "digest").hint("merge"), "digest").select("doc_id", "th", "first", "n", "begin", "end", head)
+    every = met.where("same").drop("same").unionByName(single)
+    per = every.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n", "begin", "end", "head")).alias("found"))
+    return per.mapInArrow(_stretches, f"doc_id {kind}, th bigint, start int, end int, n_words int, removed boolean")
+
+
+def op3_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_runs(documents(spark, sf_dir))

@@ -1,0 +1,66 @@
+"""Repeated runs of words, against every run of 50 words of every text."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import defaultdict
+
+import pyarrow.parquet as pq
+
+from recordloom.llm import runs
+from tests.llm import brute
+from tests.oracle import DATA
+
+
+def expected(docs):
+    """(code points of removed words, of kept words) of each text with a repeated run."""
+    at, spans = defaultdict(list), {}
+    for i in sorted(docs):
+        spans[i] = [(m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", docs[i])]
+        ws = brute.spaced(docs[i].translate(brute.UPPER))
+        for k in range(len(ws) - runs.RUN + 1):
+            at[tuple(ws[k:k + runs.RUN])].append((i, k))
+    head, rest = defaultdict(set), defaultdict(set)
+    for places in at.values():
+        for n, (i, k) in enumerate(places if len(places) > 1 else ()):
+            (rest if n else head)[i].update(range(k, k + runs.RUN))
+    points = lambda i, ks: {p for k in ks for p in range(*spans[i][k])}
+    return {i: (points(i, rest[i] - head[i]), points(i, head[i])) for i in head.keys() | rest.keys()}
+
+
+def covered(rows, docs):
+    out = defaultdict(lambda: (set(), set()))
+    for r in rows:
+        assert r["n_words"] == len(docs[r["doc_id"]][r["start"]:r["end"]].split())
+        out[r["doc_id"]][not r["removed"]].update(p for p in range(r["start"], r["end"]) if docs[r["doc_id"]][p] not in " \t\n\r\x0b\x0c")
+    return dict(out)
+
+
+def check(spark, docs):
+    df = spark.createDataFrame([*docs.items(), (None, "x " * 80), (-1, None)], "doc_id bigint, text string")
+    assert covered(runs.repeated_runs(df).collect(), docs) == expected(docs)
+
+
+def test_runs_in_short_lines_and_inside_longer_ones(spark):
+    passage = [f"p{k}" for k in range(55)]
+    wrapped = "\n".join(" ".join(passage[k:k + 7]) for k in range(0, 55, 7))
+    other = lambda tag: " ".join(f"{tag}{k}" for k in range(300))
+    docs = {1: f"Über uns\n{wrapped}\nthe end", 2: f"{other('a')} {' '.join(passage).upper()} {other('b')}", 3: " ".join(passage[:49]), 4: " ".join(passage[3:53])}
+    docs |= {5: "again " * 130, 6: f"{other('c')}\n{other('c')}"}
+    check(spark, docs)
+    assert {i for i, (gone, _) in expected(docs).items() if gone} == {2, 4, 5, 6}
+
+
+def test_runs_that_overlap_at_random(spark):
+    r = random.Random(3)
+    pool = [f"w{k}" for k in range(600)]
+    docs = {}
+    for i in range(60):
+        docs[i] = " ".join(w for _ in range(r.randrange(1, 6)) for at in [r.randrange(500)] for w in pool[at:at + r.randrange(20, 120)])
+    check(spark, docs)
+
+
+def test_runs_of_the_documents(spark):
+    t = pq.read_table(f"{DATA}/sf0.001/documents.parquet").to_pydict()
+    check(spark, {i: x for i, x in zip(t["doc_id"], t["text"], strict=True) if x})
