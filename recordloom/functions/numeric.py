@@ -18,7 +18,6 @@ from recordloom.picture import NUMERIC, Picture, picture
 MAX_DIGITS = 38
 LONG_DIGITS = 18
 QUOTIENT_SCALE = 20   # fraction digits kept by a division inside an expression
-LEAST_QUOTIENT = 6    # fewer are not kept: the division is refused
 
 TRUNCATION = "TRUNCATION"
 NEAREST_AWAY = "NEAREST-AWAY-FROM-ZERO"
@@ -192,19 +191,23 @@ def _whole_quotient(a: Num, b: Num, scale: int):
 
 def _long_quotient(a: Num, b: Num) -> Num:
     """A quotient of wide operands: its whole part, and then its fraction from
-    the remainder, each a division of whole numbers. What cannot keep
-    LEAST_QUOTIENT fraction digits is refused."""
+    the remainder, some digits at a time, each step a division of whole numbers.
+    It has QUOTIENT_SCALE fraction digits as a narrow one has, or is refused."""
     quot, rest, low, digits = _whole_quotient(a, b, 0)
-    low_digits = b.ints + max(a.scale, b.scale)
-    scale = min(QUOTIENT_SCALE, MAX_DIGITS - 1 - digits, MAX_DIGITS - 7 - low_digits)
-    if scale < LEAST_QUOTIENT:
-        raise PrecisionError(f"quotient of {a.digits} by {b.digits} digits keeps {scale} fraction digits; store an intermediate result first")
+    low_digits, scale = b.ints + max(a.scale, b.scale), QUOTIENT_SCALE
+    _fits(digits + scale, "quotient")
+    step = MAX_DIGITS - 7 - low_digits
+    if step < 1:
+        raise PrecisionError(f"divisor of {low_digits} digits leaves no room for a fraction; store an intermediate result first")
     rest, low = dec(rest, low_digits, 0), dec(low, low_digits, 0)
-    top = dec(rest * pow10(scale), low_digits + scale, 0)
-    more = dec(top % low, low_digits, 0)
-    fraction = point_left(dec(dec(top - more, low_digits + scale, 0) / low, scale, 0), scale, scale, scale + 1)
-    value = dec(dec(quot, digits, 0) + fraction, digits + scale, scale)
-    return Num(F.when((a.col < 0) != (b.col < 0), -value).otherwise(value), digits + scale, scale)
+    text = [F.when((a.col < 0) != (b.col < 0), "-").otherwise(""), dec(quot, max(digits, 1), 0).cast("string"), F.lit(".")]
+    for done in range(0, scale, step):
+        k = min(step, scale - done)
+        top = dec(rest * pow10(k), low_digits + k, 0)
+        rest = dec(top % low, low_digits, 0)
+        text.append(F.lpad(dec(dec(top - rest, low_digits + k, 0) / low, k, 0).cast("string"), k, "0"))
+    # the sum's type would not hold the scale, so the point goes in as text
+    return Num(dec(F.concat(*text), max(digits, 1) + scale, scale), max(digits, 1) + scale, scale)
 
 
 def divide(a, b, scale: int, rounding: str = TRUNCATION) -> Num:

@@ -1,7 +1,7 @@
 """Storage arithmetic against hand-worked values and Python decimals."""
 
 import random
-from decimal import ROUND_DOWN, ROUND_HALF_UP, Decimal as D
+from decimal import ROUND_DOWN, ROUND_HALF_UP, Decimal as D, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +174,23 @@ def test_pictures():
     assert picture("ZZ,ZZ9.99CR").kind == "edited" and picture("X(3)9").kind == "alnum"
     with pytest.raises(PictureError):
         picture("9(3)Q")
+
+
+def test_wide_quotients_keep_their_digits(spark):
+    """A quotient in an expression is the same however wide its operands' pictures are, or it is refused."""
+    pairs = [(D(10), D(3)), (D(-1), D(7)), (D("99999999999.999999999999"), D(999999999)), (D("0.000000000001"), D(999999999)), (D(0), D(3)), (D(5), D(0))]
+    df = spark.createDataFrame(pairs, "a decimal(38,12), b decimal(38,0)")
+    with localcontext() as c:
+        c.prec = 60
+        want = [None if not y else (x / y).quantize(D(1).scaleb(-20), "ROUND_DOWN") for x, y in pairs]
+    for left, right in (("S9(12)V9(12)", "S9(9)"), ("S9(16)V9(12)", "S9(9)"), ("S9(18)V9(12)", "S9(11)"), ("S9(12)V9(12)", "S9(17)")):
+        q = n.num("a", left) / n.num("b", right)
+        assert [r[0] for r in df.select(q.col).collect()] == want, (left, right)
+    assert q.scale == n.QUOTIENT_SCALE
+    twice = n.num("a", "S9(16)V9(12)") / n.num("b", "S9(9)") * 3
+    assert [r[0] for r in df.select(twice.col).collect()] == [None if w is None else w * 3 for w in want]
+    for left, right in (("S9(19)V9(9)", "S9(9)"), ("S9(16)V9(12)", "S9(9)V9(3)"), ("S9(12)V9(18)", "S9(13)")):
+        with pytest.raises(n.PrecisionError):
+            n.num("a", left) / n.num("b", right)
+    with pytest.raises(n.PrecisionError):
+        n.num("a", "S9(16)V9(12)") / n.num("b", "S9(9)") * 1_000_000
