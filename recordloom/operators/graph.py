@@ -26,6 +26,11 @@ _VERB = r"(?:" + "|".join(VERBS) + r")(?![A-Z0-9-])"
 # kinds of edges: fixed values
 PERFORM, GOTO, CALL, FALLTHROUGH, EXIT = "PERFORM", "GOTO", "CALL", "FALLTHROUGH", "EXIT"
 ASSIGNS, DERIVES_FROM, CONDITIONAL_ON = "ASSIGNS", "DERIVES_FROM", "CONDITIONAL_ON"
+CONSUMES, CALLS_WITH = "CONSUMES", "CALLS_WITH"
+# what makes the rest of a sentence conditional, and what ends that
+_OPENS = r"(?<![A-Z0-9-])(?:IF|EVALUATE|SEARCH|AT\s+END|INVALID|ON\s+(?:SIZE|OVERFLOW|EXCEPTION))(?![A-Z0-9-])"
+_CLOSES = r"(?<![A-Z0-9-])END-[A-Z]+"
+_LITERAL = r"""'[^']*'|"[^"]*\""""
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -59,6 +64,12 @@ def _edges(staged: DataFrame, keep: str, edges: Column, fields: list[str]) -> Da
     return flat.where(F.col("_e").isNotNull()).select(keep, *[f"_e.{f}" for f in fields])
 
 
+def _statements(code: Column) -> Column:
+    """Statements in source order, literals as zeros; one that ends a sentence ends in a period."""
+    cut_at = rf"(?={_B}{_VERB})|(?={_CLOSES})|(?<=\.)\s+"
+    return F.filter(F.transform(F.split(F.regexp_replace(code, _LITERAL, "0"), cut_at), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+
+
 # -- calls -------------------------------------------------------------------
 def call_edges(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(caller, callee, kind): literal targets are static, names dynamic."""
@@ -107,7 +118,9 @@ def paragraphs(programs: DataFrame, program: str = "program", text: str = "text"
 def control_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, source, target, kind) between paragraphs.
 
-    FALLTHROUGH goes to the next paragraph unless the body ends in a jump out.
+    FALLTHROUGH goes to the next paragraph unless the body ends in a jump out
+    that no condition of its sentence guards. PERFORM THRU leads to each
+    paragraph of its range, GO TO .. DEPENDING ON to each one that it lists.
     """
     parts = F.filter(F.split(_division(F.col(text)), _HEADER),
                      lambda x: ~x.rlike(r"^\s*$"))
@@ -117,6 +130,15 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
     ends = r"(?s)\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM|GO\s+TO\s+[A-Z0-9-]+)\s*\.?\s*$"
     loop_words = r"(?:UNTIL|VARYING|WITH|TEST)\b"
 
+    thru_re = rf"{_word('PERFORM')}\s+({_NAME})\s+(?:THRU|THROUGH)\s+({_NAME})"
+    depending_re = rf"{_word('GO')}\s+TO\s+((?:(?!{_VERB}|DEPENDING\b)[A-Z0-9-]+[\s,]+)+)DEPENDING\b"
+
+    def span(m: Column) -> Column:
+        """The paragraphs from one end of a PERFORM THRU to the other; both ends, if they are not in this order."""
+        one, two = F.regexp_extract(m, thru_re, 1), F.regexp_extract(m, thru_re, 2)
+        a, b = F.array_position("_heads", one).cast("int"), F.array_position("_heads", two).cast("int")
+        return F.when((a > 0) & (b >= a), F.slice("_heads", F.greatest(a, F.lit(1)), F.greatest(b - a + 1, F.lit(0)))).otherwise(F.array(one, two))
+
     def edge(target: Column, kind: str) -> Column:
         return F.struct(target.alias("target"), F.lit(kind).alias("kind"))
 
@@ -124,14 +146,20 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
         # most paragraphs hold none of the words that leave; a plain search is cheaper
         may_leave = body.contains("GOBACK") | body.contains("STOP") | body.contains("EXIT")
         may_jump = may_leave | body.contains("GO")
+        none = F.array().cast("array<struct<target:string,kind:string>>")
+        last = F.substring_index(F.rtrim(F.regexp_replace(F.regexp_replace(body, _LITERAL, "0"), r"\s+", " ")), ".", -2)
+        guarded = F.regexp_count(last, F.lit(_OPENS)) > F.regexp_count(last, F.lit(_CLOSES))
         return F.concat(
             F.transform(_all(body, rf"{_word('PERFORM')}\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
             F.transform(_all(body, rf"{_word('GO')}\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
+            F.when(body.contains("THR"), F.flatten(F.transform(_all(body, thru_re, 0), lambda m: F.transform(span(m), lambda t: edge(t, PERFORM))))).otherwise(none),
+            F.when(body.contains("DEPENDING"), F.transform(F.flatten(F.transform(_all(body, depending_re), lambda m: F.split(F.trim(F.regexp_replace(m, r"[\s,]+", " ")), " "))),
+                                                           lambda t: edge(t, GOTO))).otherwise(none),
             F.transform(_all(body, rf"""{_word("CALL")}\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
             F.when(may_leave & body.rlike(r"\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM)\b"), F.array(edge(F.lit("EXIT"), EXIT)))
-            .otherwise(F.array().cast("array<struct<target:string,kind:string>>")),
-            F.when(~(may_jump & body.rlike(ends)), F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
-            .otherwise(F.array().cast("array<struct<target:string,kind:string>>")),
+            .otherwise(none),
+            F.when(~(may_jump & body.rlike(ends)) | guarded, F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
+            .otherwise(none),
         )
 
     staged = programs.select(F.col(program).alias("program"), heads.alias("_heads"), bodies.alias("_bodies"))
@@ -143,9 +171,10 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
 def data_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, source, target, kind): what each item's value comes from.
 
-    MOVE gives ASSIGNS; COMPUTE and ADD/SUBTRACT/MULTIPLY/DIVIDE GIVING give
-    DERIVES_FROM; items tested by IF give CONDITIONAL_ON for the items moved or
-    computed up to the end of that sentence.
+    MOVE and WRITE FROM give ASSIGNS, READ INTO gives CONSUMES; COMPUTE and
+    ADD/SUBTRACT/MULTIPLY/DIVIDE, with GIVING or in place, give DERIVES_FROM;
+    items tested by IF give CONDITIONAL_ON for the items that get a value under
+    it, in nested IFs too, up to its END-IF or the end of the sentence.
     """
     code = F.col("_code")
     item = r"[A-Z][A-Z0-9-]*"
@@ -163,17 +192,58 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
     compute_re = rf"{_word('COMPUTE')}\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|{_B}{_VERB}|$)"
     computes = F.transform(_all(code, compute_re, 0), lambda m: cross(
         words(F.regexp_extract(m, r"(?s)=(.*)$", 1)), words(F.regexp_extract(m, rf"COMPUTE\s+({item})", 1)), DERIVES_FROM))
-    giving_re = rf"{_word('ADD', 'SUBTRACT', 'MULTIPLY', 'DIVIDE')}\s+[A-Z0-9.\s-]*?\bGIVING\s+{item}"
-    givings = F.transform(_all(code, giving_re, 0), lambda m: cross(
-        words(F.regexp_replace(F.regexp_extract(m, r"(?s)^\s*[A-Z]+\s+(.*?)\bGIVING", 1), r"\b[0-9.]+\b", " ")),
-        words(F.regexp_extract(m, rf"GIVING\s+({item})", 1)), DERIVES_FROM))
-    if_re = rf"(?s){_word('IF')}\b.*?(?=END-IF|\.\s|$)"
-    conds = F.transform(_all(code, if_re, 0), lambda m: cross(
-        words(F.regexp_replace(F.regexp_extract(m, rf"(?s)^IF\s+(.*?)(?={_B}{_VERB}|$)", 1), r"'[^']*'|\"[^\"]*\"", " ")),
-        F.array_union(_all(m, rf"\bTO\s+({item})"), _all(m, rf"\bCOMPUTE\s+({item})")), CONDITIONAL_ON))
-    edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, conds)))
+    part = lambda st, pattern: F.regexp_extract(st, rf"(?s)^{pattern}", 1)
+    of = lambda st, pattern: words(part(st, pattern))
+    sums = "(?:ADD|SUBTRACT|MULTIPLY|DIVIDE)"
+    in_place = r"(?:ADD\s.*?\sTO|SUBTRACT\s.*?\sFROM|MULTIPLY\s.*?\sBY|DIVIDE\s.*?\sINTO)\s"
+
+    def arithmetic(st: Column) -> Column:
+        giving = st.rlike(r"(?s)\sGIVING\s")
+        targets = F.when(giving, of(st, rf"{sums}\s.*?\sGIVING\s(.*)$")).otherwise(of(st, rf"{in_place}(.*)$"))
+        return F.when(st.rlike(rf"^{sums}\s"), F.struct(
+            F.when(giving, of(st, rf"{sums}\s(.*?)\sGIVING\s")).otherwise(of(st, rf"{sums}\s(.*)$")).alias("sources"), targets.alias("targets")))
+
+    sums_of = F.filter(F.transform("_statements", arithmetic), lambda x: x.isNotNull())
+    givings = F.transform(sums_of, lambda x: cross(x["sources"], x["targets"], DERIVES_FROM))
+    read_re, write_re = rf"(?:READ|RETURN)\s+({item})\s(?:.*?\s)?INTO\s+({item})", rf"(?:WRITE|REWRITE|RELEASE)\s+({item})\s+FROM\s+({item})"
+
+    def moved(pattern: str, source: int, kind: str) -> Column:
+        found = F.filter("_statements", lambda st: st.rlike(rf"(?s)^{pattern}"))
+        return F.transform(found, lambda st: F.array(F.struct(
+            F.regexp_extract(st, rf"(?s)^{pattern}", source).alias("source"), F.regexp_extract(st, rf"(?s)^{pattern}", 3 - source).alias("target"), F.lit(kind).alias("kind"))))
+
+    def changed(st: Column) -> Column:
+        into = F.regexp_extract(st, rf"(?s)^{read_re}", 2)
+        record = F.regexp_extract(st, rf"(?s)^{write_re}", 1)
+        return F.concat(of(st, r"MOVE\s.*?\sTO\s(.*)$"), of(st, rf"COMPUTE\s+({item}[^=]*)="), F.coalesce(arithmetic(st)["targets"], F.array().cast("array<string>")),
+                        F.filter(F.array(into, record), lambda x: x != ""))
+
+    def under(state: Column, st: Column) -> Column:
+        """Conditions in force, innermost last, and the pairs so far."""
+        tests, pairs = state["tests"], state["pairs"]
+        after = F.when(st.rlike(r"^IF\s"), F.concat(tests, F.array(of(st, r"IF\s(.*)$")))).when(
+            st.startswith("END-IF"), F.slice(tests, F.lit(1), F.greatest(F.size(tests) - 1, F.lit(0)))).otherwise(tests)
+        after = F.when(st.rlike(r"\.\s*$"), F.array().cast("array<array<string>>")).otherwise(after)
+        got = F.when(F.size(tests) > 0, cross(F.flatten(tests), changed(st), CONDITIONAL_ON)).otherwise(F.array().cast(kinds))
+        return F.struct(after.alias("tests"), F.concat(pairs, got).alias("pairs"))
+
+    kinds = "array<struct<source:string,target:string,kind:string>>"
+    start = F.struct(F.array().cast("array<array<string>>").alias("tests"), F.array().cast(kinds).alias("pairs"))
+    conds = F.array(F.aggregate("_statements", start, under)["pairs"])
+    edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, moved(read_re, 1, CONSUMES), moved(write_re, 2, ASSIGNS), conds)))
+    staged = programs.select(F.col(program).alias("program"), _division(F.col(text)).alias("_code"))
+    return _edges(staged.select("program", "_code", _statements(code).alias("_statements")), "program", edges, ["source", "target", "kind"])
+
+
+def call_arguments(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
+    """(program, source, target, kind): the items that each called program, or name of one, gets."""
+    call_re = rf"""(?s){_word("CALL")}\s+["']?([A-Z0-9-]+)["']?\s+USING\s+((?:(?!{_VERB}|END-CALL|RETURNING|NOT\b)[A-Z0-9()-]+[\s,]*)+)"""
+    items = lambda m: F.array_except(_all(F.regexp_replace(F.regexp_extract(m, call_re, 2), r"\([^)]*\)", " "), r"(?<![A-Z0-9-])([A-Z][A-Z0-9-]*)"),
+                                     F.array(*[F.lit(w) for w in ("BY", "REFERENCE", "CONTENT", "VALUE", "ADDRESS", "LENGTH", "OF", "OMITTED")]))
+    found = F.transform(_all(F.col("_code"), call_re, 0), lambda m: F.transform(items(m), lambda x: F.struct(
+        x.alias("source"), F.regexp_extract(m, call_re, 1).alias("target"), F.lit(CALLS_WITH).alias("kind"))))
     staged = programs.select(F.col(program).alias("program"), _division(F.col(text)).alias("_code"))
-    return _edges(staged, "program", edges, ["source", "target", "kind"])
+    return _edges(staged, "program", F.array_distinct(F.flatten(found)), ["source", "target", "kind"])
 
 
 # -- reachability ------------------------------------------------------------

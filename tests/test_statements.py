@@ -151,6 +151,44 @@ def test_program_graphs(spark):
     assert [(r.n, r.paragraph) for r in g.paragraphs(p).where("program = 'A'").collect()] == [(0, "PROCEDURE"), (1, "MAIN-PARA"), (2, "SUB-PARA"), (3, "LAST-PARA")]
 
 
+def test_program_graphs_of_other_shapes(spark):
+    """Ranges, computed jumps, guarded jumps, sums in place, records, arguments, nested conditions."""
+    lines = """PROCEDURE DIVISION.
+A-PARA.
+    PERFORM B-PARA THRU D-PARA
+    GO TO B-PARA, C-PARA D-PARA DEPENDING ON WS-N.
+B-PARA.
+    IF WS-A = 'IF. ADD' GO TO D-PARA.
+C-PARA.
+    READ IN-FILE INTO WS-REC AT END GO TO D-PARA.
+D-PARA.
+    IF WS-A > 1
+        IF WS-B = 2
+            ADD WS-X TO WS-Y
+        ELSE
+            SUBTRACT 1 FROM WS-Z
+        END-IF
+        MOVE WS-P TO WS-Q WS-R
+    END-IF
+    MULTIPLY WS-M BY WS-O.
+    DIVIDE WS-D BY WS-E GIVING WS-F REMAINDER WS-G.
+    WRITE OUT-REC FROM WS-REC.
+    CALL 'SUB' USING BY REFERENCE WS-H WS-I(3)
+    GOBACK.""".split("\n")
+    p = spark.createDataFrame([("X", "\n".join("       " + x for x in lines))], "program string, text string")
+    flow = {tuple(r)[1:] for r in g.control_flow(p).collect()}
+    assert flow == {("A-PARA", t, k) for t in ("B-PARA", "C-PARA", "D-PARA") for k in ("PERFORM", "GOTO")} | {
+        ("A-PARA", "B-PARA", "FALLTHROUGH"), ("B-PARA", "D-PARA", "GOTO"), ("B-PARA", "C-PARA", "FALLTHROUGH"), ("C-PARA", "D-PARA", "GOTO"),
+        ("C-PARA", "D-PARA", "FALLTHROUGH"), ("D-PARA", "SUB", "CALL"), ("D-PARA", "EXIT", "EXIT")}
+    data = {tuple(r)[1:] for r in g.data_flow(p).collect()}
+    under = {(c, t, "CONDITIONAL_ON") for c in ("WS-A", "WS-B") for t in ("WS-Y", "WS-Z")} | {("WS-A", t, "CONDITIONAL_ON") for t in ("WS-Q", "WS-R")}
+    derived = {("WS-X", "WS-Y"), ("WS-Y", "WS-Y"), ("WS-Z", "WS-Z"), ("WS-M", "WS-O"), ("WS-O", "WS-O"), ("WS-D", "WS-F"), ("WS-E", "WS-F"), ("WS-D", "WS-G"), ("WS-E", "WS-G")}
+    assert data == under | {(*e, "DERIVES_FROM") for e in derived} | {
+        ("WS-P", "WS-Q", "ASSIGNS"), ("WS-P", "WS-R", "ASSIGNS"), ("IN-FILE", "WS-REC", "CONSUMES"), ("WS-REC", "OUT-REC", "ASSIGNS")}
+    assert {tuple(r)[1:] for r in g.call_arguments(p).collect()} == {("WS-H", "SUB", "CALLS_WITH"), ("WS-I", "SUB", "CALLS_WITH")}
+
+
+
 def test_reach_with_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("a", "b")], "source string, target string")
     seeds = spark.createDataFrame([("a",)], "node string")
