@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import decontaminate, language, licences, mixing, near_dup, quality, runs, secrets, substrings, toxicity, warc
+from recordloom.llm import decontaminate, divergence, language, licences, mixing, near_dup, quality, runs, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op5_warc": warc.OP5_SQL,
     "op6_secrets": secrets.OP6_SQL,
     "op7_licences": licences.OP7_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
