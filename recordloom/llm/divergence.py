@@ -80,19 +80,23 @@ def _tally(batches):
     yield from flush()
 
 
-def _stripes(batches):
+def _stripes(most: int):
     """Sorted (lang, term) to (lang, term, stripe, pos)."""
-    stripe, pos, current = TaskContext.get().partitionId() << 32, 0, None
-    for batch in batches:
-        stripes, places = [], []
-        for lang in batch.column(0).to_pylist():
-            if current is not None and (lang != current or pos == STRIPE):
-                stripe, pos = stripe + 1, 0
-            current = lang
-            stripes.append(stripe)
-            places.append(pos)
-            pos += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stripes, pa.int64()), pa.array(places, pa.int32())], names=["lang", "term", "stripe", "pos"])
+
+    def cut(batches):
+        stripe, pos, current = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            stripes, places = [], []
+            for lang in batch.column(0).to_pylist():
+                if current is not None and (lang != current or pos == most):
+                    stripe, pos = stripe + 1, 0
+                current = lang
+                stripes.append(stripe)
+                places.append(pos)
+                pos += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stripes, pa.int64()), pa.array(places, pa.int32())], names=["lang", "term", "stripe", "pos"])
+
+    return cut
 
 
 def runs(at: np.ndarray, counts: np.ndarray, p: np.ndarray, none: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +142,7 @@ def _share(n: str, total: str, v: str) -> Column:
     return F.expr(f"1L + (cast({n} + {SMOOTH} as decimal(24, 0)) * {UNIT}) div cast(greatest({total} + {SMOOTH} * {v}, 1) as decimal(24, 0))")
 
 
-def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
+def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, stripe: int = STRIPE, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank of ``docs`` (text, lang, source)."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
@@ -162,7 +166,7 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TER
     keys = [f"_k{k}" for k in range(1, LEADING + 1)]
     order = shares.join(leading, ["lang", "source"], "left").groupBy("lang", "term").agg(*[F.coalesce(F.max(F.when(F.col("_k") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate(keys, 1)])
     order = order.repartitionByRange("lang", *keys, "term").sortWithinPartitions("lang", *keys, "term")
-    place = stored(order.select("lang", "term").mapInArrow(_stripes, "lang string, term string, stripe bigint, pos int"), "place")
+    place = stored(order.select("lang", "term").mapInArrow(_stripes(stripe), "lang string, term string, stripe bigint, pos int"), "place")
     widths = place.groupBy("lang", "stripe").agg(F.count(F.lit(1)).alias("width"))
 
     # Run-length columns, one row a column and stripe; a language without a kept term has one stripe of no width.
@@ -171,7 +175,7 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TER
     columns = every.join(cut, ["lang", "source", "stripe"], "left").select("lang", "source", "stripe", "none", "width", "cells")
     columns = stored(columns.mapInArrow(_encode, "lang string, source string, stripe bigint, width bigint, first array<bigint>, p array<bigint>"), "columns")
 
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
     dealt = columns.join(blocks, "lang").withColumn("_b", F.pmod(F.xxhash64("source"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     dealt = dealt.select("lang", "source", "stripe", "width", "first", "p", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
     met = dealt.groupBy("lang", "stripe", "_i", "_j").applyInPandas(_pairs, "lang string, a string, b string, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import decontaminate, divergence, language, licences, mixing, near_dup, quality, runs, secrets, substrings, toxicity, warc
+from recordloom.llm import conversations, decontaminate, divergence, language, licences, mixing, near_dup, packing, quality, runs, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLE = {
@@ -25,4 +27,5 @@ ORACLE = {
     "op6_secrets": secrets.OP6_SQL,
     "op7_licences": licences.OP7_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
+    "op12_conversation_repair": conversations.OP12_SQL,
 }
