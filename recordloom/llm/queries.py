@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from recordloom.llm import conversations, decontaminate, divergence, language, licences, mixing, near_dup, packing, quality, runs, secrets, substrings, toxicity, warc
+from recordloom.llm import conversations, decontaminate, divergence, language, licences, mixing, near_dup, packing, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substrings.op3_substring_dedup,
-    "op3_repeated_runs": runs.op3_repeated_runs,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_secrets": secrets.op6_secrets,

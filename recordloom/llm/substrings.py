@@ -1,126 +1,294 @@
-"""Passages that repeat, within a text or across texts: paragraph MinHash banding.
-
-A paragraph is a line of at least 40 words. Its set are its five-word shingles,
-its signature 42 minima, cut into 14 bands of 3: a pair of similarity 0.75 is
-missed one time in 2,000. Paragraphs with equal sets are one class; classes
-that collide are compared on full sets (`near.py`), and components of links are
-the clusters. Of each cluster the first place, by doc_id and line, stays and
-the others are marked for removal.
-
-Null, empty and short texts have no paragraph and give no row, as do rows with a
-null doc_id. Rows that repeat a doc_id and text repeat its paragraphs: one place
-then, named once.
+"""Passages that repeat, within a text or across texts: paragraph MinHash banding over all words.
+
+Paragraphs are chosen by the words themselves, not by lines: a text is cut where
+the hash of two neighbouring words is the smallest among those of the eight words
+on either side, 17 words apart on average. The same passage is so cut alike
+wherever it stands, wrapped over short lines or inside a longer one, but for its
+first and last words. Where no place stands out (a word again and again), cuts
+come every 32 words. Every word belongs to one paragraph; those of fewer than five
+words are not looked up.
+
+Each paragraph has four minima over its five-word shingles, four bands of one row:
+a pair of similarity 0.75 is missed one time in 250, equal ones never. Paragraphs
+with equal shingles are one class. Classes that meet in a band are compared on
+full sets: exact prefixes of their rarest shingles say which (two sets as near as
+asked share one of their first n - ceil(0.75 n) + 1 shingles in any order, so none
+is lost), which keeps paragraphs apart that have only a common phrase. Links make
+components. Of each component the first place, by doc_id and word, stays and the
+others are marked for removal; neighbouring paragraphs with one verdict are one
+stretch, and stretches of 24 words or more are returned.
+
+Sizes: a band's rows are read in order, a bucket is never held. Copies that a
+task has seen before go past the buckets, dealt by their place, so a group with a
+third of all rows has a row a task in each bucket.
+
+Null, empty and short texts give no row, as do rows with a null doc_id. Rows that
+repeat a doc_id and text are one text; different texts under one doc_id are told
+apart by their hash. Very long texts are cut like others, whole. An empty table
+gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.common import documents, stored
 from recordloom.llm.components import components
 from recordloom.llm.near import links
-from recordloom.llm.shingles import MinMax, packed, shingle_set, words
+from recordloom.llm.shingles import _ODD, WIDTH, MinMax, _hash, _mixed, packed, shingle_set, words
 
-LEAST_WORDS = 40
-BANDS, ROWS = 14, 3
+SIDE = 8                  # words on either side of a cut that are no better cut
+LONGEST, FORCED = 64, 32  # a longer paragraph is cut after so many words
+BANDS = 4
 PERCENT = 75
-CHUNK = 1 << 16
-_LINE = re.compile(r"[^\n]+")
-
-
-def paragraphs_of(text: str | None, least: int = LEAST_WORDS):
-    """(line, start, end, words) of each paragraph; places in code points."""
-    if text is None:
-        return
-    line, at = 0, 0
-    for m in _LINE.finditer(text):
-        line += text.count("\n", at, m.start())
-        at = m.start()
-        ws = words(m.group())
-        if len(ws) >= least:
-            yield line, m.start(), m.end(), ws
-
-
-def _sketch(signer: MinMax, least: int):
-    names = ["doc_id", "line", "start", "end", "n_words", "n", "digest", "keys", "sig"]
-
-    def flush(kind: pa.DataType, rows: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        sig = signer.signatures(*packed(sets))
-        keys = signer.keys(sig, BANDS, ROWS).view(np.int64)
-        small = (sig >> np.uint64(24)).astype(np.uint8)
-        ids, line, start, end, count = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([
-            pa.array(ids, kind), *[pa.array(c, pa.int32()) for c in (line, start, end, count)], pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
-            pa.array([s.tobytes() for s in small], pa.binary())], names=names)
-
-    def sketch(batches):
-        for batch in batches:
-            ids, texts = batch.columns
-            rows, sets, held = [], [], 0
-            for k in range(len(batch)):
-                for line, start, end, ws in paragraphs_of(texts[k].as_py(), least):
-                    rows.append((ids[k].as_py(), line, start, end, len(ws)))
-                    sets.append(shingle_set(ws))
-                    held += len(sets[-1])
-                if held >= CHUNK:
-                    yield flush(ids.type, rows, sets)
-                    rows, sets, held = [], [], 0
-            if rows:
-                yield flush(ids.type, rows, sets)
-
-    return sketch
-
-
-def _sets(least: int):
+LEAST_WORDS = 24
+SEEN = 1 << 17            # paragraphs that a task remembers; it starts anew beyond that
+MEMBER = 7                # in place of a band's number: a copy of a paragraph that the task has seen
+
+_PLACE = 1 << 24          # paragraphs in a text, at most
+
+
+def places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in code points."""
+    b = np.frombuffer(data, np.uint8)
+    space = np.concatenate(([True], (b == 32) | ((b >= 9) & (b <= 13)), [True]))
+    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+    return points[np.flatnonzero(space[:-1] & ~space[1:])], points[np.flatnonzero(~space[:-1] & space[1:])]
+
+
+def cuts(h: np.ndarray) -> np.ndarray:
+    """The first words of the paragraphs of a text, and its number of words; ``h`` are the words' hashes."""
+    n, wide = len(h), 2 * SIDE + 1
+    at = [np.zeros(1, np.int64)]
+    if n > wide:
+        x = _mixed(h[:-1] * _ODD[0] + h[1:] * _ODD[1])
+        at.append(np.flatnonzero(np.lib.stride_tricks.sliding_window_view(x, wide).argmin(axis=1) == SIDE) + SIDE)
+    at = np.concatenate([*at, [n]])
+    gaps = np.diff(at)
+    if (gaps > LONGEST).any():
+        forced = [np.arange(a + FORCED, a + g - FORCED // 2, FORCED) for a, g in zip(at.tolist(), gaps.tolist(), strict=False) if g > LONGEST]
+        at = np.sort(np.concatenate([at, *forced]))
+    return at
+
+
+def _hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
+
+
+class _Sketch:
+    def __init__(self):
+        r = np.random.default_rng(23)
+        self.a = r.integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = r.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, digest and band keys (a row a band) of each paragraph of at least five words."""
+        at = cuts(h)
+        first = at[:-1]
+        sums = h[: len(h) - WIDTH + 1] * _ODD[0]
+        for j in range(1, WIDTH):
+            sums += h[j : len(h) - WIDTH + 1 + j] * _ODD[j]
+        x = np.zeros(len(h), np.uint64)
+        x[: len(sums)] = _mixed(sums)
+        cross = np.zeros(len(h), bool)
+        ends = at[1:]
+        for j in range(1, WIDTH):
+            cross[np.maximum(ends - j, first)] = True
+        whole = np.flatnonzero(np.diff(at) >= WIDTH)
+        parts = _mixed(x ^ _ODD[9])
+        parts[cross] = 0
+        digest = _mixed(np.add.reduceat(parts, first))
+        keys = np.empty((BANDS, len(first)), np.uint64)
+        for k in range(BANDS):
+            y = x * self.a[k] + self.b[k]
+            y[cross] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            keys[k] = _mixed(np.minimum.reduceat(y, first) ^ _ODD[10 + k])
+        return whole, digest[whole], keys[:, whole]
+
+
+def _banded(batches):
+    """(doc_id, th, text) to (key, digest, doc_id, at, band): a row a band, or one for a paragraph seen before."""
+    sketch, seen = _Sketch(), {}
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        held: list[list] = [[], [], [], [], []]
+        size = 0
+
+        def flush(kind=kind):
+            key, digest, at, band = (np.concatenate(held[k]) for k in (0, 1, 3, 4))
+            ids = pa.concat_arrays(held[2])
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), ids.cast(kind), pa.array(at), pa.array(band)], names=["key", "digest", "doc_id", "at", "band"])
+
+        for doc_id, th, text in zip(*batch.columns, strict=True):
+            ws = words(text.as_py())
+            if len(ws) < LEAST_WORDS:
+                continue
+            number, digest, keys = sketch(_hashes(ws))
+            at = (np.int64(th.as_py()) // _PLACE * _PLACE) + number
+            own = doc_id.as_py()
+            new, again = [], []
+            for k, (d, a) in enumerate(zip(digest.tolist(), at.tolist(), strict=True)):
+                first = seen.get(d)
+                if first is None:
+                    seen[d] = [own, a]
+                    new.append(k)
+                else:
+                    if len(first) == 2:
+                        first.append(True)
+                        again.append((d, first[0], first[1]))
+                    again.append((d, own, a))
+            if len(seen) >= SEEN:
+                seen.clear()
+            if new:
+                for band in range(BANDS):
+                    held[0].append(keys[band][new])
+                    held[1].append(digest[new])
+                    held[2].append(pa.array([own] * len(new), kind))
+                    held[3].append(at[new])
+                    held[4].append(np.full(len(new), band, np.int8))
+            if again:
+                d, ids, a = zip(*again, strict=True)
+                d, a = np.array(d, np.uint64), np.array(a, np.int64)
+                held[0].append(_mixed(d ^ _mixed(a.view(np.uint64))))
+                held[1].append(d)
+                held[2].append(pa.array(ids, kind))
+                held[3].append(a)
+                held[4].append(np.full(len(a), MEMBER, np.int8))
+            size += BANDS * len(new) + len(again)
+            if size >= 1 << 16:
+                yield flush()
+                held, size = [[], [], [], [], []], 0
+        if size:
+            yield flush()
+
+
+def _met(batches):
+    """Rows in order of key and digest to (key, digest, doc_id, at): with a null key, a
+    paragraph that has a copy; else one of a class that meets another in a band."""
+    carried = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if carried is None else [*carried, batch]).combine_chunks()
+        key, digest, band = (t.column(c).to_numpy() for c in ("key", "digest", "band"))
+        same_key = key[1:] == key[:-1]
+        same = same_key & (digest[1:] == digest[:-1])
+        copies = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        member = band == MEMBER
+        first = np.concatenate(([True], ~same_key))
+        run = np.cumsum(first) - 1
+        several = np.bincount(run[1:][same_key & ~same & ~member[1:]], minlength=int(run[-1]) + 1) > 0
+        meets = several[run] & ~np.concatenate(([False], same)) & ~member
+        has_copy = member | (copies & (band == 0))
+        out = []
+        for chosen, null in ((has_copy, True), (meets, False)):
+            rows = t.filter(pa.array(chosen))
+            if rows.num_rows:
+                keys = pa.nulls(rows.num_rows, pa.int64()) if null else rows.column("key")
+                out.append(pa.table([keys, *[rows.column(c) for c in ("digest", "doc_id", "at")]], names=["key", "digest", "doc_id", "at"]))
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+        head = int(np.flatnonzero(first)[-1])
+        carried = [*t.slice(head, 1).to_batches(), *(t.slice(t.num_rows - 1, 1).to_batches() if head < t.num_rows - 1 else [])]
+
+
+def _sets(signer: MinMax):
+    """(text, wanted) to (id, n, elements, sig) of the paragraphs that ``wanted`` names."""
+
     def make(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                texts, wanted = batch.slice(at, 256).columns
-                ids, lists = [], []
-                for t, w in zip(texts, wanted, strict=True):
-                    lines = {x["line"]: x["id"] for x in w.as_py()}
-                    for line, _, _, ws in paragraphs_of(t.as_py(), least):
-                        if line in lines:
-                            ids.append(lines[line])
-                            lists.append(shingle_set(ws).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "elements"])
+            ids, sets = [], []
+            for text, wanted in zip(*batch.columns, strict=True):
+                ws = words(text.as_py())
+                at = cuts(_hashes(ws))
+                for w in wanted.as_py():
+                    k = w["at"] % _PLACE
+                    ids.append(w["digest"])
+                    sets.append(shingle_set(ws[at[k] : at[k + 1]]))
+            for a in range(0, len(ids), 10_000):
+                part = sets[a : a + 10_000]
+                sig = (signer.signatures(*packed(part)) >> np.uint64(24)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[a : a + 10_000], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64())),
+                    pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "n", "elements", "sig"])
 
     return make
 
 
+def with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (id, n, elements, sig) with keys: the rarest elements, of which two sets as near as asked share one."""
+    each = sets.select("id", "n", F.explode("elements").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("times"))
+    ranked = each.join(often.hint("merge"), "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "x"))).alias("_e"))
+    least = F.ceil(F.col("n") * percent / 100)
+    prefix = F.filter(F.slice("_e", 1, (F.col("n") - least + 1).cast("int")), lambda e: e["times"] > 1)
+    keys = ranked.select("id", F.transform(prefix, lambda e: e["x"]).alias("keys"))
+    return sets.select("id", "n", "sig").join(keys.hint("merge"), "id")
+
+
+def _stretches(least: int):
+    """(doc_id, th, text, found) to the stretches of a text."""
+    names = ["doc_id", "th", "start", "end", "n_words", "clusters", "removed"]
+
+    def join(batches):
+        for batch in batches:
+            out = []
+            for doc_id, th, text, found in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                at = cuts(_hashes(words(text))).tolist()
+                begin, end = places(text.encode("utf-8", "surrogatepass"))
+                rows: list[list] = []
+                for f in sorted(found.as_py(), key=lambda f: f["at"] % _PLACE):
+                    k = f["at"] % _PLACE
+                    if rows and rows[-1][1] == at[k] and rows[-1][3] == f["removed"]:
+                        rows[-1][1] = at[k + 1]
+                        rows[-1][2].append(f["component"])
+                    else:
+                        rows.append([at[k], at[k + 1], [f["component"]], f["removed"]])
+                # Both verdicts count when a repeated stretch is measured: a first place may stand inside it.
+                size, spans = 0, []
+                for n, (a, b, c, gone) in enumerate(rows):
+                    size = size + b - a if n and rows[n - 1][1] == a else b - a
+                    spans.append([a, b, c, gone, size])
+                for n in range(len(spans) - 2, -1, -1):
+                    if spans[n][1] == spans[n + 1][0]:
+                        spans[n][4] = spans[n + 1][4]
+                out += [(doc_id.as_py(), th.as_py(), int(begin[a]), int(end[b - 1]), b - a, c, gone) for a, b, c, gone, size in spans if size >= least]
+            if out:
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return join
+
+
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, line, start, end, n_words, cluster, removed: a row for each
-    paragraph of ``docs`` (doc_id, text) that another one repeats."""
+    """doc_id, th, start, end, n_words, clusters, removed: the stretches of ``docs``
+    (doc_id, text) that are repeated; ``clusters`` are the components of their paragraphs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    schema = f"doc_id {kind}, line int, start int, end int, n_words int, n bigint, digest binary, keys array<bigint>, sig binary"
-    found = stored(rows.mapInArrow(_sketch(MinMax(BANDS * ROWS, both=False), least), schema), "paragraphs")
-
-    classes = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    classes = stored(classes.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), F.monotonically_increasing_id().alias("id")), "classes")
-    sketches = found.select("doc_id", "line", F.col("digest").alias("_d"), "n", "keys", "sig").join(classes, ["doc_id", "line"])
-    sketches = stored(sketches.where(F.col("_d") == F.col("digest")).select("id", "n", "keys", "sig").dropDuplicates(["id"]), "sketches")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-        texts = rows.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("text", "wanted")
-        return texts.mapInArrow(_sets(least), "id bigint, elements array<bigint>")
-
-    groups = components(links(sketches, sets_of, percent))
-    named = stored(classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "named")
-    places = found.select("doc_id", "line", "start", "end", "n_words", "digest").join(named, "digest").dropDuplicates(["doc_id", "line", "component"])
-    places = stored(places.drop("digest"), "places")
-    heads = places.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    heads = stored(heads, "heads")
-    return places.join(heads, "component").select(
-        "doc_id", "line", "start", "end", "n_words", F.concat_ws(":", "head.doc_id", "head.line").alias("cluster"),
-        (F.struct("doc_id", "line") != F.col("head")).alias("removed"))
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    place = F.expr(f"th - pmod(th, {_PLACE})").alias("_top")
+    banded = rows.mapInArrow(_banded, f"key bigint, digest bigint, doc_id {kind}, at bigint, band tinyint")
+    banded = banded.repartition("key").sortWithinPartitions("key", "digest")
+    met = stored(banded.mapInArrow(_met, f"key bigint, digest bigint, doc_id {kind}, at bigint"), "met")
+
+    # Classes that meet others, with their sets, and the links among them.
+    one = met.where("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("p"))
+    wanted = one.groupBy(F.col("p.doc_id").alias("doc_id"), F.expr(f"p.at - pmod(p.at, {_PLACE})").alias("_top")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "digest")).alias("wanted"))
+    texts = rows.select("doc_id", place, "text")
+    some = texts.join(wanted.hint("merge"), ["doc_id", "_top"]).dropDuplicates(["doc_id", "_top"]).select("text", "wanted")
+    sets = stored(some.mapInArrow(_sets(MinMax(32)), "id bigint, n bigint, elements array<bigint>, sig binary"), "sets")
+    sketches = stored(with_prefixes(sets, percent), "sketches")
+    found = stored(components(links(sketches, lambda ids: sets.join(ids.hint("merge"), "id", "left_semi").select("id", "elements"), percent)), "found")
+
+    # Every place of a class that has copies or links.
+    linked = met.join(found.select(F.col("id").alias("digest"), "component").hint("merge"), "digest", "left").where("key IS NULL OR component IS NOT NULL")
+    every = linked.select("doc_id", "at", F.coalesce("component", "digest").alias("component")).distinct()
+    every = stored(every, "every")
+    heads = every.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    marked = every.join(heads.hint("merge"), "component").select("doc_id", "at", "component", (F.struct("doc_id", "at") != F.col("head")).alias("removed"))
+    per = marked.groupBy("doc_id", F.expr(f"at - pmod(at, {_PLACE})").alias("_top")).agg(F.collect_list(F.struct("at", "component", "removed")).alias("found"))
+    again = rows.select("doc_id", "th", place, "text").join(per.hint("merge"), ["doc_id", "_top"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "found")
+    return again.mapInArrow(_stretches(least), f"doc_id {kind}, th bigint, start int, end int, n_words int, clusters array<bigint>, removed boolean")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,10 +225,42 @@ def test_passages(docs, none):
     assert substrings.repeated_passages(none).count() == 0
 
 
-def test_passages_within_a_text(spark):
-    df = spark.createDataFrame([(1, f"{WORDS}\nshort line\n\n{WORDS} x"), (2, "other " * 50)], "doc_id bigint, text string")
-    got = sorted(substrings.repeated_passages(df).collect(), key=lambda r: r["line"])
-    assert [(r["doc_id"], r["line"], r["removed"], r["cluster"]) for r in got] == [(1, 0, False, "1:0"), (1, 3, True, "1:0")]
+def test_passages_wherever_they_stand(spark):
+    """A passage wrapped over short lines, inside longer lines, twice in a text, with a word changed."""
+    passage = [f"p{k}" for k in range(70)]
+    wrapped = "\n".join(" ".join(passage[k:k + 7]) for k in range(0, 70, 7))
+    other = lambda tag: " ".join(f"{tag}{k}" for k in range(300))
+    changed = " ".join("other" if k == 35 else w for k, w in enumerate(passage))
+    texts = {1: f"Über uns\n{wrapped}\nthe end", 2: f"{other('a')} {' '.join(passage).upper()} {other('b')}", 3: f"{other('c')} {changed}", 4: other("d"), 5: f"{other('e')}\n{other('e')}", 6: " ".join(passage[:20])}
+    rows = substrings.repeated_passages(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()
+    removed = {i: sum(r["n_words"] for r in rows if r["doc_id"] == i and r["removed"]) for i in texts}
+    assert {r["doc_id"] for r in rows} == {1, 2, 3, 5}
+    assert removed[1] == removed[4] == 0 and 40 <= removed[2] <= 70 and 20 <= removed[3] <= 69 and 250 <= removed[5] <= 300
+    for r in rows:
+        assert len(brute.spaced(texts[r["doc_id"]][r["start"]:r["end"]])) == r["n_words"]
+
+
+def test_passages_near_copies_and_common_phrases(spark):
+    """Paragraphs that differ in one word at their end are one; those with only a common phrase are not."""
+    import random
+
+    r = random.Random(8)
+    own = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    phrase = [f"c{k}" for k in range(9)]
+    docs_ = [(k, " ".join(own(40) + phrase + own(40))) for k in range(300)]
+    assert substrings.repeated_passages(spark.createDataFrame(docs_, "doc_id bigint, text string")).count() == 0
+    sentence = own(400)
+    docs_ += [(1000 + k, " ".join(w if r.random() > 0.02 else f"e{r.randrange(10**9)}" for w in sentence)) for k in range(200)]
+    found = substrings.repeated_passages(spark.createDataFrame(docs_, "doc_id bigint, text string")).collect()
+    assert {x["doc_id"] for x in found} == set(range(1000, 1200))
+
+
+def test_passages_of_texts_under_one_id(spark):
+    """Different texts under one doc_id are told apart; repeated rows are one."""
+    rows = [(5, WORDS), (5, WORDS), (5, "x " + WORDS + " y"), (6, "again " * 500), (7, None), (None, WORDS)]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["removed"]) for r in got if r["doc_id"] == 5) == [(5, False), (5, True)]
+    assert {r["doc_id"] for r in got} == {5, 6}
 
 
 def test_licences(spark, docs, none):

@@ -30,7 +30,7 @@ def rows(df):
 
 def test_all_are_registered():
     named = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in named if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in named and set(entry.oracle_sql()) <= set(named)
 
@@ -55,20 +55,44 @@ def test_near_duplicates(spark, docs):
 
 
 def test_passages(spark, docs):
-    from recordloom.llm.substrings import LEAST_WORDS
+    """Marks as all pairs of paragraphs give them; nearly every document that shares 50 words is found."""
+    from recordloom.llm.substrings import LEAST_WORDS, WIDTH, _hashes, cuts
+    from recordloom.llm.shingles import words
 
-    sets = {(i, k): brute.shingles(line) for i, t in docs.items() for k, line in enumerate(t.split("\n")) if len(brute.spaced(line)) >= LEAST_WORDS}
+    split = {i: words(t) for i, t in docs.items() if t}
+    at = {i: cuts(_hashes(ws)).tolist() for i, ws in split.items() if len(ws) >= LEAST_WORDS}
+    sets = {(i, k): brute.shingles(b" ".join(split[i][a:b]).decode()) for i, c in at.items() for k, (a, b) in enumerate(zip(c, c[1:], strict=False)) if b - a >= WIDTH}
     u = brute.Union()
     for a, b in brute.near_links(sets):
         u.join(a, b)
     groups = {}
     for k in sets:
         groups.setdefault(u.root(k), []).append(k)
-    want = {k: k != min(g) for g in groups.values() if len(g) > 1 for k in g}
-    got = queries.QUERIES["op3_substring_dedup"](spark, SF).collect()
-    assert {(r["doc_id"], r["line"]): r["removed"] for r in got} == want
-    for r in got:
-        assert docs[r["doc_id"]][r["start"]:r["end"]] == docs[r["doc_id"]].split("\n")[r["line"]]
+    marks = {k: k != min(g) for g in groups.values() if len(g) > 1 for k in g}
+    want = set()
+    for i, c in at.items():
+        k = 0
+        while k < len(c):
+            end = k
+            while (i, end) in marks:
+                end += 1
+            if end > k and c[end] - c[k] >= LEAST_WORDS:
+                want |= {(i, w, marks[i, j]) for j in range(k, end) for w in range(c[j], c[j + 1])}
+            k = max(end, k + 1)
+    got = set()
+    rows_ = queries.QUERIES["op3_substring_dedup"](spark, SF).collect()
+    for r in rows_:
+        text = docs[r["doc_id"]]
+        first = len(brute.spaced(text[:r["start"]]))
+        assert len(brute.spaced(text[r["start"]:r["end"]])) == r["n_words"] > 0
+        got |= {(r["doc_id"], w, r["removed"]) for w in range(first, first + r["n_words"])}
+    assert len(want ^ got) <= 0.01 * len(want)
+    runs = {}
+    for i, ws in split.items():
+        for k in range(len(ws) - 49):
+            runs.setdefault(tuple(ws[k:k + 50]), set()).add(i)
+    shared = set().union(*(ids for ids in runs.values() if len(ids) > 1))
+    assert len(shared - {r["doc_id"] for r in rows_}) <= 0.02 * len(shared)
 
 
 def test_quality_counts(spark, docs):
