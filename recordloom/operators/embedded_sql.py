@@ -21,7 +21,7 @@ VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE")
 WARNINGS = {"WITH UR": r"\bWITH\s+UR\b", "FOR UPDATE": r"\bFOR\s+UPDATE(\s+OF\s+\w+(\s*,\s*\w+)*)?",
             "FETCH FIRST": r"\bFETCH\s+FIRST\s+(\d+)?\s*ROWS?\s+ONLY\b"}
 _APART = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/", re.S)
-_HOST = re.compile(r":([A-Za-z][\w-]*)(?:\s*:\s*([A-Za-z][\w-]*))?")
+_HOST = re.compile(r"(?<!:):([A-Za-z][\w-]*)(?:\s*:\s*([A-Za-z][\w-]*))?")      # a::int is no variable
 
 
 class HostVariableError(LookupError):
@@ -47,8 +47,9 @@ class Outcome:
 def statement(text: str, host: dict[str, object] | None = None) -> tuple[str, dict[str, object], list[str]]:
     """Host-free SQL text, its named arguments, and what was set aside.
 
-    Literals, quoted names and comments are set apart before anything is looked
-    for, and come back as they were. Text values lose trailing blanks; a
+    Literals, quoted names and hints are set apart before anything is looked for,
+    and come back as they were; comments go. FETCH FIRST becomes a LIMIT where it
+    stands, in subqueries too, with or without a number. Text values lose trailing blanks; a
     variable with a negative indicator is bound as null. Every occurrence of a
     variable has an argument of its own, as its indicator may differ.
     """
@@ -56,21 +57,21 @@ def statement(text: str, host: dict[str, object] | None = None) -> tuple[str, di
     apart: list[str] = []
 
     def set_apart(m: re.Match) -> str:
+        if m[0].startswith(("--", "/*")) and not m[0].startswith("/*+"):
+            return " "
         apart.append(m[0])
         return f"\x00{len(apart) - 1}\x00"
 
     body = _APART.sub(set_apart, text).strip().rstrip(";").rstrip()
-    verb = re.sub(r"^(\x00\d+\x00\s*)+", "", body).split(None, 1)[0].upper()
+    verb = body.split(None, 1)[0].upper()
     if verb not in VERBS:
         raise UnsupportedStatement(f"Unsupported SQL statement type: {verb}")
     warnings = [name for name, pattern in WARNINGS.items() if re.search(pattern, body, re.I)]
     if verb == "SELECT":
         body = re.sub(r"\bINTO\s+:[\w\s:,-]+?(?=\bFROM\b|$)", "", body, count=1, flags=re.I)
-    limit = re.search(WARNINGS["FETCH FIRST"], body, re.I)
-    for pattern in (WARNINGS["FETCH FIRST"], WARNINGS["WITH UR"], WARNINGS["FOR UPDATE"]):
+    body = re.sub(WARNINGS["FETCH FIRST"], lambda m: f"LIMIT {m[1] or 1}", body, flags=re.I)
+    for pattern in (WARNINGS["WITH UR"], WARNINGS["FOR UPDATE"]):
         body = re.sub(pattern, "", body, flags=re.I)
-    if limit:                 # at the end, whatever order the clauses had
-        body = f"{body.rstrip()} LIMIT {limit[1] or 1}"
     body = re.sub(r"\bFROM\s+SYSIBM\.SYSDUMMY1\b", "", body, flags=re.I)
     body = re.sub(r"\bCURRENT\s+TIMESTAMP\b", "current_timestamp()", body, flags=re.I)
     args: dict[str, object] = {}

@@ -85,6 +85,17 @@ def relative_roundtrip(spark, sf_dir):
     return r.open_input(spark, spec)
 
 
+@query("relative_wide_numbers", """
+SELECT CAST(12345678900 + l_orderkey * 8 + l_linenumber AS BIGINT) AS rrn, l_returnflag AS state FROM lineitem""")
+def relative_wide_numbers(spark, sf_dir):
+    """Record numbers of more than ten digits, closed, extended and opened again."""
+    spec = r.FileSpec(scratch_path(spark, "wide"), copybook("01 REC.  05 STATE PIC X."), r.RELATIVE)
+    rows = table(spark, sf_dir, "lineitem").select((F.lit(12345678900) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rrn"), F.col("l_returnflag").alias("state"))
+    r.close_output(rows.where("rrn % 2 = 0"), spec)
+    r.close_output(rows.where("rrn % 2 = 1"), spec, "EXTEND")
+    return r.open_input(spark, spec)
+
+
 @query("extend_first_wins", """
 SELECT CAST(c_custkey AS DECIMAL(12,0)) AS key, CASE WHEN c_custkey % 3 = 0 THEN 'FIRST' WHEN c_custkey % 3 = 1 THEN 'SECOND' ELSE 'THIRD' END AS written FROM customer""")
 def extend_first_wins(spark, sf_dir):

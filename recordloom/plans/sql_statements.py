@@ -166,3 +166,25 @@ def sql_dialect_forms(spark, sf_dir):
     one = e.query(spark, "SELECT CURRENT TIMESTAMP AS now_at FROM SYSIBM.SYSDUMMY1")
     top = e.query(spark, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 100 ROWS ONLY")
     return top.select("o_orderkey", "o_custkey", one.scalar().isNotNull().alias("has_time"))
+
+
+@query("sql_fetch_first_nested", """
+SELECT n_nationkey, (SELECT s_suppkey FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_acctbal DESC, s_suppkey LIMIT 1) IS NOT NULL AS has_supplier, c.c_custkey
+FROM nation JOIN (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40) c ON c.c_nationkey = n_nationkey ORDER BY c.c_custkey LIMIT 30""")
+def sql_fetch_first_nested(spark, sf_dir):
+    """A FETCH FIRST in a subquery limits that, one behind the statement all of it."""
+    _views(spark, sf_dir, "nation", "supplier", "customer")
+    return e.query(spark, """
+        SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier) AS has_supplier, c.c_custkey
+        FROM nation JOIN (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_acctbal DESC, c_custkey FETCH FIRST 40 ROWS ONLY) c ON c.c_nationkey = n_nationkey
+        ORDER BY c.c_custkey FETCH FIRST 30 ROWS ONLY WITH UR""")
+
+
+@query("sql_trailing_comment", """
+SELECT o_orderkey, CAST(round(o_totalprice) AS INTEGER) AS whole, '-- no comment' AS note FROM orders WHERE o_custkey > 10 ORDER BY o_orderkey LIMIT 25""")
+def sql_trailing_comment(spark, sf_dir):
+    """Comments before, between and behind the clauses, a cast with two colons, a semicolon ahead of a comment."""
+    _views(spark, sf_dir, "orders")
+    return e.query(spark, """-- the first :N orders
+        SELECT o_orderkey, /* WITH UR; */ round(o_totalprice)::int AS whole, '-- no comment' AS note
+        FROM orders WHERE o_custkey > :LOW ORDER BY o_orderkey FETCH FIRST /* not 5 */ 25 ROWS ONLY; -- FETCH FIRST 5 ROWS ONLY""", {"LOW": 10})

@@ -16,7 +16,7 @@ from recordloom.sources.fixed import filesystem
 LINE, FIXED, INDEXED, RELATIVE = "LINE SEQUENTIAL", "SEQUENTIAL", "INDEXED", "RELATIVE"
 MODES = {"OUTPUT": "overwrite", "EXTEND": "append"}
 EXTENDED = "extended-"     # folder of what an EXTEND added
-NUMBER_DIGITS = 10         # of the record number before a record of a relative file
+NUMBER_DIGITS = 19         # of the record number before a record of a relative file: those of the largest bigint
 
 
 # -- lines -------------------------------------------------------------------
@@ -155,7 +155,9 @@ def close_output(df: DataFrame, spec: FileSpec, mode: str = "OUTPUT") -> None:
     elif spec.organization == LINE:
         write_lines(df, spec.layout, spec.path, mode)
     elif spec.organization == RELATIVE:
-        number = F.lpad(F.col(spec.relative_key).cast("string"), NUMBER_DIGITS, "0")
+        at = F.col(spec.relative_key).cast("bigint")
+        wrong = F.raise_error(F.concat(F.lit("no record number: "), F.coalesce(F.col(spec.relative_key).cast("string"), F.lit("null")))).cast("string")
+        number = F.when(at >= 1, F.lpad(at.cast("string"), NUMBER_DIGITS, "0")).otherwise(wrong)
         records = spec.layout.record(present=set(df.columns))
         lines = df.orderBy(spec.relative_key).select(F.rtrim(F.concat(number, records)).alias("value"))
         _write(lines, spec.path, mode)

@@ -105,3 +105,14 @@ def test_utilities(spark, tmp_path):
     delete_dataset(spark, "prod.cluster_t")
     assert not spark.catalog.tableExists("prod.cluster_t")
     spark.sql("DROP DATABASE prod")
+
+
+def test_relative_numbers(spark, tmp_path):
+    """Numbers of up to 19 digits come back; what is no number is refused."""
+    spec = r.FileSpec(str(tmp_path / "slots"), copybook("01 REC.  05 STATE PIC X."), r.RELATIVE)
+    rows = [(12345678901, "A"), (12345678902, "B"), (1, "C"), (2**63 - 1, "D")]
+    r.close_output(spark.createDataFrame(rows, "rrn bigint, state string"), spec)
+    assert sorted(tuple(x) for x in r.open_input(spark, spec).select("rrn", "state").collect()) == sorted(rows)
+    for wrong in (0, -3, None):
+        with pytest.raises(Exception, match="no record number"):
+            r.close_output(spark.createDataFrame([(wrong, "A")], "rrn bigint, state string"), spec)

@@ -53,10 +53,18 @@ def test_refusals(spark, tables):
 def test_statement_text_is_left_alone():
     body, args, _ = e.statement("SELECT 'SOLD WITH UR X', \"a :b\" FROM T -- :no\nWHERE A = :ST:IND OR B = :ST OR C = :WS-A OR D = :WS_A FOR UPDATE OF A, B FETCH FIRST 5 ROWS ONLY",
                                 {"ST": "x ", "IND": -1, "WS-A": 1, "WS_A": 2})
-    assert "'SOLD WITH UR X'" in body and '"a :b"' in body and "-- :no" in body and body.endswith("LIMIT 5")
+    assert "'SOLD WITH UR X'" in body and '"a :b"' in body and ":no" not in body and body.endswith("LIMIT 5")
     assert list(args.values()) == [None, "x", 1, 2]
 
 
+def test_fetch_first_stays_in_its_place():
+    text = lambda t, **host: " ".join(e.statement(t, host)[0].split())
+    assert text("SELECT A FROM T FETCH FIRST 5 ROWS ONLY -- the top; FETCH FIRST 9 ROWS ONLY") == "SELECT A FROM T LIMIT 5"
+    assert text("SELECT A FROM (SELECT A FROM T ORDER BY A FETCH FIRST ROW ONLY) X FETCH FIRST 3 ROWS ONLY WITH UR ; -- end") == "SELECT A FROM (SELECT A FROM T ORDER BY A LIMIT 1) X LIMIT 3"
+    assert text("SELECT A INTO :X -- where to\n, :Y FROM T WHERE B = :Z", Z=1) == "SELECT A FROM T WHERE B = :h0"
+    assert text("SELECT /*+ BROADCAST(T) */ A::int, '--', B ::date FROM T") == "SELECT /*+ BROADCAST(T) */ A::int, '--', B ::date FROM T"
+
+
 # -- comparison: every kind of damage must be seen -----------------------------
 @pytest.fixture(scope="module")
 def base(spark):
