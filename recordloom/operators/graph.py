@@ -1,53 +1,27 @@
 """Call, control-flow and data-flow edges from program text, and what they reach.
 
-Programs come as a table (program, text). Statements are found per paragraph,
-with each program's text cut into paragraphs by one split, so no window over a
-program's lines is needed.
+Programs come as a table (program, text), a row a program; its edges are worked
+out within the row, from its statements (`statements.py`), so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordloom.operators.statements import (
+    CALL, END, EXIT, FALLTHROUGH, GOTO, PERFORM, PERFORM_THRU, RETURN, UNRESOLVED, called, code, division, flow, leaves, paragraphs as parts_of, performed, statements, verb, went,
+)
 from recordloom.session import cut
 
-_NAME = r"[A-Za-z0-9][A-Za-z0-9-]*"
-_B = r"(?<![A-Za-z0-9-])"      # a word starts here; END-IF holds no IF
-# a paragraph header: a name alone on a line, in column 8
-_HEADER = rf"(?m)^ {{7}}(?=[A-Za-z0-9-]+(?:\s+SECTION)?\.\s*$)"
-# words that begin a statement, so end the one before: fixed values
-VERBS = (
-    "ACCEPT", "ADD", "CALL", "CLOSE", "COMPUTE", "CONTINUE", "DELETE", "DISPLAY", "DIVIDE", "ELSE", "END-COMPUTE",
-    "END-IF", "EVALUATE", "EXEC", "EXIT", "GENERATE", "GO", "GOBACK", "IF", "INITIALIZE", "INSPECT", "MERGE", "MOVE",
-    "MULTIPLY", "ON", "OPEN", "PERFORM", "READ", "RELEASE", "RETURN", "REWRITE", "SEARCH", "SET", "SORT", "START",
-    "STOP", "STRING", "SUBTRACT", "UNSTRING", "WHEN", "WRITE",
-)
-_VERB = r"(?:" + "|".join(VERBS) + r")(?![A-Z0-9-])"
 # kinds of edges: fixed values
-PERFORM, GOTO, CALL, FALLTHROUGH, EXIT = "PERFORM", "GOTO", "CALL", "FALLTHROUGH", "EXIT"
 ASSIGNS, DERIVES_FROM, CONDITIONAL_ON = "ASSIGNS", "DERIVES_FROM", "CONDITIONAL_ON"
-CONSUMES, CALLS_WITH = "CONSUMES", "CALLS_WITH"
-# what makes the rest of a sentence conditional, and what ends that
-_OPENS = r"(?<![A-Z0-9-])(?:IF|EVALUATE|SEARCH|AT\s+END|INVALID|ON\s+(?:SIZE|OVERFLOW|EXCEPTION))(?![A-Z0-9-])"
-_CLOSES = r"(?<![A-Z0-9-])END-[A-Z]+"
-_LITERAL = r"""'[^']*'|"[^"]*\""""
+CONSUMES, PRODUCES, CALLS_WITH, SHARED_STORAGE, USES = "CONSUMES", "PRODUCES", "CALLS_WITH", "SHARED_STORAGE", "USES"
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _code(text: Column) -> Column:
-    """The text in capitals, without comment lines."""
-    upper = F.upper(text)
-    return F.when(upper.contains("*"), F.regexp_replace(upper, r"(?m)^.{6}\*.*$", "")).otherwise(upper)
-
-
-def _division(text: Column) -> Column:
-    """What follows the procedure division's header."""
-    return F.regexp_extract(_code(text), r"(?s)PROCEDURE\s+DIVISION[^.]*\.(.*)$", 1)
-
-
 def _word(*words: str) -> str:
     """One of these words, not inside a longer one such as END-IF.
 
@@ -64,20 +38,13 @@ def _edges(staged: DataFrame, keep: str, edges: Column, fields: list[str]) -> Da
     return flat.where(F.col("_e").isNotNull()).select(keep, *[f"_e.{f}" for f in fields])
 
 
-def _statements(code: Column) -> Column:
-    """Statements in source order, literals as zeros; one that ends a sentence ends in a period."""
-    cut_at = rf"(?={_B}{_VERB})|(?={_CLOSES})|(?<=\.)\s+"
-    return F.filter(F.transform(F.split(F.regexp_replace(code, _LITERAL, "0"), cut_at), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-
-
 # -- calls -------------------------------------------------------------------
 def call_edges(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(caller, callee, kind): literal targets are static, names dynamic."""
-    code = F.col("_code")
-    static = F.transform(_all(code, rf"""{_word("CALL")}\s+["']([A-Z0-9-]+)["']"""), lambda x: F.struct(x.alias("callee"), F.lit("static").alias("kind")))
-    dynamic = F.transform(_all(code, rf"{_word('CALL')}\s+([A-Z][A-Z0-9-]*)"), lambda x: F.struct(x.alias("callee"), F.lit("dynamic").alias("kind")))
-    staged = programs.select(F.col(program).alias("caller"), _code(F.col(text)).alias("_code"))
-    return _edges(staged, "caller", F.array_distinct(F.concat(static, dynamic)), ["callee", "kind"])
+    calls = F.filter("_statements", lambda st: st.startswith("CALL "))
+    found = F.transform(calls, lambda st: F.struct(F.regexp_extract(st, r"^CALL @?([A-Z0-9-]+)", 1).alias("callee"), F.when(called(st) != "", "static").otherwise("dynamic").alias("kind")))
+    staged = programs.select(F.col(program).alias("caller"), statements(division(F.col(text))).alias("_statements"))
+    return _edges(staged, "caller", F.array_distinct(F.filter(found, lambda x: x["callee"] != "")), ["callee", "kind"])
 
 
 def roots(programs: DataFrame, edges: DataFrame, program: str = "program") -> DataFrame:
@@ -96,154 +63,265 @@ def uncovered(required: DataFrame, present: DataFrame, name: str) -> DataFrame:
 
 
 def copybook_uses(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
-    names = _all(_code(F.col(text)), rf"""{_word("COPY")}\s+["']?([A-Z0-9-]+)""")
+    names = _all(code(F.col(text)), rf"""{_word("COPY")}\s+["']?([A-Z0-9-]+)""")
     found = programs.select(F.col(program).alias("program"), F.array_distinct(names).alias("_all"))
     return found.select("program", F.explode_outer("_all").alias("copybook")).where(F.col("copybook").isNotNull())
 
 
-# -- paragraphs --------------------------------------------------------------
+# -- control flow ------------------------------------------------------------
+def _named(target: Column, kind: Column | str) -> Column:
+    return F.struct(target.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
+
+
+_TARGETS = "array<struct<target:string,kind:string>>"
+
+
+def _leads(st: Column, heads: Column) -> Column:
+    """Named targets of one statement: paragraphs performed or gone to, programs called, the way out."""
+    none = F.array().cast(_TARGETS)
+    name = called(st)
+    return (F.when(st.startswith("PERFORM "), F.transform(performed(st, heads), lambda t: _named(t, PERFORM)))
+            .when(st.startswith("GO "), F.transform(went(st), lambda t: _named(t, GOTO)))
+            .when(st.startswith("CALL ") & (name != ""), F.array(_named(name, CALL)))
+            .when(leaves(st), F.array(_named(F.lit("EXIT"), EXIT)))
+            .otherwise(none))
+
+
+def _staged(programs: DataFrame, program: str, text: str) -> DataFrame:
+    parts = programs.select(F.col(program).alias("program"), parts_of(F.col(text)).alias("_parts"))
+    return parts.select("program", "_parts", F.transform("_parts", lambda p: p["paragraph"]).alias("_heads"))
+
+
 def paragraphs(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
-    """(program, n, paragraph, body), in source order from zero."""
-    division = _division(F.col(text))
-    parts = F.filter(F.split(division, _HEADER), lambda x: ~x.rlike(r"^\s*$"))
-    # text ahead of the first header belongs to the division itself
-    named = F.transform(parts, lambda x: F.struct(
-        F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"), F.regexp_extract(x, rf"^({_NAME})", 1))
-        .otherwise(F.lit("PROCEDURE")).alias("paragraph"),
-        F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", "").alias("body")))
-    return programs.select(F.col(program).alias("program"), F.posexplode(named).alias("n", "_p")).select(
-        "program", "n", "_p.paragraph", "_p.body")
+    """(program, n, paragraph, statements), in source order from zero."""
+    return programs.select(F.col(program).alias("program"), F.posexplode(parts_of(F.col(text))).alias("n", "_p")).select("program", "n", "_p.paragraph", "_p.statements")
 
 
 def control_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, source, target, kind) between paragraphs.
 
-    FALLTHROUGH goes to the next paragraph unless the body ends in a jump out
-    that no condition of its sentence guards. PERFORM THRU leads to each
-    paragraph of its range, GO TO .. DEPENDING ON to each one that it lists.
+    FALLTHROUGH goes to the next paragraph if some way through the paragraph
+    reaches its end (`statement_flow`). PERFORM THRU leads to each paragraph of
+    its range, GO TO .. DEPENDING ON to each one that it lists.
+    """
+    heads = F.col("_heads")
+
+    def edges(p: Column, i: Column) -> Column:
+        behind = F.coalesce(F.get(heads, i + 1), F.lit("EXIT"))
+        through = (F.size(p["statements"]) == 0) | F.exists(flow(p["statements"]), lambda e: e["t"] == END)
+        found = F.concat(F.flatten(F.transform(p["statements"], lambda st: _leads(st, heads))),
+                         F.when(through, F.array(_named(behind, FALLTHROUGH))).otherwise(F.array().cast(_TARGETS)))
+        return F.transform(F.array_distinct(found), lambda e: F.struct(p["paragraph"].alias("source"), e["target"].alias("target"), e["kind"].alias("kind")))
+
+    return _edges(_staged(programs, program, text), "program", F.flatten(F.transform("_parts", edges)), ["source", "target", "kind"])
+
+
+def statement_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
+    """(program, source, target, kind) between statements, named PARAGRAPH:n from 1, and paragraphs.
+
+    A paragraph falls through to its first statement; its last leads to the next
+    paragraph, or EXIT. IF has a TRUE_BRANCH to what follows and a FALSE_BRANCH to
+    its ELSE or to where both ways join: END-IF, or what stands behind the sentence.
+    EVALUATE has a TRUE_BRANCH to each WHEN, and a FALSE_BRANCH to the join if no
+    WHEN OTHER is there. Conditional phrases (AT END, ON SIZE ERROR, ..) branch
+    like IF; an inline PERFORM too, with a LOOP back from its end. PERFORM of a
+    paragraph leads there (PERFORM_THRU with a range), the last paragraph of which
+    leads back (RETURN). CALL leads to the called program, which leads back.
+    Paragraphs that are not there, and programs named at run time, give UNRESOLVED
+    edges to the statement itself. EXIT PARAGRAPH, SECTION and PERFORM count as the
+    way out; a lone EXIT does nothing.
     """
-    parts = F.filter(F.split(_division(F.col(text)), _HEADER),
-                     lambda x: ~x.rlike(r"^\s*$"))
-    heads = F.transform(parts, lambda x: F.when(x.rlike(rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"),
-                                                F.regexp_extract(x, rf"^({_NAME})", 1)).otherwise(F.lit("PROCEDURE")))
-    bodies = F.transform(parts, lambda x: F.regexp_replace(x, rf"^{_NAME}(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)", ""))
-    ends = r"(?s)\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM|GO\s+TO\s+[A-Z0-9-]+)\s*\.?\s*$"
-    loop_words = r"(?:UNTIL|VARYING|WITH|TEST)\b"
-
-    thru_re = rf"{_word('PERFORM')}\s+({_NAME})\s+(?:THRU|THROUGH)\s+({_NAME})"
-    depending_re = rf"{_word('GO')}\s+TO\s+((?:(?!{_VERB}|DEPENDING\b)[A-Z0-9-]+[\s,]+)+)DEPENDING\b"
-
-    def span(m: Column) -> Column:
-        """The paragraphs from one end of a PERFORM THRU to the other; both ends, if they are not in this order."""
-        one, two = F.regexp_extract(m, thru_re, 1), F.regexp_extract(m, thru_re, 2)
-        a, b = F.array_position("_heads", one).cast("int"), F.array_position("_heads", two).cast("int")
-        return F.when((a > 0) & (b >= a), F.slice("_heads", F.greatest(a, F.lit(1)), F.greatest(b - a + 1, F.lit(0)))).otherwise(F.array(one, two))
-
-    def edge(target: Column, kind: str) -> Column:
-        return F.struct(target.alias("target"), F.lit(kind).alias("kind"))
-
-    def edges(body: Column, i: Column) -> Column:
-        # most paragraphs hold none of the words that leave; a plain search is cheaper
-        may_leave = body.contains("GOBACK") | body.contains("STOP") | body.contains("EXIT")
-        may_jump = may_leave | body.contains("GO")
-        none = F.array().cast("array<struct<target:string,kind:string>>")
-        last = F.substring_index(F.rtrim(F.regexp_replace(F.regexp_replace(body, _LITERAL, "0"), r"\s+", " ")), ".", -2)
-        guarded = F.regexp_count(last, F.lit(_OPENS)) > F.regexp_count(last, F.lit(_CLOSES))
-        return F.concat(
-            F.transform(_all(body, rf"{_word('PERFORM')}\s+(?!{loop_words})([A-Z][A-Z0-9-]*)"), lambda t: edge(t, PERFORM)),
-            F.transform(_all(body, rf"{_word('GO')}\s+TO\s+([A-Z0-9-]+)"), lambda t: edge(t, GOTO)),
-            F.when(body.contains("THR"), F.flatten(F.transform(_all(body, thru_re, 0), lambda m: F.transform(span(m), lambda t: edge(t, PERFORM))))).otherwise(none),
-            F.when(body.contains("DEPENDING"), F.transform(F.flatten(F.transform(_all(body, depending_re), lambda m: F.split(F.trim(F.regexp_replace(m, r"[\s,]+", " ")), " "))),
-                                                           lambda t: edge(t, GOTO))).otherwise(none),
-            F.transform(_all(body, rf"""{_word("CALL")}\s+["']([A-Z0-9-]+)["']"""), lambda t: edge(t, CALL)),
-            F.when(may_leave & body.rlike(r"\b(?:STOP\s+RUN|GOBACK|EXIT\s+PROGRAM)\b"), F.array(edge(F.lit("EXIT"), EXIT)))
-            .otherwise(none),
-            F.when(~(may_jump & body.rlike(ends)) | guarded, F.array(edge(F.coalesce(F.get(F.col("_heads"), i + 1), F.lit("EXIT")), FALLTHROUGH)))
-            .otherwise(none),
-        )
-
-    staged = programs.select(F.col(program).alias("program"), heads.alias("_heads"), bodies.alias("_bodies"))
-    flat = F.flatten(F.transform(F.col("_bodies"), lambda b, i: F.transform(
-        F.array_distinct(edges(b, i)), lambda e: F.struct(F.get(F.col("_heads"), i).alias("source"), e["target"].alias("target"), e["kind"].alias("kind")))))
-    return _edges(staged, "program", flat, ["source", "target", "kind"])
+    heads = F.col("_heads")
+    kinds = "array<struct<source:string,target:string,kind:string>>"
+    full = lambda s, t, k: F.struct(s.alias("source"), t.alias("target"), (F.lit(k) if isinstance(k, str) else k).alias("kind"))
+    none = F.array().cast(kinds)
+    known = lambda name: F.array_contains(heads, name)
+
+    def edges(p: Column, i: Column) -> Column:
+        name, sts = p["paragraph"], p["statements"]
+        behind = F.coalesce(F.get(heads, i + 1), F.lit("EXIT"))
+        node = lambda k: F.when(k == END, behind).otherwise(F.concat(name, F.lit(":"), k.cast("string")))
+
+        def inner(e: Column) -> Column:
+            st = F.get(sts, e["s"] - 1)
+            ends = performed(st, heads)
+            last = F.when(st.startswith("CALL "), F.coalesce(F.nullif(called(st), F.lit("")), F.lit(""))).otherwise(F.coalesce(F.element_at(ends, -1), F.lit("")))
+            back = (last != "") & (st.startswith("CALL ") | known(last))
+            return (F.when(e["kind"] != RETURN, F.array(full(node(e["s"]), node(e["t"]), e["kind"])))
+                    .when(back, F.array(full(last, node(e["t"]), RETURN))).otherwise(none))
+
+        def leads(st: Column, k: Column) -> Column:
+            here = node(k + 1)
+            run = performed(st, heads)
+            thru = st.rlike(r"^PERFORM [A-Z0-9-]+ (?:THRU|THROUGH) ")
+            first = F.element_at(run, 1)
+            perform = F.when(F.size(run) == 0, none).when(known(first) & known(F.element_at(run, -1)), F.array(full(here, first, F.when(thru, PERFORM_THRU).otherwise(PERFORM)))).otherwise(F.array(full(here, here, UNRESOLVED)))
+            go = F.transform(went(st), lambda t: F.when(known(t), full(here, t, GOTO)).otherwise(full(here, here, UNRESOLVED)))
+            call = F.array(F.when(called(st) != "", full(here, called(st), CALL)).otherwise(full(here, here, UNRESOLVED)))
+            return (F.when(st.startswith("PERFORM "), perform).when(st.startswith("GO "), go).when(st.startswith("CALL "), call)
+                    .when(leaves(st), F.array(full(here, F.lit("EXIT"), EXIT))).otherwise(none))
+
+        first = F.array(full(name, F.when(F.size(sts) == 0, behind).otherwise(node(F.lit(1))), FALLTHROUGH))
+        return F.array_distinct(F.concat(first, F.flatten(F.transform(flow(sts), inner)), F.flatten(F.transform(sts, leads))))
+
+    return _edges(_staged(programs, program, text), "program", F.flatten(F.transform("_parts", edges)), ["source", "target", "kind"])
+
+
+# -- data flow ---------------------------------------------------------------
+_KINDS = "array<struct<source:string,target:string,kind:string>>"
+# words of statements that name no item: fixed values
+_OTHER_WORDS = (
+    "ALL", "ALPHABETIC", "ALSO", "AND", "ANY", "BY", "COLLATING", "CONTENT", "CORR", "CORRESPONDING", "DELIMITED", "DELIMITER", "EQUAL", "FALSE", "FROM", "GIVING", "GREATER",
+    "HIGH-VALUE", "HIGH-VALUES", "IN", "INTO", "IS", "KEY", "LENGTH", "LESS", "LOW-VALUE", "LOW-VALUES", "NEGATIVE", "NEXT", "NOT", "NULL", "NULLS", "NUMERIC", "OF", "OMITTED", "OR",
+    "OTHER", "OVERFLOW", "POINTER", "POSITIVE", "QUOTE", "QUOTES", "RECORD", "REFERENCE", "REMAINDER", "ROUNDED", "SENTENCE", "SIZE", "SPACE", "SPACES", "TALLYING", "TEST", "THAN", "THEN",
+    "THRU", "TIMES", "TO", "TRUE", "UNTIL", "VALUE", "VARYING", "WITH", "AFTER", "BEFORE", "ZERO", "ZEROES", "ZEROS",
+)
+# a subscript or a part of an item; after these words a parenthesis groups
+_SUBSCRIPT = r"(?<=[A-Z0-9])(?<!(?<![A-Z0-9-])(?:AND|OR|NOT|TO|THAN|EQUAL|IS|BY|FROM|UNTIL|ALSO|WHEN|IF|THRU)) ?\([^()]*\)"
+
+
+def _items(words: Column) -> Column:
+    """The items that some words of a statement name; subscripts and qualifiers are no items of their own."""
+    plain = F.regexp_replace(words, rf"FUNCTION [A-Z0-9-]+|{_SUBSCRIPT}| (?:OF|IN) [A-Z][A-Z0-9-]*", " ")
+    return F.array_except(F.array_distinct(_all(plain, r"(?<![A-Z0-9@-])([A-Z][A-Z0-9-]*)")), F.array(*[F.lit(w) for w in _OTHER_WORDS]))
+
+
+def _changes(st: Column) -> Column:
+    """(sources, targets, kind) of one statement; null where it gives no item a value."""
+    row = lambda sources, targets, kind: F.struct(_items(sources).alias("sources"), _items(targets).alias("targets"), F.lit(kind).alias("kind"))
+    between = lambda pattern: F.regexp_extract(st, pattern, 1)
+    after = lambda word: F.substring_index(st, word, -1)
+    body = F.regexp_replace(st, r"^[A-Z]+", "")
+    giving = st.contains(" GIVING ")
+    place = F.when(st.startswith("ADD"), after(" TO ")).when(st.startswith("SUBTRACT"), after(" FROM ")).when(st.startswith("MULTIPLY"), after(" BY ")).otherwise(after(" INTO "))
+    rest = lambda word: F.substring_index(body, word, 1)
+    v = verb(st)
+    return (
+        F.when(v == "MOVE", row(rest(" TO "), after(" TO "), ASSIGNS))
+        .when(v == "COMPUTE", row(between(r"=(.*)$"), rest("="), DERIVES_FROM))
+        .when(v.isin("ADD", "SUBTRACT", "MULTIPLY", "DIVIDE"), F.when(giving, row(rest(" GIVING "), after(" GIVING "), DERIVES_FROM)).otherwise(row(body, place, DERIVES_FROM)))
+        .when(v.isin("READ", "RETURN") & st.contains(" INTO "), row(between(r"^[A-Z]+ ([A-Z0-9-]+)"), after(" INTO "), CONSUMES))
+        .when(v.isin("WRITE", "REWRITE", "RELEASE") & st.contains(" FROM "), row(between(r" FROM ([A-Z0-9-]+)"), between(r"^[A-Z]+ ([A-Z0-9-]+)"), ASSIGNS))
+        .when((v == "STRING") & st.contains(" INTO "), row(rest(" INTO "), between(r" INTO ([A-Z0-9-]+)"), DERIVES_FROM))
+        .when((v == "UNSTRING") & st.contains(" INTO "), row(between(r"^UNSTRING ([A-Z0-9-]+)"), between(r" INTO (.*?)(?: (?:WITH|POINTER|TALLYING)\b.*)?$"), DERIVES_FROM))
+        .when((v == "SET") & st.contains(" TO "), row(after(" TO "), rest(" TO "), ASSIGNS)))
 
 
 def data_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, source, target, kind): what each item's value comes from.
 
-    MOVE and WRITE FROM give ASSIGNS, READ INTO gives CONSUMES; COMPUTE and
-    ADD/SUBTRACT/MULTIPLY/DIVIDE, with GIVING or in place, give DERIVES_FROM;
-    items tested by IF give CONDITIONAL_ON for the items that get a value under
-    it, in nested IFs too, up to its END-IF or the end of the sentence.
+    MOVE, SET and WRITE FROM give ASSIGNS, READ INTO gives CONSUMES; COMPUTE,
+    STRING, UNSTRING and ADD/SUBTRACT/MULTIPLY/DIVIDE, with GIVING or in place,
+    give DERIVES_FROM; items tested by IF, EVALUATE, WHEN or an inline PERFORM give
+    CONDITIONAL_ON for the items that get a value under it, nested ones too, up to
+    its end or the end of the sentence. Literals and figurative constants are no items.
     """
-    code = F.col("_code")
-    item = r"[A-Z][A-Z0-9-]*"
-    words = lambda c: F.array_except(F.array_distinct(_all(c, rf"\b({item})\b(?!\()")), F.array(*[F.lit(w) for w in (
-        "TO", "ROUNDED", "GIVING", "BY", "FROM", "INTO", "AND", "OR", "NOT", "EQUAL", "GREATER", "LESS", "THAN", "IS",
-        "ZERO", "ZEROS", "SPACE", "SPACES", "THEN", "REMAINDER")]))
-
-    def cross(sources: Column, targets: Column, kind: str) -> Column:
-        return F.flatten(F.transform(targets, lambda t: F.transform(sources, lambda s: F.struct(
-            s.alias("source"), t.alias("target"), F.lit(kind).alias("kind")))))
-
-    move_re = rf"{_word('MOVE')}\s+(\S+|'[^']*'|\"[^\"]*\")\s+TO\s+({item}(?:[\s,]+(?!{_VERB}){item})*)"
-    moves = F.transform(_all(code, move_re, 0), lambda m: cross(
-        words(F.regexp_extract(m, r"MOVE\s+(\S+)\s+TO", 1)), words(F.regexp_extract(m, r"(?s)\sTO\s+(.*)$", 1)), ASSIGNS))
-    compute_re = rf"{_word('COMPUTE')}\s+{item}(?:\s+ROUNDED)?\s*=\s*[A-Z0-9+*/()\s.-]*?(?=\.\s|{_B}{_VERB}|$)"
-    computes = F.transform(_all(code, compute_re, 0), lambda m: cross(
-        words(F.regexp_extract(m, r"(?s)=(.*)$", 1)), words(F.regexp_extract(m, rf"COMPUTE\s+({item})", 1)), DERIVES_FROM))
-    part = lambda st, pattern: F.regexp_extract(st, rf"(?s)^{pattern}", 1)
-    of = lambda st, pattern: words(part(st, pattern))
-    sums = "(?:ADD|SUBTRACT|MULTIPLY|DIVIDE)"
-    in_place = r"(?:ADD\s.*?\sTO|SUBTRACT\s.*?\sFROM|MULTIPLY\s.*?\sBY|DIVIDE\s.*?\sINTO)\s"
-
-    def arithmetic(st: Column) -> Column:
-        giving = st.rlike(r"(?s)\sGIVING\s")
-        targets = F.when(giving, of(st, rf"{sums}\s.*?\sGIVING\s(.*)$")).otherwise(of(st, rf"{in_place}(.*)$"))
-        return F.when(st.rlike(rf"^{sums}\s"), F.struct(
-            F.when(giving, of(st, rf"{sums}\s(.*?)\sGIVING\s")).otherwise(of(st, rf"{sums}\s(.*)$")).alias("sources"), targets.alias("targets")))
-
-    sums_of = F.filter(F.transform("_statements", arithmetic), lambda x: x.isNotNull())
-    givings = F.transform(sums_of, lambda x: cross(x["sources"], x["targets"], DERIVES_FROM))
-    read_re, write_re = rf"(?:READ|RETURN)\s+({item})\s(?:.*?\s)?INTO\s+({item})", rf"(?:WRITE|REWRITE|RELEASE)\s+({item})\s+FROM\s+({item})"
-
-    def moved(pattern: str, source: int, kind: str) -> Column:
-        found = F.filter("_statements", lambda st: st.rlike(rf"(?s)^{pattern}"))
-        return F.transform(found, lambda st: F.array(F.struct(
-            F.regexp_extract(st, rf"(?s)^{pattern}", source).alias("source"), F.regexp_extract(st, rf"(?s)^{pattern}", 3 - source).alias("target"), F.lit(kind).alias("kind"))))
-
-    def changed(st: Column) -> Column:
-        into = F.regexp_extract(st, rf"(?s)^{read_re}", 2)
-        record = F.regexp_extract(st, rf"(?s)^{write_re}", 1)
-        return F.concat(of(st, r"MOVE\s.*?\sTO\s(.*)$"), of(st, rf"COMPUTE\s+({item}[^=]*)="), F.coalesce(arithmetic(st)["targets"], F.array().cast("array<string>")),
-                        F.filter(F.array(into, record), lambda x: x != ""))
-
-    def under(state: Column, st: Column) -> Column:
-        """Conditions in force, innermost last, and the pairs so far."""
-        tests, pairs = state["tests"], state["pairs"]
-        after = F.when(st.rlike(r"^IF\s"), F.concat(tests, F.array(of(st, r"IF\s(.*)$")))).when(
-            st.startswith("END-IF"), F.slice(tests, F.lit(1), F.greatest(F.size(tests) - 1, F.lit(0)))).otherwise(tests)
-        after = F.when(st.rlike(r"\.\s*$"), F.array().cast("array<array<string>>")).otherwise(after)
-        got = F.when(F.size(tests) > 0, cross(F.flatten(tests), changed(st), CONDITIONAL_ON)).otherwise(F.array().cast(kinds))
-        return F.struct(after.alias("tests"), F.concat(pairs, got).alias("pairs"))
+    opens = lambda v, st: v.isin("IF", "EVALUATE") | ((v == "PERFORM") & st.rlike(r"^PERFORM (?:UNTIL|VARYING|WITH|TEST)"))
+    none = F.array().cast("array<array<string>>")
 
-    kinds = "array<struct<source:string,target:string,kind:string>>"
-    start = F.struct(F.array().cast("array<array<string>>").alias("tests"), F.array().cast(kinds).alias("pairs"))
-    conds = F.array(F.aggregate("_statements", start, under)["pairs"])
-    edges = F.array_distinct(F.flatten(F.concat(moves, computes, givings, moved(read_re, 1, CONSUMES), moved(write_re, 2, ASSIGNS), conds)))
-    staged = programs.select(F.col(program).alias("program"), _division(F.col(text)).alias("_code"))
-    return _edges(staged.select("program", "_code", _statements(code).alias("_statements")), "program", edges, ["source", "target", "kind"])
+    def under(state: Column, x: Column) -> Column:
+        """Conditions in force, innermost last, and the pairs so far."""
+        tests, v, st, change = state["tests"], x["verb"], x["text"], x["change"]
+        own = _items(F.regexp_replace(st, r"^[A-Z-]+", ""))
+        top = F.coalesce(F.get(tests, F.size(tests) - 1), F.array().cast("array<string>"))
+        below = F.slice(tests, 1, F.greatest(F.size(tests) - 1, F.lit(0)))
+        now = (F.when(opens(v, st), F.concat(tests, F.array(own)))
+               .when((v == "WHEN") & (F.size(tests) > 0), F.concat(below, F.array(F.array_union(top, own))))
+               .when(v.isin("END-IF", "END-EVALUATE", "END-PERFORM"), below).otherwise(tests))
+        pairs = F.when(change.isNotNull() & (F.size(tests) > 0), F.concat(state["pairs"], _cross(F.flatten(tests), change["targets"], F.lit(CONDITIONAL_ON)))).otherwise(state["pairs"])
+        return F.struct(F.when(st.endswith("."), none).otherwise(now).alias("tests"), pairs.alias("pairs"))
+
+    start = F.struct(none.alias("tests"), F.array().cast(_KINDS).alias("pairs"))
+    values = F.flatten(F.transform(F.filter("_told", lambda x: x["change"].isNotNull()), lambda x: _cross(x["change"]["sources"], x["change"]["targets"], x["change"]["kind"])))
+    tested = F.when(F.exists("_told", lambda x: x["verb"].isin("IF", "EVALUATE", "PERFORM")), F.aggregate("_told", start, under, lambda s: s["pairs"])).otherwise(F.array().cast(_KINDS))
+    staged = programs.select(F.col(program).alias("program"), statements(division(F.col(text))).alias("_statements"))
+    told = staged.select("program", F.transform("_statements", lambda st: F.struct(verb(st).alias("verb"), st.alias("text"), _changes(st).alias("change"))).alias("_told"))
+    return _edges(told, "program", F.array_distinct(F.concat(values, tested)), ["source", "target", "kind"])
+
+
+def _cross(sources: Column, targets: Column, kind: Column) -> Column:
+    return F.flatten(F.transform(targets, lambda t: F.transform(sources, lambda s: F.struct(s.alias("source"), t.alias("target"), kind.alias("kind")))))
+
+
+def file_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
+    """(program, source, target, kind): READ gives CONSUMES from a file to its record, where the text
+    declares one (FD and the 01 level behind it); WRITE and REWRITE give PRODUCES from a record to its file."""
+    whole = code(F.col(text))
+    declared = F.transform(_all(whole, r"(?s)(?<![A-Z0-9-])FD\s+([A-Z0-9-]+.*?\s01\s+[A-Z0-9-]+)", 1), lambda x: F.struct(
+        F.regexp_extract(x, r"^([A-Z0-9-]+)", 1).alias("file"), F.regexp_extract(x, r"\s01\s+([A-Z0-9-]+)$", 1).alias("record")))
+
+    def edges(st: Column) -> Column:
+        name = F.regexp_extract(st, r"^[A-Z]+ ([A-Z0-9-]+)", 1)
+        of = lambda field, out, kind: F.transform(F.filter("_declared", lambda d: d[field] == name), lambda d: F.struct(
+            d["file" if kind == CONSUMES else "record"].alias("source"), d[out].alias("target"), F.lit(kind).alias("kind")))
+        return (F.when(verb(st).isin("READ", "RETURN"), of("file", "record", CONSUMES)).when(verb(st).isin("WRITE", "REWRITE"), of("record", "file", PRODUCES))
+                .otherwise(F.array().cast(_KINDS)))
+
+    staged = programs.select(F.col(program).alias("program"), declared.alias("_declared"), statements(division(F.col(text))).alias("_statements"))
+    return _edges(staged, "program", F.array_distinct(F.flatten(F.transform("_statements", edges))), ["source", "target", "kind"])
+
+
+def storage_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
+    """(program, source, target, kind) from the data division: SHARED_STORAGE from an item to the one that
+    redefines it, USES from a condition name (level 88) to the item it tests."""
+    data = F.regexp_replace(F.regexp_extract(code(F.col(text)), r"(?s)DATA\s+DIVISION\s*\.(.*?)(?:PROCEDURE\s+DIVISION|$)", 1), r"""'[^']*'|"[^"]*\"""", "@")
+    entries = F.filter(F.transform(F.split(data, r"\.(?=\s|$)"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.rlike(r"^\d\d? [A-Z0-9]"))
+    name = lambda x: F.regexp_extract(x, r"^\d+ ([A-Z0-9-]+)", 1)
+
+    def seen(state: Column, x: Column) -> Column:
+        shared = F.regexp_extract(x, r" REDEFINES ([A-Z0-9-]+)", 1)
+        is_88 = x.startswith("88 ")
+        row = lambda s, t, kind: F.array(F.struct(s.alias("source"), t.alias("target"), F.lit(kind).alias("kind")))
+        found = F.when(is_88 & (state["item"] != ""), row(name(x), state["item"], USES)).when(shared != "", row(shared, name(x), SHARED_STORAGE)).otherwise(F.array().cast(_KINDS))
+        return F.struct(F.when(is_88, state["item"]).otherwise(name(x)).alias("item"), F.concat(state["edges"], found).alias("edges"))
+
+    start = F.struct(F.lit("").alias("item"), F.array().cast(_KINDS).alias("edges"))
+    staged = programs.select(F.col(program).alias("program"), entries.alias("_entries"))
+    return _edges(staged, "program", F.array_distinct(F.aggregate("_entries", start, seen, lambda s: s["edges"])), ["source", "target", "kind"])
+
+
+# -- across programs ---------------------------------------------------------
+def _using(st: Column) -> Column:
+    """What a CALL hands over, in order: items, and '' for what is no item."""
+    words = F.regexp_extract(F.rtrim(st, F.lit(".")), r" USING (.*?)(?: (?:RETURNING|GIVING) .*)?$", 1)
+    plain = F.regexp_replace(words, rf"{_SUBSCRIPT}| (?:OF|IN) [A-Z][A-Z0-9-]*|\b(?:BY|REFERENCE|CONTENT|VALUE)\b", "")
+    return F.transform(F.filter(F.split(F.trim(plain), " +"), lambda w: w != ""), lambda w: F.when(w.rlike("^[A-Z]") & ~w.isin("OMITTED"), w).otherwise(""))
 
 
 def call_arguments(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
     """(program, source, target, kind): the items that each called program, or name of one, gets."""
-    call_re = rf"""(?s){_word("CALL")}\s+["']?([A-Z0-9-]+)["']?\s+USING\s+((?:(?!{_VERB}|END-CALL|RETURNING|NOT\b)[A-Z0-9()-]+[\s,]*)+)"""
-    items = lambda m: F.array_except(_all(F.regexp_replace(F.regexp_extract(m, call_re, 2), r"\([^)]*\)", " "), r"(?<![A-Z0-9-])([A-Z][A-Z0-9-]*)"),
-                                     F.array(*[F.lit(w) for w in ("BY", "REFERENCE", "CONTENT", "VALUE", "ADDRESS", "LENGTH", "OF", "OMITTED")]))
-    found = F.transform(_all(F.col("_code"), call_re, 0), lambda m: F.transform(items(m), lambda x: F.struct(
-        x.alias("source"), F.regexp_extract(m, call_re, 1).alias("target"), F.lit(CALLS_WITH).alias("kind"))))
-    staged = programs.select(F.col(program).alias("program"), _division(F.col(text)).alias("_code"))
-    return _edges(staged, "program", F.array_distinct(F.flatten(found)), ["source", "target", "kind"])
+    found = F.filter("_statements", lambda st: st.startswith("CALL ") & st.contains(" USING "))
+    edges = F.flatten(F.transform(found, lambda st: F.transform(F.filter(_using(st), lambda w: w != ""), lambda w: F.struct(
+        w.alias("source"), F.regexp_extract(st, r"^CALL @?([A-Z0-9-]+)", 1).alias("target"), F.lit(CALLS_WITH).alias("kind")))))
+    staged = programs.select(F.col(program).alias("program"), statements(division(F.col(text))).alias("_statements"))
+    return _edges(staged, "program", F.array_distinct(edges), ["source", "target", "kind"])
+
+
+def parameter_flow(programs: DataFrame, program: str = "program", text: str = "text") -> DataFrame:
+    """(source_program, source, target_program, target, way): each item that a CALL with a literal name hands
+    over, and the called program's parameter in the same place (PROCEDURE DIVISION USING). Parameters are
+    shared, so there is a row for either way, IN and OUT; by content or by value there is none out."""
+    staged = programs.select(F.col(program).alias("program"), statements(division(F.col(text))).alias("_statements"),
+                             F.regexp_extract(code(F.col(text)), r"(?s)PROCEDURE\s+DIVISION\s+USING\s+([^.]*)\.", 1).alias("_parameters"))
+    found = F.filter("_statements", lambda st: (called(st) != "") & st.contains(" USING "))
+    copied = lambda st: st.rlike(r" USING BY (?:CONTENT|VALUE) ")
+    calls = staged.select("program", F.explode(F.transform(found, lambda st: F.struct(called(st).alias("callee"), _using(st).alias("items"), copied(st).alias("copied")))).alias("_c"))
+    given = calls.select("program", "_c.callee", "_c.copied", F.posexplode("_c.items").alias("at", "item")).where("item <> ''").distinct()
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.col("_parameters"), r"\b(?:BY|REFERENCE|VALUE)\b", " "), r"[\s,]+", " "))
+    taken = staged.where("_parameters <> ''").select(F.col("program").alias("_callee"), F.posexplode(F.split(plain, " ")).alias("_at", "parameter"))
+    met = given.join(taken, (F.col("callee") == F.col("_callee")) & (F.col("at") == F.col("_at")))
+    into = met.select(F.col("program").alias("source_program"), F.col("item").alias("source"), F.col("callee").alias("target_program"), F.col("parameter").alias("target"), F.lit("IN").alias("way"))
+    back = met.where("NOT copied").select(F.col("callee").alias("source_program"), F.col("parameter").alias("source"), F.col("program").alias("target_program"), F.col("item").alias("target"), F.lit("OUT").alias("way"))
+    return into.unionByName(back)
+
+
+def lineage_edges(programs: DataFrame, program: str = "program", text: str = "text", kinds: tuple[str, ...] = (ASSIGNS, DERIVES_FROM, CONSUMES, PRODUCES, SHARED_STORAGE)) -> DataFrame:
+    """(source, target) between items of all programs, each named PROGRAM.ITEM: the flow within programs and over their calls."""
+    own = data_flow(programs, program, text).unionByName(file_flow(programs, program, text)).unionByName(storage_flow(programs, program, text)).where(F.col("kind").isin(*kinds))
+    name = lambda p, i: F.concat(F.col(p), F.lit("."), F.col(i))
+    over = parameter_flow(programs, program, text)
+    return own.select(name("program", "source").alias("source"), name("program", "target").alias("target")).union(
+        over.select(name("source_program", "source"), name("target_program", "target"))).distinct()
 
 
 # -- reachability ------------------------------------------------------------

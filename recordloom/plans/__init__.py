@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("programs", "arithmetic", "texts", "files", "keyed_sets", "sql_statements", "ordering_reports", "comparisons", "graphs_jobs")
+MODULES = ("programs", "arithmetic", "texts", "files", "keyed_sets", "sql_statements", "ordering_reports", "comparisons", "graphs_jobs", "program_shapes")
 
 
 def load():
