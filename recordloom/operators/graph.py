@@ -342,3 +342,25 @@ def reach(edges: DataFrame, seeds: DataFrame, source: str = "source", target: st
         frontier = cut(step.join(seen.select(node), node, "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(a, b) links to (id, part): the smallest id that an id is linked with, through any number of links.
+
+    Each round every id goes to the smallest of its neighbours and on to where
+    that one goes; links between what has come together are dropped, the rest
+    is carried over to where their ends went. At most half of the ids go on to
+    the next round, so a chain of a million takes twenty.
+    """
+    some = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, label = cut(some), None
+    while not edges.isEmpty():
+        pairs = edges.select(F.col("b").alias("id"), F.col("a").alias("up")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("up")))
+        up = cut(pairs.groupBy("id").agg(F.min("up").alias("up")))
+        step = cut(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("to")), "up").select("id", "to"))
+        moved = step.select(F.col("id").alias("part"), "to")
+        label = step.select("id", F.col("to").alias("part")) if label is None else label.join(moved, "part", "left").select("id", F.coalesce("to", "part").alias("part"))
+        label = cut(label)
+        left = edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("_b")), "b").where("_a <> _b")
+        edges = cut(left.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("part")) if label is None else label

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordloom.operators.graph import connected
 from recordloom.operators.ordering import BLOCK_ROWS, next_key, number_rows, scan_by_key
 from recordloom.session import cut
 
@@ -151,40 +152,110 @@ def _accepted_primary(master: DataFrame, requests: DataFrame, key: str, seq: str
     return _not_taken(_first_per(requests, key, seq), master, key).select(seq)
 
 
-def _accepted_with_alternates(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str) -> DataFrame:
-    """Which writes get through when several keys must each stay unique.
+# -- unique alternates -------------------------------------------------------
+def _conflicts(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str) -> DataFrame:
+    """(seq, part): requests that can affect one another have one part.
 
-    A rejected write holds none of its keys, so the answer depends on order.
-    Each round takes every open request that is the earliest on all its keys,
-    then drops the requests that share a key with one taken. No round guesses,
-    and the earliest open request always gets through, so it ends. A null
-    alternate is no value and shares nothing; a request without its primary key
-    is turned down.
+    A request touches its key, the alternates it asks for, and those that its
+    key's record holds. Requests that touch a value in common are linked to the
+    first of them, and parts are what links join; a request alone is its own part.
     """
-    keys = [spec.key, *spec.unique]
-    waiting = requests.select(seq, *keys).where(F.col(spec.key).isNotNull())
-    for k in keys:
-        waiting = _not_taken(waiting, master, k)
-    waiting = cut(waiting)
-    accepted = None
-    while not waiting.isEmpty():
-        firsts = _first_per(waiting, keys[0], seq).select(seq)
-        for k in keys[1:]:
-            free = _first_per(waiting.where(F.col(k).isNotNull()), k, seq).select(seq).unionByName(waiting.where(F.col(k).isNull()).select(seq))
-            firsts = firsts.join(free, seq, "left_semi")
-        taken = cut(waiting.join(firsts, seq, "left_semi"))
-        accepted = taken.select(seq) if accepted is None else accepted.unionByName(taken.select(seq))
-        waiting = waiting.join(taken.select(seq), seq, "left_anti")
-        for k in keys:
-            waiting = waiting.join(taken.select(k), k, "left_anti")
-        waiting = cut(waiting)
-    return requests.select(seq).limit(0) if accepted is None else accepted
+    held = master.select(F.col(spec.key).alias("_k"), *[F.col(a).alias(f"_h_{a}") for a in spec.unique])
+    met = requests.join(held, F.col(spec.key) == F.col("_k"), "left")
+    value = lambda n, c: F.struct(F.lit(n).alias("n"), F.col(c).cast("string").alias("v"))
+    touched = F.array(value(0, spec.key), *[value(n, c) for n, a in enumerate(spec.unique, 1) for c in (a, f"_h_{a}")])
+    values = cut(met.select(seq, F.explode(F.array_distinct(touched)).alias("_t")).where("_t.v IS NOT NULL"))
+    first = values.groupBy("_t").agg(F.min(seq).alias("_first"))
+    links = values.join(first, "_t").where(F.col(seq) != F.col("_first")).select(F.col("_first").alias("a"), F.col(seq).alias("b"))
+    found = connected(links)
+    return requests.select(seq).join(found.select(F.col("id").alias(seq), "part"), seq, "left").select(seq, F.coalesce("part", seq).alias("part"))
+
+
+def _settle(names: tuple[str, ...], n_alternates: int):
+    """Requests in order of part and arrival to (seq, status).
+
+    Each carries what the master says: whether its key is there, what that
+    record holds, and who owns the alternates it asks for. Of a part, the state
+    of the keys and values that it touched is held, not its requests.
+    """
+
+    def settle(batches):
+        import pyarrow as pa
+
+        part, records, owners = None, {}, {}
+        for batch in batches:
+            seqs, statuses = [], []
+            for own, seq, op, key, there, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                wanted, holds, owned = rest[:n_alternates], rest[n_alternates : 2 * n_alternates], rest[2 * n_alternates :]
+                if own != part:
+                    part, records, owners = own, {}, {}
+                if key is not None and key not in records:
+                    records[key] = tuple(holds) if there else None
+                    for n, v in enumerate(holds if there else ()):
+                        if v is not None:
+                            owners.setdefault((n, v), key)
+                for n, (v, k) in enumerate(zip(wanted, owned, strict=True)):
+                    if v is not None:
+                        owners.setdefault((n, v), k)
+                has = key is not None and records[key] is not None
+                clash = any(v is not None and owners[n, v] not in (None, key) for n, v in enumerate(wanted))
+                if key is None:
+                    status = DUPLICATE if op == WRITE else MISSING
+                elif op == WRITE:
+                    status = DUPLICATE if has or clash else OK
+                else:
+                    status = MISSING if not has else DUPLICATE if op == REWRITE and clash else OK
+                if status == OK and op != READ:
+                    for n, v in enumerate(records[key] or ()):
+                        if v is not None and owners.get((n, v)) == key:
+                            owners[n, v] = None
+                    records[key] = None if op == DELETE else tuple(wanted)
+                    for n, v in enumerate(wanted if op != DELETE else ()):
+                        if v is not None:
+                            owners[n, v] = key
+                seqs.append(seq)
+                statuses.append(status)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, batch.schema.field(1).type), pa.array(statuses)], names=list(names))
+
+    return settle
+
+
+def _outcomes_unique(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str, op: Column) -> DataFrame:
+    """The requests with a status, where alternates must stay unique.
+
+    Requests that can affect one another are settled in order, part by part; the
+    number of shuffles does not depend on how many share a key. The rows of a part
+    go through one task as a stream, since each outcome depends on those before.
+    """
+    parts = _conflicts(master, requests, spec, seq)
+    held = master.select(F.col(spec.key).alias("_k"), *[F.col(a).alias(f"_h_{a}") for a in spec.unique], F.lit(True).alias("_there"))
+    told = requests.select(seq, op.alias("_op"), F.col(spec.key).alias("_key"), *[F.col(a).alias(f"_w_{a}") for a in spec.unique]).join(held, F.col("_key") == F.col("_k"), "left")
+    for a in spec.unique:
+        owners = master.where(F.col(a).isNotNull()).select(F.col(a).alias(f"_v_{a}"), F.col(spec.key).alias(f"_o_{a}"))
+        told = told.join(owners, F.col(f"_w_{a}") == F.col(f"_v_{a}"), "left")
+    columns = ["part", seq, "_op", "_key", "_there", *[f"_{kind}_{a}" for kind in "who" for a in spec.unique]]
+    told = told.join(parts, seq).select(*columns).repartition("part").sortWithinPartitions("part", seq)
+    kind = requests.schema[seq].dataType.simpleString()
+    settled = cut(told.mapInArrow(_settle((seq, "status"), len(spec.unique)), f"{seq} {kind}, status string"))
+    return requests.join(settled, seq)
+
+
+def _merged(master: DataFrame, outcomes: DataFrame, key: str, seq: str, op: Column) -> DataFrame:
+    """The master after the requests that went through: the last one on each key is what stays."""
+    body = [c for c in master.columns if c != key]
+    effective = outcomes.where((F.col("status").isin(OK, OK_DUPLICATE)) & (op != READ)).withColumn("_op", op)
+    final = effective.groupBy(key).agg(F.max_by(F.struct("_op", *body), F.col(seq)).alias("_new")).withColumnRenamed(key, "_k")
+    merged = master.join(final, F.col(key) == F.col("_k"), "full")
+    touched = F.col("_new").isNotNull()
+    kept = merged.where(~touched | (F.col("_new._op") != DELETE)).select(
+        F.coalesce("_k", key).alias(key), *[F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in body])
+    return kept.select(*master.columns)
 
 
 def write_batch(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str) -> BatchResult:
     """WRITE a batch: 00, 02 (repeated alternate) or 22 per request."""
     if spec.unique:
-        got = _accepted_with_alternates(master, requests, spec, seq)
+        got = _outcomes_unique(master, requests, spec, seq, F.lit(WRITE)).where(F.col("status") == OK).select(seq)
     else:
         got = _accepted_primary(master, requests, spec.key, seq)
     marked = requests.join(got.withColumn("_in", F.lit(True)), seq, "left")
@@ -215,8 +286,12 @@ def append_relative(master: DataFrame, requests: DataFrame, rrn: str, seq: str)
     return master.unionByName(added.select(*master.columns))
 
 
-def rewrite_batch(master: DataFrame, requests: DataFrame, key: str, seq: str) -> BatchResult:
-    """REWRITE by key: the last request per key is what stays."""
+def rewrite_batch(master: DataFrame, requests: DataFrame, key: str, seq: str, spec: KeySpec | None = None) -> BatchResult:
+    """REWRITE by key: the last request per key is what stays. With a ``spec``
+    that has unique alternates, one that another record holds is turned down with 22."""
+    if spec is not None and spec.unique:
+        outcomes = _outcomes_unique(master, requests, spec, seq, F.lit(REWRITE))
+        return BatchResult(_merged(master, outcomes, key, seq, F.lit(REWRITE)), outcomes)
     body = [c for c in master.columns if c != key]
     known = master.select(F.col(key).alias("_k"), F.lit(True).alias("_hit"))
     outcomes = requests.join(known, F.col(key) == F.col("_k"), "left").select(
@@ -245,7 +320,6 @@ def apply_batch(master: DataFrame, requests: DataFrame, key: str, seq: str, op:
     and the outcome follows from presence. What stays is the latest effective
     request. Primary key only.
     """
-    body = [c for c in master.columns if c != key]
     o = F.col(op)
     turn = F.when(o == WRITE, True).when(o == DELETE, False)
     known = master.select(key, F.lit(True).alias("_was"))
@@ -255,59 +329,11 @@ def apply_batch(master: DataFrame, requests: DataFrame, key: str, seq: str, op:
               .when((o != WRITE) & ~present, MISSING)
               .otherwise(OK))
     outcomes = seen.select(*requests.columns, status.alias("status"))
-    effective = outcomes.where((F.col("status") == OK) & (F.col(op) != READ))
-    final = effective.groupBy(key).agg(F.max_by(F.struct(op, *body), F.col(seq)).alias("_new"))
-    # both sides hold a key once
-    merged = master.join(final.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "full")
-    touched = F.col("_new").isNotNull()
-    kept = merged.where(~touched | (F.col(f"_new.{op}") != DELETE)).select(
-        F.coalesce("_k", key).alias(key), *[F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in body])
-    return BatchResult(kept.select(*master.columns), outcomes)
+    return BatchResult(_merged(master, outcomes, key, seq, o), outcomes)
 
 
 def apply_batch_unique(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str, op: str = "op") -> BatchResult:
     """The mixed stream with unique alternates, where requests can block or
-    free each other's alternate values.
-
-    A request touches its key, the alternates it asks for, and, if it is the
-    next one on its key, the alternates that key's record holds now. Each round settles all requests that are the earliest
-    on everything they touch; these cannot affect one another. The number of
-    rounds is the longest chain of requests that do.
-    """
-    alts = spec.unique
-    state = cut(master)
-    waiting = cut(requests)
-    done = None
-    while not waiting.isEmpty():
-        held = state.select(F.col(spec.key).alias("_k"), *[F.col(a).alias(f"_h_{a}") for a in alts], F.lit(True).alias("_hit"))
-        ready = _first_per(waiting, spec.key, seq).select(seq)
-        fronts = waiting.join(ready, seq, "left_semi").join(held, F.col(spec.key) == F.col("_k"), "left")
-        for a in alts:
-            wants = waiting.where(F.col(op).isin(WRITE, REWRITE)).select(seq, F.col(a).alias("_v"))
-            # whatever comes first on a key stands for all that waits behind it
-            holds = fronts.where(F.col("_hit")).select(seq, F.col(f"_h_{a}").alias("_v"))
-            touch = wants.unionByName(holds).distinct()
-            first = _first_per(touch, "_v", seq).withColumnRenamed(seq, "_first")
-            late = touch.join(first, "_v").where(F.col(seq) > F.col("_first")).select(seq).distinct()
-            fronts = fronts.join(late, seq, "left_anti")
-        ready_rows = fronts
-        clash = F.lit(False)
-        for a in alts:
-            owners = state.select(F.col(a).alias(f"_o_{a}"), F.col(spec.key).alias(f"_ok_{a}"))
-            ready_rows = ready_rows.join(owners, F.col(a) == F.col(f"_o_{a}"), "left")
-            clash = clash | (F.col(f"_ok_{a}").isNotNull() & (F.col(f"_ok_{a}") != F.col(spec.key)))
-        present = F.col("_hit").isNotNull()
-        o = F.col(op)
-        status = (F.when((o == WRITE) & (present | clash), DUPLICATE)
-                  .when((o != WRITE) & ~present, MISSING)
-                  .when((o == REWRITE) & clash, DUPLICATE)
-                  .otherwise(OK))
-        settled = cut(ready_rows.select(*requests.columns, status.alias("status")))
-        done = settled if done is None else done.unionByName(settled)
-        changed = settled.where((F.col("status") == OK) & (F.col(op) != READ))
-        put = changed.where(F.col(op) != DELETE).select(*master.columns)
-        state = cut(state.join(changed.select(spec.key), spec.key, "left_anti").unionByName(put))
-        waiting = cut(waiting.join(settled.select(seq), seq, "left_anti"))
-    if done is None:
-        done = requests.withColumn("status", F.lit(OK)).limit(0)
-    return BatchResult(state, done)
+    free each other's alternate values."""
+    outcomes = _outcomes_unique(master, requests, spec, seq, F.col(op))
+    return BatchResult(_merged(master, outcomes, spec.key, seq, F.col(op)), outcomes)

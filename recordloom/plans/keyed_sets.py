@@ -122,7 +122,20 @@ def keyed_write_repeated_alternate(spark, sf_dir):
     return k.write_batch(_user_master(spark, sf_dir), _events(spark, sf_dir), spec, "seq").outcomes.select("seq", "status")
 
 
-@query("keyed_write_unique_alternate")
+_UNIQUE_EVENTS = """
+ev AS (SELECT event_id AS seq, user_id AS id, CAST(value AS DECIMAL(9,2)) AS alt FROM events),
+mc AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE -1 - c_custkey END AS id, CAST(abs(c_acctbal) AS DECIMAL(9,2)) AS alt FROM customer),
+m AS (SELECT min(id) AS id, alt FROM mc GROUP BY alt)"""
+
+
+@query("keyed_write_unique_alternate", f"""
+WITH {_UNIQUE_EVENTS},
+open AS (SELECT * FROM ev WHERE id NOT IN (SELECT id FROM m) AND alt NOT IN (SELECT alt FROM m)),
+-- the requests in order, with the ids, alternates and numbers of those let in so far
+fold AS (SELECT list_reduce(list({{'ids': [id], 'alts': [alt], 'seqs': [seq]}} ORDER BY seq), lambda s, r: CASE WHEN list_contains(s.ids, r.ids[1]) OR list_contains(s.alts, r.alts[1]) THEN s
+  ELSE {{'ids': list_concat(s.ids, r.ids), 'alts': list_concat(s.alts, r.alts), 'seqs': list_concat(s.seqs, r.seqs)}} END) AS s FROM open),
+let AS (SELECT unnest(s.seqs) AS seq FROM fold)
+SELECT ev.seq, id, alt, CASE WHEN let.seq IS NULL THEN '22' ELSE '00' END AS status FROM ev LEFT JOIN let ON ev.seq = let.seq""")
 def keyed_write_unique_alternate(spark, sf_dir):
     """Two keys that must each stay unique; what is let in depends on order."""
     ev = table(spark, sf_dir, "events").select(
@@ -133,6 +146,45 @@ def keyed_write_unique_alternate(spark, sf_dir):
     return k.write_batch(master, ev, k.KeySpec("id", (k.Alternate("alt"),)), "seq").outcomes
 
 
+#: Orders ask for a record of their customer and for a seat in it: both are one of a few of that customer.
+_SEATS = """
+r AS (SELECT o_orderkey AS seq, o_custkey AS o, o_custkey * 8 + o_orderkey % 3 AS id, o_custkey * 8 + o_totalprice::INTEGER % 4 AS alt, CASE o_orderkey // 3 % 4 WHEN 0 THEN 'WRITE' WHEN 1 THEN 'REWRITE' WHEN 2 THEN 'DELETE' ELSE 'REWRITE' END AS op FROM (SELECT o_orderkey, o_custkey, floor(o_totalprice) AS o_totalprice FROM orders))"""
+#: The requests of a customer in turn; the state is the alternate of each of its three records, null where there is none.
+_FOLD = """
+SELECT o, list_reduce(list_prepend({'seq': -1, 'id': 0, 'alt': 0, 'op': '', 'st': '', 'all': [{'seq': CAST(-1 AS BIGINT), 'st': ''}], 'held': [o * 8, o * 8 + 1, NULL]},
+  list({'seq': seq, 'id': id, 'alt': alt, 'op': op, 'st': '', 'all': [{'seq': CAST(-1 AS BIGINT), 'st': ''}], 'held': [CAST(NULL AS BIGINT)]} ORDER BY seq)), lambda s, q:
+  {'seq': q.seq, 'id': q.id, 'alt': q.alt, 'op': q.op, 'st': '', 'all': list_append(s.all, {'seq': q.seq, 'st': STATUS}), 'held': CASE WHEN STATUS <> '00' THEN s.held
+     ELSE [CASE WHEN q.id % 8 = i THEN (CASE WHEN q.op = 'DELETE' THEN NULL ELSE q.alt END) ELSE s.held[i + 1] END for i in [0, 1, 2]] END}).all AS told FROM r GROUP BY o""".replace("STATUS", """
+  (CASE WHEN q.op = 'WRITE' AND (s.held[q.id % 8 + 1] IS NOT NULL OR list_contains(s.held, q.alt)) THEN '22' WHEN q.op <> 'WRITE' AND s.held[q.id % 8 + 1] IS NULL THEN '23'
+    WHEN q.op = 'REWRITE' AND len(list_filter([0, 1, 2], lambda i: i <> q.id % 8 AND s.held[i + 1] = q.alt)) > 0 THEN '22' ELSE '00' END)""")
+
+
+def _seats(spark, sf_dir):
+    op = F.element_at(F.array(F.lit(k.WRITE), F.lit(k.REWRITE), F.lit(k.DELETE), F.lit(k.REWRITE)), F.expr("CAST(o_orderkey DIV 3 % 4 + 1 AS INT)"))
+    requests = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 8 + F.col("o_orderkey") % 3).alias("id"), (F.col("o_custkey") * 8 + F.floor("o_totalprice") % 4).alias("alt"), op.alias("op"))
+    seat = F.explode(F.sequence(F.col("o_custkey") * 8, F.col("o_custkey") * 8 + 1))
+    return table(spark, sf_dir, "orders").select("o_custkey").distinct().select(seat.alias("id")).withColumn("alt", F.col("id")), requests, k.KeySpec("id", (k.Alternate("alt"),))
+
+
+@query("keyed_mixed_unique_alternate", f"""
+WITH {_SEATS}, f AS ({_FOLD}), t AS (SELECT unnest(told) AS t FROM f)
+SELECT r.seq, r.id, r.alt, r.op, t.st AS status FROM t JOIN r ON r.seq = t.t.seq""".replace("t.st AS", "t.t.st AS"))
+def keyed_mixed_unique_alternate(spark, sf_dir):
+    """Writes, rewrites and deletes that take and free each other's alternates."""
+    master, requests, spec = _seats(spark, sf_dir)
+    return k.apply_batch_unique(master, requests, spec, "seq").outcomes
+
+
+@query("keyed_rewrite_alternate", f"""
+WITH {_SEATS.replace("CASE o_orderkey // 3 % 4 WHEN 0 THEN 'WRITE' WHEN 1 THEN 'REWRITE' WHEN 2 THEN 'DELETE' ELSE 'REWRITE' END", "'REWRITE'")}, f AS ({_FOLD}), t AS (SELECT unnest(told) AS t FROM f)
+SELECT r.seq, r.id, r.alt, t.t.st AS status FROM t JOIN r ON r.seq = t.t.seq""")
+def keyed_rewrite_alternate(spark, sf_dir):
+    """A rewrite that asks for an alternate another record holds is turned down; the record keeps its own."""
+    master, requests, spec = _seats(spark, sf_dir)
+    return k.rewrite_batch(master, requests.drop("op"), "id", "seq", spec).outcomes
+
+
 @query("relative_write", """
 WITH r AS (SELECT o_orderkey AS seq, o_custkey AS rrn, o_orderstatus AS body FROM orders), m AS (SELECT n_nationkey AS rrn FROM nation),
 f AS (SELECT rrn, min(seq) AS seq FROM r GROUP BY rrn)

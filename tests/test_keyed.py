@@ -152,3 +152,36 @@ def test_writes_with_null_alternates(spark):
     requests = spark.createDataFrame([(1, 2, None), (2, 3, None), (3, 4, "a"), (4, None, None), (5, None, "b"), (6, 5, "b"), (7, 6, "b"), (8, 2, None)], "seq int, id int, alt string")
     out = k.write_batch(master, requests, k.KeySpec("id", (k.Alternate("alt"),)), "seq").outcomes
     assert {r.seq: r.status for r in out.collect()} == {1: "00", 2: "00", 3: "22", 4: "22", 5: "22", 6: "00", 7: "22", 8: "22"}
+
+
+def test_rounds_do_not_grow_with_the_requests_of_a_key(spark, tmp_path):
+    """A key that many requests share is settled in as many steps as one that few share."""
+    import os
+
+    spec = k.KeySpec("id", (k.Alternate("a"),))
+    master = spark.createDataFrame([(1, 10), (2, 20)], "id bigint, a bigint")
+    before = spark.sparkContext.getCheckpointDir()
+    made = []
+    for n in (12, 600):
+        spark.sparkContext.setCheckpointDir(str(tmp_path / str(n)))
+        rows = [(s, 1, [10, 20, 30][s % 3], ["REWRITE", "DELETE", "WRITE", "READ"][s // 2 % 4]) for s in range(n)]
+        got = {r["seq"]: r["status"] for r in k.apply_batch_unique(master, spark.createDataFrame(rows, "seq bigint, id bigint, a bigint, op string"), spec, "seq").outcomes.collect()}
+        there, want = True, {}
+        for s, _, a, op in rows:
+            ok = {"WRITE": not there and a != 20, "REWRITE": there and a != 20}.get(op, there)
+            want[s] = "00" if ok else "23" if op != "WRITE" and not there else "22"
+            there = there if want[s] != "00" else {"WRITE": True, "DELETE": False}.get(op, there)
+        assert got == want
+        made.append(sum(len([d for d in dirs if d.startswith("rdd-")]) for _, dirs, _ in os.walk(tmp_path / str(n))))
+    spark.sparkContext.setCheckpointDir(before or str(tmp_path))
+    assert made[0] == made[1]
+
+
+def test_rewrite_with_unique_alternate(spark):
+    """An alternate that another record holds is turned down, one that was freed is not; nulls share nothing."""
+    spec = k.KeySpec("id", (k.Alternate("a"), k.Alternate("b")))
+    master = spark.createDataFrame([(1, 10, None), (2, 20, None), (3, 30, "x")], "id bigint, a bigint, b string")
+    rows = [(1, 1, 20, None), (2, 2, 25, None), (3, 1, 20, None), (4, 9, 1, None), (5, 3, 10, "y"), (6, 2, 77, "x"), (7, None, 5, None), (8, 1, None, "y")]
+    r = k.rewrite_batch(master, spark.createDataFrame(rows, "seq bigint, id bigint, a bigint, b string"), "id", "seq", spec)
+    assert {x["seq"]: x["status"] for x in r.outcomes.collect()} == {1: "22", 2: "00", 3: "00", 4: "23", 5: "00", 6: "00", 7: "23", 8: "22"}
+    assert sorted(tuple(x) for x in r.master.collect()) == [(1, 20, None), (2, 77, "x"), (3, 10, "y")]
