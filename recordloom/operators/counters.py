@@ -1,7 +1,11 @@
-"""Counters and totals kept in a read loop, as one aggregate."""
+"""Counters and totals kept in a read loop: as one aggregate where the order of the
+records does not matter, else as functions of what the counter held before."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordloom.functions.numeric import Num, dec, pow10, round_to
@@ -22,7 +26,8 @@ def accumulate(amount: Num, pic: str | Picture, name: str) -> list[Column]:
     the same as dropping them once, from the sum. With both signs it is the
     same as long as no fraction is dropped and no step can overflow, which
     holds when the absolute amounts add up to less than the receiver's limit. Otherwise the value
-    depends on the order of the records, and the row is refused.
+    depends on the order of the records, which an aggregate does not know: it is refused here, and
+    worked out by `in_order`.
     """
     p = picture(pic) if isinstance(pic, str) else pic
     step = round_to(amount, p.scale)
@@ -50,3 +55,159 @@ def totals(df: DataFrame, counters: dict[str, Column], sums: dict[str, tuple[Num
     for name, (amount, pic) in sums.items():
         cols.append(accumulate(amount, pic, name)[0])
     return df.agg(*cols)
+
+
+# -- in order ----------------------------------------------------------------
+class Effect:
+    """What some ADDs in a row do to a counter, as a function of what it held.
+
+    One ADD moves the value, and takes it round where it passes the receiver's
+    limit, turns it at zero (unsigned) or drops fraction digits towards zero. So
+    any number of them is linear in pieces of slope 1 or -1: piece i, from ``low[i]``
+    on, gives slope * v + offset. Values are whole numbers of the amount's last digit.
+    """
+
+    def __init__(self, limit: int, unit: int, signed: bool):
+        self.limit, self.unit, self.signed = limit, unit, signed
+        wide = limit > 10**17
+        self.kind = object if wide else np.int64
+        self.low = np.array([unit - limit if signed else 0], self.kind)      # values are whole multiples of ``unit``
+        self.slope, self.offset = np.array([1], self.kind), np.array([0], self.kind)
+
+    def add(self, x: int) -> None:
+        limit, unit, signed = self.limit, self.unit, self.signed
+        if self.kind is not object and abs(x) > 10**17:
+            self.kind = object
+            self.low, self.slope, self.offset = (a.astype(object) for a in (self.low, self.slope, self.offset))
+        # Where x takes a value to zero, to the limit or a multiple of it; on either side of that the pieces differ.
+        least, most = (unit - limit if signed else 0) + x, limit - unit + x
+        edges = [0] if least < 0 <= most else []
+        edges += [k * limit for k in range(max(1, least // limit), most // limit + 1) if least < k * limit <= most]
+        edges += [1 - k * limit for k in range(max(1, -most // limit), -least // limit + 1) if least < 1 - k * limit <= most]
+        high = np.append(self.low[1:] - unit, limit - unit)
+        for e in edges:
+            c = e - x
+            at = -(-np.where(self.slope > 0, c - self.offset, self.offset - c + 1) // unit) * unit       # first value of the piece's upper part
+            split = np.flatnonzero((at > self.low) & (at <= high))
+            if len(split):
+                self.low, self.slope, self.offset, high = (
+                    np.insert(self.low, split + 1, at[split]), np.insert(self.slope, split + 1, self.slope[split]),
+                    np.insert(self.offset, split + 1, self.offset[split]), np.insert(high, split, at[split] - unit))
+        first = self.slope * self.low + self.offset + x
+        size = abs(first)
+        size = (size - size % unit) % limit
+        # The sign of a piece is that of any value in it but zero.
+        last = self.slope * high + self.offset + x
+        below = (first < 0) | (last < 0)
+        value = np.where(below & (first != 0), -size if signed else size, size)
+        slope = np.where(below & (not signed), -self.slope, self.slope)
+        offset = value - slope * self.low
+        new = np.concatenate(([True], (slope[1:] != slope[:-1]) | (offset[1:] != offset[:-1])))
+        self.low, self.slope, self.offset = self.low[new], slope[new], offset[new]
+
+    def __call__(self, v: int) -> int:
+        i = int(np.searchsorted(self.low, v, "right")) - 1
+        return int(self.slope[i]) * v + int(self.offset[i])
+
+
+def _effects(n_keys: int, counters: list[tuple[int, int, bool, int]]):
+    """Rows in order (key columns, amounts) to one row a key and task: its number and the effects' pieces."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        current, effects, out, schema = None, None, [], None
+
+        def row():
+            return (*current, part, *[[[str(x) for x in a.tolist()] for a in (e.low, e.slope, e.offset)] for e in effects])
+
+        def flush():
+            kinds = [*[schema.field(i).type for i in range(n_keys)], pa.int32(), *[pa.list_(pa.list_(pa.string()))] * len(counters)]
+            names = [*schema.names[:n_keys], "_part", *[f"_e{i}" for i in range(len(counters))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            schema = batch.schema
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = values[:n_keys]
+                if effects is None or key != current:
+                    if effects is not None:
+                        out.append(row())
+                        if len(out) >= 5_000:
+                            yield flush()
+                            out = []
+                    current, effects = key, [Effect(limit, unit, signed) for limit, unit, signed, _ in counters]
+                for e, x, (_, _, _, scale) in zip(effects, values[n_keys:], counters, strict=True):
+                    if x is not None:
+                        e.add(int(x.scaleb(scale)))
+        if effects is not None:
+            out.append(row())
+            yield flush()
+
+    return run
+
+
+def _outcome(n_keys: int, counters: list[tuple[int, int, bool, int]], kinds: list[pa.DataType]):
+    """One row a key and task, in order, to one row a key: what the counters hold at the end."""
+    from decimal import Decimal
+
+    def run(batches):
+        current, held, out, schema = None, None, [], None
+
+        def ended():
+            # whole multiples of the receiver's last digit, so nothing is dropped here
+            return [Decimal(v // unit).scaleb(len(str(unit)) - 1 - scale) for v, (_, unit, _, scale) in zip(held, counters, strict=True)]
+
+        def flush():
+            fields = [*[schema.field(i).type for i in range(n_keys)], *kinds]
+            names = [*schema.names[:n_keys], *[f"_c{i}" for i in range(len(counters))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), fields, strict=True)], names=names)
+
+        for batch in batches:
+            schema = batch.schema
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = values[:n_keys]
+                if held is None or key != current:
+                    if held is not None:
+                        out.append((*current, *ended()))
+                    current, held = key, [0] * len(counters)
+                for i, ((limit, unit, signed, _), pieces) in enumerate(zip(counters, values[n_keys + 1 :], strict=True)):
+                    e = Effect(limit, unit, signed)
+                    e.low, e.slope, e.offset = (np.array([int(x) for x in a], object) for a in pieces)
+                    held[i] = e(held[i])
+            if len(out) >= 5_000:
+                yield flush()
+                out = []
+        if held is not None:
+            out.append((*current, *ended()))
+            yield flush()
+
+    return run
+
+
+def in_order(df: DataFrame, keys: list[str], seq: str, sums: dict[str, tuple[Num, str | Picture]], partitions: int | None = None) -> DataFrame:
+    """ADD each amount TO its receiver, which starts at zero, in ``seq`` order along each key, or all rows
+    without ``keys``; the receivers' last values. Overflow, signs and dropped fractions count at every step.
+
+    Rows are ranged by key and ``seq``, so a key with any number of rows is spread over tasks. A task works
+    out what its rows do to whatever the counter held; one row a key and task is applied in turn. A null
+    amount adds nothing. Without keys an empty table gives one row of zeros.
+    """
+    pics = [picture(p) if isinstance(p, str) else p for _, p in sums.values()]
+    amounts = [a for a, _ in sums.values()]
+    scales = [max(a.scale, p.scale) for a, p in zip(amounts, pics, strict=True)]
+    counters = [(10 ** (p.int_digits + s), 10 ** (s - p.scale), p.signed, s) for p, s in zip(pics, scales, strict=True)]
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = {k: df.schema[k].dataType.simpleString() for k in keys}
+    typed = ", ".join(f"`{k}` {t}" for k, t in schema.items())
+    rows = df.select(*keys, *[a.col.alias(f"_a{i}") for i, a in enumerate(amounts)], seq).repartitionByRange(n, *keys, seq).sortWithinPartitions(*keys, seq)
+    parts = rows.drop(seq) if seq not in keys else rows
+    pieces = ", ".join(f"_e{i} array<array<string>>" for i in range(len(sums)))
+    effects = parts.mapInArrow(_effects(len(keys), counters), f"{typed + ', ' if typed else ''}_part int, {pieces}")
+    together = effects.repartition(*keys) if keys else effects.coalesce(1)
+    kinds = [pa.decimal128(p.digits, p.scale) for p in pics]
+    values = ", ".join(f"_c{i} decimal({p.digits},{p.scale})" for i, p in enumerate(pics))
+    out = together.sortWithinPartitions(*keys, "_part").mapInArrow(_outcome(len(keys), counters, kinds), f"{typed + ', ' if typed else ''}{values}")
+    named = out.select(*keys, *[F.col(f"_c{i}").alias(name) for i, name in enumerate(sums)])
+    if keys:
+        return named
+    return named.agg(*[F.coalesce(F.max(c), F.lit(0).cast(named.schema[c].dataType)).alias(c) for c in named.columns])

@@ -2,9 +2,9 @@
 
 Two shapes are covered. ``number_rows`` orders a whole table: it range-partitions
 on the sort keys, and only per-partition totals (one row a partition) meet in
-one task. ``scan_by_key`` runs along each key: rows are cut into blocks of the
-arrival number, so a key that holds a third of the table is spread over many
-tasks and only one summary row per block crosses them.
+one task. ``scan_by_key`` runs along each key: a key that holds a third of the
+table is cut into blocks of rows, spread over many tasks, and only one summary
+row per block crosses them.
 """
 
 from __future__ import annotations
@@ -71,20 +71,19 @@ def number_rows(
     return out.drop("_id", "_block", "_base", *summed, *[f"_b{k}" for k in summed])
 
 
-def hot_keys(keyed: DataFrame, key: str, seq: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """Keys with more than ``rows`` rows, where their blocks of ``seq`` begin and
-    how wide they are, and how many such keys there are.
+def hot_keys(keyed: DataFrame, key: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int, int]:
+    """Keys with more than ``rows`` rows, how many they are, and how many rows they have.
+    Counting is done before the shuffle."""
+    hot = cut(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows))
+    n, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return hot.select(key), n, total
 
-    A key has as many blocks as ``rows`` goes into its rows, whatever numbers
-    ``seq`` has, so sparse ones (times, ids) make no more blocks than dense
-    ones. Counting is done before the shuffle.
-    """
-    at = F.col(seq).cast("bigint")
-    counted = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")).where(F.col("_n") > rows)
-    blocks = F.ceil(F.col("_n") / rows)
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks).cast("bigint")
-    hot = cut(counted.select(key, "_lo", F.greatest(width, F.lit(1)).alias("_width")))
-    return hot, hot.count()
+
+def blocks_of(df: DataFrame, key: str, seq: str, partitions: int) -> DataFrame:
+    """``df`` with _block, which grows along each key: rows are ranged by key and ``seq``, so a
+    block has about as many rows as any other, whatever numbers ``seq`` has and however many rows
+    a key has. Kept on the shared folder, so a row stays in its block whatever is worked out anew."""
+    return cut(df.repartitionByRange(partitions, key, seq).withColumn("_block", F.spark_partition_id().cast("bigint")))
 
 
 def scan_by_key(
@@ -103,24 +102,24 @@ def scan_by_key(
     row a key, columns named as in ``last``) gives what held before the first
     row.
 
-    Keys with more than ``block_rows`` rows are cut into blocks of equal width
-    in ``seq``, a whole number unique within its key, about ``block_rows`` rows
-    each where the numbers are spread evenly; one summary row per block crosses
-    them. Other keys are one block.
+    ``seq`` is unique within its key. Keys with more than ``block_rows`` rows are
+    cut into blocks of about so many rows (`blocks_of`); one summary row per block
+    crosses them. Other keys are one block.
     """
     last, sums = last or {}, sums or {}
     # One key value for grouping, window and join, so that the rows move once;
     # inside a struct, nulls are equal to each other.
     key = F.struct(*keys).alias("_key")
-    hot, n_hot = hot_keys(df.select(key, seq), "_key", seq, block_rows)
+    hot, n_hot, hot_rows = hot_keys(df.select(key), "_key", block_rows)
     listed = F.broadcast(hot) if n_hot <= MOST_HOT else hot
-    block = F.lit(0).cast("bigint")
+    one_block = lambda rows: rows.withColumns({"_block": F.lit(0).cast("bigint"), "_hot": F.lit(False)})
     marked = df.select("*", key)
     if n_hot:
-        marked = marked.join(listed, "_key", "left").withColumn("_hot", F.col("_width").isNotNull())
-        block = F.when(F.col("_hot"), F.call_function("div", F.col(seq).cast("bigint") - F.col("_lo"), F.col("_width"))).otherwise(block)
-    marked = marked.withColumns({
-        "_block": block, **{f"_l_{k}": c for k, c in last.items()}, **{f"_s_{k}": c for k, c in sums.items()}})
+        cut_up = blocks_of(marked.join(listed, "_key", "left_semi"), "_key", seq, -(-hot_rows // block_rows)).withColumn("_hot", F.lit(True))
+        marked = cut_up.unionByName(one_block(marked.join(listed, "_key", "left_anti")))
+    else:
+        marked = one_block(marked)
+    marked = marked.withColumns({**{f"_l_{k}": c for k, c in last.items()}, **{f"_s_{k}": c for k, c in sums.items()}})
 
     within = Window.partitionBy("_key", "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     inside = marked.select(

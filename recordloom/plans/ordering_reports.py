@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordloom.functions.numeric import num
 from recordloom.operators import report as rp
 from recordloom.operators import sorting as so
+from recordloom.operators.counters import in_order
 from recordloom.operators.ordering import scan_by_key
 from recordloom.plans.registry import query
 from recordloom.session import table
@@ -117,3 +119,28 @@ SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(11,2))) AS DECIMAL(21,2)) AS sum_pr
 def report_totals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("decimal(11,2)").alias("price"))
     return rp.total(o, {"price": "9(9)V99"})
+
+
+@query("counters_signed_overflow", """
+WITH x AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(9,2)) * CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN 1 ELSE 2 END AS x FROM orders),
+w AS (SELECT list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(x * 100 AS BIGINT) ORDER BY o_orderkey)), lambda s, x: (s + x) % 100000000) AS s,
+      list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(x * 100 AS BIGINT) ORDER BY o_orderkey)), lambda s, x: (abs(s + x) - abs(s + x) % 10) % 10000000) AS u FROM x)
+SELECT CAST(s / 100 AS DECIMAL(8,2)) AS balance, CAST(u / 100 AS DECIMAL(6,1)) AS turned FROM w""")
+def counters_signed_overflow(spark, sf_dir):
+    """Two counters over all orders in turn: a signed one that overflows either way, and an unsigned one that drops a digit and turns at zero."""
+    x, price = _signed_prices(spark, sf_dir)
+    return in_order(x, [], "o_orderkey", {"balance": (price, "S9(6)V99"), "turned": (price, "9(5)V9")})
+
+
+@query("counters_by_customer", """
+WITH x AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(9,2)) * CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN 1 ELSE 2 END AS x FROM orders)
+SELECT o_custkey, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(x * 100 AS BIGINT) ORDER BY o_orderkey)), lambda s, x: (s + x) % 10000000) / 100 AS DECIMAL(7,2)) AS balance FROM x GROUP BY o_custkey""")
+def counters_by_customer(spark, sf_dir):
+    x, price = _signed_prices(spark, sf_dir)
+    return in_order(x, ["o_custkey"], "o_orderkey", {"balance": (price, "S9(5)V99")})
+
+
+def _signed_prices(spark, sf_dir):
+    sign = F.when(F.col("o_orderstatus") == "F", -1).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    x = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice").cast("decimal(9,2)") * sign).cast("decimal(10,2)").alias("x"))
+    return x, num("x", "S9(8)V99")

@@ -120,7 +120,7 @@ def test_counters(spark):
 
 def test_scan_with_sparse_numbers_and_a_hot_key(spark):
     """Numbers far apart make no more blocks than rows ask for."""
-    from recordloom.operators.ordering import hot_keys, scan_by_key
+    from recordloom.operators.ordering import scan_by_key
 
     rows = [("hot", i * 1_000_003, i % 7) for i in range(900)] + [(f"k{i}", i, i) for i in range(100)]
     df = spark.createDataFrame(rows, "k string, seq bigint, v int")
@@ -130,5 +130,47 @@ def test_scan_with_sparse_numbers_and_a_hot_key(spark):
         assert got[k, seq] == (total, last)
         total, last = (total or 0) + v, seq if v == 3 else last
     assert all(got[k, s] == (None, None) for k, s, _ in rows[900:])
-    hot, n = hot_keys(df, "k", "seq", 50)
-    assert n == 1 and -(-(899 * 1_000_003 + 1) // hot.first()["_width"]) == 18
+
+
+def test_blocks_are_bounded_in_rows(spark):
+    """A key with nine tenths of the rows and one number far from all others."""
+    from recordloom.operators.ordering import blocks_of, scan_by_key
+
+    rows = [("hot", 10**15 + i, i % 5) for i in range(18_000)] + [("hot", 0, 7)] + [(f"k{i % 40}", i, 1) for i in range(2_000)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, seq bigint, v int").repartition(6)
+    sizes = [r["count"] for r in blocks_of(df.where("k = 'hot'"), "k", "seq", 18).groupBy("k", "_block").count().collect()]
+    assert sum(sizes) == 18_001 and max(sizes) <= 3_000
+    got = {(r.k, r.seq): r.run for r in scan_by_key(df, ["k"], "seq", sums={"run": F.col("v")}, block_rows=1_000).collect()}
+    run: dict = {}
+    for k, seq, v in sorted(rows):
+        assert got[k, seq] == run.get(k)
+        run[k] = run.get(k, 0) + v
+
+
+def fold(values, digits, signed, scale_in, scale):
+    """ADD value TO counter, one after another; values and result in units of scale_in."""
+    unit, limit, t = 10 ** (scale_in - scale), 10 ** (digits - scale + scale_in), 0
+    for x in values:
+        s = t + x
+        a = (abs(s) - abs(s) % unit) % limit
+        t = -a if s < 0 and signed else a
+    return t
+
+
+@pytest.mark.parametrize(("pic", "digits", "signed", "scale"), [("S9(3)", 3, True, 0), ("9(3)", 3, False, 0), ("S9(2)V9", 3, True, 1), ("9(2)V9", 3, False, 1), ("S9(20)", 20, True, 0)])
+def test_counters_in_order(spark, pic, digits, signed, scale):
+    """Signed counters that overflow, and unsigned ones that turn, equal the fold row by row."""
+    from decimal import Decimal
+
+    from recordloom.operators.counters import in_order
+
+    r = random.Random(digits)
+    big = 10 ** (digits + 1)
+    rows = [(r.choice(["hot", "hot", "hot", "a", "b", None]), i, r.choice([r.randrange(-300, 300), r.randrange(-big, big), r.randrange(-30, 31)])) for i in range(900)]
+    df = spark.createDataFrame([(k, i, Decimal(v).scaleb(-2)) for k, i, v in rows], "k string, seq int, x decimal(26,2)").repartition(4)
+    out = in_order(df, ["k"], "seq", {"t": (num("x", "S9(24)V99"), pic)}, partitions=5)
+    got = {x["k"]: x["t"] for x in out.collect()}
+    want = {k: Decimal(fold([v for a, _, v in rows if a == k], digits, signed, 2, scale)).scaleb(-2) for k in {x[0] for x in rows}}
+    assert got == want
+    assert in_order(df.limit(0), [], "seq", {"t": (num("x", "S9(24)V99"), pic)}).collect()[0]["t"] == 0
