@@ -44,7 +44,7 @@ from recordloom.llm.common import documents, stored
 SEQUENCE = 4_096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 1 << 19          # words whose ids a worker keeps; it starts anew beyond that
+CACHE, PARTS = 1 << 20, 1 << 19      # words and parts of words whose ids a worker keeps; each starts anew beyond that
 PIECES = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
 
 
@@ -71,7 +71,7 @@ class WordIds(dict):
 
     def _part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= PARTS:
                 self.parts.clear()
             t = self.tokenizer
             if "<|" in part:
@@ -291,7 +291,7 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE) ->
     plan = best_plan(counts, size).arrays()
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     begins = stored(files.select("length", "_part", F.coalesce(before, F.lit(0)).alias("_before")), "begins")
-    ranked = pieces.join(begins, ["length", "_part"]).withColumn("_at", F.col("_before") + F.col("_rank"))
+    ranked = pieces.join(begins.hint("merge"), ["length", "_part"]).withColumn("_at", F.col("_before") + F.col("_rank"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*names, "_at").mapInArrow(_placed(plan, names), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
