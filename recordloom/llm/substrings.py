@@ -35,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.common import documents, stored
-from recordloom.llm.components import components
+from recordloom.llm.components import contracted
 from recordloom.llm.near import links
-from recordloom.llm.shingles import _ODD, WIDTH, MinMax, _hash, _mixed, packed, shingle_set, words
+from recordloom.llm.shingles import _ODD, WIDTH, MinMax, _hash, _mixed, packed
 
 SIDE = 8                  # words on either side of a cut that are no better cut
 LONGEST, FORCED = 64, 32  # a longer paragraph is cut after so many words
 BANDS = 4
 PERCENT = 75
 LEAST_WORDS = 24
+CHUNK = 1 << 14           # words that are cut and sketched together
 SEEN = 1 << 17            # paragraphs that a task remembers; it starts anew beyond that
 MEMBER = 7                # in place of a band's number: a copy of a paragraph that the task has seen
 
@@ -58,23 +59,52 @@ def places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return points[np.flatnonzero(space[:-1] & ~space[1:])], points[np.flatnonzero(~space[:-1] & space[1:])]
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """The first words of the paragraphs of a text, and its number of words; ``h`` are the words' hashes."""
-    n, wide = len(h), 2 * SIDE + 1
-    at = [np.zeros(1, np.int64)]
-    if n > wide:
+def cuts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The first words of the paragraphs of some texts: ``h`` are the hashes of all their words, end
+    to end, ``starts`` where each text begins. A text is cut alike whatever it is put together with."""
+    wide = 2 * SIDE + 1
+    at = starts
+    if len(h) > wide:
         x = _mixed(h[:-1] * _ODD[0] + h[1:] * _ODD[1])
-        at.append(np.flatnonzero(np.lib.stride_tricks.sliding_window_view(x, wide).argmin(axis=1) == SIDE) + SIDE)
-    at = np.concatenate([*at, [n]])
-    gaps = np.diff(at)
-    if (gaps > LONGEST).any():
-        forced = [np.arange(a + FORCED, a + g - FORCED // 2, FORCED) for a, g in zip(at.tolist(), gaps.tolist(), strict=False) if g > LONGEST]
+        low = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(x, wide).argmin(axis=1) == SIDE) + SIDE
+        text = np.searchsorted(starts, low, "right") - 1
+        ends = np.append(starts[1:], len(h))
+        inside = (low - starts[text] >= SIDE) & (low + SIDE + 2 <= ends[text])
+        at = np.sort(np.concatenate([starts, low[inside]]))
+    gaps = np.diff(np.append(at, len(h)))
+    long = np.flatnonzero(gaps > LONGEST)
+    if len(long):
+        forced = [np.arange(a + FORCED, a + g - FORCED // 2, FORCED) for a, g in zip(at[long].tolist(), gaps[long].tolist(), strict=True)]
         at = np.sort(np.concatenate([at, *forced]))
     return at
 
 
-def _hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """The hash of the five words from each word on; the last four have none that counts."""
+    x = np.zeros(len(h), np.uint64)
+    if len(h) >= WIDTH:
+        sums = h[: len(h) - WIDTH + 1] * _ODD[0]
+        for j in range(1, WIDTH):
+            sums += h[j : len(h) - WIDTH + 1 + j] * _ODD[j]
+        x[: len(sums)] = _mixed(sums)
+    return x
+
+
+def _chunks(batch: pa.RecordBatch, text: str = "text", least: int = LEAST_WORDS):
+    """The texts of a batch, some thousand words at a time: row numbers, words, hashes, first words."""
+    rows, ws, starts = [], [], []
+    for k, t in enumerate(batch.column(text)):
+        own = (t.as_py() or b"").lower().split()
+        if len(own) < least:
+            continue
+        rows.append(k)
+        starts.append(len(ws))
+        ws += own
+        if len(ws) >= CHUNK:
+            yield np.array(rows), ws, np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws)), np.array(starts)
+            rows, ws, starts = [], [], []
+    if rows:
+        yield np.array(rows), ws, np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws)), np.array(starts)
 
 
 class _Sketch:
@@ -83,85 +113,59 @@ class _Sketch:
         self.a = r.integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = r.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number, digest and band keys (a row a band) of each paragraph of at least five words."""
-        at = cuts(h)
-        first = at[:-1]
-        sums = h[: len(h) - WIDTH + 1] * _ODD[0]
-        for j in range(1, WIDTH):
-            sums += h[j : len(h) - WIDTH + 1 + j] * _ODD[j]
-        x = np.zeros(len(h), np.uint64)
-        x[: len(sums)] = _mixed(sums)
+    def __call__(self, h: np.ndarray, starts: np.ndarray):
+        """Text, number in it, digest and band keys (a row a band) of each paragraph of at least five words."""
+        first = cuts(h, starts)
+        ends = np.append(first[1:], len(h))
+        x = _shingles(h)
         cross = np.zeros(len(h), bool)
-        ends = at[1:]
         for j in range(1, WIDTH):
             cross[np.maximum(ends - j, first)] = True
-        whole = np.flatnonzero(np.diff(at) >= WIDTH)
         parts = _mixed(x ^ _ODD[9])
         parts[cross] = 0
-        digest = _mixed(np.add.reduceat(parts, first))
-        keys = np.empty((BANDS, len(first)), np.uint64)
+        whole = np.flatnonzero(ends - first >= WIDTH)
+        digest = _mixed(np.add.reduceat(parts, first))[whole]
+        keys = np.empty((BANDS, len(whole)), np.uint64)
         for k in range(BANDS):
             y = x * self.a[k] + self.b[k]
             y[cross] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            keys[k] = _mixed(np.minimum.reduceat(y, first) ^ _ODD[10 + k])
-        return whole, digest[whole], keys[:, whole]
+            keys[k] = _mixed(np.minimum.reduceat(y, first)[whole] ^ _ODD[10 + k])
+        text = np.searchsorted(starts, first, "right") - 1
+        number = np.arange(len(first)) - np.searchsorted(first, starts)[text]
+        return text[whole], number[whole], digest, keys
 
 
 def _banded(batches):
-    """(doc_id, th, text) to (key, digest, doc_id, at, band): a row a band, or one for a paragraph seen before."""
+    """(doc_id, th, text as bytes) to (key, digest, doc_id, at, band): a row a band, or one for a paragraph seen before."""
     sketch, seen = _Sketch(), {}
     for batch in batches:
-        kind = batch.schema.field(0).type
-        held: list[list] = [[], [], [], [], []]
-        size = 0
-
-        def flush(kind=kind):
-            key, digest, at, band = (np.concatenate(held[k]) for k in (0, 1, 3, 4))
-            ids = pa.concat_arrays(held[2])
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), ids.cast(kind), pa.array(at), pa.array(band)], names=["key", "digest", "doc_id", "at", "band"])
-
-        for doc_id, th, text in zip(*batch.columns, strict=True):
-            ws = words(text.as_py())
-            if len(ws) < LEAST_WORDS:
-                continue
-            number, digest, keys = sketch(_hashes(ws))
-            at = (np.int64(th.as_py()) // _PLACE * _PLACE) + number
-            own = doc_id.as_py()
+        th = batch.column("th").to_numpy()
+        for rows, _, h, starts in _chunks(batch):
+            text, number, digest, keys = sketch(h, starts)
+            row = rows[text]
+            at = th[row] // _PLACE * _PLACE + number
             new, again = [], []
-            for k, (d, a) in enumerate(zip(digest.tolist(), at.tolist(), strict=True)):
+            for k, d in enumerate(digest.tolist()):
                 first = seen.get(d)
                 if first is None:
-                    seen[d] = [own, a]
+                    seen[d] = (batch, int(row[k]), int(at[k]))
                     new.append(k)
                 else:
-                    if len(first) == 2:
-                        first.append(True)
-                        again.append((d, first[0], first[1]))
-                    again.append((d, own, a))
+                    if first:
+                        again.append((d, first[0].column("doc_id")[first[1]].as_py(), first[2]))
+                        seen[d] = ()
+                    again.append((d, batch.column("doc_id")[int(row[k])].as_py(), int(at[k])))
             if len(seen) >= SEEN:
                 seen.clear()
-            if new:
-                for band in range(BANDS):
-                    held[0].append(keys[band][new])
-                    held[1].append(digest[new])
-                    held[2].append(pa.array([own] * len(new), kind))
-                    held[3].append(at[new])
-                    held[4].append(np.full(len(new), band, np.int8))
+            kind = batch.schema.field("doc_id").type
+            out = [(keys[band][new], digest[new], batch.column("doc_id").take(pa.array(row[new])), at[new], np.full(len(new), band, np.int8)) for band in range(BANDS if new else 0)]
             if again:
                 d, ids, a = zip(*again, strict=True)
                 d, a = np.array(d, np.uint64), np.array(a, np.int64)
-                held[0].append(_mixed(d ^ _mixed(a.view(np.uint64))))
-                held[1].append(d)
-                held[2].append(pa.array(ids, kind))
-                held[3].append(a)
-                held[4].append(np.full(len(a), MEMBER, np.int8))
-            size += BANDS * len(new) + len(again)
-            if size >= 1 << 16:
-                yield flush()
-                held, size = [[], [], [], [], []], 0
-        if size:
-            yield flush()
+                out.append((_mixed(d ^ _mixed(a.view(np.uint64))), d, pa.array(ids, kind), a, np.full(len(a), MEMBER, np.int8)))
+            for key, dig, ids, place, band in out:
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(dig.view(np.int64)), ids, pa.array(place), pa.array(band)],
+                                                 names=["key", "digest", "doc_id", "at", "band"])
 
 
 def _met(batches):
@@ -193,23 +197,24 @@ def _met(batches):
 
 
 def _sets(signer: MinMax):
-    """(text, wanted) to (id, n, elements, sig) of the paragraphs that ``wanted`` names."""
+    """(text as bytes, wanted) to (id, n, elements, sig) of the paragraphs that ``wanted`` names."""
 
     def make(batches):
         for batch in batches:
-            ids, sets = [], []
-            for text, wanted in zip(*batch.columns, strict=True):
-                ws = words(text.as_py())
-                at = cuts(_hashes(ws))
-                for w in wanted.as_py():
-                    k = w["at"] % _PLACE
-                    ids.append(w["digest"])
-                    sets.append(shingle_set(ws[at[k] : at[k + 1]]))
-            for a in range(0, len(ids), 10_000):
-                part = sets[a : a + 10_000]
-                sig = (signer.signatures(*packed(part)) >> np.uint64(24)).astype(np.uint8)
+            wanted = batch.column("wanted")
+            for rows, _, h, starts in _chunks(batch):
+                first, x = cuts(h, starts), _shingles(h)
+                ends = np.append(first[1:], len(h))
+                base = np.searchsorted(first, starts)
+                ids, sets = [], []
+                for k, row in enumerate(rows.tolist()):
+                    for w in wanted[row].as_py():
+                        at = base[k] + w["at"] % _PLACE
+                        ids.append(w["digest"])
+                        sets.append(np.unique(x[first[at] : ends[at] - WIDTH + 1]))
+                sig = (signer.signatures(*packed(sets)) >> np.uint64(24)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[a : a + 10_000], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64())),
+                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "n", "elements", "sig"])
 
     return make
@@ -226,37 +231,50 @@ def with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("id", "n", "sig").join(keys.hint("merge"), "id")
 
 
+def spans(found: list[dict], at: list[int], least: int) -> list[tuple]:
+    """(first word, word past the last, clusters, removed) of the stretches that some paragraphs of a
+    text make; ``at`` are the first words of its paragraphs and its number of words."""
+    rows: list[list] = []
+    for f in sorted(found, key=lambda f: f["at"] % _PLACE):
+        k = f["at"] % _PLACE
+        if rows and rows[-1][1] == at[k] and rows[-1][3] == f["removed"]:
+            rows[-1][1] = at[k + 1]
+            rows[-1][2].append(f["component"])
+        else:
+            rows.append([at[k], at[k + 1], [f["component"]], f["removed"]])
+    # What is repeated is measured with either verdict: a first place may stand inside it.
+    out, n = [], 0
+    while n < len(rows):
+        m = n
+        while m + 1 < len(rows) and rows[m + 1][0] == rows[m][1]:
+            m += 1
+        if rows[m][1] - rows[n][0] >= least:
+            out += [tuple(r) for r in rows[n : m + 1]]
+        n = m + 1
+    return out
+
+
 def _stretches(least: int):
-    """(doc_id, th, text, found) to the stretches of a text."""
+    """(doc_id, th, text as bytes, found) to the stretches of a text."""
     names = ["doc_id", "th", "start", "end", "n_words", "clusters", "removed"]
 
     def join(batches):
         for batch in batches:
-            out = []
-            for doc_id, th, text, found in zip(*batch.columns, strict=True):
-                text = text.as_py()
-                at = cuts(_hashes(words(text))).tolist()
-                begin, end = places(text.encode("utf-8", "surrogatepass"))
-                rows: list[list] = []
-                for f in sorted(found.as_py(), key=lambda f: f["at"] % _PLACE):
-                    k = f["at"] % _PLACE
-                    if rows and rows[-1][1] == at[k] and rows[-1][3] == f["removed"]:
-                        rows[-1][1] = at[k + 1]
-                        rows[-1][2].append(f["component"])
-                    else:
-                        rows.append([at[k], at[k + 1], [f["component"]], f["removed"]])
-                # Both verdicts count when a repeated stretch is measured: a first place may stand inside it.
-                size, spans = 0, []
-                for n, (a, b, c, gone) in enumerate(rows):
-                    size = size + b - a if n and rows[n - 1][1] == a else b - a
-                    spans.append([a, b, c, gone, size])
-                for n in range(len(spans) - 2, -1, -1):
-                    if spans[n][1] == spans[n + 1][0]:
-                        spans[n][4] = spans[n + 1][4]
-                out += [(doc_id.as_py(), th.as_py(), int(begin[a]), int(end[b - 1]), b - a, c, gone) for a, b, c, gone, size in spans if size >= least]
-            if out:
-                kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            found, texts = batch.column("found"), batch.column("text")
+            for rows, _, h, starts in _chunks(batch):
+                first = np.append(cuts(h, starts), len(h))
+                base = np.append(np.searchsorted(first, starts), len(first) - 1)
+                out = []
+                for k, row in enumerate(rows.tolist()):
+                    own = (first[base[k] : base[k + 1] + 1] - starts[k]).tolist()
+                    if told := spans(found[row].as_py(), own, least):
+                        begin, end = places(texts[row].as_py())
+                        out += [(row, int(begin[a]), int(end[b - 1]), b - a, c, gone) for a, b, c, gone in told]
+                if out:
+                    row, *rest = zip(*out, strict=True)
+                    take = pa.array(row)
+                    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]], names=names)
 
     return join
 
@@ -265,7 +283,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     """doc_id, th, start, end, n_words, clusters, removed: the stretches of ``docs``
     (doc_id, text) that are repeated; ``clusters`` are the components of their paragraphs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     place = F.expr(f"th - pmod(th, {_PLACE})").alias("_top")
     banded = rows.mapInArrow(_banded, f"key bigint, digest bigint, doc_id {kind}, at bigint, band tinyint")
     banded = banded.repartition("key").sortWithinPartitions("key", "digest")
@@ -278,7 +296,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     some = texts.join(wanted.hint("merge"), ["doc_id", "_top"]).dropDuplicates(["doc_id", "_top"]).select("text", "wanted")
     sets = stored(some.mapInArrow(_sets(MinMax(32)), "id bigint, n bigint, elements array<bigint>, sig binary"), "sets")
     sketches = stored(with_prefixes(sets, percent), "sketches")
-    found = stored(components(links(sketches, lambda ids: sets.join(ids.hint("merge"), "id", "left_semi").select("id", "elements"), percent)), "found")
+    found = stored(contracted(links(sketches, lambda ids: sets.join(ids.hint("merge"), "id", "left_semi").select("id", "elements"), percent)), "found")
 
     # Every place of a class that has copies or links.
     linked = met.join(found.select(F.col("id").alias("digest"), "component").hint("merge"), "digest", "left").where("key IS NULL OR component IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordloom.llm import decontaminate, language, licences, mixing, near_dup, quality, secrets, substrings, toxicity, warc
-from recordloom.llm.components import components
+from recordloom.llm.components import components, contracted
 from recordloom.llm.shingles import MinMax, packed
 from tests.llm import brute
 
@@ -98,7 +98,8 @@ def test_min_max_places_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.07
 
 
-def test_components(spark):
+@pytest.mark.parametrize("components", [components, contracted])
+def test_components(spark, components):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 200)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
