@@ -177,12 +177,13 @@ _OTHER_WORDS = (
     "THRU", "TIMES", "TO", "TRUE", "UNTIL", "VALUE", "VARYING", "WITH", "AFTER", "BEFORE", "ZERO", "ZEROES", "ZEROS",
 )
 # a subscript or a part of an item; after these words a parenthesis groups
-_SUBSCRIPT = r"(?<=[A-Z0-9])(?<!(?<![A-Z0-9-])(?:AND|OR|NOT|TO|THAN|EQUAL|IS|BY|FROM|UNTIL|ALSO|WHEN|IF|THRU)) ?\([^()]*\)"
+_SUBSCRIPT = r"\((?<=[A-Z0-9] ?\()(?<!(?<![A-Z0-9-])(?:AND|OR|NOT|TO|THAN|EQUAL|IS|BY|FROM|UNTIL|ALSO|WHEN|IF|THRU) ?\()[^()]*\)"
 
 
 def _items(words: Column) -> Column:
     """The items that some words of a statement name; subscripts and qualifiers are no items of their own."""
-    plain = F.regexp_replace(words, rf"FUNCTION [A-Z0-9-]+|{_SUBSCRIPT}| (?:OF|IN) [A-Z][A-Z0-9-]*", " ")
+    part = rf"FUNCTION [A-Z0-9-]+|{_SUBSCRIPT}| (?:OF|IN) [A-Z][A-Z0-9-]*"
+    plain = F.when(words.contains("(") | words.contains(" OF ") | words.contains(" IN ") | words.contains("FUNCTION "), F.regexp_replace(words, part, " ")).otherwise(words)
     return F.array_except(F.array_distinct(_all(plain, r"(?<![A-Z0-9@-])([A-Z][A-Z0-9-]*)")), F.array(*[F.lit(w) for w in _OTHER_WORDS]))
 
 

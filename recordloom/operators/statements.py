@@ -20,7 +20,8 @@ VERBS = (
 # statements that an END- word can close: fixed values
 CLOSED = ("ACCEPT", "ADD", "CALL", "COMPUTE", "DELETE", "DISPLAY", "DIVIDE", "EVALUATE", "IF", "MULTIPLY", "PERFORM", "READ", "RETURN", "REWRITE", "SEARCH", "START", "STRING", "SUBTRACT", "UNSTRING", "WRITE")
 _PHRASE = r"(?:NOT )?(?:(?:ON )?(?:SIZE ERROR|OVERFLOW|EXCEPTION)|AT END|AT EOP|INVALID)"
-_CUT = rf"(?<=\.) | (?=(?:{'|'.join(VERBS)}|END-(?:{'|'.join(CLOSED)})|{_PHRASE})(?![A-Z0-9-]))"
+# the blank comes first: the engine looks around only where there is one
+_CUT = rf" (?:(?<=\. )|(?=(?:{'|'.join(VERBS)}|END-(?:{'|'.join(CLOSED)})|{_PHRASE})(?![A-Z0-9-])))"
 _HEADER = r"(?m)^ {7}(?=[A-Za-z0-9-]+(?:\s+SECTION)?\.\s*$)"      # a name alone on a line, in column 8
 _NAME = r"[A-Z0-9][A-Z0-9-]*"
 _TITLE = rf"^({_NAME})(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"
@@ -43,7 +44,8 @@ def division(text: Column) -> Column:
 
 def statements(body: Column) -> Column:
     """The statements of some procedure text, in order."""
-    plain = F.regexp_replace(body, r"""(CALL\s+)["']([A-Z0-9-]+)["']|'[^']*'|"[^"]*\"""", "$1@$2")
+    quoted = F.regexp_replace(body, r"""(CALL\s+)["']([A-Z0-9-]+)["']|'[^']*'|"[^"]*\"""", "$1@$2")
+    plain = F.when(body.contains("'") | body.contains('"'), quoted).otherwise(body)
     plain = F.trim(F.regexp_replace(plain, r"[\s,;]+", " "))
     plain = F.when(plain.contains("EXEC "), F.regexp_replace(plain, r"EXEC .*?END-EXEC", "EXEC")).otherwise(plain)
     return F.filter(F.split(plain, _CUT), lambda x: x != "")

@@ -10,10 +10,15 @@ from recordloom.plans.registry import query
 from recordloom.session import table
 
 
+def spread(rows):
+    """The rows over all cores: they are few bytes each in one file, and the texts made of them are long."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def order_programs(spark, sf_dir):
     """A program text per order. It calls a program for its customer and one for
     its priority, and one named at run time where the order is finished."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
     text = lambda c: F.col(c).cast("string")
     return o.select(
         F.concat(F.lit("O"), text("o_orderkey")).alias("program"),

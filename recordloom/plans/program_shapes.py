@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from recordloom.operators import graph as g
+from recordloom.plans.graphs_jobs import spread
 from recordloom.plans.registry import query
 from recordloom.session import table
 
@@ -113,7 +114,7 @@ MAIN SECTION.
 
 def shaped_programs(spark, sf_dir):
     """A program per order, of one of eight shapes."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     shape, customer = F.col("o_orderkey") % len(SHAPES), F.col("o_custkey").cast("string")
     texts = ["       IDENTIFICATION DIVISION.\n       PROCEDURE DIVISION.\n" + "\n".join("       " + x for x in text.split("\n")) + "\n" for text, _, _ in SHAPES]
     text = reduce(lambda c, k: c.when(shape == k, texts[k]), range(1, len(SHAPES)), F.when(shape == 0, texts[0]))
