@@ -48,12 +48,6 @@ class Report:
         return sorted({i.sum for g in groups for i in g.items if i.sum})
 
 
-def _wide(pic: str) -> str:
-    """A sum has room for more digits than one item."""
-    p = picture(pic)
-    return f"S9({38 - p.scale - 1})" + (f"V9({p.scale})" if p.scale else "")
-
-
 def _print(item: Item, report: Report, page: Column, before: bool) -> Column:
     p = picture(item.pic)
     if item.value is not None:

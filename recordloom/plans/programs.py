@@ -87,50 +87,50 @@ def invoice_record_lines(spark, sf_dir):
     return BILL_OUT.encode(out).select(F.rtrim("value").alias("line"))
 
 
-# -- sales -------------------------------------------------------------------
-def sales_calc(qty: Column, unit_price: Column, discount: Column, total: Column, tier: Column) -> dict[str, Column]:
-    """The called subprogram: total and tier from quantity, price, discount."""
-    value = store(num(qty, "9(5)") * num(unit_price, "9(7)V99") * (1 - num(discount, "9V99")), "9(9)V99", total).value
-    return {"total": value, "tier": evaluate(
-        [(value > 50000, "PLATINUM"), (value > 10000, "GOLD"), (value > 1000, "SILVER")], F.lit("BRONZE"))}
+# -- freight -----------------------------------------------------------------
+def freight_calc(qty: Column, price: Column, tax: Column, charge: Column, band: Column) -> dict[str, Column]:
+    """The called subprogram: what a line's carriage costs, with cover for its value, and how it goes."""
+    value = store(num(qty, "9(5)") * "1.35" + num(price, "9(7)V99") * num(tax, "9V99") * "0.25", "9(7)V99", charge).value
+    return {"charge": value, "band": evaluate([(qty > 40, "PALLET"), (value > 400, "COVERED"), (qty == 1, "LETTER")], F.lit("PARCEL"))}
 
 
 @query("tier_evaluate", """
 WITH s AS (
-  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(5,0)) AS qty,
-         CAST(l_extendedprice AS DECIMAL(9,2)) AS price, CAST(l_discount AS DECIMAL(3,2)) AS disc FROM lineitem),
-t AS (SELECT *, CAST(trunc(CAST(qty * price AS DECIMAL(18,2)) * CAST(1 - disc AS DECIMAL(4,2)), 2) AS DECIMAL(11,2)) AS total FROM s)
-SELECT l_orderkey, l_linenumber, total,
-       CASE WHEN total > 50000 THEN 'PLATINUM' WHEN total > 10000 THEN 'GOLD' WHEN total > 1000 THEN 'SILVER' ELSE 'BRONZE' END AS tier
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(5,0)) AS qty, CAST(l_extendedprice AS DECIMAL(9,2)) AS price, CAST(l_tax AS DECIMAL(3,2)) AS tax FROM lineitem),
+t AS (SELECT *, CAST(trunc(CAST(qty * 1.35 AS DECIMAL(15,6)) + CAST(price * tax AS DECIMAL(13,4)) * 0.25, 2) AS DECIMAL(9,2)) AS charge FROM s)
+SELECT l_orderkey, l_linenumber, charge, CASE WHEN qty > 40 THEN 'PALLET' WHEN charge > 400 THEN 'COVERED' WHEN qty = 1 THEN 'LETTER' ELSE 'PARCEL' END AS band
 FROM t""")
 def tier_evaluate(spark, sf_dir):
+    """Lines in bands of carriage, by EVALUATE in a called program."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(5,0)").alias("qty"),
-        F.col("l_extendedprice").cast("decimal(9,2)").alias("price"), F.col("l_discount").cast("decimal(3,2)").alias("disc"),
-        F.lit(None).cast("decimal(11,2)").alias("total"), F.lit(None).cast("string").alias("tier"))
-    called = call(li, sales_calc, {"qty": "qty", "unit_price": "price", "discount": "disc", "total": "total", "tier": "tier"})
-    return called.select("l_orderkey", "l_linenumber", "total", "tier")
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(5,0)").alias("qty"), F.col("l_extendedprice").cast("decimal(9,2)").alias("price"),
+        F.col("l_tax").cast("decimal(3,2)").alias("tax"), F.lit(None).cast("decimal(9,2)").alias("charge"), F.lit(None).cast("string").alias("band"))
+    called = call(li, freight_calc, {"qty": "qty", "price": "price", "tax": "tax", "charge": "charge", "band": "band"})
+    return called.select("l_orderkey", "l_linenumber", "charge", "band")
 
 
-# -- accounts ----------------------------------------------------------------
+# -- deposits ----------------------------------------------------------------
 @query("account_balance", """
 WITH a AS (
-  SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(12,2)) AS balance, o_orderkey,
-         CAST(trunc(CAST(o_totalprice AS DECIMAL(12,2)) * 0.001, 2) AS DECIMAL(12,2)) AS amount, CASE WHEN o_orderstatus = 'F' THEN 'D' ELSE 'W' END AS tx
+  SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(12,2)) AS deposit, o_orderkey, o_orderpriority LIKE '1%' AS urgent,
+         CAST(trunc(CAST(o_totalprice AS DECIMAL(12,2)) * CASE WHEN o_orderpriority LIKE '1%' THEN 0.012 ELSE 0.003 END, 2) AS DECIMAL(12,2)) AS held
   FROM orders JOIN customer ON o_custkey = c_custkey),
-b AS (SELECT *, CAST(CASE WHEN tx = 'D' THEN balance + amount ELSE balance - amount END AS DECIMAL(12,2)) AS new_balance FROM a)
-SELECT o_orderkey, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS account_id, new_balance,
-       CASE WHEN new_balance < 0 THEN 'OVERDRAWN' ELSE 'ACTIVE' END AS status FROM b""")
+b AS (SELECT *, CAST(CASE WHEN urgent THEN deposit - held ELSE deposit + held END AS DECIMAL(12,2)) AS closing FROM a)
+SELECT o_orderkey, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS deposit_no, closing,
+       CASE WHEN closing < 0 THEN 'SHORT' WHEN closing < 500 THEN 'THIN' ELSE 'FULL' END AS cover FROM b""")
 def account_balance(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.abs(F.col("c_acctbal")).cast("decimal(12,2)").alias("balance"))
+    """A deposit after a rush order's guarantee is held from it, or an ordinary order's is given back."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.abs(F.col("c_acctbal")).cast("decimal(12,2)").alias("deposit"))
+    price = num(F.col("o_totalprice"), "9(10)V99")
+    urgent = F.col("o_orderpriority").startswith("1")
     o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", store(num(F.col("o_totalprice"), "9(10)V99") * "0.001", "9(10)V99").value.alias("amount"),
-        F.when(F.col("o_orderstatus") == "F", "D").otherwise("W").alias("tx"))
+        "o_orderkey", "o_custkey", urgent.alias("urgent"),
+        F.when(urgent, store(price * "0.012", "9(10)V99").value).otherwise(store(price * "0.003", "9(10)V99").value).alias("held"))
     a = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    balance, amount = num("balance", "9(10)V99"), num("amount", "9(10)V99")
-    new = F.when(F.col("tx") == "D", store(balance + amount, "S9(10)V99").value).otherwise(store(balance - amount, "S9(10)V99").value)
-    return a.select("o_orderkey", F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("account_id"), new.alias("new_balance")
-                    ).withColumn("status", F.when(F.col("new_balance") < 0, "OVERDRAWN").otherwise("ACTIVE"))
+    deposit, held = num("deposit", "9(10)V99"), num("held", "9(10)V99")
+    closing = F.when(F.col("urgent"), store(deposit - held, "S9(10)V99").value).otherwise(store(deposit + held, "S9(10)V99").value)
+    out = a.select("o_orderkey", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("deposit_no"), closing.alias("closing"))
+    return out.withColumn("cover", evaluate([(F.col("closing") < 0, "SHORT"), (F.col("closing") < 500, "THIN")], F.lit("FULL")))
 
 
 # -- draws on credit lines ----------------------------------------------------
