@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recordloom.llm.common import stored
@@ -22,6 +23,42 @@ BLOCK = 256          # members of a pivot that meet at a time, twice as many in
 DEVIATIONS = 5.0     # a signature may say so many standard deviations less than the sets
 
 
+def _links_of(ids, n, open_, lo, hi, blk, sig, sets, one: bool, least: float, percent: int) -> tuple[list, list]:
+    """Links among the members of two blocks of a pivot, in order of id; of one block if ``one``."""
+    floor = least - DEVIATIONS * np.sqrt(least * (1 - least) / sig.shape[1])
+    up = list(range(len(ids)))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    linked = np.flatnonzero(~open_)          # all of them are linked to the pivot
+    for k in linked[1:]:
+        up[k] = int(linked[0])
+    found_a, found_b = [], []
+    for k in range(len(ids) - 1):
+        rest = slice(k + 1, None)
+        ok = (open_[rest] | open_[k]) & (np.maximum(lo[rest] - hi[k], lo[k] - hi[rest]) <= 1 - least + 1e-9)
+        ok &= np.minimum(n[rest], n[k]) * 100 >= percent * np.maximum(n[rest], n[k])
+        if not one:
+            ok &= blk[rest] != blk[k]
+        at = np.flatnonzero(ok) + k + 1
+        if not len(at):
+            continue
+        same = (sig[at] == sig[k]).mean(axis=1)
+        order = np.argsort(-same, kind="stable")
+        for m in at[order][same[order] >= floor]:
+            if root(k) != root(m):
+                inter = np.intersect1d(sets[k], sets[m], assume_unique=True).size
+                if inter * 100 >= percent * (n[k] + n[m] - inter):
+                    up[root(m)] = root(k)
+                    found_a.append(ids[k])
+                    found_b.append(ids[m])
+    return found_a, found_b
+
+
 def _joined(least: float, percent: int):
     """Links (a, b) among the members of two blocks of a pivot."""
 
@@ -30,50 +67,58 @@ def _joined(least: float, percent: int):
         g = g.sort_values("id", ignore_index=True)
         ids, n, open_, lo, hi, blk = (g[c].to_numpy() for c in ("id", "n", "open", "lo", "hi", "_blk"))
         sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-        sets = list(g["elements"])
-        floor = least - DEVIATIONS * np.sqrt(least * (1 - least) / sig.shape[1])
-        up = list(range(len(g)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        linked = np.flatnonzero(~open_)          # all of them are linked to the pivot
-        for k in linked[1:]:
-            up[k] = int(linked[0])
-        found_a, found_b = [], []
-        for k in range(len(g)):
-            rest = slice(k + 1, None)
-            ok = (open_[rest] | open_[k]) & (np.maximum(lo[rest] - hi[k], lo[k] - hi[rest]) <= 1 - least + 1e-9)
-            ok &= np.minimum(n[rest], n[k]) * 100 >= percent * np.maximum(n[rest], n[k])
-            if not one:
-                ok &= blk[rest] != blk[k]
-            at = np.flatnonzero(ok) + k + 1
-            if not len(at):
-                continue
-            same = (sig[at] == sig[k]).mean(axis=1)
-            order = np.argsort(-same, kind="stable")
-            for m in at[order][same[order] >= floor]:
-                if root(k) != root(m):
-                    inter = np.intersect1d(sets[k], sets[m], assume_unique=True).size
-                    if inter * 100 >= percent * (n[k] + n[m] - inter):
-                        up[root(m)] = root(k)
-                        found_a.append(ids[k])
-                        found_b.append(ids[m])
+        found_a, found_b = _links_of(ids, n, open_, lo, hi, blk, sig, list(g["elements"]), one, least, percent)
         return pd.DataFrame({"a": pd.Series(found_a, dtype=g["id"].dtype), "b": pd.Series(found_b, dtype=g["id"].dtype)})
 
     return compare
 
 
-def links(sketches: DataFrame, sets_of, percent: int) -> DataFrame:
+def _streamed(least: float, percent: int):
+    """The same for rows in order of pivot, blocks and id, group after group: for many small groups."""
+
+    def groups(t: pa.Table) -> pa.RecordBatch | None:
+        p, i, j, ids, n, open_, lo, hi, blk = (t.column(c).to_numpy() for c in ("p", "_i", "_j", "id", "n", "open", "lo", "hi", "_blk"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sets = t.column("elements").combine_chunks()
+        values, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        found_a, found_b = [], []
+        for a, b in zip(first.tolist(), np.append(first[1:], len(p)).tolist(), strict=True):
+            if b - a > 1:
+                own = [values[offsets[k] : offsets[k + 1]] for k in range(a, b)]
+                got = _links_of(ids[a:b], n[a:b], open_[a:b], lo[a:b], hi[a:b], blk[a:b], sig[a:b], own, i[a] == j[a], least, percent)
+                found_a += got[0]
+                found_b += got[1]
+        kind = t.schema.field("id").type
+        return pa.RecordBatch.from_arrays([pa.array(found_a, kind), pa.array(found_b, kind)], names=["a", "b"])
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            t = t.combine_chunks()
+            key = t.select(["p", "_i", "_j"])
+            last = t.num_rows - 1
+            while last > 0 and all(key.column(c)[last - 1] == key.column(c)[last] for c in range(3)):
+                last -= 1
+            if last:
+                yield groups(t.slice(0, last).combine_chunks())
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield groups(held.combine_chunks())
+
+    return compare
+
+
+def links(sketches: DataFrame, sets_of, percent: int, streamed: bool = False) -> DataFrame:
     """Links (a, b), a < b: enough of them to join all ids that links join.
 
     ``sketches`` has one row for each distinct set: id, n (size of the set),
     keys (band keys), sig (one byte a signature place). ``sets_of(ids)`` gives
     (id, elements array<bigint>) for a table of ids. Two sets are linked if
-    100 * intersection >= ``percent`` * union.
+    100 * intersection >= ``percent`` * union. ``streamed`` is for small sets in
+    many groups, where setting up a group costs more than its comparisons.
 
     What grows with the corpus is never broadcast, however small it is here.
     """
@@ -105,7 +150,10 @@ def links(sketches: DataFrame, sets_of, percent: int) -> DataFrame:
     dealt = full.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
         "p", "id", "n", "open", "lo", "hi", "sig", "elements", "_blk", F.least("_blk", "_o").alias("_i"), F.greatest("_blk", "_o").alias("_j"))
     kind = sketches.schema["id"].dataType.simpleString()
-    more = dealt.groupBy("p", "_i", "_j").applyInPandas(_joined(least, percent), f"a {kind}, b {kind}")
+    if streamed:
+        more = dealt.repartition("p", "_i", "_j").sortWithinPartitions("p", "_i", "_j", "id").mapInArrow(_streamed(least, percent), f"a {kind}, b {kind}")
+    else:
+        more = dealt.groupBy("p", "_i", "_j").applyInPandas(_joined(least, percent), f"a {kind}, b {kind}")
     return seen.where("near").select(F.col("p").alias("a"), F.col("id").alias("b")).union(more)
 
 

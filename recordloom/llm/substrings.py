@@ -296,7 +296,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least: int = LEAS
     some = texts.join(wanted.hint("merge"), ["doc_id", "_top"]).dropDuplicates(["doc_id", "_top"]).select("text", "wanted")
     sets = stored(some.mapInArrow(_sets(MinMax(32)), "id bigint, n bigint, elements array<bigint>, sig binary"), "sets")
     sketches = stored(with_prefixes(sets, percent), "sketches")
-    found = stored(contracted(links(sketches, lambda ids: sets.join(ids.hint("merge"), "id", "left_semi").select("id", "elements"), percent)), "found")
+    found = stored(contracted(links(sketches, lambda ids: sets.join(ids.hint("merge"), "id", "left_semi").select("id", "elements"), percent, streamed=True)), "found")
 
     # Every place of a class that has copies or links.
     linked = met.join(found.select(F.col("id").alias("digest"), "component").hint("merge"), "digest", "left").where("key IS NULL OR component IS NOT NULL")
