@@ -287,3 +287,28 @@ def relative_append(spark, sf_dir):
     m = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("rrn"), F.col("c_name").alias("body"))
     r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"))
     return k.append_relative(m, r, "rrn", "seq")
+
+
+def _order_store(spark, sf_dir):
+    """Orders on disk by their number, with an index of their customers."""
+    from recordloom.session import scratch_path
+    from recordloom.sources.keyed_store import write_store
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    return write_store(o, k.KeySpec("o_orderkey", (k.Alternate("o_custkey", True),)), scratch_path(spark, "order-store"), files=16)
+
+
+@query("keyed_store_start", """
+SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) * 9 // 10 FROM orders)""")
+def keyed_store_start(spark, sf_dir):
+    """START > a key nine tenths along: the files of the last tenth are opened."""
+    store = _order_store(spark, sf_dir)
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return store.start(">", last * 9 // 10)
+
+
+@query("keyed_store_alternate", """
+SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM orders WHERE o_custkey BETWEEN 10 AND 30""")
+def keyed_store_alternate(spark, sf_dir):
+    """Records of a range of customers, by the index."""
+    return _order_store(spark, sf_dir).read_alternate("o_custkey", 10, 30)

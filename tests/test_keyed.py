@@ -185,3 +185,22 @@ def test_rewrite_with_unique_alternate(spark):
     r = k.rewrite_batch(master, spark.createDataFrame(rows, "seq bigint, id bigint, a bigint, b string"), "id", "seq", spec)
     assert {x["seq"]: x["status"] for x in r.outcomes.collect()} == {1: "22", 2: "00", 3: "00", 4: "23", 5: "00", 6: "00", 7: "23", 8: "22"}
     assert sorted(tuple(x) for x in r.master.collect()) == [(1, 20, None), (2, 77, "x"), (3, 10, "y")]
+
+
+def test_store_opens_only_the_files_in_range(spark, tmp_path):
+    from recordloom.sources.keyed_store import write_store
+
+    rows = [(i * 3, f"a{i % 50}", i) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "id bigint, alt string, v int").repartition(3)
+    store = write_store(df, k.KeySpec("id", (k.Alternate("alt", True),)), str(tmp_path / "store"), files=20)
+    every = set(spark.read.parquet(str(tmp_path / "store" / "primary" / "rows")).inputFiles())
+    assert len(every) == 20
+    late = store.start(">=", 2_700)
+    assert sorted(r["id"] for r in late.collect()) == list(range(2_700, 3_000, 3)) and len(late.inputFiles()) <= 4
+    assert [r["v"] for r in store.read(300).collect()] == [100] and len(store.read(300).inputFiles()) == 1
+    assert store.read(301).count() == 0 and store.start("=", 301).count() == 0 and store.start(">", 2_997).count() == 0
+    assert store.start("=", 300).agg({"id": "min"}).first()[0] == 300 and store.start(">", 300).agg({"id": "min"}).first()[0] == 303
+    between = store.between(30, 60)
+    assert sorted(r["id"] for r in between.collect()) == list(range(30, 61, 3)) and len(between.inputFiles()) <= 2
+    assert sorted(r["v"] for r in store.read_alternate("alt", "a7").collect()) == [i for i in range(1_000) if i % 50 == 7]
+    assert store.read_alternate("alt", "zz").count() == 0
