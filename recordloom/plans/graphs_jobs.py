@@ -185,3 +185,36 @@ def job_continued_lines(spark, sf_dir):
 SELECT c_nationkey AS deck, c_custkey * 10 + 4 AS seq, 'SYSIN' AS dd, ' SORT FIELDS=(1,' || c_custkey || ',CH,A)' AS value FROM customer""")
 def job_inline_data(spark, sf_dir):
     return b.inline_data(deck_lines(spark, sf_dir), "deck", "seq")
+
+
+def _decks(rows, key, lines):
+    """Deck lines, numbered, from a table's rows: one deck a key, @ put in."""
+    texts = F.array(*[F.replace(F.lit(x), F.lit("@"), F.col(key).cast("string")) for x in lines])
+    return rows.select(F.col(key).alias("deck"), F.posexplode(texts).alias("seq", "value")).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query("job_set_symbols", """
+SELECT s_suppkey AS deck, d.step, replace(d.dsn, '@', CAST(s_suppkey AS VARCHAR)) AS dsn FROM supplier, (VALUES
+  ('ONE', 'PROD.D@.IN'), ('TWO', 'TEST.D@.PROD.LOG'), ('TWO', '&&WORK'), ('THREE', '&NEVER..X')) AS d(step, dsn)""")
+def job_set_symbols(spark, sf_dir):
+    """SET holds from where it stands to the next one; a value may name other symbols; what was never set stays."""
+    lines = ("//J@ JOB (A),CLASS=A", "// SET ENV=PROD,NUM=D@", "// SET OLD=&ENV..LOG", "//ONE EXEC PGM=P", "//IN DD DSN=&ENV..&NUM..IN,DISP=SHR", "// SET ENV='TEST'",
+             "//TWO EXEC PGM=P", "//LOG DD DSN=&ENV..&NUM..&OLD,DISP=SHR", "//TMP DD DSN=&&WORK,DISP=(NEW,PASS)", "//THREE EXEC PGM=P", "//X DD DSN=&NEVER..X,DISP=SHR", "// SET NEVER=LATE")
+    out = b.expanded(_decks(table(spark, sf_dir, "supplier"), "s_suppkey", lines), "deck", "seq")
+    return out.where("op = 'DD'").select("deck", "step", b.parameter(F.col("operands"), "DSN").alias("dsn"))
+
+
+@query("job_procedures_from_text", """
+SELECT s_suppkey AS deck, d.step, d.dd, replace(d.dsn, '@', CAST(s_suppkey AS VARCHAR)) AS dsn, d.pgm FROM supplier, (VALUES
+  ('RUN.SORT', 'IN', 'OWN.@', 'SORT'), ('RUN.SORT', 'OUT', 'LIVE.OUT', 'SORT'), ('RUN.COPY.CP', 'TO', 'LIVE.D@.COPY', 'CP1'), ('RUN.COPY.CP', 'FROM', 'BASE.IN', 'CP1'),
+  ('AGAIN.SORT', 'IN', 'BASE.IN', 'SORT'), ('AGAIN.SORT', 'OUT', 'PLAY.OUT', 'SORT'), ('AGAIN.SORT', 'LOG', 'LOG.@', 'SORT'), ('AGAIN.COPY.CP', 'TO', 'PLAY.D@.COPY', 'CP1'), ('AGAIN.COPY.CP', 'FROM', 'BASE.IN', 'CP1'),
+  ('LAST', 'X', 'PLAIN.@', 'LASTPGM')) AS d(step, dd, dsn, pgm)""")
+def job_procedures_from_text(spark, sf_dir):
+    """Two runs of a procedure that runs another: values on EXEC, on PROC and SET, data sets put in place of its own, and one added."""
+    lines = ("//J@ JOB (A)", "// SET ENV=PLAY,VER=1",
+             "//OUTER PROC BASE=BASE,NUM=0", "//SORT EXEC PGM=SORT", "//IN DD DSN=&BASE..IN,DISP=SHR", "//OUT DD DSN=&ENV..OUT,DISP=OLD", "//COPY EXEC INNER,WHERE=&ENV..D&NUM", "//         PEND",
+             "//INNER PROC WHERE=NOWHERE", "//CP EXEC PGM=CP&VER", "//TO DD DSN=&WHERE..COPY,", "//  DISP=OLD", "//FROM DD DSN=BASE.IN,DISP=SHR", "//         PEND",
+             "//RUN EXEC OUTER,ENV=LIVE,NUM=@", "//SORT.IN DD DSN=OWN.@,DISP=SHR", "//AGAIN EXEC PROC=OUTER,NUM=@", "//SORT.LOG DD DSN=LOG.@,DISP=OLD", "//LAST EXEC PGM=LASTPGM", "//X DD DSN=PLAIN.@,DISP=SHR")
+    out = b.expanded(_decks(table(spark, sf_dir, "supplier"), "s_suppkey", lines), "deck", "seq")
+    steps = out.where("op = 'EXEC'").select("deck", "root", "step", b.parameter(F.col("operands"), "PGM").alias("pgm"))
+    return out.where("op = 'DD'").join(steps, ["deck", "root", "step"]).select("deck", "step", "dd", b.parameter(F.col("operands"), "DSN").alias("dsn"), "pgm")

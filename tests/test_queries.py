@@ -32,7 +32,7 @@ def test_query(spark, con, name):
 
 
 def test_write_with_unique_alternate_against_a_loop(spark):
-    """The one query without SQL, replayed one request at a time."""
+    """Replayed one request at a time."""
     from recordloom.plans.keyed_sets import keyed_write_unique_alternate  # noqa: F401
 
     out = sorted(QUERIES["keyed_write_unique_alternate"](spark, SF).collect(), key=lambda r: r["seq"])
