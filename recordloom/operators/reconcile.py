@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordloom.operators.ordering import number_rows
+from recordloom.session import cut
+
 PASS, FAIL, UNVERIFIED, NOT_APPLICABLE = "PASS", "FAIL", "UNVERIFIED", "NOT_APPLICABLE"
 #: The names of the checks.
 CHECKS = ("output_presence", "file_set", "file_contents", "record_counts",
@@ -57,6 +60,37 @@ def compare(expected: DataFrame, actual: DataFrame, keys: list[str], fields: lis
     return listed.select(*keys, F.explode_outer("_all").alias("_d")).where(F.col("_d").isNotNull()).select(*keys, "_d.*")
 
 
+def compare_paired(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row per difference, where keys may repeat: keys, record, kind, field, both values.
+
+    Within a key equal records belong together, copy by copy. What is left on
+    either side is paired in order of the fields, so as few records differ as can;
+    what has no partner is MISSING or EXTRA. ``record`` numbers the pairs of a key.
+    A null key is a key. Copies are counted before the shuffle, and ranks come from
+    a sort over all keys, so a key with any number of records is spread over tasks.
+    """
+    cols = [*keys, *fields]
+    tagged = expected.select(*cols, F.lit(1).alias("_side")).unionByName(actual.select(*cols, F.lit(-1).alias("_side")))
+    left = cut(tagged.groupBy(*cols).agg(F.sum("_side").alias("_more")).where("_more <> 0"))
+
+    def ranked(sign: int, prefix: str) -> DataFrame:
+        copies = left.where(F.col("_more") * sign > 0).select(*cols, F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int"))).alias("_copy"))
+        rows = number_rows(copies, [*[F.asc_nulls_first(c) for c in cols], F.asc("_copy")], "_rn")
+        key = F.struct(*keys)
+        first = rows.groupBy(key.alias("_key")).agg(F.min("_rn").alias("_base"))
+        placed = rows.withColumn("_key", key).join(first, "_key")
+        return placed.select(F.col("_key").alias(f"{prefix}key"), (F.col("_rn") - F.col("_base") + 1).alias(f"{prefix}record"), *[F.col(c).alias(f"{prefix}{c}") for c in fields])
+
+    e, a = ranked(1, "e_"), ranked(-1, "a_")
+    both = e.join(a, (F.col("e_key") == F.col("a_key")) & (F.col("e_record") == F.col("a_record")), "full")
+    entry = lambda kind, name, x, y: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), x.cast("string").alias("expected"), y.cast("string").alias("actual"))
+    none = F.lit(None).cast("string")
+    changed = F.filter(F.array(*[F.when(~F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}")), entry("FIELD", c, F.col(f"e_{c}"), F.col(f"a_{c}"))) for c in fields]), lambda x: x.isNotNull())
+    found = F.when(F.col("a_record").isNull(), F.array(entry("MISSING", "", none, none))).when(F.col("e_record").isNull(), F.array(entry("EXTRA", "", none, none))).otherwise(changed)
+    listed = both.select(F.coalesce("e_key", "a_key").alias("_key"), F.coalesce("e_record", "a_record").alias("record"), F.explode(found).alias("_d"))
+    return listed.select(*[F.col(f"_key.{k}").alias(k) for k in keys], "record", "_d.*")
+
+
 def verdict(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row: counts and MATCH or MISMATCH. Records of a key that repeats are
     different, or missing or extra if the other side lacks the key."""

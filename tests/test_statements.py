@@ -203,6 +203,20 @@ def test_reach_with_cycles(spark):
     assert sorted(tuple(r) for r in g.reach(edges, seeds).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
+def test_records_of_a_repeated_key_are_paired(spark):
+    """Thirty by thirty records of one key: one that changed and one that is gone are two differences."""
+    from recordloom.operators.reconcile import compare_paired
+
+    rows = [(1, i // 10, f"n{i}") for i in range(30)] + [(2, 5, "x")] * 30 + [(None, 1, "a")] * 2
+    df = spark.createDataFrame(rows, "k int, v int, t string")
+    other = spark.createDataFrame([(1, 7, "n4") if r == (1, 0, "n4") else r for r in rows if r != (1, 1, "n12")][:-2] + [(None, 1, "b"), (None, 1, "a"), (3, 1, None)], "k int, v int, t string")
+    got = sorted(tuple(r) for r in compare_paired(df, other, ["k"], ["v", "t"]).collect() if r["k"] is not None)
+    assert [(k, kind, field, e, a) for k, _, kind, field, e, a in got if kind != "FIELD"] == [(1, "MISSING", "", None, None), (3, "EXTRA", "", None, None)]
+    assert [x[3:] for x in got if x[2] == "FIELD"] == [("v", "0", "7")]
+    assert [tuple(r)[2:] for r in compare_paired(df, other, ["k"], ["v", "t"]).collect() if r["k"] is None] == [("FIELD", "t", "a", "b")]
+    assert compare_paired(df, df.repartition(3), ["k"], ["v", "t"]).count() == 0
+
+
 # -- jobs ------------------------------------------------------------------------
 def test_symbols(spark):
     df = spark.createDataFrame([("DSN=&HLQ..&HLQX.,T=&&TMP,U=&NO.", {"HLQ": "P", "HLQX": "Q"})], "t string, m map<string,string>")
