@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from recordloom.layout import copybook
@@ -174,3 +176,45 @@ def packed_fields_in_lines(spark, sf_dir):
         encode_packed(F.col("o_totalprice").cast("decimal(11,2)"), "S9(9)V99")).alias("value"))
     return raw.select(F.decode(F.col("value").substr(1, 12), "ISO-8859-1").cast("decimal(12,0)").alias("o_orderkey"),
                       decode_packed(F.col("value").substr(14, 6), "S9(9)V99").alias("amount"))
+
+
+@query("described_tables_seed", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS meaning, CAST(CASE o_orderstatus WHEN 'F' THEN 0.50 WHEN 'O' THEN 1.25 END AS DECIMAL(4,2)) AS fee FROM orders""")
+def described_tables_seed(spark, sf_dir):
+    """A small table described in text, its rows as mappings and lists, seeded beside orders and asked by SQL."""
+    from recordloom.operators.embedded_sql import query as ask
+    from recordloom.sources.tables import described, seed
+
+    codes = described(spark, {"STATUS_CODES": {"columns": {"CODE": "CHAR(1)", "MEANING": "VARCHAR(20)", "FEE": "DECIMAL(4,2)"},
+                                              "rows": [{"CODE": "F", "MEANING": "finished", "FEE": Decimal("0.50")}, ["O", "open", Decimal("1.25")], {"CODE": "X", "MEANING": "never"}]}})
+    seed(codes | {"orders": table(spark, sf_dir, "orders")})
+    return ask(spark, "SELECT o_orderkey, meaning, fee FROM orders LEFT JOIN status_codes ON code = o_orderstatus WITH UR")
+
+
+@query("copied_data_set", "SELECT CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus AS value FROM orders")
+def copied_data_set(spark, sf_dir):
+    """A line file copied to another, over what was there."""
+    from recordloom.operators.batch import copy_dataset
+
+    source, target = scratch_path(spark, "copy-from"), scratch_path(spark, "copy-to")
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"))
+    lines.write.text(source)
+    lines.limit(3).write.text(target)
+    copy_dataset(spark, source, target)
+    return spark.read.text(target)
+
+
+@query("defined_cluster", "SELECT CAST(s_suppkey AS DECIMAL(9,0)) AS k, s_nationkey::VARCHAR AS t, FALSE AS there FROM supplier")
+def defined_cluster(spark, sf_dir):
+    """A keyed data set's table defined from its layout, filled, read and deleted."""
+    import uuid
+
+    from recordloom.operators.batch import define_cluster, delete_dataset
+    from recordloom.session import cut
+
+    name = f"cluster_{uuid.uuid4().hex}"
+    define_cluster(spark, name, copybook("01 REC.  05 K PIC 9(9).  05 T PIC X(3)."))
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("decimal(9,0)").alias("k"), F.col("s_nationkey").cast("string").alias("t")).write.insertInto(name)
+    held = cut(spark.table(name))
+    delete_dataset(spark, name)
+    return held.withColumn("there", F.lit(spark.catalog.tableExists(name)))
