@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 4 << 20
@@ -40,28 +40,31 @@ class _Range(InputPartition):
     records: int
 
 
-class _FixedReader(DataSourceReader):
+class _Records:
+    """What batch and stream share: the files, their record-aligned ranges, and how a range is read."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.length = int(options["recordlength"])
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.positions = options.get("positions", "false").lower() == "true"
 
-    def partitions(self):
+    def ends(self) -> dict[str, int]:
+        """Each file, and where its last whole record ends; a short tail is end of file."""
         from pyarrow import fs
 
         store, root = filesystem(self.path)
         info = store.get_file_info(root)
+        if info.type == fs.FileType.NotFound:
+            return {}
         files = [info] if info.type == fs.FileType.File else [
             f for f in store.get_file_info(fs.FileSelector(root, recursive=True))
             if f.type == fs.FileType.File and not _hidden(f.path, root)]
-        step = max(1, self.split // self.length)
-        out = []
-        for f in files:
-            whole = f.size // self.length          # a short tail is end of file
-            for first in range(0, whole, step):
-                out.append(_Range(f.path, first * self.length, min(step, whole - first)))
-        return out or [_Range("", 0, 0)]
+        return {f.path: f.size // self.length * self.length for f in files}
+
+    def ranges(self, path: str, start: int, end: int) -> list[_Range]:
+        step = max(1, self.split // self.length) * self.length
+        return [_Range(path, at, (min(at + step, end) - at) // self.length) for at in range(start, end, step)]
 
     def read(self, part):
         import pyarrow as pa
@@ -87,6 +90,28 @@ class _FixedReader(DataSourceReader):
                 at += n * self.length
 
 
+class _FixedReader(_Records, DataSourceReader):
+    def partitions(self):
+        return [r for path, end in self.ends().items() for r in self.ranges(path, 0, end)] or [_Range("", 0, 0)]
+
+
+class _FixedStream(_Records, DataSourceStreamReader):
+    """Records as they arrive. Progress is how far each file has been read, so new files and files
+    that have grown are read on from there, and a restarted stream reads each record once."""
+
+    def initialOffset(self):
+        return {}
+
+    def latestOffset(self):
+        return self.ends()
+
+    def partitions(self, start, end):
+        return [r for path, at in end.items() for r in self.ranges(path, start.get(path, 0), at)] or [_Range("", 0, 0)]
+
+    def commit(self, end):
+        pass
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     temp: str
@@ -149,7 +174,7 @@ class FixedRecords(DataSource):
 
     Files are read in record-aligned ranges, so one big file is read by many
     tasks; bytes go to the JVM as Arrow batches. With ``positions`` each record
-    comes with its file and byte offset.
+    comes with its file and byte offset. ``readStream`` goes on with what arrives.
     """
 
     @classmethod
@@ -167,5 +192,8 @@ class FixedRecords(DataSource):
     def reader(self, schema):
         return _FixedReader(self._options())
 
+    def streamReader(self, schema):
+        return _FixedStream(self._options())
+
     def writer(self, schema, overwrite):
         return _FixedWriter(self._options(), overwrite)

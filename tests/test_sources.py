@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.layout import copybook
 from recordloom.operators.batch import copy_dataset, define_cluster, delete_dataset
 from recordloom.sources import records as r
-from recordloom.streaming.ingest import stream_lines
+from recordloom.streaming.ingest import stream_fixed, stream_lines
 
 LAY = copybook("01 R. 05 K PIC 9(6). 05 V PIC S9(5)V99 COMP-3. 05 T PIC X(5).")
 TEXT = copybook("01 R. 05 K PIC 9(6). 05 T PIC X(5).")
@@ -116,3 +116,27 @@ def test_relative_numbers(spark, tmp_path):
     for wrong in (0, -3, None):
         with pytest.raises(Exception, match="no record number"):
             r.close_output(spark.createDataFrame([(wrong, "A")], "rrn bigint, state string"), spec)
+
+
+def test_stream_of_fixed_records(spark, tmp_path):
+    """New files, a file that grows, an unfinished record, a restart: each record comes once."""
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    r.write_fixed(rows(spark, 20).repartition(2), LAY, src)
+
+    def run():
+        q = (stream_fixed(spark, src, LAY, ("file", "offset")).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        return sorted(int(x["k"]) for x in spark.read.parquet(out).select("k").collect())
+
+    assert run() == list(range(20))
+    r.write_fixed(rows(spark, 5, 100), LAY, src, "EXTEND")
+    one = next(p for p in (tmp_path / "in").iterdir() if p.name.endswith(".bin"))
+    record = one.read_bytes()[: LAY.length]
+    with one.open("ab") as f:
+        f.write(record + record[:3])
+    again = run()
+    assert len(again) == 26 and set(again) == {*range(20), *range(100, 105)}
+    with one.open("ab") as f:
+        f.write(record[3:])
+    assert len(run()) == 27 and len(run()) == 27
+    assert spark.read.parquet(out).select("file", "offset").distinct().count() == 27
