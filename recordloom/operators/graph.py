@@ -108,7 +108,9 @@ def control_flow(programs: DataFrame, program: str = "program", text: str = "tex
 
     def edges(p: Column, i: Column) -> Column:
         behind = F.coalesce(F.get(heads, i + 1), F.lit("EXIT"))
-        through = (F.size(p["statements"]) == 0) | F.exists(flow(p["statements"]), lambda e: e["t"] == END)
+        # the way through is worked out only where some statement goes elsewhere
+        stays = ~F.exists(p["statements"], lambda st: st.startswith("GO") | st.startswith("STOP ") | st.startswith("EXIT "))
+        through = stays | F.exists(flow(p["statements"]), lambda e: e["t"] == END)
         found = F.concat(F.flatten(F.transform(p["statements"], lambda st: _leads(st, heads))),
                          F.when(through, F.array(_named(behind, FALLTHROUGH))).otherwise(F.array().cast(_TARGETS)))
         return F.transform(F.array_distinct(found), lambda e: F.struct(p["paragraph"].alias("source"), e["target"].alias("target"), e["kind"].alias("kind")))
