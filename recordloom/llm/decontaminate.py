@@ -11,6 +11,9 @@ Null and empty texts have no words: they hit nothing. Items without words have
 no windows. Rows that repeat a doc_id with the same text give the same result;
 with different texts each is judged by itself, null ids included. Items that
 share an id are one item. Item ids that are null are left out.
+Very long texts are searched whole, each as one row. An empty table of documents
+gives an empty table, an empty benchmark no hits. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

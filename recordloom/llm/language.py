@@ -8,7 +8,8 @@ highest mean log probability, windows weighted by their bytes.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every
 text if nothing is labelled. A null doc_id is never learned from and is not
-held out. Repeated rows each get their own, equal, result.
+held out. Repeated rows each get their own, equal, result. Very long texts are cut
+into windows whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ of the units stream by; no pair of unit and template is formed that shares none.
 
 Null and empty texts, and units of one word, have no bigram and match nothing.
 Every row of the documents comes back, rows that repeat a doc_id and text alike.
+Very long texts are cut into units whole. An empty table gives an empty table.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ are joined by index. Everything follows from doc_id and the seed: reruns agree.
 
 Null and blank texts have size 0 and are taken 0 times. A null source is a
 source, ordered last. An empty table has an empty mix. Rows that repeat a
-doc_id are documents of their own, which follow one another in any order.
+doc_id are documents of their own, which follow one another in any order. Very
+long texts are counted whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

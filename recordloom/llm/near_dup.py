@@ -9,7 +9,10 @@ on full sets (`near.py`).
 Documents with equal sets are one class and are compared once. Null, empty and
 blank texts have no shingles: they are linked with nothing and kept. Rows that
 repeat a doc_id with the same text give the same result; a null doc_id takes
-part as no node: its row comes back with a null component and kept true.
+part as no node: its row comes back with a null component and kept true. Very long
+texts are sketched and compared whole. An empty table gives an empty table. Other
+columns are not read, whatever their names. Different texts under one doc_id are
+not told apart: one of them, any, stands for the id where sets are compared.
 """
 
 from __future__ import annotations

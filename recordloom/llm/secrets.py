@@ -8,7 +8,9 @@ all blobs back to every path. A new rule or a new version of one is scanned on
 all blobs; nothing else is scanned again.
 
 Null texts are read as empty; empty texts have no findings. Rows that repeat a
-path are each returned. Null paths come back like others.
+path are each returned. Null paths come back like others. Very long texts are
+scanned whole, as one blob. An empty table gives an empty table and leaves the
+ledger as it is. Other columns may have any names.
 """
 
 from __future__ import annotations

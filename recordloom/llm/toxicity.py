@@ -11,7 +11,9 @@ every whole text.
 Learning reads a bounded sample: about TOXIC_ROWS and CLEAN_ROWS labelled rows.
 Null and empty texts hit nothing and get the score of a text without hits. Rows
 that repeat are scored alike, a null doc_id is not held out. If a class has no
-labelled row, every score is the share of toxic labels (0 without any).
+labelled row, every score is the share of toxic labels (0 without any). Very long
+texts are scored whole. An empty table gives an empty table. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

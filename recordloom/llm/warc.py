@@ -9,7 +9,8 @@ digests; a damaged record raises.
 Null html is an empty payload. Rows that repeat a page_id are records of their
 own; of equal payloads all rows with the largest page_id are responses. A null
 page_id is written as an empty record name and read back as null; it never is
-the response that others refer to while another page has the payload.
+the response that others refer to while another page has the payload. Very long
+payloads are one record each. An empty table gives no archive and an empty table.
 """
 
 from __future__ import annotations
