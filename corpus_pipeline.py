@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and gives rows with the columns of documents; the last gives the mix, with how
 often the words of each document are taken.
+
+Nulls, empty and very long texts, repeated rows and empty tables are what the
+operators say of them: null texts and texts without a letter go at the first
+stage, rows that repeat a doc_id and text stay together or go together, an empty
+table passes through all stages. Further columns are carried along.
 """
 
 from __future__ import annotations
