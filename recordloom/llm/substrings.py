@@ -30,6 +30,8 @@ gives an empty table; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,17 +39,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recordloom.llm.common import documents, stored
 from recordloom.llm.components import contracted
 from recordloom.llm.near import links
-from recordloom.llm.shingles import _ODD, WIDTH, MinMax, _hash, _mixed, packed
+from recordloom.llm.shingles import _ODD, WIDTH, MinMax, _mixed
 
 SIDE = 8                  # words on either side of a cut that are no better cut
 LONGEST, FORCED = 64, 32  # a longer paragraph is cut after so many words
 BANDS = 4
 PERCENT = 75
 LEAST_WORDS = 24
-CHUNK = 1 << 14           # words that are cut and sketched together
+CHUNK = 1 << 17           # bytes that are cut and sketched together
+SEGMENT = 1 << 18         # bytes that are hashed at a time
 SEEN = 1 << 17            # paragraphs that a task remembers; it starts anew beyond that
 MEMBER = 7                # in place of a band's number: a copy of a paragraph that the task has seen
 
+_SPACE = re.compile(rb"[\x09-\x0d ]")
 _PLACE = 1 << 24          # paragraphs in a text, at most
 
 
@@ -90,21 +94,61 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = 0x9E3779B97F4A7C55
+_POWERS = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * SEGMENT, _BASE, np.uint64))))
+_INVERSE = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64))))
+
+
+def hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of some text, A-Z in lower case, and where it begins: all at once, from
+    running sums of the bytes times powers of a base, segment by segment."""
+    data = data.lower()
+    found, begins, at = [], [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > SEGMENT and (m := _SPACE.search(data, at + SEGMENT)):
+            end = m.end()
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        space = np.concatenate(([True], (b == 32) | ((b >= 9) & (b <= 13)), [True]))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        first, last = edge[::2], edge[1::2]
+        n = len(b)
+        powers, inverse = (_POWERS, _INVERSE) if n <= 2 * SEGMENT else (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * powers[:n])))
+        found.append(_mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _ODD[20]))
+        begins.append(first + at)
+        at = end
+    return (np.concatenate(found), np.concatenate(begins)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def _chunks(batch: pa.RecordBatch, text: str = "text", least: int = LEAST_WORDS):
-    """The texts of a batch, some thousand words at a time: row numbers, words, hashes, first words."""
-    rows, ws, starts = [], [], []
+    """The texts of a batch with ``least`` words or more, some at a time: row numbers, words' hashes, first words."""
+
+    def chunk(rows: list[int], texts: list[bytes]):
+        h, begins = hashes(b" ".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        count = np.diff(np.searchsorted(begins, np.concatenate(([0], ends))))
+        some = count >= least
+        starts = np.cumsum(count[some]) - count[some]
+        return np.array(rows)[some], h[np.repeat(some, count)], starts
+
+    rows, texts, size = [], [], 0
     for k, t in enumerate(batch.column(text)):
-        own = (t.as_py() or b"").lower().split()
-        if len(own) < least:
+        own = t.as_py()
+        if own is None or len(own) < 2 * least - 1:
             continue
         rows.append(k)
-        starts.append(len(ws))
-        ws += own
-        if len(ws) >= CHUNK:
-            yield np.array(rows), ws, np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws)), np.array(starts)
-            rows, ws, starts = [], [], []
+        texts.append(own)
+        size += len(own)
+        if size >= CHUNK:
+            got = chunk(rows, texts)
+            if len(got[0]):
+                yield got
+            rows, texts, size = [], [], 0
     if rows:
-        yield np.array(rows), ws, np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws)), np.array(starts)
+        got = chunk(rows, texts)
+        if len(got[0]):
+            yield got
 
 
 class _Sketch:
@@ -140,7 +184,7 @@ def _banded(batches):
     sketch, seen = _Sketch(), {}
     for batch in batches:
         th = batch.column("th").to_numpy()
-        for rows, _, h, starts in _chunks(batch):
+        for rows, h, starts in _chunks(batch):
             text, number, digest, keys = sketch(h, starts)
             row = rows[text]
             at = th[row] // _PLACE * _PLACE + number
@@ -202,19 +246,28 @@ def _sets(signer: MinMax):
     def make(batches):
         for batch in batches:
             wanted = batch.column("wanted")
-            for rows, _, h, starts in _chunks(batch):
+            of, told = wanted.offsets.to_numpy(), wanted.flatten()
+            number, digest = told.field("at").to_numpy() % _PLACE, told.field("digest")
+            of = of - of[0]
+            for rows, h, starts in _chunks(batch):
                 first, x = cuts(h, starts), _shingles(h)
-                ends = np.append(first[1:], len(h))
-                base = np.searchsorted(first, starts)
-                ids, sets = [], []
-                for k, row in enumerate(rows.tolist()):
-                    for w in wanted[row].as_py():
-                        at = base[k] + w["at"] % _PLACE
-                        ids.append(w["digest"])
-                        sets.append(np.unique(x[first[at] : ends[at] - WIDTH + 1]))
-                sig = (signer.signatures(*packed(sets)) >> np.uint64(24)).astype(np.uint8)
+                ends = np.append(first[1:], len(h)) - WIDTH + 1
+                count = of[rows + 1] - of[rows]
+                at = np.repeat(of[rows] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                unit = np.repeat(np.searchsorted(first, starts), count) + number[at]
+                # All their shingles end to end, sorted within each, each once.
+                size = ends[unit] - first[unit]
+                own = np.repeat(np.arange(len(unit)), size)
+                value = x[np.repeat(first[unit] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+                order = np.lexsort((value, own))
+                own, value = own[order], value[order]
+                new = np.concatenate(([True], (own[1:] != own[:-1]) | (value[1:] != value[:-1])))
+                own, value = own[new], value[new]
+                begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                sig = (signer.signatures(value, begins) >> np.uint64(24)).astype(np.uint8)
+                bounds = pa.array(np.append(begins, len(value)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    digest.take(pa.array(at)), pa.array(np.diff(np.append(begins, len(value)))), pa.ListArray.from_arrays(bounds, pa.array(value.view(np.int64))),
                     pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "n", "elements", "sig"])
 
     return make
@@ -261,7 +314,7 @@ def _stretches(least: int):
     def join(batches):
         for batch in batches:
             found, texts = batch.column("found"), batch.column("text")
-            for rows, _, h, starts in _chunks(batch):
+            for rows, h, starts in _chunks(batch):
                 first = np.append(cuts(h, starts), len(h))
                 base = np.append(np.searchsorted(first, starts), len(first) - 1)
                 out = []

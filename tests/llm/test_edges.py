@@ -231,7 +231,7 @@ def test_passages_wherever_they_stand(spark):
     passage = [f"p{k}" for k in range(70)]
     wrapped = "\n".join(" ".join(passage[k:k + 7]) for k in range(0, 70, 7))
     other = lambda tag: " ".join(f"{tag}{k}" for k in range(300))
-    changed = " ".join("other" if k == 35 else w for k, w in enumerate(passage))
+    changed = " ".join("other" if k == 62 else w for k, w in enumerate(passage))
     texts = {1: f"Über uns\n{wrapped}\nthe end", 2: f"{other('a')} {' '.join(passage).upper()} {other('b')}", 3: f"{other('c')} {changed}", 4: other("d"), 5: f"{other('e')}\n{other('e')}", 6: " ".join(passage[:20])}
     rows = substrings.repeated_passages(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()
     removed = {i: sum(r["n_words"] for r in rows if r["doc_id"] == i and r["removed"]) for i in texts}

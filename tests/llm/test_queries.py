@@ -58,11 +58,11 @@ def test_passages(spark, docs):
     """Marks as all pairs of paragraphs give them; nearly every document that shares 50 words is found."""
     import numpy as np
 
-    from recordloom.llm.shingles import _hash, words
-    from recordloom.llm.substrings import LEAST_WORDS, WIDTH, cuts
+    from recordloom.llm.shingles import words
+    from recordloom.llm.substrings import LEAST_WORDS, WIDTH, cuts, hashes
 
     split = {i: words(t) for i, t in docs.items() if t}
-    at = {i: [*cuts(np.array([_hash[w] for w in ws], np.uint64), np.array([0])).tolist(), len(ws)] for i, ws in split.items() if len(ws) >= LEAST_WORDS}
+    at = {i: [*cuts(hashes(b" ".join(ws))[0], np.array([0])).tolist(), len(ws)] for i, ws in split.items() if len(ws) >= LEAST_WORDS}
     sets = {(i, k): brute.shingles(b" ".join(split[i][a:b]).decode()) for i, c in at.items() for k, (a, b) in enumerate(zip(c, c[1:], strict=False)) if b - a >= WIDTH}
     u = brute.Union()
     for a, b in brute.near_links(sets):
