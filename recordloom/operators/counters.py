@@ -3,6 +3,9 @@ records does not matter, else as functions of what the counter held before."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from decimal import Context, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -12,6 +15,7 @@ from recordloom.functions.numeric import Num, dec, pow10, round_to
 from recordloom.picture import Picture, picture
 
 NOT_EXACT = "counter {0} may overflow on the way with both signs; its value depends on record order"
+WIDE = Context(prec=76)      # any decimal's digits
 
 
 def count_if(condition: Column) -> Column:
@@ -105,20 +109,145 @@ class Effect:
         new = np.concatenate(([True], (slope[1:] != slope[:-1]) | (offset[1:] != offset[:-1])))
         self.low, self.slope, self.offset = self.low[new], slope[new], offset[new]
 
-    def __call__(self, v: int) -> int:
-        i = int(np.searchsorted(self.low, v, "right")) - 1
-        return int(self.slope[i]) * v + int(self.offset[i])
+    def image(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges (first, last) of the values that it can give, apart from one another."""
+        high = np.append(self.low[1:] - self.unit, self.limit - self.unit)
+        ends = self.slope * self.low + self.offset, self.slope * high + self.offset
+        first, last = np.minimum(*ends), np.maximum(*ends)
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], np.maximum.accumulate(last[order])
+        new = np.concatenate(([True], first[1:] > last[:-1]))
+        return first[new], last[np.append(new[1:], True)]
+
+    def forgets_sign(self) -> bool:
+        """Whether a signed counter's v and v - limit always come to the same."""
+        limit = self.limit
+        at = np.unique(np.concatenate(([self.unit], self.low, self.low + limit)))
+        at = at[(at >= self.unit) & (at < limit)]
+        i, j = (np.searchsorted(self.low, x, "right") - 1 for x in (at, at - limit))
+        return bool(np.all((self.slope[i] == self.slope[j]) & (self.offset[i] == self.offset[j] - self.slope[j] * limit)))
+
+
+#: Pieces from which on the values that they can give are counted, and how many of these a piece may stand for.
+SOME_PIECES, POINTS_A_PIECE = 256, 8
+#: Amounts worked in at once.
+CHUNK = 1 << 16
+
+
+class Run:
+    """What a row of ADDs does to a counter, whose value before is known (``start``) or not.
+
+    A known value is carried on as a number. Else the ADDs are an `Effect`. Each one that turns
+    or wraps values splits pieces, but lays values over one another too: once few are left
+    that the counter can hold at all, each of them is carried on instead, and those that meet
+    go on as one. A signed counter that drops no fractions keeps its rest by the limit whatever
+    its sign was, so only the ADDs since which the sign no longer matters are gone through singly.
+    """
+
+    def __init__(self, limit: int, unit: int, signed: bool, start: int | None = None):
+        self.limit, self.unit, self.signed, self.value = limit, unit, signed, start
+        self.effect = None if start is not None else Effect(limit, unit, signed)
+        self.check = SOME_PIECES
+        self.at = self.now = self.to = None      # values after the effect, those they have come to, and which of these each has
+
+    def add(self, amounts: list[int]) -> None:
+        if self.value is not None:
+            self.value = self._fold(self.value, amounts)
+        elif self.at is not None:
+            self._carry(amounts)
+        elif self.signed and (self.unit == 1 or all(x % self.unit == 0 for x in amounts)):
+            self._signed(amounts)
+        else:
+            self._pieces(amounts)
+
+    def _fold(self, v: int, amounts: list[int]) -> int:
+        limit, unit, signed = self.limit, self.unit, self.signed
+        for x in amounts:
+            v += x
+            if v < 0:
+                v = -(-v - -v % unit) % -limit if signed else (-v - -v % unit) % limit
+            else:
+                v = (v - v % unit) % limit
+        return v
+
+    def _signed(self, amounts: list[int]) -> None:
+        n = 64
+        while n < len(amounts):
+            tail = Effect(self.limit, self.unit, True)
+            for x in amounts[-n:]:
+                tail.add(x)
+            if tail.forgets_sign():
+                self.effect.add(sum(amounts[:-n]) % self.limit)
+                amounts = amounts[-n:]
+                break
+            n *= 4
+        for x in amounts:
+            self.effect.add(x)
+
+    def _pieces(self, amounts: list[int]) -> None:
+        effect = self.effect
+        for i, x in enumerate(amounts):
+            effect.add(x)
+            if len(effect.low) >= self.check and effect.kind is not object:
+                self.check = 2 * len(effect.low)
+                first, last = effect.image()
+                if int(((last - first) // self.unit + 1).sum()) <= POINTS_A_PIECE * len(effect.low):
+                    self.at = np.concatenate([np.arange(a, b + 1, self.unit) for a, b in zip(first, last, strict=True)])
+                    self.now, self.to = self.at, np.arange(len(self.at))
+                    return self._carry(amounts[i + 1 :])
+
+    def _carry(self, amounts: list[int]) -> None:
+        limit, unit, signed, now = self.limit, self.unit, self.signed, self.now
+        for i, x in enumerate(amounts):
+            if len(now) == 1:
+                now = np.array([self._fold(int(now[0]), amounts[i:])], now.dtype)
+                break
+            if abs(x) > 10**17 and now.dtype != object:
+                now = now.astype(object)
+            now = now + x
+            size = abs(now)
+            if unit > 1:
+                size -= size % unit
+            size %= limit
+            now = np.where(now < 0, -size, size) if signed else size
+            if i % 256 == 255:
+                now, same = np.unique(now, return_inverse=True)
+                self.to = same[self.to]
+        self.now = now
+
+    def told(self) -> list[list[int]]:
+        """As lists: a known value, or the effect's pieces and, where values were carried on, what they came to."""
+        if self.value is not None:
+            return [[self.value]]
+        pieces = [a.tolist() for a in (self.effect.low, self.effect.slope, self.effect.offset)]
+        return pieces if self.at is None else [*pieces, self.at.tolist(), self.now[self.to].tolist()]
+
+
+def applied(told: list[list[int]], v: int) -> int:
+    """What a counter that held ``v`` holds after a `Run`."""
+    if len(told) == 1:
+        return told[0][0]
+    low, slope, offset, *carried = told
+    i = bisect_right(low, v) - 1
+    v = slope[i] * v + offset[i]
+    return carried[1][bisect_left(carried[0], v)] if carried else v
 
 
 def _effects(n_keys: int, counters: list[tuple[int, int, bool, int]]):
-    """Rows in order (key columns, amounts) to one row a key and task: its number and the effects' pieces."""
+    """Rows in order (key columns, amounts) to one row a key and task: its number and what its rows do."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        current, effects, out, schema = None, None, [], None
+        current, runs, amounts, out, schema, first = None, None, None, [], None, True
+
+        def work_in():
+            for r, some in zip(runs, amounts, strict=True):
+                r.add(some)
+                some.clear()
 
         def row():
-            return (*current, part, *[[[str(x) for x in a.tolist()] for a in (e.low, e.slope, e.offset)] for e in effects])
+            work_in()
+            return (*current, part, *[[[str(x) for x in a] for a in r.told()] for r in runs])
 
         def flush():
             kinds = [*[schema.field(i).type for i in range(n_keys)], pa.int32(), *[pa.list_(pa.list_(pa.string()))] * len(counters)]
@@ -127,19 +256,28 @@ def _effects(n_keys: int, counters: list[tuple[int, int, bool, int]]):
 
         for batch in batches:
             schema = batch.schema
-            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            columns = [c.to_pylist() for c in batch.columns[: n_keys + len(counters)]]
+            for i, (_, _, _, scale) in enumerate(counters, n_keys):
+                if pa.types.is_decimal(schema.field(i).type):
+                    columns[i] = [x if x is None else int(x.scaleb(scale, WIDE)) for x in columns[i]]
+            for values in zip(*columns, strict=True):
                 key = values[:n_keys]
-                if effects is None or key != current:
-                    if effects is not None:
+                if runs is None or key != current:
+                    if runs is not None:
                         out.append(row())
+                        first = False
                         if len(out) >= 5_000:
                             yield flush()
                             out = []
-                    current, effects = key, [Effect(limit, unit, signed) for limit, unit, signed, _ in counters]
-                for e, x, (_, _, _, scale) in zip(effects, values[n_keys:], counters, strict=True):
+                    # only the first key of a task can have begun in one before
+                    current, runs = key, [Run(limit, unit, signed, None if first and part else 0) for limit, unit, signed, _ in counters]
+                    amounts = [[] for _ in counters]
+                for some, x in zip(amounts, values[n_keys:], strict=True):
                     if x is not None:
-                        e.add(int(x.scaleb(scale)))
-        if effects is not None:
+                        some.append(x)
+                if any(len(some) >= CHUNK for some in amounts):
+                    work_in()
+        if runs is not None:
             out.append(row())
             yield flush()
 
@@ -148,14 +286,13 @@ def _effects(n_keys: int, counters: list[tuple[int, int, bool, int]]):
 
 def _outcome(n_keys: int, counters: list[tuple[int, int, bool, int]], kinds: list[pa.DataType]):
     """One row a key and task, in order, to one row a key: what the counters hold at the end."""
-    from decimal import Decimal
 
     def run(batches):
         current, held, out, schema = None, None, [], None
 
         def ended():
             # whole multiples of the receiver's last digit, so nothing is dropped here
-            return [Decimal(v // unit).scaleb(len(str(unit)) - 1 - scale) for v, (_, unit, _, scale) in zip(held, counters, strict=True)]
+            return [Decimal(v // unit).scaleb(len(str(unit)) - 1 - scale, WIDE) for v, (_, unit, _, scale) in zip(held, counters, strict=True)]
 
         def flush():
             fields = [*[schema.field(i).type for i in range(n_keys)], *kinds]
@@ -170,10 +307,7 @@ def _outcome(n_keys: int, counters: list[tuple[int, int, bool, int]], kinds: lis
                     if held is not None:
                         out.append((*current, *ended()))
                     current, held = key, [0] * len(counters)
-                for i, ((limit, unit, signed, _), pieces) in enumerate(zip(counters, values[n_keys + 1 :], strict=True)):
-                    e = Effect(limit, unit, signed)
-                    e.low, e.slope, e.offset = (np.array([int(x) for x in a], object) for a in pieces)
-                    held[i] = e(held[i])
+                held = [applied([[int(x) for x in a] for a in told], v) for told, v in zip(values[n_keys + 1 :], held, strict=True)]
             if len(out) >= 5_000:
                 yield flush()
                 out = []
@@ -189,7 +323,7 @@ def in_order(df: DataFrame, keys: list[str], seq: str, sums: dict[str, tuple[Num
     without ``keys``; the receivers' last values. Overflow, signs and dropped fractions count at every step.
 
     Rows are ranged by key and ``seq``, so a key with any number of rows is spread over tasks. A task works
-    out what its rows do to whatever the counter held; one row a key and task is applied in turn. A null
+    out what its rows do to whatever the counter held (`Run`); one row a key and task is applied in turn. A null
     amount adds nothing. Without keys an empty table gives one row of zeros.
     """
     pics = [picture(p) if isinstance(p, str) else p for _, p in sums.values()]
@@ -199,11 +333,13 @@ def in_order(df: DataFrame, keys: list[str], seq: str, sums: dict[str, tuple[Num
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = {k: df.schema[k].dataType.simpleString() for k in keys}
     typed = ", ".join(f"`{k}` {t}" for k, t in schema.items())
-    rows = df.select(*keys, *[a.col.alias(f"_a{i}") for i, a in enumerate(amounts)], seq).repartitionByRange(n, *keys, seq).sortWithinPartitions(*keys, seq)
+    whole = lambda a, s: (a.col * F.lit(10**s)).cast("bigint") if a.digits + s - a.scale <= 17 else a.col
+    rows = df.select(*keys, *[whole(a, s).alias(f"_a{i}") for i, (a, s) in enumerate(zip(amounts, scales, strict=True))], seq).repartitionByRange(n, *keys, seq).sortWithinPartitions(*keys, seq)
     parts = rows.drop(seq) if seq not in keys else rows
     pieces = ", ".join(f"_e{i} array<array<string>>" for i in range(len(sums)))
     effects = parts.mapInArrow(_effects(len(keys), counters), f"{typed + ', ' if typed else ''}_part int, {pieces}")
-    together = effects.repartition(*keys) if keys else effects.coalesce(1)
+    # a shuffle in either case: coalesced, all ranges would be worked out by one task, each under its number
+    together = effects.repartition(*keys) if keys else effects.repartition(1)
     kinds = [pa.decimal128(p.digits, p.scale) for p in pics]
     values = ", ".join(f"_c{i} decimal({p.digits},{p.scale})" for i, p in enumerate(pics))
     out = together.sortWithinPartitions(*keys, "_part").mapInArrow(_outcome(len(keys), counters, kinds), f"{typed + ', ' if typed else ''}{values}")

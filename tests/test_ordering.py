@@ -174,3 +174,29 @@ def test_counters_in_order(spark, pic, digits, signed, scale):
     want = {k: Decimal(fold([v for a, _, v in rows if a == k], digits, signed, 2, scale)).scaleb(-2) for k in {x[0] for x in rows}}
     assert got == want
     assert in_order(df.limit(0), [], "seq", {"t": (num("x", "S9(24)V99"), pic)}).collect()[0]["t"] == 0
+
+
+@pytest.mark.parametrize(("pic", "digits", "signed", "scale"), [("9(3)V9", 4, False, 1), ("S9(3)V9", 4, True, 1), ("S9(5)V99", 7, True, 2)])
+def test_counters_of_many_rows(spark, pic, digits, signed, scale):
+    """What many rows do to a counter stays short, whatever it held; what they come to equals the fold."""
+    from decimal import Decimal
+
+    from recordloom.operators.counters import Run, applied, in_order
+
+    r = random.Random(digits)
+    unit, limit = 10 ** (2 - scale), 10 ** (digits - scale + 2)
+    amounts = [r.randrange(-limit, 2 * limit) for _ in range(20_000)]
+    run = Run(limit, unit, signed)
+    for i in range(0, len(amounts), 7_000):
+        run.add(amounts[i : i + 7_000])
+    told = run.told()
+    assert sum(len(x) for x in told) < 30_000
+    for v in (0, unit, 37 * unit, limit - unit):
+        want = v
+        for x in amounts:
+            size = abs(want + x) // unit * unit % limit
+            want = -size if signed and want + x < 0 else size
+        assert applied(told, v) == want
+    df = spark.createDataFrame([(i, Decimal(x).scaleb(-2)) for i, x in enumerate(amounts)], "seq int, x decimal(12,2)")
+    out = in_order(df, [], "seq", {"t": (num("x", "S9(10)V99"), pic)}, partitions=3).collect()
+    assert [x["t"] for x in out] == [Decimal(fold(amounts, digits, signed, 2, scale)).scaleb(-2)]
