@@ -200,3 +200,22 @@ def test_counters_of_many_rows(spark, pic, digits, signed, scale):
     df = spark.createDataFrame([(i, Decimal(x).scaleb(-2)) for i, x in enumerate(amounts)], "seq int, x decimal(12,2)")
     out = in_order(df, [], "seq", {"t": (num("x", "S9(10)V99"), pic)}, partitions=3).collect()
     assert [x["t"] for x in out] == [Decimal(fold(amounts, digits, signed, 2, scale)).scaleb(-2)]
+
+
+def test_counters_of_keys_that_begin_in_a_task(monkeypatch):
+    """Only the first key of a task can have begun before it; the others' values are known, and told as one number."""
+    import pyarrow as pa
+
+    from recordloom.operators import counters as c
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("Task", (), {"partitionId": staticmethod(lambda: 3)})
+
+    monkeypatch.setattr(c, "TaskContext", Context)
+    rows = [(k, x) for k in range(400) for x in (900, -250, None, 470)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([x for _, x in rows])], names=["k", "x"])
+    told = pa.Table.from_batches(list(c._effects(1, [(1_000, 1, True, 0)])(iter([batch])))).to_pylist()
+    assert [x["k"] for x in told] == list(range(400)) and {x["_part"] for x in told} == {3}
+    assert len(told[0]["_e0"]) == 3 and all(x["_e0"] == [["120"]] for x in told[1:])
