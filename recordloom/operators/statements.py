@@ -9,6 +9,8 @@ statements, never at the text again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # words that begin a statement: fixed values
@@ -20,8 +22,16 @@ VERBS = (
 # statements that an END- word can close: fixed values
 CLOSED = ("ACCEPT", "ADD", "CALL", "COMPUTE", "DELETE", "DISPLAY", "DIVIDE", "EVALUATE", "IF", "MULTIPLY", "PERFORM", "READ", "RETURN", "REWRITE", "SEARCH", "START", "STRING", "SUBTRACT", "UNSTRING", "WRITE")
 _PHRASE = r"(?:NOT )?(?:(?:ON )?(?:SIZE ERROR|OVERFLOW|EXCEPTION)|AT END|AT EOP|INVALID)"
+
+
+def _one_of(words: tuple[str, ...]) -> str:
+    """A pattern of these words, by first letter: the engine leaves all of a letter at the first wrong one."""
+    letters = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in letters)
+
+
 # the blank comes first: the engine looks around only where there is one
-_CUT = rf" (?:(?<=\. )|(?=(?:{'|'.join(VERBS)}|END-(?:{'|'.join(CLOSED)})|{_PHRASE})(?![A-Z0-9-])))"
+_CUT = rf" (?:(?<=\. )|(?=(?:{_one_of((*VERBS, *(f'END-{w}' for w in CLOSED)))}|{_PHRASE})(?![A-Z0-9-])))"
 _HEADER = r"(?m)^ {7}(?=[A-Za-z0-9-]+(?:\s+SECTION)?\.\s*$)"      # a name alone on a line, in column 8
 _NAME = r"[A-Z0-9][A-Z0-9-]*"
 _TITLE = rf"^({_NAME})(?:\s+SECTION)?\.[ \t]*(?:\r?\n|$)"
@@ -31,10 +41,15 @@ PERFORM, PERFORM_THRU, RETURN, GOTO, CALL, EXIT, UNRESOLVED, LOOP = "PERFORM", "
 END = -1        # in place of a statement's number: behind the paragraph
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value worked out once: inside the functions on arrays, an expression that stands
+    in several places is worked out in each of them."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def code(text: Column) -> Column:
     """The text in capitals, without comment lines."""
-    upper = F.upper(text)
-    return F.when(upper.contains("*"), F.regexp_replace(upper, r"(?m)^.{6}\*.*$", "")).otherwise(upper)
+    return once(F.upper(text), lambda upper: F.when(upper.contains("*"), F.regexp_replace(upper, r"(?m)^.{6}\*.*$", "")).otherwise(upper))
 
 
 def division(text: Column) -> Column:
@@ -44,11 +59,14 @@ def division(text: Column) -> Column:
 
 def statements(body: Column) -> Column:
     """The statements of some procedure text, in order."""
-    quoted = F.regexp_replace(body, r"""(CALL\s+)["']([A-Z0-9-]+)["']|'[^']*'|"[^"]*\"""", "$1@$2")
-    plain = F.when(body.contains("'") | body.contains('"'), quoted).otherwise(body)
-    plain = F.trim(F.regexp_replace(plain, r"[\s,;]+", " "))
-    plain = F.when(plain.contains("EXEC "), F.regexp_replace(plain, r"EXEC .*?END-EXEC", "EXEC")).otherwise(plain)
-    return F.filter(F.split(plain, _CUT), lambda x: x != "")
+    def quoted(x: Column) -> Column:
+        found = F.regexp_replace(x, r"""(CALL\s+)["']([A-Z0-9-]+)["']|'[^']*'|"[^"]*\"""", "$1@$2")
+        return F.when(x.contains("'") | x.contains('"'), found).otherwise(x)
+
+    plain = F.trim(F.regexp_replace(once(body, quoted), r"[\s,;]+", " "))
+    plain = once(plain, lambda x: F.when(x.contains("EXEC "), F.regexp_replace(x, r"EXEC .*?END-EXEC", "EXEC")).otherwise(x))
+    # cuts are marked first, by a line's end, of which none is left: a pattern to split at is compiled for each text
+    return F.filter(F.split(F.regexp_replace(plain, _CUT, "\n"), "\n"), lambda x: x != "")
 
 
 def verb(statement: Column) -> Column:
@@ -75,7 +93,7 @@ def leaves(statement: Column) -> Column:
 
 
 def jumps(statement: Column) -> Column:
-    return statement.rlike(r"^GO (?:TO )?") & ~statement.contains(" DEPENDING ")
+    return statement.startswith("GO ") & ~statement.contains(" DEPENDING ")
 
 
 _EDGES = "array<struct<s:int,t:int,kind:string>>"

@@ -222,3 +222,15 @@ def test_symbols(spark):
     df = spark.createDataFrame([("DSN=&HLQ..&HLQX.,T=&&TMP,U=&NO.", {"HLQ": "P", "HLQX": "Q"})], "t string, m map<string,string>")
     r = df.select(b.substitute(F.col("t"), F.col("m")).alias("t")).select("t", b.unresolved(F.col("t")).alias("u")).first()
     assert (r.t, r.u) == ("DSN=P.Q,T=&&TMP,U=&NO.", ["NO"])
+
+
+def test_texts_are_worked_out_once(spark):
+    """No pattern is compiled for each text, and nothing that stands in several places is worked out in each."""
+    from recordloom.operators.statements import division, statements
+
+    df = spark.createDataFrame([("       PROCEDURE DIVISION.\n       A.\n           MOVE 'X, Y' TO B;\n           CALL \"P\".\n           EXEC SQL A END-EXEC GO TO Z.\n",)], "text string")
+    out = df.select(statements(division(F.col("text"))).alias("s"))
+    assert out.collect()[0]["s"] == ["A.", "MOVE @ TO B", "CALL @P.", "EXEC", "GO TO Z."]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("upper(") == 1 and "END-EXEC" in plan
+    assert "split(regexp_replace(" in plan
