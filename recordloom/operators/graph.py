@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordloom.operators.statements import (
-    CALL, END, EXIT, FALLTHROUGH, GOTO, PERFORM, PERFORM_THRU, RETURN, UNRESOLVED, called, code, division, flow, leaves, paragraphs as parts_of, performed, statements, verb, went,
+    CALL, END, EXIT, FALLTHROUGH, GOTO, PERFORM, PERFORM_THRU, RETURN, UNRESOLVED, called, code, division, flow, leaves, once, paragraphs as parts_of, performed, statements, verb, went,
 )
 from recordloom.session import cut
 
@@ -185,12 +185,12 @@ _SUBSCRIPT = r"\((?<=[A-Z0-9] ?\()(?<!(?<![A-Z0-9-])(?:AND|OR|NOT|TO|THAN|EQUAL|
 def _items(words: Column) -> Column:
     """The items that some words of a statement name; subscripts and qualifiers are no items of their own."""
     part = rf"FUNCTION [A-Z0-9-]+|{_SUBSCRIPT}| (?:OF|IN) [A-Z][A-Z0-9-]*"
-    plain = F.when(words.contains("(") | words.contains(" OF ") | words.contains(" IN ") | words.contains("FUNCTION "), F.regexp_replace(words, part, " ")).otherwise(words)
+    plain = once(words, lambda x: F.when(x.contains("(") | x.contains(" OF ") | x.contains(" IN ") | x.contains("FUNCTION "), F.regexp_replace(x, part, " ")).otherwise(x))
     return F.array_except(F.array_distinct(_all(plain, r"(?<![A-Z0-9@-])([A-Z][A-Z0-9-]*)")), F.array(*[F.lit(w) for w in _OTHER_WORDS]))
 
 
-def _changes(st: Column) -> Column:
-    """(sources, targets, kind) of one statement; null where it gives no item a value."""
+def _changes(st: Column, v: Column) -> Column:
+    """(sources, targets, kind) of one statement with this verb; null where it gives no item a value."""
     row = lambda sources, targets, kind: F.struct(_items(sources).alias("sources"), _items(targets).alias("targets"), F.lit(kind).alias("kind"))
     between = lambda pattern: F.regexp_extract(st, pattern, 1)
     after = lambda word: F.substring_index(st, word, -1)
@@ -198,7 +198,6 @@ def _changes(st: Column) -> Column:
     giving = st.contains(" GIVING ")
     place = F.when(st.startswith("ADD"), after(" TO ")).when(st.startswith("SUBTRACT"), after(" FROM ")).when(st.startswith("MULTIPLY"), after(" BY ")).otherwise(after(" INTO "))
     rest = lambda word: F.substring_index(body, word, 1)
-    v = verb(st)
     return (
         F.when(v == "MOVE", row(rest(" TO "), after(" TO "), ASSIGNS))
         .when(v == "COMPUTE", row(between(r"=(.*)$"), rest("="), DERIVES_FROM))
@@ -238,7 +237,7 @@ def data_flow(programs: DataFrame, program: str = "program", text: str = "text")
     values = F.flatten(F.transform(F.filter("_told", lambda x: x["change"].isNotNull()), lambda x: _cross(x["change"]["sources"], x["change"]["targets"], x["change"]["kind"])))
     tested = F.when(F.exists("_told", lambda x: x["verb"].isin("IF", "EVALUATE", "PERFORM")), F.aggregate("_told", start, under, lambda s: s["pairs"])).otherwise(F.array().cast(_KINDS))
     staged = programs.select(F.col(program).alias("program"), statements(division(F.col(text))).alias("_statements"))
-    told = staged.select("program", F.transform("_statements", lambda st: F.struct(verb(st).alias("verb"), st.alias("text"), _changes(st).alias("change"))).alias("_told"))
+    told = staged.select("program", F.transform("_statements", lambda st: once(verb(st), lambda v: F.struct(v.alias("verb"), st.alias("text"), _changes(st, v).alias("change")))).alias("_told"))
     return _edges(told, "program", F.array_distinct(F.concat(values, tested)), ["source", "target", "kind"])
 
 
