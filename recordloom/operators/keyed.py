@@ -252,10 +252,47 @@ def _merged(master: DataFrame, outcomes: DataFrame, key: str, seq: str, op: Colu
     return kept.select(*master.columns)
 
 
+#: Open requests that one task may settle in order, and most rounds that let some in side by side before.
+SETTLED, ROUNDS = 200_000, 40
+
+
+def _open_writes(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str) -> tuple[DataFrame, DataFrame]:
+    """WRITEs only: (seq) of those that surely go through, and the requests that are still open after some rounds.
+
+    Nothing is freed, so what the master or a written record holds is taken for good, and a request for it is out.
+    One that is the first of all open ones on each of its values goes through whatever the others do. A null
+    alternate is held by nobody.
+    """
+    names = [spec.key, *spec.unique]
+    rest = requests.select(seq, *names).where(F.col(spec.key).isNotNull())
+    for c in names:
+        rest = rest.join(master.select(c).where(F.col(c).isNotNull()).distinct(), c, "left_anti")
+    rest, done = cut(rest.select(seq, *names)), []
+    for _ in range(ROUNDS):
+        if rest.count() <= SETTLED:
+            break
+        won = rest
+        for c in names:
+            first = rest.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(seq).alias("_first")).select("_first")
+            won = won.join(first, F.col(seq) == F.col("_first"), "left_semi") if c == spec.key else won.join(
+                first, F.col(seq) == F.col("_first"), "left").where(F.col(c).isNull() | F.col("_first").isNotNull()).drop("_first")
+        won = cut(won.select(seq, *names))
+        done.append(won.select(seq))
+        for c in names:
+            rest = rest.join(won.select(c).where(F.col(c).isNotNull()), c, "left_anti")
+        rest = cut(rest.select(seq, *names))
+    through = requests.select(seq).limit(0)
+    for d in done:
+        through = through.unionByName(d)
+    return through, rest
+
+
 def write_batch(master: DataFrame, requests: DataFrame, spec: KeySpec, seq: str) -> BatchResult:
     """WRITE a batch: 00, 02 (repeated alternate) or 22 per request."""
     if spec.unique:
-        got = _outcomes_unique(master, requests, spec, seq, F.lit(WRITE)).where(F.col("status") == OK).select(seq)
+        through, rest = _open_writes(master, requests, spec, seq)
+        # what is open asks for nothing that is taken, so the master has no part in it
+        got = through.unionByName(_outcomes_unique(master.limit(0), rest, spec, seq, F.lit(WRITE)).where(F.col("status") == OK).select(seq))
     else:
         got = _accepted_primary(master, requests, spec.key, seq)
     marked = requests.join(got.withColumn("_in", F.lit(True)), seq, "left")

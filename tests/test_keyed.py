@@ -204,3 +204,30 @@ def test_store_opens_only_the_files_in_range(spark, tmp_path):
     assert sorted(r["id"] for r in between.collect()) == list(range(30, 61, 3)) and len(between.inputFiles()) <= 2
     assert sorted(r["v"] for r in store.read_alternate("alt", "a7").collect()) == [i for i in range(1_000) if i % 50 == 7]
     assert store.read_alternate("alt", "zz").count() == 0
+
+
+@pytest.mark.parametrize("settled", [0, 40, 10**6])
+def test_writes_are_let_in_side_by_side(spark, monkeypatch, settled):
+    """Few requests are left to one task, however many hang together; null keys and alternates too."""
+    monkeypatch.setattr(k, "SETTLED", settled, raising=False)
+    r = random.Random(5)
+    some = lambda n: r.choice([None, *range(n), *range(n), *range(n)])
+    held = [(-1, 500), (3, 501), (4, None), (-2, 7)]
+    asked = [(i, some(60), some(40), some(300)) for i in range(400)]
+    master = spark.createDataFrame([(a, b, 1000 + a) for a, b in held], "id int, alt int, other int")
+    requests = spark.createDataFrame(asked, "seq int, id int, alt int, other int").repartition(3)
+    spec = k.KeySpec("id", (k.Alternate("alt"), k.Alternate("other")))
+    _, rest = k._open_writes(master, requests, spec, "seq")
+    assert rest.count() <= settled
+    ids, alts, others = {a for a, _ in held}, {b for _, b in held if b is not None}, {1000 + a for a, _ in held}
+    want = {}
+    for seq, i, a, o in asked:
+        free = i is not None and i not in ids and a not in alts and o not in others
+        want[seq] = "00" if free else "22"
+        if free:
+            ids.add(i)
+            alts |= {a} - {None}
+            others |= {o} - {None}
+    done = k.write_batch(master, requests, spec, "seq")
+    assert {x["seq"]: x["status"] for x in done.outcomes.collect()} == want
+    assert done.master.count() == len(held) + sum(s == "00" for s in want.values())
