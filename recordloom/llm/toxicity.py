@@ -23,7 +23,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm.common import documents, held_out, may_learn, stored
@@ -36,7 +36,9 @@ BEGINNINGS = (3, 4, 5, 6, 7)               # letters of a word's beginning that
 LEAST_GAIN, LEAST_ODDS = 15.0, 1.5         # likelihood ratio and log odds that make an entry
 WORD_VOTERS = 3                            # the whole words are dealt out to so many lexicons
 LABEL_TRUST = 0.95                         # how often a label is taken to be right
-CACHE = 1 << 19
+CACHE = 1 << 17                            # words whose entries a task keeps
+SOME_ENTRIES = 1 << 16                     # counts that a task holds before it hands them on
+SLICE = 256                                # texts that a task holds as Python strings
 STRIP = b".,;:!?\"'()[]{}|#*$%&<>-_"
 THRESHOLD = 0.3
 
@@ -49,8 +51,14 @@ def entries_of(word: bytes) -> list[str]:
     return [f"={w}", *[w[:k] for k in BEGINNINGS if len(w) > k]]
 
 
+def sliced(texts: pa.Array):
+    """The texts, of which few are Python strings at a time."""
+    for i in range(0, len(texts), SLICE):
+        yield from texts.slice(i, SLICE).to_pylist()
+
+
 class Finder:
-    """Numbers of the lexicon entries in a text."""
+    """Numbers of the lexicon entries in a text. The first CACHE words are kept, frequent ones among them."""
 
     def __init__(self, lexicon: list[str]):
         self.at = {e: k for k, e in enumerate(lexicon)}
@@ -63,10 +71,10 @@ class Finder:
         for w in set(words(text)):
             hit = cache.get(w)
             if hit is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
                 start = w.strip(STRIP).decode("utf-8", "replace").casefold()[:3]
-                hit = cache[w] = tuple(self.at[e] for e in entries_of(w) if e in self.at) if start in self.starts else ()
+                hit = tuple(self.at[e] for e in entries_of(w) if e in self.at) if start in self.starts else ()
+                if len(cache) < CACHE:
+                    cache[w] = hit
             if hit:
                 out.update(hit)
         return out
@@ -159,31 +167,43 @@ class Scorer:
         lexicon, weights, bias = self.lexicon, self.weights, self.bias
         find = Finder(lexicon)
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            z = np.array([bias + weights[sorted(h)].sum() if (h := find(t)) else bias for t in texts], np.float64)
-            return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        @F.arrow_udf("double")
+        def score(texts: pa.Array) -> pa.Array:
+            z = np.array([bias + weights[sorted(h)].sum() if (h := find(t)) else bias for t in sliced(texts)], np.float64)
+            return pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
         return score.asNondeterministic()
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, toxic, text) of labelled rows, and how many of each class there are in all."""
-    known = stored(labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labelled")
+    known = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("toxic") == 1, TOXIC_ROWS / max(counts.get(1, 0), 1)).otherwise(CLEAN_ROWS / max(counts.get(0, 0), 1))
-    chosen = stored(known.where(draw < share), "chosen")
-    return stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample"), counts
+    # bounded, so as many files as there are cores will do: each new file costs the file system's calls, and some start a process
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    chosen = stored(known.where(draw < share).repartition(n), "chosen")
+    return stored(docs.select("doc_id", "text").join(chosen, "doc_id").repartition(n), "sample"), counts
 
 
 def _entry_counts(batches):
+    """Entries with the texts of either class that have them; one that comes in several parts has several rows."""
+    found = Counter(), Counter()
+
+    def rows():
+        every = list(found[0].keys() | found[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([found[c][e] for e in every], pa.int64()) for c in (1, 0)]], names=["entry", "pos", "neg"])
+        for some in found:
+            some.clear()
+        return out
+
     for batch in batches:
-        pos, neg = Counter(), Counter()
-        for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-            (pos if toxic else neg).update({e for w in set(words(text)) for e in entries_of(w)})
-        every = list(pos.keys() | neg.keys())
-        yield pd.DataFrame({"entry": every, "pos": [pos[e] for e in every], "neg": [neg[e] for e in every]})
+        for toxic, text in zip(batch.column("toxic").to_pylist(), sliced(batch.column("text")), strict=True):
+            found[1 if toxic else 0].update({e for w in set(words(text)) for e in entries_of(w)})
+            if len(found[0]) + len(found[1]) >= SOME_ENTRIES:
+                yield rows()
+    yield rows()
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -193,8 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         total = counts.get(0, 0) + counts.get(1, 0)
         p = counts.get(1, 0) / total if total else 0.0
         return Scorer([], np.zeros(0), math.log(max(p, 1e-12) / max(1 - p, 1e-12)))
-    spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    seen = spread.select("toxic", "text").mapInPandas(_entry_counts, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 3")
+    seen = sample.select("toxic", "text").mapInArrow(_entry_counts, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 3")
     p, base = F.col("pos") / (F.col("pos") + F.col("neg")), n_pos / (n_pos + n_neg)
     gain = 2 * (F.col("pos") * F.log(p / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - p) / (1 - base))).otherwise(0.0))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
@@ -203,11 +222,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     find = Finder(lexicon)
 
-    @F.pandas_udf("array<int>")
-    def hits_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(sorted(find(t)), np.int32) for t in texts])
+    @F.arrow_udf("array<int>")
+    def hits_of(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(find(t)) for t in sliced(texts)], pa.list_(pa.int32()))
 
-    rows = sorted((r["doc_id"], r["toxic"], r["h"]) for r in spread.select("doc_id", "toxic", hits_of("text").alias("h")).collect())   # the sample's rows
+    rows = sorted((r["doc_id"], r["toxic"], r["h"]) for r in sample.select("doc_id", "toxic", hits_of("text").alias("h")).collect())   # the sample's rows
     hits, gold = [r[2] for r in rows], np.array([r[1] for r in rows])
     weight = np.where(gold == 1, counts[1] / n_pos, counts[0] / n_neg) * len(rows) / (counts[0] + counts[1])
     votes = ballots(hits, lexicon)

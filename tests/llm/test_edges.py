@@ -220,6 +220,41 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(none, toxicity.learn(none, labels)).count() == 0
 
 
+def test_toxicity_tasks_hold_little():
+    """However many words the texts have, a task holds some of them; counts that it hands on in parts add up."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * 500 + k:x}" for k in range(500)) + " same" for i in range(600)]
+    find = toxicity.Finder(["=w1", "=same", "w2a"])
+    tracemalloc.start()
+    hits = [find(t) for t in texts]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000
+    assert all(1 in h for h in hits) and sum(0 in h for h in hits) == 1
+    batch = pa.RecordBatch.from_pydict({"toxic": [i % 3 == 0 for i in range(len(texts))], "text": texts})
+    parts = list(toxicity._entry_counts(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 2 and max(p.num_rows for p in parts) < 70_000
+    got, want = Counter(), Counter()
+    for e, pos, neg in zip(*[c.to_pylist() for c in pa.Table.from_batches(parts).columns], strict=True):
+        got.update({(e, 1): pos, (e, 0): neg})
+    for i, t in enumerate(texts):
+        want.update((e, int(i % 3 == 0)) for e in {e for w in t.split() for e in toxicity.entries_of(w.encode())})
+    assert +got == want
+
+
+def test_toxicity_sample_in_few_files(spark):
+    """The sample is bounded; it does not stand in a file for each partition of what it is drawn from."""
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a word "), F.col("id")).alias("text")).repartition(40)
+    labels = spark.range(2_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"))
+    sample, counts = toxicity._sample(docs, labels)
+    assert sample.count() == sum(counts.values()) == labels.where(toxicity.may_learn(F.col("doc_id"))).count()
+    assert len(sample.inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 def test_passages(docs, none):
     got = by_id(substrings.repeated_passages(docs), "removed")
     assert got == {5: [False], 6: [True], 7: [True], 8: [False], 9: [True], 14: got.get(14)} or got == {5: [False], 6: [True], 7: [True], 8: [False], 9: [True]}
