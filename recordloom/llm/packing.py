@@ -44,6 +44,7 @@ from recordloom.llm.common import documents, stored
 SEQUENCE = 4_096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
+SHORT, SHORTER = 16, 16              # lengths up to this share of a sequence get so many shorter ones tried where no complement is found
 CACHE, PARTS = 1 << 20, 1 << 19      # words and parts of words whose ids a worker keeps; each starts anew beyond that
 PIECES = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
 
@@ -196,6 +197,16 @@ class Plan:
                 return [a, *found]
         return None
 
+    def _shorter(self, lengths: list[int], gap: int) -> tuple[list[int], list[int] | None]:
+        """These with a shorter last one, and lengths that sum to the gap then: where lengths are much alike, so
+        many of the longest may leave a gap that lies between the sums of two and of three."""
+        *kept, last = lengths
+        free = np.flatnonzero(self.left[:last])[::-1]
+        for a in free[:: max(1, -(-len(free) // SHORTER))].tolist():
+            if self._times([*kept, a]) and (found := self._complement(gap + last - a, [*kept, a])):
+                return [*kept, a], found
+        return lengths, None
+
     def _exact(self) -> None:
         self.put_off = np.zeros(self.size + 1, np.int64)
         for length in range(self.size, 0, -1):
@@ -209,6 +220,8 @@ class Plan:
                     lengths.append(fits)
                     gap -= fits
                 found = [] if not gap else self._complement(gap, lengths) if fits else None
+                if found is None and fits and len(lengths) > 1 and lengths[-1] <= self.size // SHORT:
+                    lengths, found = self._shorter(lengths, gap)
                 if found is None:
                     self.put_off[length], self.left[length] = self.left[length], 0
                 else:
